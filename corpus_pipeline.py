@@ -1,3 +1,65 @@
-STAGES = []
+"""A corpus pipeline: language ID, near-dedup, decontamination, secret scans, tokens.
+
+Every stage works on all that the one before kept. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quayline.llm import decontaminate, langid, neardup, secrets, sptokens
+from quayline.llm.common import durable
+
+#: A document whose best language is less likely than this is rejected, as are those without letters.
+LEAST_LANGUAGE_SCORE = 0.5
+#: Near-duplicates share 80 of 100 five-word shingles.
+NEAR_PERCENT = 80
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned from the labelled ones; a null ``lang`` takes the prediction."""
+    judged = langid.predict(docs, langid.fit(docs))
+    kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.keep_one(docs, NEAR_PERCENT)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no item of ``benchmark``."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in their texts."""
+    return secrets.redact_documents(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, lossless and token_ids under seeded merge-dropout."""
+    return sptokens.encode_documents(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "n_tokens", "lossless", "token_ids")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("secret_scan", redact_secrets),
+    ("sentencepiece", encode_tokens),
+]
+
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``, each one's result written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

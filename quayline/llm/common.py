@@ -77,12 +77,14 @@ def forget(*tables: DataFrame) -> None:
         _made[:] = [x for x in _made if x[1] != path]
 
 
-def broadcast_if(df: DataFrame, row_bytes: int, limit_bytes: int = 24 << 20) -> DataFrame:
-    """Hint a broadcast of the durable table ``df`` only if its counted rows fit ``limit_bytes``.
+def broadcast_if(df: DataFrame, row_bytes: int, items: str | None = None, limit_bytes: int = 24 << 20) -> DataFrame:
+    """Hint a broadcast of the durable table ``df`` only if its measured size fits ``limit_bytes``.
 
+    Size: rows times ``row_bytes``, plus as much for each element of the array column ``items``.
     Otherwise the frame comes back without a hint and the join shuffles.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
+    units = F.count("*") + (F.coalesce(F.sum(F.size(items)), F.lit(0)) if items else 0)
+    return F.broadcast(df) if df.agg(units.alias("n")).first()["n"] * row_bytes <= limit_bytes else df
 
 
 def lane(*columns: Column | str, of: int) -> Column:

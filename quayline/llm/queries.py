@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm import chat, langid, secrets, sharding
+from quayline.llm import chat, decontaminate, hnsw, langid, neardup, secrets, sharding, sptokens, substrings, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document under seeded merge-dropout, and whether they decode to its text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sptokens.encode_documents(docs).select("doc_id", "n_tokens", "lossless", "token_ids")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes, equal texts together."""
     dealt = sharding.shard_documents(_table(spark, sf_dir, "documents"))
@@ -33,6 +45,27 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of every document."""
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 85 in 100 shingles, and whether it is the one kept."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item whose tokens the document's tiles cover."""
+    return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, those removed as repeats of 50-word windows, and a digest of the rest."""
+    done = substrings.dedup(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and a hostile one, expanded to one example a reply and read back."""
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -51,7 +84,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op4_language_id, op5_secret_scans, op10_chat_format)}
+    return {f.__name__: f for f in (op1_hnsw, op2_sentencepiece, op3_sharding, op4_language_id, op5_secret_scans, op6_token_counts, op7_minhash_neardup, op8_decontamination, op9_substring_dedup, op10_chat_format)}
 
 
 OP10_SQL = """
