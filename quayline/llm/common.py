@@ -18,15 +18,16 @@ import quayline
 # Python workers do not inherit the driver's sys.path, so functions of this package travel by value.
 cloudpickle.register_pickle_by_value(quayline)
 
-#: Rows of one Arrow batch sent to Python: a batch of long texts stays within tens of MB.
-BATCH_ROWS = 400
+#: Rows and bytes of one Arrow batch sent to Python, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 400, 32 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session to ``BATCH_ROWS`` rows."""
+    """Bound the Arrow batches of this session to ``BATCH_ROWS`` rows and ``BATCH_BYTES``."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ BANDS, ROWS = 28, 5
 LANES = BANDS * ROWS
 #: Low bits kept of each minimum, and how far below the threshold an estimate may lie: over five deviations.
 BITS, MARGIN = 4, 0.2
-#: Members that one row of the last candidate pass compares a document with.
+#: Documents in a block of the last candidate pass, in which blocks are compared with blocks.
 BLOCK = 64
 _CHUNK = 1 << 15
 
@@ -142,11 +142,16 @@ def _confirm(percent: int):
     return run
 
 
+def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and the full shingle set of the documents in the durable table ``ids``; their texts are read again."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if(ids, 16), "doc_id", "left_semi")
+    return durable(texts.mapInArrow(_sets, "doc_id bigint, shingles binary"), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough; the texts of their documents are read again."""
+    """The pairs (a, b) whose full sets are alike enough."""
     wanted = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if(wanted, 16), "doc_id", "left_semi")
-    full = durable(texts.mapInArrow(_sets, "doc_id bigint, shingles binary"), "sets")
+    full = _full_sets(wanted, docs)
     forget(wanted)
     joined = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
     joined = joined.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
@@ -155,45 +160,70 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def _across(floor: float):
-    """Of a member and a block of outliers of its bucket: the estimated pairs that lie in different components."""
+def _between(floor: float, percent: int):
+    """Of two blocks of documents: the links between documents of different components, one for each pair that it joins.
+
+    Estimates of all pairs of the two blocks come at once; those that pass are confirmed on the full sets, unless links
+    found before in this pair of blocks have already joined the two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "root", "signature", "outliers")), strict=True)
-            for me, root, signature, outliers in rows:
-                others = [o for o in outliers if o["root"] != root]
-                if not others:
-                    continue
-                sims = estimate(np.frombuffer(signature, np.uint8)[None, :], np.frombuffer(b"".join(o["signature"] for o in others), np.uint8).reshape(len(others), -1))
-                for o, near in zip(others, sims >= floor, strict=True):
-                    if near:
-                        left.append(min(me, o["doc_id"]))
-                        right.append(max(me, o["doc_id"]))
+            for one, two in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True):
+                sigs = [np.frombuffer(b"".join(d["signature"] for d in block), np.uint8).reshape(len(block), -1) for block in (one, two)]
+                parent: dict[int, int] = {}
+
+                def find(x: int, parent=parent) -> int:
+                    while parent.get(x, x) != x:
+                        x = parent[x]
+                    return x
+
+                near = estimate(sigs[0][:, None, :], sigs[1][None, :, :])
+                for i, j in sorted(zip(*np.nonzero(near >= floor), strict=True), key=lambda ij: -near[ij]):
+                    a, b = one[i], two[j]
+                    ra, rb = find(a["root"]), find(b["root"])
+                    if ra == rb:
+                        continue
+                    x, y = np.frombuffer(a["shingles"], np.uint64), np.frombuffer(b["shingles"], np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        parent[max(ra, rb)] = min(ra, rb)
+                        left.append(a["doc_id"])
+                        right.append(b["doc_id"])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, floor: float) -> DataFrame:
-    """Candidate pairs that the first pass left: bucket mates in different components.
+def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Links that the first pass left: between bucket mates in different components.
 
-    The most frequent component of a bucket needs no pairs within itself, so only the others (outliers) are compared
-    with all members, BLOCK of them in a row. Buckets whose members are all in one component need nothing.
+    Only buckets of several components matter. Their documents are put in blocks of BLOCK by component and the smallest
+    document they share a bucket with, so that blocks meet in few buckets; two blocks that meet in a bucket are compared
+    once, whatever the number of buckets, and blocks of one component never. No pair of documents becomes a row unless
+    it is a link.
     """
-    marked = buckets.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    sizes = marked.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("top.root").alias("main"))
-    members = marked.join(main, "key").join(signatures, "doc_id").select("key", "doc_id", "root", "signature", "main")
-    members = durable(members, "members")
-    outliers = members.where("root != main")
-    numbered = outliers.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1) / BLOCK))
-    blocks = numbered.groupBy("key", "block").agg(F.collect_list(F.struct("doc_id", "root", "signature")).alias("outliers"))
-    rows = members.join(blocks, "key").select("doc_id", "root", "signature", "outliers")
-    pairs = durable(rows.mapInArrow(_across(floor), "a bigint, b bigint").distinct(), "pairs")
-    forget(members)
-    return pairs
+    known = labels.union(labels.select(F.col("root").alias("node"), "root").distinct())
+    # part: the component of a document that is linked at all
+    marked = buckets.join(known, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "head", F.coalesce("root", "doc_id").alias("root"), F.col("root").alias("part"))
+    several = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    open_rows = durable(marked.join(several, "key", "left_semi"), "open")
+    own = open_rows.groupBy("doc_id").agg(F.min("root").alias("root"), F.min("head").alias("near"), F.min("part").alias("part"))
+    order = Window.partitionBy("part", "near").orderBy("doc_id")
+    placed = own.withColumn("block", F.xxhash64("part", "near", F.floor((F.row_number().over(order) - 1) / BLOCK)))
+    placed = durable(placed.select("doc_id", "root", "part", "block"), "placed")
+    meets = open_rows.select("key", "doc_id").join(placed, "doc_id").select("key", "block", "part").distinct()
+    other = meets.select("key", F.col("block").alias("other"), F.col("part").alias("other_part"))
+    apart = F.col("part").isNull() | F.col("other_part").isNull() | (F.col("part") != F.col("other_part"))
+    pairs = meets.join(other, "key").where((F.col("block") <= F.col("other")) & apart).select("block", "other").distinct()
+    sets = _full_sets(placed.select("doc_id"), docs)
+    blocks = placed.join(sets, "doc_id").join(signatures, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "root", "signature", "shingles")).alias("x"))
+    blocks = durable(blocks, "blocks")
+    both = pairs.join(blocks.withColumnRenamed("x", "xa"), "block").join(blocks.select(F.col("block").alias("other"), F.col("x").alias("xb")), "other")
+    found = durable(both.select("xa", "xb").mapInArrow(_between(floor, percent), "a bigint, b bigint"), "found")
+    forget(open_rows, placed, sets, blocks)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -201,8 +231,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Links join documents with 100 * intersection >= ``percent`` * union of their sets of distinct five-word shingles.
     Rows with equal sets form one class, held by its smallest doc_id. Classes that share a band key are candidates:
-    first each with the smallest of its bucket; then, after components, bucket mates that are still in different
-    components. b-bit estimates drop clear misses and full sets confirm the rest. component_id is the smallest doc_id
+    first each with the smallest of its bucket; then, after components, all bucket mates that are still in different
+    components, in blocks. b-bit estimates drop clear misses and full sets confirm the rest. component_id is the smallest doc_id
     reachable and ``kept`` marks the row that bears it.
 
     Null and empty texts have no shingles, link with nothing and are kept. Rows with a null doc_id have a null
@@ -224,10 +254,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     firsts = buckets.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = _confirmed(durable(_estimated(firsts, signatures, floor), "pairs"), docs, percent)
     labels = components(links)
-    pairs = _rest(buckets, signatures, labels, floor)
-    if pairs.head(1):
-        links = links.union(_confirmed(pairs, docs, percent))
-        labels = components(links)
+    more = _rest(buckets, signatures, labels, docs, floor, percent)
+    if more.head(1):
+        labels = components(links.union(more))
     roots = classes.join(labels, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("root", "class_id").alias("root"))
     told = table.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
