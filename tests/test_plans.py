@@ -1,6 +1,7 @@
 """Sources, sinks, end-to-end programs and streams on small generated inputs."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -84,7 +85,7 @@ def test_dialogues_to_paired_views(spark, dialogues, tmp_path):
         assert round(len(x) / rate, 3) == r.duration_sec and r.noise_bank is None
     again = pipelines.dialogues_to_scenes(spark, dialogues, out)
     assert sorted((r.audio, r.duration_sec) for r in again.collect()) == sorted((r.audio, r.duration_sec) for r in rows)
-    labelled = pipelines.label_and_split(spark, manifest, str(tmp_path / "step3"), bias=True)
+    labelled = pipelines.label_and_split(spark, again, str(tmp_path / "step3"), bias=True)
     got = {r.id: r for r in labelled.collect()}
     assert len(got) == 12 and got["1_vhf_clear"].positive_entities == ["Aurora Star", "Knight Queen"] and got["1_vhf_clear"].phoneme_negative_entities == ["Arrow Star"]
     assert got["3_vhf_weak"].positive_entities == ["Pacific Vicky"] and got["3_vhf_weak"].reference_text == "PACIFIC-VICKY, channel 12."
@@ -117,7 +118,9 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for part in range(4):
         lines = [json.dumps({"series_id": s, "frame_idx": i, "rms_db": v}) for s, i, v in rows[part * 10 : part * 10 + 10]]
-        (tmp_path / "in" / f"{part}.json").write_text("\n".join(lines))
+        file = tmp_path / "in" / f"{part}.json"
+        file.write_text("\n".join(lines))
+        os.utime(file, (1_700_000_000 + part,) * 2)  # files come in the order of their times
     stream = live.read_rows(spark, str(tmp_path / "in"), "series_id string, frame_idx bigint, rms_db double", max_files=1)
     query = live.live_runs(stream, -40.0).writeStream.format("memory").queryName("runs").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
