@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections.abc import Iterator
@@ -47,27 +48,157 @@ def load_model(path: str = MODEL) -> dict:
     return {"pieces": pieces, "bytes": out, "byte_ids": byte_ids}
 
 
+_C1, _C2, _C3 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+_NONE = np.iinfo(np.int32).max
+#: Pairs of characters below this are looked up in a table of all of them.
+_LATIN = 512
+
+
 class Encoder:
-    """Encodes whole texts. No piece joins a word to the space after it, so units (spaces and a word) are encoded apart."""
+    """Encodes whole texts. No piece joins a word to the space after it, so units (spaces and a word) are encoded apart.
 
-    #: Units remembered by one task, and the longest that is remembered.
-    remembered, longest = 150_000, 64
+    A unit is cut by agenda processing: of the candidate merges the best-ranked, leftmost one comes first; it is skipped
+    for good if its keyed hash falls below the dropout, and a merge makes new candidates with its neighbours. Units of up
+    to ``short`` characters are worked through together, one agenda step of each at a time, in arrays; longer ones one by
+    one with a heap. Both give the same pieces.
+    """
+
+    #: Units remembered by one task, the longest that is remembered, and the longest that is worked through in arrays.
+    remembered, longest, short, rows = 250_000, 64, 32, 4096
     _UNIT = re.compile(r" *[^ \n]+| +|\n")
+    _MARKS = "0123456789"[:STREAMS]
 
     def __init__(self, model: dict, dropout: float, seed: int):
         self.pieces, self.bytes, self.byte_ids = model["pieces"], model["bytes"], model["byte_ids"]
         self.limit, self.seed = int(dropout * (1 << 53)), seed
         self.streams = STREAMS if dropout > 0 else 1
-        self.known: dict[str, list] = {}
+        #: The ids, as bytes, of a unit with its stream's digit behind.
+        self.known: dict[str, bytes] = {}
+        self._tables()
+
+    def _tables(self) -> None:
+        """Symbols are piece ids, or a number beyond them for a character outside the vocabulary; pairs are sorted by both symbols."""
+        ranks = sorted({r for r, _ in self.pieces.values()})
+        place = {r: i for i, r in enumerate(ranks)}
+        self.symbol = np.full(0x110000, -1, np.int32)
+        for piece, (_, i) in self.pieces.items():
+            if len(piece) == 1:
+                self.symbol[ord(" " if piece == SPACE else piece)] = i
+        keys, rank, merged = [], [], []
+        for piece, (r, i) in self.pieces.items():
+            for cut in range(1, len(piece)):
+                left, right = self.pieces.get(piece[:cut]), self.pieces.get(piece[cut:])
+                if left and right:
+                    keys.append(left[1] << 32 | right[1])
+                    rank.append(place[r])
+                    merged.append(i)
+        order = np.argsort(np.array(keys, np.int64))
+        self.pair_keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.pair_rank, self.pair_piece = (np.append(np.array(x, np.int32)[order], np.int32(_NONE)) for x in (rank, merged))
+
+        left, right = np.divmod(np.arange(_LATIN * _LATIN), _LATIN)
+        self.latin_rank, self.latin_piece = self._pairs(self.symbol[left], self.symbol[right])
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (or _NONE) and piece of the pairs of symbols; -1 and unknown characters pair with nothing."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pair_keys, keys)
+        at = np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == keys), at, len(self.pair_keys) - 1)
+        return self.pair_rank[at], self.pair_piece[at]
+
+    def _base(self, unit: str, stream: int) -> int:
+        """The key of a unit and its stream from which the hash of each candidate is made."""
+        h = 0
+        for c in unit:
+            h = (h * _C1 + ord(c) + 1) & _MASK
+        return int(mix64(np.array([h + self._salt(stream) & _MASK], np.uint64))[0])
+
+    def _salt(self, stream: int) -> int:
+        return (self.seed * _C2 + stream * _C3) & _MASK
+
+    def _bases(self, codes: np.ndarray, lengths: np.ndarray, streams: np.ndarray) -> np.ndarray:
+        """``_base`` of many units."""
+        h = np.zeros(len(codes), np.uint64)
+        for i in range(codes.shape[1] - 1):
+            h = np.where(i < lengths, h * np.uint64(_C1) + codes[:, i].astype(np.uint64) + np.uint64(1), h)
+        return mix64(h + np.array([self._salt(s) for s in range(self.streams)], np.uint64)[streams])
+
+    def together(self, jobs: list[tuple[str, int]]) -> list[bytes]:
+        """The ids, as bytes, of short units under their streams."""
+        out: list = [None] * len(jobs)
+        order = np.argsort(np.fromiter(map(len, [u for u, _ in jobs]), np.int64, len(jobs)), kind="stable").tolist()
+        for one in range(0, len(order), self.rows):
+            part = order[one : one + self.rows]
+            for j, ids in zip(part, self._chunk([jobs[j] for j in part]), strict=True):
+                out[j] = ids
+        return out
+
+    def _chunk(self, jobs: list[tuple[str, int]]) -> list[bytes]:
+        rows = len(jobs)
+        lengths = np.array([len(u) for u, _ in jobs])
+        width = int(lengths.max()) + 1
+        codes = np.frombuffer("".join([u.ljust(width, "\0") for u, _ in jobs]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width)
+        inside = np.arange(width) < lengths[:, None]
+        known = self.symbol[codes]
+        # unknown characters are numbered down from -2; -1 is no symbol: the end of a row or the right part of a merge
+        final = np.where(inside, np.where(known < 0, -2 - codes.astype(np.int32), known), -1)
+        rank = np.full((rows, width), _NONE, np.int32)
+        piece = np.zeros((rows, width), np.int32)
+        if int(codes.max()) < _LATIN:
+            first = codes[:, :-1].astype(np.int64) * _LATIN + codes[:, 1:]
+            rank[:, :-1], piece[:, :-1] = self.latin_rank[first], self.latin_piece[first]
+        else:
+            rank[:, :-1], piece[:, :-1] = self._pairs(final[:, :-1], final[:, 1:])
+        after = np.tile(np.arange(1, width + 1), (rows, 1))
+        before = np.tile(np.arange(-1, width - 1), (rows, 1))
+        bases = self._bases(codes, lengths, np.array([s for _, s in jobs])) if self.limit else None
+        live = np.arange(rows)
+        while len(live):
+            at = rank[live].argmin(axis=1)
+            going = rank[live, at] != _NONE
+            live, at = live[going], at[going]
+            new = piece[live, at]
+            if self.limit:
+                z = (bases[live] ^ (at.astype(np.uint64) * np.uint64(_C1) + new.astype(np.uint64) * np.uint64(_C2))) * np.uint64(_C3)
+                skip = (z >> np.uint64(11)) < np.uint64(self.limit)
+                rank[live[skip], at[skip]] = _NONE
+                row, i, new = live[~skip], at[~skip], new[~skip]
+            else:
+                row, i = live, at
+            j = after[row, i]
+            k = after[row, j]
+            final[row, i], final[row, j] = new, -1
+            rank[row, j] = _NONE
+            after[row, i] = k
+            # a row's last column is never a symbol, so it can stand for what lies beyond
+            k = np.minimum(k, width - 1)
+            before[row, k] = i
+            rank[row, i], piece[row, i] = self._pairs(new, final[row, k])
+            h = before[row, i]
+            row, h, new = row[h >= 0], h[h >= 0], new[h >= 0]
+            rank[row, h], piece[row, h] = self._pairs(final[row, h], new)
+        raw = np.flatnonzero((final < -1).any(axis=1))
+        ends = 4 * np.cumsum((final != -1).sum(axis=1))
+        flat = final[final != -1].tobytes()
+        out = [flat[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for i in raw.tolist():
+            out[i] = self._with_bytes(final[i][final[i] != -1].tolist())
+        return out
+
+    def _with_bytes(self, row: list[int]) -> bytes:
+        out: list[int] = []
+        for sym in row:
+            out += [sym] if sym >= 0 else [self.byte_ids[b] for b in chr(-2 - sym).encode("utf-8", "replace")]
+        return np.array(out, np.int32).tobytes()
 
     def unit(self, unit: str, stream: int) -> tuple[int, ...]:
-        """Agenda processing: the best-ranked, leftmost candidate first; one whose keyed hash falls below p is skipped."""
+        """The pieces of one unit of any length, by a heap."""
         pieces, limit = self.pieces, self.limit
+        # a literal mark is an empty part: never merged, written as bytes
         parts: list[str | None] = [SPACE if c == " " else "" if c == SPACE else c for c in unit]
-        literal = SPACE in unit  # a literal mark is an empty part: never merged, written as bytes
         n = len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        base = xxhash.xxh64_intdigest(unit.encode("utf-8", "replace"), (self.seed * 0x9E3779B1 + stream) & _MASK) if limit else 0
+        base = self._base(unit, stream) if limit else 0
         agenda = []
         for i in range(n - 1):
             if parts[i] and parts[i + 1] and (hit := pieces.get(parts[i] + parts[i + 1])):
@@ -78,7 +209,7 @@ class Encoder:
             left, right = parts[i], parts[j]
             if left is None or right is None or after[i] != j or len(left) + len(right) != size:
                 continue
-            if limit and (((base ^ (i * 0xD6E8FEB86659FD93 + piece * 0xA0761D6478BD642F)) * 0xE7037ED1A0B428DB & _MASK) >> 11) < limit:
+            if limit and (((base ^ ((i * _C1 + piece * _C2) & _MASK)) * _C3 & _MASK) >> 11) < limit:
                 continue
             parts[i] = left = left + right
             parts[j] = None
@@ -97,39 +228,35 @@ class Encoder:
             if part and (hit := pieces.get(part)):
                 out.append(hit[1])
             else:
-                raw = SPACE if literal and part == "" else part
-                out += [self.byte_ids[b] for b in raw.encode("utf-8", "replace")]
+                out += [self.byte_ids[b] for b in (part or SPACE).encode("utf-8", "replace")]
         return tuple(out)
 
-    def encode(self, text: str, key: int) -> list[int]:
-        """Token ids of ``text``; ``key`` (of the document) and the place of a unit choose its dropout stream."""
-        if not text:
-            return []
-        units = self._UNIT.findall(" " + text)
-        if self.streams > 1:
-            places = np.arange(len(units), dtype=np.uint64) + np.uint64(key)
-            streams = (mix64(places) % np.uint64(self.streams)).tolist()
-        else:
-            streams = [0] * len(units)
-        known, ids = self.known, []
-        for unit, stream in zip(units, streams, strict=True):
-            row = known.get(unit)
-            if row is None:
-                if len(unit) > self.longest:
-                    ids += self.unit(unit, stream)
-                    continue
-                if len(known) >= self.remembered:
-                    known.clear()
-                row = known[unit] = [None] * self.streams
-            found = row[stream]
-            if found is None:
-                found = row[stream] = self.unit(unit, stream)
-            ids += found
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """Token ids of each text; its key and the place of a unit choose the dropout stream of the unit."""
+        known = self.known
+        if len(known) >= self.remembered:
+            known.clear()
+        docs, missing, long = [], set(), {}
+        for text, key in zip(texts, keys, strict=True):
+            units = self._UNIT.findall(" " + text) if text else []
+            if self.streams > 1:
+                streams = (mix64(np.arange(len(units), dtype=np.uint64) + np.uint64(key)) % np.uint64(self.streams)).tolist()
+                units = [u + self._MARKS[s] for u, s in zip(units, streams, strict=True)]
+            else:
+                units = [u + "0" for u in units]
+            docs.append(units)
+            missing |= set(units).difference(known)
+        jobs = [u for u in missing if len(u) <= self.short]
+        known.update(zip(jobs, self.together([(u[:-1], int(u[-1])) for u in jobs]), strict=True))
+        for u in missing:
+            if len(u) > self.short:
+                (known if len(u) <= self.longest else long)[u] = np.array(self.unit(u[:-1], int(u[-1])), np.int32).tobytes()
+        find = known.__getitem__ if not long else lambda u: known[u] if u in known else long[u]
+        return [np.frombuffer(b"".join(map(find, units)), np.int32) for units in docs]
+
+    def decode(self, ids: np.ndarray) -> str:
         """The text: pieces with marks as spaces and raw bytes, without the space that encoding put first."""
-        raw = b"".join(map(self.bytes.__getitem__, ids))
+        raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
@@ -150,15 +277,15 @@ def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 7, model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, dropout, seed)
+        gc.freeze()  # the tables live as long as the task; collections need not walk them
         for batch in batches:
             columns = dict(zip(names, batch.columns, strict=True))
             texts = columns["text"].to_pylist()
             keys = [xxhash.xxh64_intdigest(str(i), seed & _MASK) for i in columns["doc_id"].to_pylist()]
             flat, ends, lossless = [], [0], []
-            for text, key in zip(texts, keys, strict=True):
-                ids = encoder.encode(text or "", key)
+            for text, ids in zip(texts, encoder.encode_all([t or "" for t in texts], keys), strict=True):
                 lossless.append(encoder.decode(ids) == (text or ""))
-                flat.append(np.array(ids, np.int32))
+                flat.append(ids)
                 ends.append(ends[-1] + len(ids))
             offsets = pa.array([None if t is None else e for t, e in zip([*texts, ""], ends, strict=True)], pa.int32())
             columns["token_ids"] = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
