@@ -26,8 +26,10 @@ class Trie:
     most_nodes, most_words, longest = 400_000, 400_000, 1_000
 
     def __init__(self, logs: dict[str, float], byte_log: float):
-        self.logs, self.byte_log = logs, byte_log
-        self.widest = max(map(len, logs), default=1)
+        self.byte_log = byte_log
+        # every suffix of a piece, with the piece's log probability if it is one itself
+        self.suffixes: dict[str, float | None] = {p[i:]: None for p in logs for i in range(1, len(p))}
+        self.suffixes |= logs
         self.clear()
 
     def clear(self) -> None:
@@ -39,10 +41,15 @@ class Trie:
         """Best score and count of text[:end], given those of all shorter prefixes; ties keep the shorter last piece."""
         raw = len(text[end - 1].encode("utf-8", "replace"))
         best, count = scores[end - 1] + raw * self.byte_log, counts[end - 1] + raw
-        for width in range(1, min(self.widest, end) + 1):
-            log = self.logs.get(text[end - width : end])
-            if log is not None and (score := scores[end - width] + log) > best:
-                best, count = score, counts[end - width] + 1
+        suffixes = self.suffixes
+        for start in range(end - 1, -1, -1):
+            log = suffixes.get(text[start:end], 0)
+            if log is None:
+                continue
+            if log == 0:
+                break  # no piece ends like this, so no longer one does
+            if (score := scores[start] + log) > best:
+                best, count = score, counts[start] + 1
         return best, count
 
     def tokens(self, word: bytes) -> int:
