@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,22 +56,60 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+#: Tasks that write a durable table for each core, and rows that are worth a task where the count is known.
+TASKS_PER_CORE, TASK_ROWS = 4, 200_000
+
+
+def durable(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors.
 
-    The table is removed when the interpreter ends, or earlier by ``forget``.
+    Narrow coalescing keeps the files to a few for each core, and to one for every TASK_ROWS of ``rows`` if that is
+    given. The table is removed when the interpreter ends, or earlier by ``forget``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quayline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    df.coalesce(tasks if rows is None else max(1, min(tasks, rows // TASK_ROWS))).write.parquet(path)
     _made.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._quayline_path = path
     return back
 
 
+def held(df: DataFrame, keep: list[DataFrame]) -> DataFrame:
+    """``df`` kept on the executors' disks until ``release(keep)``; what a lost executor held is computed again."""
+    keep.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def cut(df: DataFrame, rows: int) -> DataFrame:
+    """A reliable checkpoint of one round of an iteration over about ``rows`` rows, in as few files as they fill."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(spark))
+    back = df.coalesce(max(1, min(TASKS_PER_CORE * context.defaultParallelism, rows // TASK_ROWS))).checkpoint()
+    back._quayline_path = back._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    _made.append((spark, back._quayline_path))
+    return back
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``cut`` for a result whose rows are not known: computed once at full width, then checkpointed."""
+    keep: list[DataFrame] = []
+    back = cut(held(df, keep), df.count())
+    release(keep)
+    return back
+
+
+def release(keep: list[DataFrame]) -> None:
+    for df in keep:
+        df.unpersist()
+    keep.clear()
+
+
 def forget(*tables: DataFrame) -> None:
-    """Delete durable tables that no later plan reads."""
+    """Delete durable tables and cuts that no later plan reads."""
     for table in tables:
         path = table._quayline_path
         _remove(table.sparkSession, path)
@@ -79,7 +117,7 @@ def forget(*tables: DataFrame) -> None:
 
 
 def broadcast_if(df: DataFrame, row_bytes: int, items: str | None = None, limit_bytes: int = 24 << 20) -> DataFrame:
-    """Hint a broadcast of the durable table ``df`` only if its measured size fits ``limit_bytes``.
+    """Hint a broadcast of the durable or held table ``df`` only if its measured size fits ``limit_bytes``.
 
     Size: rows times ``row_bytes``, plus as much for each element of the array column ``items``.
     Otherwise the frame comes back without a hint and the join shuffles.

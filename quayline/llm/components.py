@@ -1,11 +1,11 @@
-"""Connected components by alternating large-star and small-star steps, each one a durable table."""
+"""Connected components by alternating large-star and small-star steps, each one checkpointed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import durable, forget
+from quayline.llm.common import cut, forget, settled
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -32,14 +32,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b) but the roots; the root is the smallest node it reaches.
 
     Self-links and repeats are harmless; no links give no rows. Work per round is linear in the links, hot nodes
-    only join with their one minimum, and every round is cut off as a durable table.
+    only join with their one minimum, and every round is checkpointed.
     """
-    edges = durable(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = settled(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(edges)
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        grown = durable(_small(_large(edges)), "stars")
+        grown = cut(_small(_large(edges)), mark[0])
         new = _mark(grown)
         forget(edges)
         edges = grown

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import WordKeys, broadcast_if, durable, forget, mix64, rolling, signed, small_batches
+from quayline.llm.common import WordKeys, broadcast_if, durable, held, mix64, release, rolling, settled, signed, small_batches
 from quayline.llm.components import components
 
 WIDTH = 5
@@ -142,22 +142,19 @@ def _confirm(percent: int):
     return run
 
 
-def _full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id and the full shingle set of the documents in the durable table ``ids``; their texts are read again."""
+def _full_sets(ids: DataFrame, docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
+    """doc_id and the full shingle set of the documents in the held table ``ids``; their texts are read again."""
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if(ids, 16), "doc_id", "left_semi")
-    return durable(texts.mapInArrow(_sets, "doc_id bigint, shingles binary"), "sets")
+    return held(texts.mapInArrow(_sets, "doc_id bigint, shingles binary"), keep)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, keep: list[DataFrame]) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
-    wanted = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    full = _full_sets(wanted, docs)
-    forget(wanted)
+    wanted = settled(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    full = _full_sets(wanted, docs, keep)
     joined = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
     joined = joined.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
-    found = durable(joined.mapInArrow(_confirm(percent), "a bigint, b bigint"), "confirmed")
-    forget(full)
-    return found
+    return settled(joined.mapInArrow(_confirm(percent), "a bigint, b bigint"))
 
 
 def _between(floor: float, percent: int):
@@ -196,7 +193,7 @@ def _between(floor: float, percent: int):
     return run
 
 
-def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: DataFrame, floor: float, percent: int) -> DataFrame:
+def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: DataFrame, floor: float, percent: int, keep: list[DataFrame]) -> DataFrame:
     """Links that the first pass left: between bucket mates in different components.
 
     Only buckets of several components matter. Their documents are put in blocks of BLOCK by component and the smallest
@@ -208,22 +205,20 @@ def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: Da
     # part: the component of a document that is linked at all
     marked = buckets.join(known, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "head", F.coalesce("root", "doc_id").alias("root"), F.col("root").alias("part"))
     several = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_rows = durable(marked.join(several, "key", "left_semi"), "open")
+    open_rows = settled(marked.join(several, "key", "left_semi"))
     own = open_rows.groupBy("doc_id").agg(F.min("root").alias("root"), F.min("head").alias("near"), F.min("part").alias("part"))
     order = Window.partitionBy("part", "near").orderBy("doc_id")
     placed = own.withColumn("block", F.xxhash64("part", "near", F.floor((F.row_number().over(order) - 1) / BLOCK)))
-    placed = durable(placed.select("doc_id", "root", "part", "block"), "placed")
+    placed = settled(placed.select("doc_id", "root", "part", "block"))
     meets = open_rows.select("key", "doc_id").join(placed, "doc_id").select("key", "block", "part").distinct()
     other = meets.select("key", F.col("block").alias("other"), F.col("part").alias("other_part"))
     apart = F.col("part").isNull() | F.col("other_part").isNull() | (F.col("part") != F.col("other_part"))
     pairs = meets.join(other, "key").where((F.col("block") <= F.col("other")) & apart).select("block", "other").distinct()
-    sets = _full_sets(placed.select("doc_id"), docs)
+    sets = _full_sets(placed.select("doc_id"), docs, keep)
     blocks = placed.join(sets, "doc_id").join(signatures, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "root", "signature", "shingles")).alias("x"))
-    blocks = durable(blocks, "blocks")
+    blocks = held(blocks, keep)
     both = pairs.join(blocks.withColumnRenamed("x", "xa"), "block").join(blocks.select(F.col("block").alias("other"), F.col("x").alias("xb")), "other")
-    found = durable(both.select("xa", "xb").mapInArrow(_between(floor, percent), "a bigint, b bigint"), "found")
-    forget(open_rows, placed, sets, blocks)
-    return found
+    return settled(both.select("xa", "xb").mapInArrow(_between(floor, percent), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -248,15 +243,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     # rows that repeat a document are alike: one of them stands for it
     spread = heads.select("doc_id", F.explode("bands").alias("key"))
     least = spread.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("key", "head")
-    buckets = durable(spread.join(least, "key").distinct(), "buckets")
+    keep: list[DataFrame] = []
+    buckets = settled(spread.join(least, "key").distinct())
     members = buckets.select("doc_id").distinct()
-    signatures = durable(heads.select("doc_id", "signature").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "signatures")
+    signatures = settled(heads.select("doc_id", "signature").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     firsts = buckets.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _confirmed(durable(_estimated(firsts, signatures, floor), "pairs"), docs, percent)
+    links = _confirmed(settled(_estimated(firsts, signatures, floor)), docs, percent, keep)
     labels = components(links)
-    more = _rest(buckets, signatures, labels, docs, floor, percent)
+    more = _rest(buckets, signatures, labels, docs, floor, percent, keep)
     if more.head(1):
         labels = components(links.union(more))
+    release(keep)
     roots = classes.join(labels, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("root", "class_id").alias("root"))
     told = table.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
@@ -269,7 +266,7 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     Of rows that repeat a kept doc_id the first by content stays.
     """
     verdict = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL")
-    kept = durable(verdict.groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
+    kept = settled(verdict.groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")))
 
     def those(condition: str) -> DataFrame:
         return docs.join(broadcast_if(kept.where(condition), 24), docs["doc_id"] == F.col("__kept"), "left_semi")
