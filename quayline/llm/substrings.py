@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import WordKeys, broadcast_if, durable, forget, mix64, rolling, signed, small_batches
+from quayline.llm.common import WordKeys, broadcast_if, cut, forget, held, mix64, release, rolling, settled, signed, small_batches
 
 #: A node is an anchor k-mer: the least hash of SPREAD consecutive ones. With 2 * SPREAD + KMER <= 50 + 1 every
 #: window of 50 words holds two anchors that depend on its own words alone, so it holds a whole edge.
@@ -73,20 +73,20 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(names, pa.int64()), edges], names=["doc_id", "n_words", "name", "edges"])
 
 
-def compact(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def compact(links: DataFrame, most: int, most_rounds: int = 40) -> DataFrame:
     """(h, head, dist): the nonbranching path of each edge that has a predecessor in one, and its place from the head.
 
-    ``links`` (h, nxt) are distinct follower pairs of repeated edges. Where an edge has one follower and that one has
+    ``links`` (h, nxt) are ``most`` or fewer distinct follower pairs of repeated edges. Where an edge has one follower and that one has
     one forerunner the pair is joined; pointers to forerunners are doubled until all reach a head. On a ring the
     pointers never settle; they stop with the rounds, as paths only group edges for the verification.
     """
     out = links.groupBy("h").agg(F.count("*").alias("n"), F.min("nxt").alias("nxt")).where("n = 1 AND h != nxt").select("h", "nxt")
     into = links.groupBy("nxt").agg(F.count("*").alias("n")).where("n = 1").select("nxt")
-    at = durable(out.join(into, "nxt").select(F.col("nxt").alias("h"), F.col("h").alias("head"), F.lit(1).cast("long").alias("dist")), "path")
+    at = cut(out.join(into, "nxt").select(F.col("nxt").alias("h"), F.col("h").alias("head"), F.lit(1).cast("long").alias("dist")), most)
     rows = at.count()
     for _ in range(min(most_rounds, rows.bit_length())):
         far = at.select(F.col("h").alias("head"), F.col("head").alias("__head"), F.col("dist").alias("__dist"))
-        grown = durable(at.join(far, "head", "left").select("h", F.coalesce("__head", "head").alias("head"), (F.col("dist") + F.coalesce("__dist", F.lit(0))).alias("dist"), F.col("__head").isNotNull().alias("moved")), "path")
+        grown = cut(at.join(far, "head", "left").select("h", F.coalesce("__head", "head").alias("head"), (F.col("dist") + F.coalesce("__dist", F.lit(0))).alias("dist"), F.col("__head").isNotNull().alias("moved")), rows)
         forget(at)
         at = grown
         if not at.where("moved").head(1):
@@ -94,22 +94,21 @@ def compact(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     return at.select("h", "head", "dist")
 
 
-def _candidates(table: DataFrame) -> DataFrame:
+def _candidates(table: DataFrame, keep: list[DataFrame]) -> DataFrame:
     """doc_id, name and ranges (lo, hi) of words that hold all windows with a repeated edge, for rows of ``table``."""
     edges = table.select("doc_id", "name", F.posexplode("edges").alias("idx", "e")).select("doc_id", "name", "idx", "e.h", "e.lo", "e.hi")
-    many = durable(edges.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "repeated")
-    occurrences = durable(edges.join(broadcast_if(many, 16), "h", "left_semi"), "occurrences")
-    forget(many)
+    many = settled(edges.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
+    occurrences = held(edges.join(broadcast_if(many, 16), "h", "left_semi"), keep)
     along = Window.partitionBy("doc_id", "name").orderBy("idx")
     follow = occurrences.select("h", "idx", F.lead("h").over(along).alias("nxt"), F.lead("idx").over(along).alias("nidx"))
-    paths = compact(follow.where("nidx = idx + 1").select("h", "nxt").distinct())
+    paths = compact(follow.where("nidx = idx + 1").select("h", "nxt").distinct(), occurrences.count())
     placed = occurrences.join(paths, "h", "left").select("doc_id", "name", "idx", "lo", "hi", F.coalesce("head", "h").alias("head"), (F.col("idx") - F.coalesce("dist", F.lit(0))).alias("diagonal"))
     spans = placed.groupBy("doc_id", "name", "head", "diagonal").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # spans that touch make one range
     sofar = Window.partitionBy("doc_id", "name").orderBy("first", "last")
     broken = spans.withColumn("new", (F.col("first") > F.coalesce(F.max("last").over(sofar.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
     islands = broken.withColumn("island", F.sum("new").over(sofar)).groupBy("doc_id", "name", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return islands.where(F.col("hi") - F.col("lo") >= WINDOW).groupBy("doc_id", "name").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return settled(islands.where(F.col("hi") - F.col("lo") >= WINDOW).groupBy("doc_id", "name").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,18 +128,21 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(starts), doc, np.int64)), pa.array(np.full(len(starts), name, np.int64)), pa.array(starts.astype(np.int32))], names=["x", "doc_id", "name", "start"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, name and spans (start, end in words) of all words that a repeated window covers; cases as in ``dedup``."""
+def repeated_spans(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
+    """doc_id, name and spans (start, end in words) of all words that a repeated window covers; cases as in ``dedup``.
+
+    Tables that the result still reads are added to ``keep``, for the caller to release.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    table = durable(docs.where("doc_id IS NOT NULL").mapInArrow(_edges, "doc_id bigint, n_words bigint, name bigint, edges array<struct<h:bigint,lo:int,hi:int>>").where(f"n_words >= {WINDOW}"), "edges")
-    least = table.groupBy("name").agg(F.min("doc_id").alias("least"))
-    marked = table.select("doc_id", "name", "n_words").join(least, "name")
-    copies = marked.where("doc_id > least").select("doc_id", "name", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans"))
+    table = held(docs.where("doc_id IS NOT NULL").mapInArrow(_edges, "doc_id bigint, n_words bigint, name bigint, edges array<struct<h:bigint,lo:int,hi:int>>").where(f"n_words >= {WINDOW}"), keep)
+    slim = table.select("doc_id", "name", "n_words")
+    least = slim.groupBy("name").agg(F.min("doc_id").alias("least"))
+    copies = settled(slim.join(least, "name").where("doc_id > least").select("doc_id", "name", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans")))
     # a whole copy of a smaller document goes whole, and its windows are those of the smaller one
-    heads = table.join(least, "name").where("doc_id = least").drop("least", "n_words")
-    ranges = durable(_candidates(heads), "ranges")
+    heads = table.join(broadcast_if(copies.select("doc_id", "name"), 24), ["doc_id", "name"], "left_anti").drop("n_words")
+    ranges = _candidates(heads, keep)
     read = docs.join(broadcast_if(ranges, 24, "ranges"), "doc_id")
-    windows = durable(read.mapInArrow(_windows, "x bigint, doc_id bigint, name bigint, start int"), "windows")
+    windows = held(read.mapInArrow(_windows, "x bigint, doc_id bigint, name bigint, start int"), keep)
     first = windows.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("x", "a")
     hits = windows.join(first, "x").where("doc_id > a").select("doc_id", "name", "start").distinct()
     along = Window.partitionBy("doc_id", "name").orderBy("start")
@@ -182,7 +184,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     come out alike. An empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    own = repeated_spans(docs).select("doc_id", "name", F.explode("spans").alias("s")).select("doc_id", F.struct("name", "s.start", "s.end").alias("s"))
-    found = durable(own.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("found")), "found")
+    keep: list[DataFrame] = []
+    own = repeated_spans(docs, keep).select("doc_id", "name", F.explode("spans").alias("s")).select("doc_id", F.struct("name", "s.start", "s.end").alias("s"))
+    found = settled(own.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("found")))
+    release(keep)
     read = docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if(found, 24, "found"), "doc_id", "left")
     return read.mapInArrow(_keep, "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept_text string")

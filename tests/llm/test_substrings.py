@@ -59,5 +59,5 @@ def test_empty_table(spark):
 
 def test_paths_are_compacted(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 7), (8, 7), (5, 5)], "h long, nxt long")
-    got = {(r.h, r.head, r.dist) for r in substrings.compact(links).collect()}
+    got = {(r.h, r.head, r.dist) for r in substrings.compact(links, 6).collect()}
     assert got == {(2, 1, 1), (3, 1, 2), (4, 1, 3)}
