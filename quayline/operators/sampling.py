@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,10 @@ from quayline.operators.ranking import hash_rank
 
 SAMPLE_SEED = 20260830
 SPLIT_SEED = 20260701
+#: ``keyed``: salted hashes, alike at any scale. ``mersenne``: Python's generator, for the same members as a run on it.
+GENERATORS = ("keyed", "mersenne")
+#: Groups that a ``mersenne`` split may hold on the driver.
+MOST_SHUFFLED = 5_000_000
 SPLITS = ("train", "validation", "test")
 DISCOVERY_SHARDS, CONFIRMATION_SHARDS = (0, 1, 2, 3), (4, 5, 6, 7)
 
@@ -136,12 +141,23 @@ def heldout_test(
     return counterfactual_fields(top_by_hash(eligible, quota, seed, ident, profile, profiles), ident=ident)
 
 
-def split_groups(df: DataFrame, group: str, seed: int = SPLIT_SEED, max_groups: int = 0, holdout_min: int = 0) -> DataFrame:
+def _shuffle_rank(pool: DataFrame, seed: int, n: int) -> DataFrame:
+    if n > MOST_SHUFFLED:
+        raise ValueError(f"{n} groups are too many to shuffle on the driver; use keyed ranks")
+    order = [r["group"] for r in pool.orderBy("group").collect()]
+    random.Random(seed).shuffle(order)
+    return pool.sparkSession.createDataFrame(list(zip(order, range(len(order)), strict=True)), "group bigint, rank bigint")
+
+
+def split_groups(df: DataFrame, group: str, seed: int = SPLIT_SEED, max_groups: int = 0, holdout_min: int = 0, generator: str = "keyed") -> DataFrame:
     """(group, split): 70, 15 and 15 in 100 of the distinct numeric groups, counts truncated, by the rank of a keyed hash.
 
     ``max_groups`` keeps only that many of the smallest groups. With ``holdout_min`` validation and test come only from
-    groups of at least that id, an error if there are too few, and all others go to train.
+    groups of at least that id, an error if there are too few, and all others go to train. With ``generator`` "mersenne"
+    the ranks come from one shuffle of the sorted groups on the driver, refused beyond MOST_SHUFFLED groups.
     """
+    if generator not in GENERATORS:
+        raise ValueError(f"unknown generator {generator}")
     groups = df.select(F.col(group).cast("bigint").alias("group")).where("group IS NOT NULL").distinct()
     if max_groups:
         groups = groups.orderBy("group").limit(max_groups)
@@ -155,7 +171,7 @@ def split_groups(df: DataFrame, group: str, seed: int = SPLIT_SEED, max_groups:
         edges = (0, validation, held)
     else:
         edges = (train, train + validation, n)
-    ranked = hash_rank(pool, digest(seed, F.lit("split"), "group"), "group")
+    ranked = hash_rank(pool, digest(seed, F.lit("split"), "group"), "group") if generator == "keyed" else _shuffle_rank(pool, seed, n)
     first, second, last = edges
     split = F.when((F.col("rank") >= first) & (F.col("rank") < second), "validation").when((F.col("rank") >= second) & (F.col("rank") < last), "test").otherwise("train")
     named = ranked.select("group", split.alias("split"))

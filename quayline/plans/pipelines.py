@@ -96,15 +96,34 @@ def dialogues_to_scenes(
     return manifest
 
 
+def utterances_to_scenes(
+    spark: SparkSession, utterances: str = "outputs/vhf_scene/utterances_256.csv", output_dir: str = "outputs/vhf_scene", clean_dir: str = "", max_utterances: int = 256, batch_size: int = 8,
+    profiles: str = "all", seed: int = sampling.SPLIT_SEED, bank: list[tuple] | None = None, noise_bank: str = "", model: Callable = tone_batch,
+) -> DataFrame:
+    """The same from an utterance CSV: clean and scene audio and the manifest; returns the manifest."""
+    clean_dir = clean_dir or f"{output_dir}/clean"
+    clean = clean_audio(readers.load_utterances(spark, utterances, max_utterances), clean_dir, model, batch_size)
+    sinks.write_jsonl(clean, f"{output_dir}/clean.jsonl")
+    clean = spark.read.schema(clean.schema).json(f"{output_dir}/clean.jsonl")
+    made = scenes(clean, clean_dir, output_dir, profiles, seed, bank, noise_bank)
+    sinks.write_jsonl(made, f"{output_dir}/manifest.jsonl")
+    return spark.read.schema(made.schema).json(f"{output_dir}/manifest.jsonl")
+
+
+def eta_seconds(done: int, total: int, elapsed: float) -> float | None:
+    """The time left at the pace so far; unknown before the first item."""
+    return elapsed * (total - done) / done if done > 0 else None
+
+
 def label_and_split(
     spark: SparkSession, manifest: DataFrame, output_dir: str, seed: int = sampling.SPLIT_SEED, split_key: str = "dialogue_id", max_groups: int = 0, holdout_min_group_id: int = 0,
-    bias: bool = False, bias_negative_count: int = labels.NEGATIVES, vhf_error_ratio: float = labels.ERROR_RATIO,
+    bias: bool = False, bias_negative_count: int = labels.NEGATIVES, vhf_error_ratio: float = labels.ERROR_RATIO, generator: str = "keyed",
 ) -> DataFrame:
     """Group split, labels, sorted manifest and splits, and a nested summary; returns the labelled rows."""
     if split_key not in ("utterance_id", "dialogue_id"):
         raise ValueError(f"unknown split key {split_key}")
-    splits = sampling.split_groups(manifest, split_key, seed, max_groups, holdout_min_group_id).persist()
-    rows = labels.labelled_rows(sampling.apply_split(manifest, splits, split_key), bias=bias, count=bias_negative_count, error_ratio=vhf_error_ratio, seed=seed)
+    splits = sampling.split_groups(manifest, split_key, seed, max_groups, holdout_min_group_id, generator).persist()
+    rows = labels.labelled_rows(sampling.apply_split(manifest, splits, split_key), bias=bias, count=bias_negative_count, error_ratio=vhf_error_ratio, seed=seed, generator=generator)
     in_order = rows.orderBy(F.col("utterance_id").cast("bigint"), "profile")
     sinks.write_jsonl(in_order, f"{output_dir}/manifest.jsonl")
     back = spark.read.schema(rows.schema).json(f"{output_dir}/manifest.jsonl")

@@ -93,6 +93,14 @@ def test_dialogues_to_paired_views(spark, dialogues, tmp_path):
     assert sorted((r.view, r.n_rows) for r in told) == [("konger_prompt", 12), ("no_prompt", 12), ("true_prompt", 12)]
 
 
+def test_utterances_to_scenes_and_pace(spark, dialogues, tmp_path):
+    rows = reshape.flatten_dialogues(readers.load_dialogues(spark, dialogues))
+    sinks.write_utterances(rows, str(tmp_path / "u.csv"))
+    made = pipelines.utterances_to_scenes(spark, str(tmp_path / "u.csv"), str(tmp_path / "out"), max_utterances=2, profiles="vhf_weak,vhf_clear")
+    assert sorted((r.utterance_id, r.profile) for r in made.collect()) == [("1", "vhf_clear"), ("1", "vhf_weak"), ("2", "vhf_clear"), ("2", "vhf_weak")]
+    assert pipelines.eta_seconds(0, 10, 5.0) is None and pipelines.eta_seconds(2, 10, 5.0) == 20.0
+
+
 def test_noise_bank(spark, tmp_path):
     rng = np.random.default_rng(1)
     rate, root = 8000, tmp_path / "src"

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,17 @@ def test_split_options(spark):
 def test_remainder(spark):
     df = spark.range(10).withColumn("id", F.col("id").cast("string"))
     assert sorted(r.id for r in sampling.remainder(df, df.where("id < 3"), df.where("id > 7")).collect()) == ["3", "4", "5", "6", "7"]
+
+
+@pytest.mark.parametrize("holdout", [0, 40])
+def test_mersenne_split_is_one_shuffle_of_the_sorted_groups(spark, holdout):
+    got = {r.group: r.split for r in sampling.split_groups(spark.range(100).withColumnRenamed("id", "g"), "g", seed=9, holdout_min=holdout, generator="mersenne").collect()}
+    order = [g for g in range(100) if g >= holdout]
+    random.Random(9).shuffle(order)
+    if holdout:
+        validation, test = order[:15], order[15:30]
+    else:
+        validation, test = order[70:85], order[85:]
+    assert {g for g, s in got.items() if s == "validation"} == set(validation) and {g for g, s in got.items() if s == "test"} == set(test) and len(got) == 100
+    with pytest.raises(ValueError):
+        sampling.split_groups(spark.range(9), "id", generator="other")
