@@ -55,12 +55,12 @@ def _top(source: str, quota: int) -> str:
     return f"(SELECT * FROM (SELECT *, {rank} AS n FROM {source} WHERE profile IN {PRIORITIES}) WHERE n <= {quota})"
 
 
-_DISCOVERY = f"{_MANIFEST}, pool AS (SELECT * FROM manifest WHERE id IN (SELECT id FROM families)), d_in AS (SELECT * FROM pool WHERE shard BETWEEN 0 AND 3), discovery AS {_top('d_in', 8)}"
+_DISCOVERY = f"{_MANIFEST}, pool AS (SELECT * FROM manifest WHERE id IN (SELECT id FROM families)), d_in AS (SELECT * FROM pool WHERE shard BETWEEN 0 AND 3), discovery AS {_top('d_in', 4)}"
 _CONFIRMATION = f"""{_DISCOVERY}, c_in AS (SELECT * FROM pool p WHERE shard BETWEEN 4 AND 7
   AND NOT EXISTS (SELECT 1 FROM discovery d WHERE d.dialogue = p.dialogue) AND NOT EXISTS (SELECT 1 FROM discovery d WHERE d.id = p.id)
   AND id NOT IN (SELECT id FROM families WHERE entity IN (SELECT entity FROM families WHERE id IN (SELECT id FROM discovery)))),
-confirmation AS {_top('c_in', 8)}"""
-_TEST = f"""{_MANIFEST}, train AS {_top('manifest', 20)}, eligible AS (SELECT * FROM manifest m WHERE id IN (SELECT id FROM families)
+confirmation AS {_top('c_in', 4)}"""
+_TEST = f"""{_MANIFEST}, train AS {_top('manifest', 2)}, eligible AS (SELECT * FROM manifest m WHERE id IN (SELECT id FROM families)
   AND NOT EXISTS (SELECT 1 FROM train t WHERE t.dialogue = m.dialogue) AND NOT EXISTS (SELECT 1 FROM train t WHERE t.id = m.id)
   AND id NOT IN (SELECT id FROM families WHERE entity IN (SELECT entity FROM families WHERE id IN (SELECT id FROM train)))),
 test AS {_top('eligible', 10)}"""
