@@ -152,6 +152,11 @@ def load_bank(items: DataFrame) -> list[tuple]:
     return [(r["category"], _array(r["samples"]), r["sample_rate"]) for r in rows]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over some tasks for each core: kernels cost far more than the shuffle of their rows."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _each(df: DataFrame, samples: str, rate: str, seed: str, bank: list[tuple] | None, step: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(bank)
     fields = [f for f in FIELDS if f != "profile"]
@@ -165,7 +170,8 @@ def _each(df: DataFrame, samples: str, rate: str, seed: str, bank: list[tuple] |
                 out.append(getattr(channel, step)(_array(row[samples])))
             yield batch.assign(**{samples: out})
 
-    return df.withColumn(samples, F.col(samples).cast("array<float>")).mapInPandas(run, df.withColumn(samples, F.col(samples).cast("array<float>")).schema)
+    rows = spread(df.withColumn(samples, F.col(samples).cast("array<float>")))
+    return rows.mapInPandas(run, rows.schema)
 
 
 def augment(df: DataFrame, samples: str = "samples", rate: str = "sample_rate", seed: str = "scene_seed", bank: list[tuple] | None = None) -> DataFrame:

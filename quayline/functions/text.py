@@ -149,12 +149,15 @@ def matching(text: Column, names: Column) -> Column:
 def phoneme_negatives(names: Column, positives: Column, count: int) -> Column:
     """Up to ``count`` other names that sound most like any positive; descending by (score, key, name)."""
     letters = F.transform(positives, lambda p: key_letters(phoneme_key(p)))
+    # each key is made once, then its letters once
+    keyed = F.transform(without(names, positives), lambda n: F.struct(n.alias("name"), phoneme_key(n).alias("key")))
+    lettered = F.transform(keyed, lambda s: F.struct(s["name"].alias("name"), s["key"].alias("key"), key_letters(s["key"]).alias("letters")))
 
-    def scored(n: Column) -> Column:
-        shared = F.transform(letters, lambda own: F.size(F.array_intersect(key_letters(phoneme_key(n)), own)))
-        return F.struct(F.coalesce(F.array_max(shared), F.lit(0)).alias("score"), phoneme_key(n).alias("key"), n.alias("name"))
+    def scored(s: Column) -> Column:
+        shared = F.transform(letters, lambda own: F.size(F.array_intersect(s["letters"], own)))
+        return F.struct(F.coalesce(F.array_max(shared), F.lit(0)).alias("score"), s["key"].alias("key"), s["name"].alias("name"))
 
-    ranked = F.sort_array(F.transform(without(names, positives), scored), asc=False)
+    ranked = F.sort_array(F.transform(lettered, scored), asc=False)
     return F.transform(F.slice(ranked, 1, count), lambda s: s["name"])
 
 

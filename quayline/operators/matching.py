@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayline.functions.text import normalize_text
 
 
-def roster_matches(docs: DataFrame, roster: DataFrame, ident: str, text: str = "text", name: str = "name", most_words: int = 8) -> DataFrame:
+def roster_matches(docs: DataFrame, roster: DataFrame, ident: str, text: str = "text", name: str = "name") -> DataFrame:
     """(ident, name) of every name that stands in a document's normalized text.
 
-    Normalized texts become runs of as many words as names have (a name of more than ``most_words`` is an error), which
-    meet the normalized names in an equi-join; the distinct runs of a document are what is shuffled.
+    The distinct words of a document meet the first words of the normalized names in an equi-join; only these candidates
+    are then looked for in the text. Rows with a null ``ident`` match nothing.
     """
-    names = roster.select(name, normalize_text(name).alias("__key")).where("__key != ''").withColumn("__n", F.size(F.split("__key", " ")))
-    widths = [r["__n"] for r in names.select("__n").distinct().limit(most_words + 1).collect()]
-    if any(w > most_words for w in widths):
-        raise ValueError(f"a name has more than {most_words} words")
-    words = docs.select(F.col(ident), F.split(normalize_text(text), " ").alias("__w"))
-
-    def runs_of(width: int) -> Column:
-        return F.transform(F.filter("__w", lambda _, i: i + width <= F.size("__w")), lambda _, i: F.array_join(F.slice("__w", i + 1, F.lit(width)), " "))
-
-    runs = [runs_of(w) for w in widths]
-    if not runs:
-        return docs.select(ident).limit(0).join(names.select(name).limit(0))
-    grams = words.select(ident, F.explode(F.array_distinct(F.concat(*runs))).alias("__key"))
-    return grams.join(names, "__key").select(ident, name).distinct()
+    names = roster.select(name, normalize_text(name).alias("__key")).where("__key != ''").withColumn("__first", F.split("__key", " ")[0])
+    plain = docs.select(ident, normalize_text(text).alias("__text"))
+    words = plain.select(ident, F.explode(F.array_distinct(F.split("__text", " "))).alias("__first"))
+    candidates = words.join(names, "__first").select(ident, name, "__key").distinct()
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return plain.join(candidates, ident).where(F.contains(padded("__text"), padded("__key"))).select(ident, name).distinct()

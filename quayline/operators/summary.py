@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayline.operators.sampling import SPLITS
@@ -34,23 +34,22 @@ def split_overlaps(df: DataFrame, group: str, split: str = "split") -> DataFrame
     return by_group.agg(*[F.count_if(both).alias(name) for name, both in pairs.items()])
 
 
-def _filled(c: str) -> Column:
-    return F.count_if(F.size(c) > 0)
-
-
 def split_summary(rows: DataFrame, splits: DataFrame, split_key: str = "dialogue_id", has_bias: bool = True) -> DataFrame:
     """One row for each split and ``all``: groups (of the split map), dialogues, utterances, records, conditional counts,
     and maps of profiles, bias types, their ratios and error types. Small counters are folded into maps after grouping."""
     either = [F.col("split"), F.lit("all")]
-    wide = rows.withColumn("split", F.explode(F.array(*either)))
-    base = wide.groupBy("split").agg(
-        F.countDistinct("dialogue_id").alias("dialogues"), F.countDistinct("utterance_id").alias("utterances"), F.count("*").alias("records"),
-        _filled("positive_entities").alias("entity_positive_rows"), _filled("candidate_entities").alias("entity_candidate_rows"), _filled("phoneme_negative_entities").alias("phoneme_negative_rows"),
-    )
+    filled = {"entity_positive_rows": "positive_entities", "entity_candidate_rows": "candidate_entities", "phoneme_negative_rows": "phoneme_negative_entities"}
+    slim = rows.select("split", "dialogue_id", "utterance_id", "profile", "bias_type", "context_error_type", *[(F.size(c) > 0).cast("bigint").alias(name) for name, c in filled.items()])
+    # rows fold at once to counts of (split, profile, bias type, error type); all else but the distinct ids follows from these
+    counts = [F.count("*").alias("n"), *[F.sum(name).alias(name) for name in filled]]
+    fine = slim.groupBy("split", "profile", "bias_type", "context_error_type").agg(*counts).withColumn("split", F.explode(F.array(*either)))
+    ids = slim.select("split", "dialogue_id", "utterance_id").distinct().withColumn("split", F.explode(F.array(*either)))
+    base = ids.groupBy("split").agg(F.countDistinct("dialogue_id").alias("dialogues"), F.countDistinct("utterance_id").alias("utterances"))
+    base = base.join(fine.groupBy("split").agg(F.sum("n").alias("records"), *[F.sum(name).alias(name) for name in filled]), "split")
 
     def folded(key: str, name: str) -> DataFrame:
-        counts = wide.where(F.col(key) != "").groupBy("split", key).agg(F.count("*").alias("n"))
-        return counts.groupBy("split").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(name))
+        by_key = fine.where(F.col(key) != "").groupBy("split", key).agg(F.sum("n").alias("n"))
+        return by_key.groupBy("split").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(name))
 
     groups = splits.withColumn("split", F.explode(F.array(*either))).groupBy("split").agg(F.count("*").alias("groups"))
     out = groups.join(base, "split", "left").join(folded("profile", "profiles"), "split", "left").join(folded("bias_type", "bias_types"), "split", "left").join(folded("context_error_type", "context_error_types"), "split", "left")

@@ -423,7 +423,7 @@ def wave_frames(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def spectral_features(spark: SparkSession, d: str) -> DataFrame:
     n, hz = 64, RATE / 64
-    rows = _waves(spark, d).withColumn("power", dsp.power_spectrum("samples", n))
+    rows = dsp.spread(_waves(spark, d)).withColumn("power", dsp.power_spectrum("samples", n))
     total = F.aggregate("power", F.lit(0.0), lambda s, v: s + v)
     rows = rows.withColumn("total", total + 1e-20)
     part = lambda lo, hi: F.round(F.aggregate(F.filter("power", lambda _, k: (k * hz >= lo) & (k * hz < hi)), F.lit(0.0), lambda s, v: s + v) / F.col("total"), 6)
