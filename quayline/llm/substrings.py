@@ -143,7 +143,8 @@ def repeated_spans(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
     ranges = _candidates(heads, keep)
     read = docs.join(broadcast_if(ranges, 24, "ranges"), "doc_id")
     windows = held(read.mapInArrow(_windows, "x bigint, doc_id bigint, name bigint, start int"), keep)
-    first = windows.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("x", "a")
+    # checkpointed apart, so that the join below has two shuffles of which a hot window's can be split
+    first = settled(windows.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("x", "a"))
     hits = windows.join(first, "x").where("doc_id > a").select("doc_id", "name", "start").distinct()
     along = Window.partitionBy("doc_id", "name").orderBy("start")
     runs = hits.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(along) + WINDOW).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(along))
