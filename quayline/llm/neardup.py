@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     if more.head(1):
         labels = components(links.union(more))
     release(keep)
-    roots = classes.join(labels, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("root", "class_id").alias("root"))
+    # checkpointed apart, so that the join below has two shuffles of which a hot set of copies can be split
+    roots = settled(classes.join(labels, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("root", "class_id").alias("root")))
     told = table.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return told.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
