@@ -42,7 +42,9 @@ def split_summary(rows: DataFrame, splits: DataFrame, split_key: str = "dialogue
     slim = rows.select("split", "dialogue_id", "utterance_id", "profile", "bias_type", "context_error_type", *[(F.size(c) > 0).cast("bigint").alias(name) for name, c in filled.items()])
     # rows fold at once to counts of (split, profile, bias type, error type); all else but the distinct ids follows from these
     counts = [F.count("*").alias("n"), *[F.sum(name).alias(name) for name in filled]]
-    fine = slim.groupBy("split", "profile", "bias_type", "context_error_type").agg(*counts).withColumn("split", F.explode(F.array(*either)))
+    # a row for each combination that occurs, read by five aggregates: few rows, so they are kept
+    combined = slim.groupBy("split", "profile", "bias_type", "context_error_type").agg(*counts).persist()
+    fine = combined.withColumn("split", F.explode(F.array(*either)))
     ids = slim.select("split", "dialogue_id", "utterance_id").distinct().withColumn("split", F.explode(F.array(*either)))
     base = ids.groupBy("split").agg(F.countDistinct("dialogue_id").alias("dialogues"), F.countDistinct("utterance_id").alias("utterances"))
     base = base.join(fine.groupBy("split").agg(F.sum("n").alias("records"), *[F.sum(name).alias(name) for name in filled]), "split")
