@@ -43,3 +43,21 @@ def test_each_reply_is_one_example_with_all_before_as_context(spark):
     assert written[1].context.startswith(written[0].context + written[0].target)
     assert examples.where("conv_id = 2").collect()[0].target == ""
     assert chat.prefix_targets(chat.format_conversations(spark.createDataFrame([], TURNS))).count() == 0
+
+
+def test_examples_carry_contexts_and_masks_that_are_read_back(spark):
+    formatted = chat.format_conversations(spark.createDataFrame(ROWS, TURNS))
+    examples = chat.prefix_targets(formatted)
+    texts = {r.conv_id: r.formatted for r in formatted.collect()}
+    for r in examples.collect():
+        assert len(r.context) == r.context_end and texts[r.conv_id].startswith(r.context + r.target)
+        assert r.loss_start is None or (r.context + r.target)[r.loss_start : r.loss_end] == r.target
+        assert r.rest is None or r.context + r.target + r.rest == texts[r.conv_id]
+    last = examples.where("conv_id = 1 and example = 1").first()
+    assert last.rest == chat.END and "<\\.|end|>" in last.context
+    second = F.col("example") == 1
+    masked = examples.withColumn("loss_start", F.when(second, F.col("loss_start") + 1).otherwise(F.col("loss_start")))
+    assert chat.read_back(masked).where("conv_id = 1").first().loss_text == ROWS[1][3] + ROWS[3][3][1:]
+    for wrong in (F.concat(F.lit("x"), F.expr("substring(context, 2)")), F.expr("substring(context, 2)")):
+        with pytest.raises(Exception, match="how its conversation begins"):
+            chat.read_back(examples.withColumn("context", F.when(F.col("example") == 0, wrong).otherwise(F.col("context")))).where("conv_id = 1").collect()
