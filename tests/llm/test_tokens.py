@@ -54,6 +54,32 @@ def test_arrays_and_heap_agree(model):
     assert [np.frombuffer(x, np.int32).tolist() for x in encoder.together(jobs)] == [list(encoder.unit(*j)) for j in jobs]
 
 
+def test_every_occurrence_is_drawn_anew(model):
+    """The rate of dropout holds for one word however often it occurs, and a long word is cut in many ways."""
+    encoder = sptokens.Encoder(model, 0.1, 11)
+    for word in ("a", "t"):
+        ids = encoder.encode_all([" ".join([word] * 5000)] * 4, list(range(4)))
+        merged = sum(len(x) == 1 for x in (encoder.unit(f" {word}", k) for k in range(500)))
+        assert 420 < merged < 480
+        split = sum(len(x) for x in ids) - 20000
+        assert 0.09 < split / 20000 < 0.11
+    text = " ".join(["wonderful"] * 3000)
+    units = encoder._UNIT.findall(" " + text)
+    cut = [encoder.unit(u, k) for u, k in zip(units, encoder.keys(len(units), 8).tolist(), strict=True)]
+    assert len(set(cut)) > 20
+    assert encoder.encode_all([text], [8])[0].tolist() == [i for c in cut for i in c]
+
+
+@pytest.mark.parametrize("dropout", [0.05, 0.4, 1.0])
+def test_remembered_outcomes_are_those_of_the_heap(model, dropout):
+    encoder = sptokens.Encoder(model, dropout, 2)
+    encoder.together_chars, encoder.nodes = 4000, 300
+    texts = [*HARD, prose(7), prose(7), prose(8)]
+    for key, ids in enumerate(encoder.encode_all(texts, list(range(len(texts))))):
+        units = encoder._UNIT.findall(" " + texts[key]) if texts[key] else []
+        assert ids.tolist() == [i for u, k in zip(units, encoder.keys(len(units), key).tolist(), strict=True) for i in encoder.unit(u, k)]
+
+
 def test_about_a_tenth_is_dropped(model):
     """Without merges every character stands alone; with p = 0.1 the share of merges that are missed is small but there."""
     text = prose(4)
