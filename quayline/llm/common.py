@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,22 +21,28 @@ import quayline
 # Python workers do not inherit the driver's sys.path, so functions of this package travel by value.
 cloudpickle.register_pickle_by_value(quayline)
 
-#: Rows and bytes of one Arrow batch sent to Python, whichever is reached first.
-BATCH_ROWS, BATCH_BYTES = 400, 32 << 20
+#: Rows of an Arrow batch that Python works on at a time.
+BATCH_ROWS = 400
 
 _made: list[tuple[SparkSession, str]] = []
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session to ``BATCH_ROWS`` rows and ``BATCH_BYTES``."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``BATCH_ROWS`` rows, so that few texts become Python objects at a time; no empty ones.
+
+    What Spark sends at once is bounded by its own default of 64 MB and one row.
+    """
+    for batch in batches:
+        for first in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(first, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and one process does all (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quayline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,20 +65,18 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-#: Tasks that write a durable table for each core, and rows that are worth a task where the count is known.
-TASKS_PER_CORE, TASK_ROWS = 4, 200_000
+#: Rows that are worth a task and a file where their number is known.
+TASK_ROWS = 200_000
 
 
-def durable(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors.
 
-    Narrow coalescing keeps the files to a few for each core, and to one for every TASK_ROWS of ``rows`` if that is
-    given. The table is removed when the interpreter ends, or earlier by ``forget``.
+    It is written by the tasks that make it. The table is removed when the interpreter ends, or earlier by ``forget``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quayline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    df.coalesce(tasks if rows is None else max(1, min(tasks, rows // TASK_ROWS))).write.parquet(path)
+    df.write.parquet(path)
     _made.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._quayline_path = path
@@ -83,12 +90,12 @@ def held(df: DataFrame, keep: list[DataFrame]) -> DataFrame:
 
 
 def cut(df: DataFrame, rows: int) -> DataFrame:
-    """A reliable checkpoint of one round of an iteration over about ``rows`` rows, in as few files as they fill."""
+    """A reliable checkpoint of about ``rows`` rows, in no more files than they fill."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(spark))
-    back = df.coalesce(max(1, min(TASKS_PER_CORE * context.defaultParallelism, rows // TASK_ROWS))).checkpoint()
+    back = df.coalesce(max(1, -(-rows // TASK_ROWS))).checkpoint()
     back._quayline_path = back._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
     _made.append((spark, back._quayline_path))
     return back
@@ -116,14 +123,15 @@ def forget(*tables: DataFrame) -> None:
         _made[:] = [x for x in _made if x[1] != path]
 
 
-def broadcast_if(df: DataFrame, row_bytes: int, items: str | None = None, limit_bytes: int = 24 << 20) -> DataFrame:
+def broadcast_if(df: DataFrame, row_bytes: int, items: str | None = None, limit_bytes: int = 24 << 20, known: int | None = None) -> DataFrame:
     """Hint a broadcast of the durable or held table ``df`` only if its measured size fits ``limit_bytes``.
 
-    Size: rows times ``row_bytes``, plus as much for each element of the array column ``items``.
-    Otherwise the frame comes back without a hint and the join shuffles.
+    Size: rows (``known`` if they have been counted) times ``row_bytes``, plus as much for each element of the array
+    column ``items``. Otherwise the frame comes back without a hint and the join shuffles.
     """
     units = F.count("*") + (F.coalesce(F.sum(F.size(items)), F.lit(0)) if items else 0)
-    return F.broadcast(df) if df.agg(units.alias("n")).first()["n"] * row_bytes <= limit_bytes else df
+    rows = df.agg(units.alias("n")).first()["n"] if known is None else known
+    return F.broadcast(df) if rows * row_bytes <= limit_bytes else df
 
 
 def lane(*columns: Column | str, of: int) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import WordKeys, lane, rolling, small_batches
+from quayline.llm.common import WordKeys, lane, rolling, within
 
 #: Shortest tile in tokens, and the part of an item's tokens that tiles must cover.
 SHORTEST, COVERAGE = 5, 0.5
@@ -126,7 +126,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     repeated rows give repeated results; an empty table on either side gives none. A benchmark over ``block_chars``
     is matched in several passes over the documents.
     """
-    small_batches(docs.sparkSession)
     doc_kind, item_kind = (f.schema[n].dataType.simpleString() for f, n in ((docs, "doc_id"), (benchmark, "item_id")))
     item_type = pa.string() if item_kind == "string" else pa.int64()
     found = None
@@ -135,7 +134,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items, keys = Items(shared.value, shortest), WordKeys()
-            for batch in batches:
+            for batch in within(batches):
                 at, hits = [], []
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     own = items.matches(token_keys(text or "", keys), coverage)
@@ -153,14 +152,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that cover no benchmark item; cases as in ``find_contamination``."""
-    small_batches(docs.sparkSession)
     names = docs.columns
     for rows in _blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items, keys = Items(shared.value, shortest), WordKeys()
-            for batch in batches:
+            for batch in within(batches):
                 texts = batch.columns[names.index("text")].to_pylist()
                 yield batch.filter(pa.array([not items.matches(token_keys(t or "", keys), coverage) for t in texts], pa.bool_()))
 

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm.common import lane, share, small_batches
+from quayline.llm.common import lane, share, within
 
 #: n-gram orders and hash buckets; the matrix has one row for each language and BUCKETS columns.
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
@@ -52,7 +52,7 @@ def _ngrams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, list[np.nd
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in within(batches):
         by_lang: dict[str, list[str]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             by_lang.setdefault(lang, []).append(text or "")
@@ -72,7 +72,6 @@ def fit(labelled: DataFrame, bound: int = TRAIN_ROWS) -> tuple[list[str], np.nda
     Learns from the non-null ``lang`` and whole ``text`` of about ``bound`` rows, all of them if there are fewer;
     counts are summed in Spark and at most languages x BUCKETS of them reach the driver.
     """
-    small_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     per_lang = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGS + 1).collect()
     if len(per_lang) > MOST_LANGS:
@@ -106,7 +105,7 @@ def score_texts(texts: list[str], langs: list[str], priors: np.ndarray, logs: np
 def _scorer(model: Broadcast, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, priors, logs = model.value
-        for batch in batches:
+        for batch in within(batches):
             columns = dict(zip(names, batch.columns, strict=True))
             pred, score = score_texts([t or "" for t in columns["text"].to_pylist()], langs, priors, logs)
             columns |= {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())}
@@ -122,7 +121,6 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
     repeated ids and repeated rows come back as they are; an empty table gives none. Ties go to the first language.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema

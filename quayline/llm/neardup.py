@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import WordKeys, broadcast_if, durable, held, mix64, release, rolling, settled, signed, small_batches
+from quayline.llm.common import WordKeys, broadcast_if, durable, held, mix64, release, rolling, settled, signed, within
 from quayline.llm.components import components
 
 WIDTH = 5
@@ -84,7 +84,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = WordKeys()
-    for batch in batches:
+    for batch in within(batches):
         sets = [shingle_set(t or "", keys) for t in batch.column("text").to_pylist()]
         full = [i for i, s in enumerate(sets) if len(s)]
         mins = minima([sets[i] for i in full])
@@ -107,7 +107,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _near(floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in within(batches):
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
@@ -124,14 +124,14 @@ def _estimated(pairs: DataFrame, signatures: DataFrame, floor: float) -> DataFra
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = WordKeys()
-    for batch in batches:
+    for batch in within(batches):
         sets = [shingle_set(t or "", keys).tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in within(batches):
             keep = []
             for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -165,7 +165,7 @@ def _between(floor: float, percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in within(batches):
             left, right = [], []
             for one, two in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True):
                 sigs = [np.frombuffer(b"".join(d["signature"] for d in block), np.uint8).reshape(len(block), -1) for block in (one, two)]
@@ -234,7 +234,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     component_id, are kept and link nothing; rows that share a doc_id are one node. An empty table gives no rows.
     Other columns are not read.
     """
-    small_batches(docs.sparkSession)
     floor = percent / 100 - MARGIN
     table = durable(sketches(docs), "sketches")
     known = table.where("digest IS NOT NULL AND doc_id IS NOT NULL")

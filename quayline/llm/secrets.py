@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quayline.llm.common import small_batches
+from quayline.llm.common import within
 
 #: Fixed patterns: the base kinds, in the order in which ties at one start are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -154,7 +154,7 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in within(batches):
         found = [spans(t or "") for t in batch.column("text").to_pylist()]
         rows = [[{"kind": k, "start": s, "end": e} for s, e, k in f] for f in found]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -168,13 +168,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     (DER lengths, OpenSSH blocks, token header and claims) holds to its end. Null and empty texts have no spans;
     rows are independent, so null, repeated ids and repeated rows come back as they are. An empty table gives none.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in within(batches):
         found = batch.column("spans").to_pylist()
         base = [[x for x in f if x["kind"] in BASE] for f in found]
         said = lambda f: ",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in f)
@@ -194,11 +193,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``[SECRET]`` and ``n_chars`` of the new text; all rows stay."""
-    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in within(batches):
             columns = dict(zip(names, batch.columns, strict=True))
             texts = columns["text"].to_pylist()
             new = [None if t is None else redact(t, spans(t)) for t in texts]

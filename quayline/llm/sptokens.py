@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import mix64, small_batches
+from quayline.llm.common import mix64, within
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: How many keys of occurrences tests try on one unit; it bounds nothing.
@@ -381,7 +381,6 @@ def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 7, model
     names are replaced; an empty table gives none. The model is read on the driver, size-checked and broadcast.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop("token_ids", "n_tokens", "lossless")
     names = docs.columns
     shared = spark.sparkContext.broadcast(load_model(model_path))
@@ -389,7 +388,7 @@ def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 7, model
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, dropout, seed)
         gc.freeze()  # the tables live as long as the task; collections need not walk them
-        for batch in batches:
+        for batch in within(batches):
             columns = dict(zip(names, batch.columns, strict=True))
             texts = columns["text"].to_pylist()
             keys = [xxhash.xxh64_intdigest(t or "", xxhash.xxh64_intdigest(str(i), seed & _MASK)) for i, t in zip(columns["doc_id"].to_pylist(), texts, strict=True)]

@@ -1,4 +1,4 @@
-"""Substring dedup: repeated token k-mer edges, compacted to nonbranching paths, verified at their source coordinates."""
+"""Substring dedup: token k-mers are edges, repeated nonbranching paths are compacted and verified at their coordinates."""
 
 from __future__ import annotations
 
@@ -7,15 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import WordKeys, broadcast_if, cut, forget, held, mix64, release, rolling, settled, signed, small_batches
+from quayline.llm.common import WordKeys, broadcast_if, cut, forget, held, mix64, release, rolling, settled, signed, within
 
-#: A node is an anchor k-mer: the least hash of SPREAD consecutive ones. With 2 * SPREAD + KMER <= 50 + 1 every
-#: window of 50 words holds two anchors that depend on its own words alone, so it holds a whole edge.
-KMER, SPREAD = 10, 20
+#: The k of the graph: an edge is a window of 50 consecutive words, its two nodes are the 49-word ends.
 WINDOW = 50
+#: Anchors are KMER-word grams with the least hash of some SPREAD consecutive ones. With 2 * SPREAD + KMER <= WINDOW + 1
+#: the two anchors about the middle of a window depend on the words of the window alone.
+KMER, SPREAD = 10, 20
+#: Stands for "no edge before" and "no edge after" in a walk.
+NONE = 0
+
+_Q = 0x9E3779B97F4A7C15
+_STEPS = [np.uint64(_Q), np.uint64(pow(_Q, -1, 1 << 64))]
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -27,14 +34,30 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - (width - span)], out[width - span :]) if width > span else out
 
 
-def anchors(keys: np.ndarray, kmer: int = KMER, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchor k-mers (those least in some run of ``spread``) and the hashes of all k-mers."""
+def anchors(keys: np.ndarray, kmer: int = KMER, spread: int = SPREAD) -> np.ndarray:
+    """Places of the anchor grams: those least in some run of ``spread``."""
     grams = rolling(keys, kmer)
     if len(grams) < spread:
-        return np.empty(0, np.int64), grams
+        return np.empty(0, np.int64)
     least = _slide(grams, spread, np.minimum)
     edge = np.zeros(spread - 1, np.uint64)
-    return np.flatnonzero(_slide(np.concatenate([edge, least, edge]), spread, np.maximum) == grams), grams
+    return np.flatnonzero(_slide(np.concatenate([edge, least, edge]), spread, np.maximum) == grams)
+
+
+def _power(which: int, n: int) -> np.ndarray:
+    """The powers 0 to ``n`` of the hash base or of its inverse, modulo 2^64."""
+    if len(_powers[which]) <= n:
+        steps = np.full(2 * n + 1, _STEPS[which], np.uint64)
+        steps[0] = 1
+        _powers[which] = np.multiply.accumulate(steps)
+    return _powers[which]
+
+
+def range_hashes(keys: np.ndarray, *ranges: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """For each pair of arrays (starts, ends): one 64-bit hash of the words of every range."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(keys * _power(0, len(keys))[: len(keys)], dtype=np.uint64)])
+    back = _power(1, len(keys))
+    return [mix64((sums[end] - sums[start]) * back[start]) for start, end in ranges]
 
 
 def _identity(keys: np.ndarray) -> int:
@@ -45,87 +68,126 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row: word count, identity of its word sequence, and its edges.
+def super_edges(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(home, name, lo, hi) of the super-edges of a text: runs of consecutive edges with one home.
 
-    An edge joins two consecutive anchors. lo and hi bound the words of the windows whose own anchors it joins: the
-    first of these lies within SPREAD k-mers of the window's start, the second at least SPREAD from it.
+    The home of the edge that starts at word s is the segment between the anchors on either side of gram s + SPREAD - 1;
+    equal edges have equal homes at equal offsets. words[lo:hi] holds the edges of a super-edge and no others, and
+    ``name`` hashes these words and the place of the home in them. Every edge of the text lies in one super-edge.
     """
+    at = anchors(keys) if len(keys) >= WINDOW else np.empty(0, np.int64)
+    if len(at) < 2:
+        none = np.empty(0, np.int64)
+        return none.view(np.uint64), none.view(np.uint64), none, none
+    a, b = at[:-1], at[1:]
+    lo, hi = np.maximum(a - (SPREAD - 1), 0), np.minimum(b + (WINDOW - SPREAD), len(keys))
+    real = hi - lo >= WINDOW
+    a, b, lo, hi = a[real], b[real], lo[real], hi[real]
+    home, whole = range_hashes(keys, (a, b + KMER), (lo, hi))
+    return home, mix64(whole + mix64((((a - lo) << 20) + (hi - lo)).astype(np.uint64)) * np.uint64(_Q)), lo, hi
+
+
+def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row: word count, identity of its word sequence, and its super-edges in order."""
     cache = WordKeys()
-    struct = pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-    for batch in batches:
-        counts, names, lengths, hs, los, his = [], [], [], [], [], []
+    for batch in within(batches):
+        counts, names, walks = [], [], []
         for text in batch.column("text").to_pylist():
             keys = cache.of(_words(text))
             counts.append(len(keys))
             names.append(_identity(keys))
-            at, grams = anchors(keys) if len(keys) >= WINDOW else (np.empty(0, np.int64), keys)
-            n = max(0, len(at) - 1)
-            lengths.append(n)
-            if n:
-                gap = np.diff(at).astype(np.uint64)
-                hs.append(signed(mix64(grams[at[:-1]] * np.uint64(0x9E3779B97F4A7C15) + mix64(grams[at[1:]] + gap))))
-                los.append(np.maximum(at[:-1] - (SPREAD - 1), 0).astype(np.int32))
-                his.append(np.minimum(at[1:] + (WINDOW - SPREAD), len(keys)).astype(np.int32))
-        flat = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((hs, np.int64), (los, np.int32), (his, np.int32))]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        edges = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=list(struct)))
+            walks.append(super_edges(keys))
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(w[0]) for w in walks])]).astype(np.int32))
+        home, name, lo, hi = (np.concatenate(x) for x in zip(*walks, strict=True))
+        flat = [pa.array(x) for x in (signed(home), signed(name), lo.astype(np.int32), hi.astype(np.int32))]
+        edges = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, names=["h", "u", "lo", "hi"]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(names, pa.int64()), edges], names=["doc_id", "n_words", "name", "edges"])
 
 
-def compact(links: DataFrame, most: int, most_rounds: int = 40) -> DataFrame:
-    """(h, head, dist): the nonbranching path of each edge that has a predecessor in one, and its place from the head.
+def _steps(edges: str) -> Column:
+    """The super-edges of a walk, each with the one before and the one after it."""
+    names = F.col(f"{edges}.u")
+    near = lambda i: F.coalesce(F.get(names, i), F.lit(NONE))
+    return F.transform(F.col(edges), lambda e, i: F.struct(e["h"].alias("h"), e["u"].alias("u"), e["lo"].alias("lo"), e["hi"].alias("hi"), near(i - 1).alias("prev"), near(i + 1).alias("nxt")))
 
-    ``links`` (h, nxt) are ``most`` or fewer distinct follower pairs of repeated edges. Where an edge has one follower and that one has
-    one forerunner the pair is joined; pointers to forerunners are doubled until all reach a head. On a ring the
-    pointers never settle; they stop with the rounds, as paths only group edges for the verification.
+
+def compact(supers: DataFrame) -> DataFrame:
+    """(u, path, place): the nonbranching path of every repeated super-edge, named by its first one, and its place there.
+
+    ``supers`` holds one row for each super-edge with the least and most doc_id in which it occurs and the least and
+    most of its forerunners (p0, p1) and followers (n0, n1). Two are joined where every occurrence of one is followed
+    by the other and every occurrence of the other follows it, so all documents of a path walk the whole of it.
+    Pointers to forerunners are doubled until all reach the first of their path. No ring can be joined, as a walk has a
+    first edge; should colliding hashes ever make one, this raises.
     """
-    out = links.groupBy("h").agg(F.count("*").alias("n"), F.min("nxt").alias("nxt")).where("n = 1 AND h != nxt").select("h", "nxt")
-    into = links.groupBy("nxt").agg(F.count("*").alias("n")).where("n = 1").select("nxt")
-    at = cut(out.join(into, "nxt").select(F.col("nxt").alias("h"), F.col("h").alias("head"), F.lit(1).cast("long").alias("dist")), most)
+    repeated = supers.where("least < most")
+    after = repeated.where(f"n0 = n1 AND n0 != {NONE}").select("u", F.col("n0").alias("nxt"))
+    before = repeated.where(f"p0 = p1 AND p0 != {NONE}").select(F.col("p0").alias("u"), F.col("u").alias("nxt"))
+    at = settled(after.join(before, ["u", "nxt"]).select(F.col("nxt").alias("u"), F.col("u").alias("path"), F.lit(1).cast("long").alias("place")))
     rows = at.count()
-    for _ in range(min(most_rounds, rows.bit_length())):
-        far = at.select(F.col("h").alias("head"), F.col("head").alias("__head"), F.col("dist").alias("__dist"))
-        grown = cut(at.join(far, "head", "left").select("h", F.coalesce("__head", "head").alias("head"), (F.col("dist") + F.coalesce("__dist", F.lit(0))).alias("dist"), F.col("__head").isNotNull().alias("moved")), rows)
+    for _ in range(rows.bit_length() + 1):
+        ahead = at.select(F.col("u").alias("path"), F.col("path").alias("__path"), F.col("place").alias("__place"))
+        joined = at.join(broadcast_if(ahead, 24, known=rows), "path", "left")
+        grown = cut(joined.select("u", F.coalesce("__path", "path").alias("path"), (F.col("place") + F.coalesce("__place", F.lit(0))).alias("place"), F.col("__path").isNotNull().alias("moved")), rows)
         forget(at)
         at = grown
         if not at.where("moved").head(1):
             break
-    return at.select("h", "head", "dist")
-
-
-def _candidates(table: DataFrame, keep: list[DataFrame]) -> DataFrame:
-    """doc_id, name and ranges (lo, hi) of words that hold all windows with a repeated edge, for rows of ``table``."""
-    edges = table.select("doc_id", "name", F.posexplode("edges").alias("idx", "e")).select("doc_id", "name", "idx", "e.h", "e.lo", "e.hi")
-    many = settled(edges.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
-    occurrences = held(edges.join(broadcast_if(many, 16), "h", "left_semi"), keep)
-    along = Window.partitionBy("doc_id", "name").orderBy("idx")
-    follow = occurrences.select("h", "idx", F.lead("h").over(along).alias("nxt"), F.lead("idx").over(along).alias("nidx"))
-    paths = compact(follow.where("nidx = idx + 1").select("h", "nxt").distinct(), occurrences.count())
-    placed = occurrences.join(paths, "h", "left").select("doc_id", "name", "idx", "lo", "hi", F.coalesce("head", "h").alias("head"), (F.col("idx") - F.coalesce("dist", F.lit(0))).alias("diagonal"))
-    spans = placed.groupBy("doc_id", "name", "head", "diagonal").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    # spans that touch make one range
-    sofar = Window.partitionBy("doc_id", "name").orderBy("first", "last")
-    broken = spans.withColumn("new", (F.col("first") > F.coalesce(F.max("last").over(sofar.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))
-    islands = broken.withColumn("island", F.sum("new").over(sofar)).groupBy("doc_id", "name", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return settled(islands.where(F.col("hi") - F.col("lo") >= WINDOW).groupBy("doc_id", "name").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    else:
+        raise RuntimeError("a path of the graph has no first edge")
+    out = settled(repeated.select("u").join(at.drop("moved"), "u", "left").select("u", F.coalesce("path", "u").alias("path"), F.coalesce("place", F.lit(0)).alias("place")))
+    forget(at)
+    return out
+
+
+def _places(table: DataFrame, keep: list[DataFrame]) -> DataFrame:
+    """doc_id, name and places (lo, hi, whole): path walks, and super-edges whose single edges need judging.
+
+    Super-edges of one home but different words may share some of their edges: one document for each such super-edge
+    (the least, by whom all the others are judged as a whole) gives its single edges.
+    """
+    own = table.select("doc_id", "name", F.posexplode(_steps("edges")).alias("idx", "e")).select("doc_id", "name", "idx", "e.*")
+    homes = settled(own.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
+    walks = held(own.join(broadcast_if(homes, 16), "h", "left_semi"), keep)
+    ends = [f(c).alias(n) for c, (x, y) in (("prev", ("p0", "p1")), ("nxt", ("n0", "n1"))) for f, n in ((F.min, x), (F.max, y))]
+    supers = settled(walks.groupBy("u", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *ends))
+    paths = compact(supers)
+    several = supers.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("open"))
+    told = supers.select("u", "h", "least").join(several, "h", "left").join(paths, "u", "left").where("path IS NOT NULL OR open")
+    # checkpointed apart, so that the join below has two shuffles of which a hot super-edge's can be split
+    marks = settled(told.select("u", "least", "path", "place", F.coalesce("open", F.lit(False)).alias("open")))
+    forget(homes, supers, paths)
+    on = walks.join(broadcast_if(marks, 40), "u")
+    walk = F.when(F.col("path").isNotNull(), F.struct(F.col("path").alias("key"), (F.col("idx") - F.col("place")).alias("first"), "lo", "hi", F.lit(True).alias("whole")))
+    opened = F.when(F.col("open") & (F.col("doc_id") == F.col("least")), F.struct(F.col("u").alias("key"), F.col("idx").cast("long").alias("first"), "lo", "hi", F.lit(False).alias("whole")))
+    each = on.select("doc_id", "name", F.explode(F.array_compact(F.array(walk, opened))).alias("p")).select("doc_id", "name", "p.*")
+    spans = each.groupBy("doc_id", "name", "whole", "key", "first").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    out = settled(spans.groupBy("doc_id", "name").agg(F.collect_list(F.struct("lo", "hi", "whole")).alias("places")))
+    forget(marks)
+    release(keep)
+    return out
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, doc_id, name, start, size): digests of the words at the given places; whole walks once, other places edge by edge."""
     cache = WordKeys()
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "name", "ranges")), strict=True)
-        for doc, text, name, ranges in rows:
+    for batch in within(batches):
+        for doc, text, name, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "name", "places")), strict=True):
             keys = cache.of(_words(text))
             if _identity(keys) != name:
                 continue  # another row of the same doc_id
             inside = np.zeros(max(0, len(keys) - WINDOW + 1), bool)
-            for r in ranges:
-                inside[r["lo"] : r["hi"] - WINDOW + 1] = True
+            whole = [(p["lo"], p["hi"]) for p in places if p["whole"]]
+            for p in places:
+                if not p["whole"]:
+                    inside[p["lo"] : p["hi"] - WINDOW + 1] = True
             starts = np.flatnonzero(inside)
-            if len(starts):
-                values = signed(rolling(keys, WINDOW)[starts])
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(starts), doc, np.int64)), pa.array(np.full(len(starts), name, np.int64)), pa.array(starts.astype(np.int32))], names=["x", "doc_id", "name", "start"])
+            digests = np.fromiter((_identity(keys[lo:hi]) for lo, hi in whole), np.int64, len(whole))
+            values = np.concatenate([digests, signed(rolling(keys, WINDOW)[starts])])
+            begin = np.concatenate([np.fromiter((lo for lo, _ in whole), np.int64, len(whole)), starts]).astype(np.int32)
+            size = np.concatenate([np.fromiter((hi - lo for lo, hi in whole), np.int64, len(whole)), np.full(len(starts), WINDOW)]).astype(np.int32)
+            n = len(values)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, name, np.int64)), pa.array(begin), pa.array(size)], names=["x", "doc_id", "name", "start", "size"])
 
 
 def repeated_spans(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
@@ -134,27 +196,31 @@ def repeated_spans(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
     Tables that the result still reads are added to ``keep``, for the caller to release.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    table = held(docs.where("doc_id IS NOT NULL").mapInArrow(_edges, "doc_id bigint, n_words bigint, name bigint, edges array<struct<h:bigint,lo:int,hi:int>>").where(f"n_words >= {WINDOW}"), keep)
+    own: list[DataFrame] = []
+    table = held(docs.where("doc_id IS NOT NULL").mapInArrow(_walks, "doc_id bigint, n_words bigint, name bigint, edges array<struct<h:bigint,u:bigint,lo:int,hi:int>>").where(f"n_words >= {WINDOW}"), own)
     slim = table.select("doc_id", "name", "n_words")
-    least = slim.groupBy("name").agg(F.min("doc_id").alias("least"))
-    copies = settled(slim.join(least, "name").where("doc_id > least").select("doc_id", "name", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans")))
+    # checkpointed apart, so that the join below has two shuffles of which a hot text's can be split
+    least = settled(slim.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least"))
+    again = slim.join(broadcast_if(least, 16), "name").where("doc_id > least")
+    copies = settled(again.select("doc_id", "name", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans")).distinct())
     # a whole copy of a smaller document goes whole, and its windows are those of the smaller one
     heads = table.join(broadcast_if(copies.select("doc_id", "name"), 24), ["doc_id", "name"], "left_anti").drop("n_words")
-    ranges = _candidates(heads, keep)
-    read = docs.join(broadcast_if(ranges, 24, "ranges"), "doc_id")
-    windows = held(read.mapInArrow(_windows, "x bigint, doc_id bigint, name bigint, start int"), keep)
-    # checkpointed apart, so that the join below has two shuffles of which a hot window's can be split
-    first = settled(windows.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("x", "a"))
-    hits = windows.join(first, "x").where("doc_id > a").select("doc_id", "name", "start").distinct()
-    along = Window.partitionBy("doc_id", "name").orderBy("start")
-    runs = hits.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(along) + WINDOW).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(along))
-    spans = runs.groupBy("doc_id", "name", "run").agg(F.struct(F.min("start").alias("start"), (F.max("start") + WINDOW).alias("end")).alias("span"))
+    places = _places(heads, own)
+    read = docs.join(broadcast_if(places, 24, "places"), "doc_id")
+    found = held(read.mapInArrow(_sequences, "x bigint, doc_id bigint, name bigint, start int, size int"), keep)
+    # as above: a hot passage's rows can be split
+    first = settled(found.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("x", "a"))
+    hits = found.join(broadcast_if(first, 16), "x").where("doc_id > a").select("doc_id", "name", "start", (F.col("start") + F.col("size")).alias("end"))
+    along = Window.partitionBy("doc_id", "name").orderBy("start", "end")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(along))
+    spans = runs.groupBy("doc_id", "name", "run").agg(F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("span"))
     return spans.groupBy("doc_id", "name").agg(F.sort_array(F.collect_list("span")).alias("spans")).union(copies)
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordKeys()
-    for batch in batches:
+    for batch in within(batches):
         texts, counts, gone, spans = [], [], [], []
         for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
             words = _words(text)
@@ -184,7 +250,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     doc_id, which count against no other row. Rows that share a doc_id do not count against each other. Repeated rows
     come out alike. An empty table gives no rows; other columns are not read.
     """
-    small_batches(docs.sparkSession)
     keep: list[DataFrame] = []
     own = repeated_spans(docs, keep).select("doc_id", "name", F.explode("spans").alias("s")).select("doc_id", F.struct("name", "s.start", "s.end").alias("s"))
     found = settled(own.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("found")))

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from quayline.llm import substrings
+from quayline.llm.common import mix64
 from tests.llm.fixtures import DOCS, frame, near_copies
 
 
@@ -57,7 +59,70 @@ def test_empty_table(spark):
     assert substrings.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def edited(seed):
+    """Copies of a few texts with random edits, cuts, joins and repeats, over a small vocabulary."""
+    rng = random.Random(seed)
+    bases = [[f"w{rng.randrange(60)}" for _ in range(n)] for n in (90, 300, 900)]
+    rows = []
+    for doc in rng.sample(range(300), 60):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(5)}"
+        if rng.random() < 0.3:
+            words = words[rng.randrange(len(words) // 2) :] + words[: rng.randrange(len(words))]
+        if rng.random() < 0.3:
+            words += rng.choice(bases)[: rng.randrange(90)]
+        rows.append((doc, " ".join(words), None, None, None))
+    return rows + rows[:3] + [(rows[0][0], rows[5][1], None, None, None)]
+
+
+def found(spark, rows):
+    return sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in substrings.dedup(spark.createDataFrame(rows, DOCS)).collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_edited_copies_match_brute_force(spark, seed):
+    rows = edited(seed)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_the_result_comes_through_the_paths(spark, monkeypatch):
+    rows = planted(1)
+    whole = brute(rows)
+    assert found(spark, rows) == whole
+    full = substrings.compact
+    monkeypatch.setattr(substrings, "compact", lambda supers: full(supers.where("false")))
+    assert sum(r[2] for r in found(spark, rows)) < sum(r[2] for r in whole) / 2
+    # a path that is one place short of its walk loses that place's words
+    monkeypatch.setattr(substrings, "compact", lambda supers: short(full(supers)))
+
+    def short(paths):
+        from quayline.llm.common import settled
+
+        return settled(paths.where("place = 0"))
+
+    assert found(spark, rows) != whole
+
+
+def test_every_edge_lies_in_one_super_edge():
+    rng = np.random.default_rng(5)
+    for n in (49, 50, 51, 60, 88, 400):
+        for vocabulary in (1, 2, 1000):
+            keys = mix64(rng.integers(0, vocabulary, n).astype(np.uint64) + np.uint64(1))
+            _, _, lo, hi = substrings.super_edges(keys)
+            assert [s for a, b in zip(lo, hi, strict=True) for s in range(a, b - 49)] == list(range(n - 49))
+
+
 def test_paths_are_compacted(spark):
-    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 7), (8, 7), (5, 5)], "h long, nxt long")
-    got = {(r.h, r.head, r.dist) for r in substrings.compact(links, 6).collect()}
-    assert got == {(2, 1, 1), (3, 1, 2), (4, 1, 3)}
+    names = "u long, h long, least long, most long, p0 long, p1 long, n0 long, n1 long"
+    # 1-2-3-4 is one path; 7 has two forerunners; 5 is in one document; 6 is repeated and alone
+    supers = [(1, 1, 1, 9, 0, 0, 2, 2), (2, 2, 1, 9, 1, 1, 3, 3), (3, 3, 1, 9, 2, 2, 4, 4), (4, 4, 1, 9, 3, 3, 0, 8), (7, 7, 1, 9, 8, 9, 0, 0), (5, 5, 1, 1, 6, 6, 0, 0), (6, 6, 1, 2, 0, 0, 0, 5)]
+    got = {(r.u, r.path, r.place) for r in substrings.compact(spark.createDataFrame(supers, names)).collect()}
+    assert got == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (7, 7, 0), (6, 6, 0)}
+
+
+def test_a_ring_is_refused(spark):
+    names = "u long, h long, least long, most long, p0 long, p1 long, n0 long, n1 long"
+    ring = [(1, 1, 1, 9, 3, 3, 2, 2), (2, 2, 1, 9, 1, 1, 3, 3), (3, 3, 1, 9, 2, 2, 1, 1)]
+    with pytest.raises(RuntimeError):
+        substrings.compact(spark.createDataFrame(ring, names))
