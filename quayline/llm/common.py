@@ -134,6 +134,13 @@ def broadcast_if(df: DataFrame, row_bytes: int, items: str | None = None, limit_
     return F.broadcast(df) if rows * row_bytes <= limit_bytes else df
 
 
+def having(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose doc_id the durable or held ``table`` holds, found before any shuffle if its ids fit a broadcast."""
+    ids = table.select("doc_id").distinct()
+    few = broadcast_if(ids, 16)
+    return texts if few is ids else texts.join(few, "doc_id", "left_semi")
+
+
 def lane(*columns: Column | str, of: int) -> Column:
     """A stable lane from 0 to ``of`` - 1."""
     return F.pmod(F.xxhash64(*columns), F.lit(of)).cast("int")

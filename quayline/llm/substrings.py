@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import WordKeys, broadcast_if, cut, forget, held, mix64, release, rolling, settled, signed, within
+from quayline.llm.common import WordKeys, broadcast_if, cut, forget, having, held, mix64, release, rolling, settled, signed, within
 
 #: The k of the graph: an edge is a window of 50 consecutive words, its two nodes are the 49-word ends.
 WINDOW = 50
@@ -99,16 +99,14 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             walks.append(super_edges(keys))
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(w[0]) for w in walks])]).astype(np.int32))
         home, name, lo, hi = (np.concatenate(x) for x in zip(*walks, strict=True))
-        flat = [pa.array(x) for x in (signed(home), signed(name), lo.astype(np.int32), hi.astype(np.int32))]
-        edges = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, names=["h", "u", "lo", "hi"]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(names, pa.int64()), edges], names=["doc_id", "n_words", "name", "edges"])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (signed(home), signed(name), lo.astype(np.int32), hi.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(names, pa.int64()), *lists], names=["doc_id", "n_words", "name", "h", "u", "lo", "hi"])
 
 
-def _steps(edges: str) -> Column:
+def _steps() -> Column:
     """The super-edges of a walk, each with the one before and the one after it."""
-    names = F.col(f"{edges}.u")
-    near = lambda i: F.coalesce(F.get(names, i), F.lit(NONE))
-    return F.transform(F.col(edges), lambda e, i: F.struct(e["h"].alias("h"), e["u"].alias("u"), e["lo"].alias("lo"), e["hi"].alias("hi"), near(i - 1).alias("prev"), near(i + 1).alias("nxt")))
+    near = lambda i: F.coalesce(F.get("u", i), F.lit(NONE))
+    return F.transform("h", lambda h, i: F.struct(h.alias("h"), F.get("u", i).alias("u"), F.get("lo", i).alias("lo"), F.get("hi", i).alias("hi"), near(i - 1).alias("prev"), near(i + 1).alias("nxt")))
 
 
 def compact(supers: DataFrame) -> DataFrame:
@@ -146,22 +144,23 @@ def _places(table: DataFrame, keep: list[DataFrame]) -> DataFrame:
     Super-edges of one home but different words may share some of their edges: one document for each such super-edge
     (the least, by whom all the others are judged as a whole) gives its single edges.
     """
-    own = table.select("doc_id", "name", F.posexplode(_steps("edges")).alias("idx", "e")).select("doc_id", "name", "idx", "e.*")
-    homes = settled(own.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
+    each = table.select("doc_id", F.explode("h").alias("h"))
+    homes = settled(each.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
+    own = table.select("doc_id", "name", F.posexplode(_steps()).alias("idx", "e")).select("doc_id", "name", "idx", "e.*")
     walks = held(own.join(broadcast_if(homes, 16), "h", "left_semi"), keep)
     ends = [f(c).alias(n) for c, (x, y) in (("prev", ("p0", "p1")), ("nxt", ("n0", "n1"))) for f, n in ((F.min, x), (F.max, y))]
     supers = settled(walks.groupBy("u", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *ends))
     paths = compact(supers)
-    several = supers.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("open"))
-    told = supers.select("u", "h", "least").join(several, "h", "left").join(paths, "u", "left").where("path IS NOT NULL OR open")
-    # checkpointed apart, so that the join below has two shuffles of which a hot super-edge's can be split
+    # checkpointed apart, here and below, so that a join has two shuffles of which a hot home's or super-edge's can be split
+    several = settled(supers.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("open")))
+    told = supers.select("u", "h", "least").join(broadcast_if(several, 16), "h", "left").join(paths, "u", "left").where("path IS NOT NULL OR open")
     marks = settled(told.select("u", "least", "path", "place", F.coalesce("open", F.lit(False)).alias("open")))
-    forget(homes, supers, paths)
+    forget(homes, supers, several, paths)
     on = walks.join(broadcast_if(marks, 40), "u")
     walk = F.when(F.col("path").isNotNull(), F.struct(F.col("path").alias("key"), (F.col("idx") - F.col("place")).alias("first"), "lo", "hi", F.lit(True).alias("whole")))
     opened = F.when(F.col("open") & (F.col("doc_id") == F.col("least")), F.struct(F.col("u").alias("key"), F.col("idx").cast("long").alias("first"), "lo", "hi", F.lit(False).alias("whole")))
-    each = on.select("doc_id", "name", F.explode(F.array_compact(F.array(walk, opened))).alias("p")).select("doc_id", "name", "p.*")
-    spans = each.groupBy("doc_id", "name", "whole", "key", "first").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    places = on.select("doc_id", "name", F.explode(F.array_compact(F.array(walk, opened))).alias("p")).select("doc_id", "name", "p.*")
+    spans = places.groupBy("doc_id", "name", "whole", "key", "first").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     out = settled(spans.groupBy("doc_id", "name").agg(F.collect_list(F.struct("lo", "hi", "whole")).alias("places")))
     forget(marks)
     release(keep)
@@ -197,7 +196,7 @@ def repeated_spans(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     own: list[DataFrame] = []
-    table = held(docs.where("doc_id IS NOT NULL").mapInArrow(_walks, "doc_id bigint, n_words bigint, name bigint, edges array<struct<h:bigint,u:bigint,lo:int,hi:int>>").where(f"n_words >= {WINDOW}"), own)
+    table = held(docs.where("doc_id IS NOT NULL").mapInArrow(_walks, "doc_id bigint, n_words bigint, name bigint, h array<bigint>, u array<bigint>, lo array<int>, hi array<int>").where(f"n_words >= {WINDOW}"), own)
     slim = table.select("doc_id", "name", "n_words")
     # checkpointed apart, so that the join below has two shuffles of which a hot text's can be split
     least = settled(slim.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least"))
@@ -206,7 +205,7 @@ def repeated_spans(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
     # a whole copy of a smaller document goes whole, and its windows are those of the smaller one
     heads = table.join(broadcast_if(copies.select("doc_id", "name"), 24), ["doc_id", "name"], "left_anti").drop("n_words")
     places = _places(heads, own)
-    read = docs.join(broadcast_if(places, 24, "places"), "doc_id")
+    read = having(docs, places).join(broadcast_if(places, 24, "places"), "doc_id")
     found = held(read.mapInArrow(_sequences, "x bigint, doc_id bigint, name bigint, start int, size int"), keep)
     # as above: a hot passage's rows can be split
     first = settled(found.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("x", "a"))
@@ -254,5 +253,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     own = repeated_spans(docs, keep).select("doc_id", "name", F.explode("spans").alias("s")).select("doc_id", F.struct("name", "s.start", "s.end").alias("s"))
     found = settled(own.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("found")))
     release(keep)
-    read = docs.select(F.col("doc_id").cast("long"), "text").join(broadcast_if(found, 24, "found"), "doc_id", "left")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    whole, few = F.lit(None).cast(found.schema["found"].dataType), broadcast_if(found, 24, "found")
+    read = texts.join(few, "doc_id", "left")
+    if few is found:  # too many to broadcast: only the texts that lose words are shuffled, if their ids can be
+        ids = broadcast_if(found.select("doc_id"), 16)
+        read = texts.join(ids, "doc_id", "left_semi").join(found, "doc_id").unionByName(texts.join(ids, "doc_id", "left_anti").withColumn("found", whole))
     return read.mapInArrow(_keep, "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept_text string")
