@@ -156,7 +156,7 @@ def _places(table: DataFrame, keep: list[DataFrame]) -> DataFrame:
     told = supers.select("u", "h", "least").join(broadcast_if(several, 16), "h", "left").join(paths, "u", "left").where("path IS NOT NULL OR open")
     marks = settled(told.select("u", "least", "path", "place", F.coalesce("open", F.lit(False)).alias("open")))
     forget(homes, supers, several, paths)
-    on = walks.join(broadcast_if(marks, 40), "u")
+    on = walks.join(marks, "u")
     walk = F.when(F.col("path").isNotNull(), F.struct(F.col("path").alias("key"), (F.col("idx") - F.col("place")).alias("first"), "lo", "hi", F.lit(True).alias("whole")))
     opened = F.when(F.col("open") & (F.col("doc_id") == F.col("least")), F.struct(F.col("u").alias("key"), F.col("idx").cast("long").alias("first"), "lo", "hi", F.lit(False).alias("whole")))
     places = on.select("doc_id", "name", F.explode(F.array_compact(F.array(walk, opened))).alias("p")).select("doc_id", "name", "p.*")
@@ -205,11 +205,11 @@ def repeated_spans(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
     # a whole copy of a smaller document goes whole, and its windows are those of the smaller one
     heads = table.join(broadcast_if(copies.select("doc_id", "name"), 24), ["doc_id", "name"], "left_anti").drop("n_words")
     places = _places(heads, own)
-    read = having(docs, places).join(broadcast_if(places, 24, "places"), "doc_id")
+    read = having(docs, places).join(places, "doc_id")
     found = held(read.mapInArrow(_sequences, "x bigint, doc_id bigint, name bigint, start int, size int"), keep)
     # as above: a hot passage's rows can be split
     first = settled(found.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("x", "a"))
-    hits = found.join(broadcast_if(first, 16), "x").where("doc_id > a").select("doc_id", "name", "start", (F.col("start") + F.col("size")).alias("end"))
+    hits = found.join(first, "x").where("doc_id > a").select("doc_id", "name", "start", (F.col("start") + F.col("size")).alias("end"))
     along = Window.partitionBy("doc_id", "name").orderBy("start", "end")
     reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(along))
