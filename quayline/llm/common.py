@@ -83,6 +83,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def gathered(spark: SparkSession, frames: Iterator[DataFrame], schema: str, name: str) -> DataFrame:
+    """The rows of all ``frames``, each written to one durable table before the next is asked for."""
+    path = f"{shared_dir(spark)}/quayline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    for df in frames:
+        df.write.mode("append").parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back._quayline_path = path
+    return back
+
+
 def held(df: DataFrame, keep: list[DataFrame]) -> DataFrame:
     """``df`` kept on the executors' disks until ``release(keep)``; what a lost executor held is computed again."""
     keep.append(df.persist(StorageLevel.DISK_ONLY))
@@ -195,6 +206,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def share(bound: int, total: int, scale: int = 1 << 20) -> int:
+def share(bound: float, total: int, scale: int = 1 << 20) -> int:
     """How many of ``scale`` hash lanes keep about ``bound`` of ``total`` rows."""
     return scale if total <= bound else max(1, math.floor(scale * bound / total))

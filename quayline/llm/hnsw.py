@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import durable, lane, mix64
+from quayline.llm.common import durable, forget, gathered, lane, mix64
 
-#: Vectors in a shard on average (a shard with its graph stays within a few MB), and queries in one broadcast block.
-SHARD_ROWS, QUERY_BLOCK = 4096, 4096
+#: Bytes of vectors in a shard on average and at most about; while there are few, at least SHARD_ROWS vectors a shard.
+SHARD_BYTES, SHARD_ROWS = 64 << 20, 1024
+#: Bytes of query vectors in one broadcast block.
+QUERY_BYTES = 16 << 20
 #: Neighbours of a node on the upper layers (twice as many on the lowest), and beam widths of building and searching.
 DEGREE, BUILD_BEAM, SEARCH_BEAM = 16, 48, 128
 _EXPAND = 4
@@ -177,73 +179,99 @@ def build_index(embeddings: DataFrame, keep: int) -> DataFrame:
 
     Equal vectors are one node, so copies neither fill a shard nor tie up its graph; of their ids the ``keep`` smallest
     are stored, and no others can be among ``keep`` nearest when ties go to the smaller id. Shards are hashes of the
-    vector, about SHARD_ROWS each, apart by dimension.
+    vector, apart by dimension, and as large as memory allows (about SHARD_BYTES of vectors), since every query walks
+    every shard; a table of fewer bytes has a shard for each core, of SHARD_ROWS vectors or more.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("vector"))).distinct()
     least = Window.partitionBy("vector").orderBy("vec_id")
     ranked = rows.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= keep)
     nodes = durable(ranked.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    shards = max(1, -(-nodes.count() // SHARD_ROWS))
+    shape = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector").cast("long") * 8), F.lit(0)).alias("bytes")).first()
+    shards = max(1, -(-shape["bytes"] // SHARD_BYTES), min(rows.sparkSession.sparkContext.defaultParallelism, shape["n"] // SHARD_ROWS))
     dealt = nodes.withColumn("shard", lane("vector", of=shards)).withColumn("dim", F.size("vector"))
-    built = dealt.groupBy("shard", "dim").applyInPandas(_build, "dim int, entry int, vectors binary, layers array<binary>, ids binary, sizes binary")
-    return durable(built, "index")
+    # a fixed number of partitions, which the planner does not merge: building is what takes the time, not the bytes
+    built = dealt.repartition(4 * shards, "shard", "dim").groupBy("shard", "dim").applyInPandas(_build, "dim int, entry int, vectors binary, layers array<binary>, ids binary, sizes binary")
+    index = durable(built, "index")
+    forget(nodes)
+    return index
+
+
+def _nearer(best: tuple[np.ndarray, np.ndarray], ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest of the answers so far and new ones, ties to the smaller id."""
+    ids, dist = np.concatenate([best[0], ids]), np.concatenate([best[1], dist])
+    order = np.lexsort((ids, dist))[:k]
+    return ids[order], dist[order]
 
 
 def _searcher(shared, k: int, beam: int):
+    """A task's shards, one after the other: for each query of the block the ``k`` nearest of them all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_dim: dict[int, list] = {}
-        for vec_id, vector in shared.value:
-            by_dim.setdefault(len(vector), []).append((vec_id, vector))
+        nothing = (np.empty(0, np.int64), np.empty(0))
+        best = {dim: [nothing] * len(ids) for dim, (ids, _) in shared.value.items()}
         for batch in batches:
-            for shard in batch.to_pylist():
-                own = by_dim.get(shard["dim"])
-                if not own:
+            for at in range(batch.num_rows):
+                shard = batch.slice(at, 1).to_pylist()[0]
+                if shard["dim"] not in best:
                     continue
+                asked, queries = shared.value[shard["dim"]]
                 graph = Graph(_load(shard["vectors"]), [_load(x).astype(np.int64) for x in shard["layers"]], shard["entry"])
                 ids, sizes = _load(shard["ids"]), _load(shard["sizes"])
                 starts = np.concatenate([[0], np.cumsum(sizes)])
-                for one in range(0, len(own), 256):
-                    part = own[one : one + 256]
-                    queries = np.array([v for _, v in part])
-                    places, _ = graph.search(queries, max(beam, k + 1))
-                    out_q, out_v, out_d = [], [], []
-                    for (query, vector), row in zip(part, places, strict=True):
+                own = best[shard["dim"]]
+                for one in range(0, len(asked), 256):
+                    places, _ = graph.search(queries[one : one + 256], max(beam, k + 1))
+                    for q, row in enumerate(places, one):
                         row = row[row >= 0]
-                        exact = np.sqrt(((graph.vectors[row] - np.array(vector)) ** 2).sum(axis=1))
-                        cand = np.concatenate([ids[starts[p] : starts[p + 1]] for p in row]) if len(row) else np.empty(0, np.int64)
-                        far = np.repeat(exact, sizes[row])
-                        real = cand != query
-                        cand, far = cand[real], far[real]
-                        best = np.lexsort((cand, far))[:k]
-                        out_q += [query] * len(best)
-                        out_v.append(cand[best])
-                        out_d.append(far[best])
-                    yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_d))], names=["query_id", "vec_id", "score"])
+                        exact = np.sqrt(((graph.vectors[row] - queries[q]) ** 2).sum(axis=1))
+                        cand = np.concatenate([ids[starts[p] : starts[p + 1]] for p in row]) if len(row) else nothing[0]
+                        real = cand != asked[q]
+                        own[q] = _nearer(own[q], cand[real], np.repeat(exact, sizes[row])[real], k)
+        for dim, answers in best.items():
+            for one in range(0, len(answers), 4096):
+                part = answers[one : one + 4096]
+                who = np.repeat(shared.value[dim][0][one : one + 4096], [len(ids) for ids, _ in part])
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([ids for ids, _ in part])), pa.array(np.concatenate([dist for _, dist in part]))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _block(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of one block of queries, by dimension."""
+    table = rows.select("vec_id", "vector").toArrow()
+    ids, vectors = table.column("vec_id").to_numpy(), table.column("vector").combine_chunks()
+    sizes = np.diff(np.concatenate([[0], np.cumsum(vectors.value_lengths().to_numpy())]))
+    flat = vectors.flatten().to_numpy()
+    ends = np.cumsum(sizes)
+    return {int(dim): (ids[sizes == dim], np.stack([flat[e - dim : e] for e in ends[sizes == dim]])) for dim in np.unique(sizes)}
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the ``k`` nearest found in ``index`` for each row of ``queries``.
 
-    Queries go in blocks of about QUERY_BLOCK rows, each broadcast to every shard's graph; every shard gives its k nearest
-    and these are merged by (distance, vec_id). Distances are Euclidean in double precision on the stored vectors.
+    Queries are stored once and go in blocks of about QUERY_BYTES, one after the other: a block is broadcast, every task
+    walks its shards with it and keeps the k nearest of them, these are merged by (distance, vec_id) and written, and the
+    broadcast is released. Distances are Euclidean in double precision on the stored vectors.
     """
     spark = queries.sparkSession
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
-    asked = asked.where(F.col("vec_id").isNotNull() & _usable(F.col("vector"))).distinct()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    shards = index.repartition(max(1, index.count()))
-    found = None
-    for b in range(blocks):
-        block = [(r["vec_id"], list(r["vector"])) for r in asked.where(lane("vec_id", of=blocks) == b).collect()]
-        part = shards.mapInArrow(_searcher(spark.sparkContext.broadcast(block), k, beam), "query_id bigint, vec_id bigint, score double")
-        found = part if found is None else found.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    # a repeated query id with two vectors may meet one candidate twice; the nearer one counts
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = durable(asked.where(F.col("vec_id").isNotNull() & _usable(F.col("vector"))).distinct(), "queries")
+    blocks = max(1, -(-asked.agg(F.coalesce(F.sum(F.size("vector").cast("long") * 8), F.lit(0)).alias("n")).first()["n"] // QUERY_BYTES))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+
+    def answers() -> Iterator[DataFrame]:
+        for b in range(blocks):
+            shared = spark.sparkContext.broadcast(_block(asked.where(lane("vec_id", of=blocks) == b)))
+            found = index.mapInArrow(_searcher(shared, k, beam), "query_id bigint, vec_id bigint, score double")
+            # a repeated query id with two vectors may meet one candidate twice; the nearer one counts
+            once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+            yield once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            shared.destroy()
+
+    found = gathered(spark, answers(), "query_id bigint, rank int, vec_id bigint, score double", "answers")
+    forget(asked)
+    return found
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -253,4 +281,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, beam: int =
     vectors only meet those of their dimension; fewer than ``k`` candidates are all returned; equal vectors tie and go by
     the smaller id; an empty table on either side gives no rows. Other columns are not read.
     """
-    return search(build_index(embeddings, k + 1), queries, k, beam)
+    index = build_index(embeddings, k + 1)
+    found = search(index, queries, k, beam)
+    forget(index)
+    return found

@@ -15,7 +15,8 @@ from quayline.llm.common import lane, share, within
 
 #: n-gram orders and hash buckets; the matrix has one row for each language and BUCKETS columns.
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
-#: At most about this many labelled rows are learned from, drawn evenly by a hash of doc_id at any corpus size.
+#: At most about this many labelled rows are learned from, as many of each language (all of a rarer one), drawn evenly by a
+#: hash of doc_id and text at any corpus size.
 TRAIN_ROWS = 20_000
 #: More languages than this are refused, which bounds the broadcast matrix to 128 MB.
 MOST_LANGS = 1_000
@@ -69,17 +70,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, bound: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their log priors and the (BUCKETS + 1) x languages matrix of log probabilities (add-one; last row 0).
 
-    Learns from the non-null ``lang`` and whole ``text`` of about ``bound`` rows, all of them if there are fewer;
-    counts are summed in Spark and at most languages x BUCKETS of them reach the driver.
+    Learns from the non-null ``lang`` and whole ``text`` of about ``bound`` rows: of each language the same number, all of
+    a language with fewer. Priors are the shares of all labelled rows. A language whose rows hold no n-gram (null or
+    empty texts) is not learned. Counts are summed in Spark and at most languages x BUCKETS of them reach the driver.
     """
     known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     per_lang = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGS + 1).collect()
     if len(per_lang) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
-    langs, sizes = [r["lang"] for r in per_lang], np.array([r["count"] for r in per_lang], float)
-    keep = share(bound, int(sizes.sum()))
-    sample = known.where(lane("doc_id", of=1 << 20) < keep).select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    quota = bound / max(1, len(per_lang))
+    # a row for each language, MOST_LANGS at most
+    limits = labelled.sparkSession.createDataFrame([(r["lang"], share(quota, r["count"])) for r in per_lang], "lang string, __keep int")
+    drawn = known.join(F.broadcast(limits), "lang").where(lane("doc_id", "text", of=1 << 20) < F.col("__keep"))
+    counts = drawn.select("lang", "text").mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    learned = set(counts["lang"])
+    langs = [r["lang"] for r in per_lang if r["lang"] in learned]
+    sizes = np.array([r["count"] for r in per_lang if r["lang"] in learned], float)
     table = np.ones((BUCKETS, len(langs)))
     at = {lang: i for i, lang in enumerate(langs)}
     table[counts["bucket"].to_numpy(int), counts["lang"].map(at).to_numpy(int)] += counts["n"].to_numpy(float)

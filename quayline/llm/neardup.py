@@ -10,17 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import WordKeys, broadcast_if, durable, held, mix64, release, rolling, settled, signed, within
+from quayline.llm.common import WordKeys, broadcast_if, durable, forget, held, mix64, release, rolling, settled, signed, within
 from quayline.llm.components import components
 
 WIDTH = 5
-#: 28 bands of 5 minima: a pair at similarity 0.85 misses every band with probability 7e-8, at 0.8 with 1.5e-5.
-BANDS, ROWS = 28, 5
-LANES = BANDS * ROWS
+#: Minima of a document, dealt to bands of as many as keep the chance below MISSED that a pair at the threshold shares no band.
+LANES, MISSED = 140, 2e-5
 #: Low bits kept of each minimum, and how far below the threshold an estimate may lie: over five deviations.
 BITS, MARGIN = 4, 0.2
-#: Documents in a block of the last candidate pass, in which blocks are compared with blocks.
-BLOCK = 64
+#: Shingles in a block of documents of the last candidate pass, in which blocks are compared with blocks (a document at least).
+BLOCK_SHINGLES = 1 << 18
 _CHUNK = 1 << 15
 
 _seeds = mix64(np.arange(1, 2 * LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -58,11 +57,20 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(mins: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band, from the full minima."""
-    key = np.zeros((len(mins), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in range(ROWS):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + mins[:, row::ROWS])
+def band_rows(percent: int) -> int:
+    """Minima in a band for the threshold ``percent``: 5 from 80 on (a pair at 85 is missed with probability 7e-8, at 80 with 1.5e-5), fewer below."""
+    for rows in range(5, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (LANES // rows) <= MISSED:
+            return rows
+    raise ValueError(f"{LANES} minima do not find pairs of {percent} percent")
+
+
+def band_keys(mins: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key for each band of ``rows`` full minima."""
+    bands = LANES // rows
+    key = np.zeros((len(mins), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    for row in range(rows):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + mins[:, row : bands * rows : rows])
     return key
 
 
@@ -82,27 +90,30 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys = WordKeys()
-    for batch in within(batches):
-        sets = [shingle_set(t or "", keys) for t in batch.column("text").to_pylist()]
-        full = [i for i, s in enumerate(sets) if len(s)]
-        mins = minima([sets[i] for i in full])
-        place = np.full(len(sets), -1)
-        place[full] = np.arange(len(full))
-        digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
-        take = pa.array([None if p < 0 else int(p) for p in place], pa.int64())
-        bands = pa.FixedSizeListArray.from_arrays(pa.array(signed(band_keys(mins)).ravel()), BANDS).cast(pa.list_(pa.int64()))
-        packed = pa.array([p.tobytes() for p in pack(mins)], pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), bands.take(take), packed.take(take)],
-            names=["doc_id", "n_shingles", "digest", "bands", "signature"],
-        )
-
-
-def sketches(docs: DataFrame) -> DataFrame:
+def _sketch(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = WordKeys()
+        for batch in within(batches):
+            sets = [shingle_set(t or "", keys) for t in batch.column("text").to_pylist()]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            mins = minima([sets[i] for i in full])
+            place = np.full(len(sets), -1)
+            place[full] = np.arange(len(full))
+            digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
+            take = pa.array([None if p < 0 else int(p) for p in place], pa.int64())
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(signed(band_keys(mins, rows)).ravel()), LANES // rows).cast(pa.list_(pa.int64()))
+            packed = pa.array([p.tobytes() for p in pack(mins)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), bands.take(take), packed.take(take)],
+                names=["doc_id", "n_shingles", "digest", "bands", "signature"],
+            )
+
+    return run
+
+
+def sketches(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys and packed signature (null for empty sets) of every row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch(band_rows(percent)), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, signature binary")
 
 
 def _near(floor: float):
@@ -165,9 +176,10 @@ def _between(floor: float, percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in within(batches):
+        for batch in batches:
             left, right = [], []
-            for one, two in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True):
+            for row in range(batch.num_rows):
+                one, two = batch.column("xa")[row].as_py(), batch.column("xb")[row].as_py()
                 sigs = [np.frombuffer(b"".join(d["signature"] for d in block), np.uint8).reshape(len(block), -1) for block in (one, two)]
                 parent: dict[int, int] = {}
 
@@ -176,7 +188,7 @@ def _between(floor: float, percent: int):
                         x = parent[x]
                     return x
 
-                near = estimate(sigs[0][:, None, :], sigs[1][None, :, :])
+                near = np.concatenate([estimate(sigs[0][i : i + 64, None, :], sigs[1][None, :, :]) for i in range(0, len(one), 64)])
                 for i, j in sorted(zip(*np.nonzero(near >= floor), strict=True), key=lambda ij: -near[ij]):
                     a, b = one[i], two[j]
                     ra, rb = find(a["root"]), find(b["root"])
@@ -196,35 +208,40 @@ def _between(floor: float, percent: int):
 def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: DataFrame, floor: float, percent: int, keep: list[DataFrame]) -> DataFrame:
     """Links that the first pass left: between bucket mates in different components.
 
-    Only buckets of several components matter. Their documents are put in blocks of BLOCK by component and the smallest
-    document they share a bucket with, so that blocks meet in few buckets; two blocks that meet in a bucket are compared
-    once, whatever the number of buckets, and blocks of one component never. No pair of documents becomes a row unless
-    it is a link.
+    Only buckets of several components matter. Their documents are put in blocks of about BLOCK_SHINGLES, by component,
+    the smallest document they share a bucket with and set size, so that blocks meet in few buckets; two blocks that meet
+    in a bucket are compared once, whatever the number of buckets, and never if they are of one component or if no two of
+    their set sizes are near enough. No pair of documents becomes a row unless it is a link.
     """
     known = labels.union(labels.select(F.col("root").alias("node"), "root").distinct())
     # part: the component of a document that is linked at all
     marked = buckets.join(known, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "head", F.coalesce("root", "doc_id").alias("root"), F.col("root").alias("part"))
     several = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     open_rows = settled(marked.join(several, "key", "left_semi"))
-    own = open_rows.groupBy("doc_id").agg(F.min("root").alias("root"), F.min("head").alias("near"), F.min("part").alias("part"))
-    order = Window.partitionBy("part", "near").orderBy("doc_id")
-    placed = own.withColumn("block", F.xxhash64("part", "near", F.floor((F.row_number().over(order) - 1) / BLOCK)))
-    placed = settled(placed.select("doc_id", "root", "part", "block"))
-    meets = open_rows.select("key", "doc_id").join(placed, "doc_id").select("key", "block", "part").distinct()
-    other = meets.select("key", F.col("block").alias("other"), F.col("part").alias("other_part"))
+    own = open_rows.groupBy("doc_id").agg(F.min("root").alias("root"), F.min("head").alias("near"), F.min("part").alias("part")).join(signatures.select("doc_id", "n_shingles"), "doc_id")
+    order = Window.partitionBy("part", "near").orderBy("n_shingles", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = own.withColumn("block", F.xxhash64("part", "near", F.floor(F.coalesce(F.sum("n_shingles").over(order), F.lit(0)) / BLOCK_SHINGLES)))
+    placed = settled(placed.select("doc_id", "root", "part", "block", "n_shingles"))
+    sizes = placed.groupBy("block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    meets = open_rows.select("key", "doc_id").join(placed.select("doc_id", "block", "part"), "doc_id").select("key", "block", "part").distinct().join(sizes, "block")
+    other = meets.select("key", F.col("block").alias("other"), F.col("part").alias("other_part"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"))
     apart = F.col("part").isNull() | F.col("other_part").isNull() | (F.col("part") != F.col("other_part"))
-    pairs = meets.join(other, "key").where((F.col("block") <= F.col("other")) & apart).select("block", "other").distinct()
+    near = (F.col("hi") * 100 >= F.col("other_lo") * percent) & (F.col("other_hi") * 100 >= F.col("lo") * percent)
+    pairs = meets.join(other, "key").where((F.col("block") <= F.col("other")) & apart & near).select("block", "other").distinct()
     sets = _full_sets(placed.select("doc_id"), docs, keep)
-    blocks = placed.join(sets, "doc_id").join(signatures, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "root", "signature", "shingles")).alias("x"))
+    blocks = placed.drop("n_shingles").join(sets, "doc_id").join(signatures.select("doc_id", "signature"), "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "root", "signature", "shingles")).alias("x"))
     blocks = held(blocks, keep)
     both = pairs.join(blocks.withColumnRenamed("x", "xa"), "block").join(blocks.select(F.col("block").alias("other"), F.col("x").alias("xb")), "other")
-    return settled(both.select("xa", "xb").mapInArrow(_between(floor, percent), "a bigint, b bigint"))
+    found = settled(both.select("xa", "xb").mapInArrow(_between(floor, percent), "a bigint, b bigint"))
+    forget(open_rows, placed)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id and kept.
 
-    Links join documents with 100 * intersection >= ``percent`` * union of their sets of distinct five-word shingles.
+    Links join documents with 100 * intersection >= ``percent`` * union of their sets of distinct five-word shingles;
+    bands have as many rows as the threshold allows (``band_rows``, which refuses thresholds below 8).
     Rows with equal sets form one class, held by its smallest doc_id. Classes that share a band key are candidates:
     first each with the smallest of its bucket; then, after components, all bucket mates that are still in different
     components, in blocks. b-bit estimates drop clear misses and full sets confirm the rest. component_id is the smallest doc_id
@@ -235,23 +252,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Other columns are not read.
     """
     floor = percent / 100 - MARGIN
-    table = durable(sketches(docs), "sketches")
+    table = durable(sketches(docs, percent), "sketches")
     known = table.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    heads = known.join(classes, "digest").where("doc_id = class_id").select("doc_id", "bands", "signature")
+    heads = known.join(classes, "digest").where("doc_id = class_id").select("doc_id", "n_shingles", "bands", "signature")
     # rows that repeat a document are alike: one of them stands for it
     spread = heads.select("doc_id", F.explode("bands").alias("key"))
     least = spread.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("key", "head")
     keep: list[DataFrame] = []
     buckets = settled(spread.join(least, "key").distinct())
     members = buckets.select("doc_id").distinct()
-    signatures = settled(heads.select("doc_id", "signature").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    signatures = settled(heads.select("doc_id", "signature", "n_shingles").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     firsts = buckets.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _confirmed(settled(_estimated(firsts, signatures, floor)), docs, percent, keep)
+    likely = settled(_estimated(firsts, signatures, floor))
+    links = _confirmed(likely, docs, percent, keep)
     labels = components(links)
     more = _rest(buckets, signatures, labels, docs, floor, percent, keep)
     if more.head(1):
         labels = components(links.union(more))
+    forget(buckets, signatures, likely, links, more)
     release(keep)
     # checkpointed apart, so that the join below has two shuffles of which a hot set of copies can be split
     roots = settled(classes.join(labels, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("root", "class_id").alias("root")))
@@ -263,7 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each group.
 
-    Of rows that repeat a kept doc_id the first by content stays.
+    Of rows that repeat a kept doc_id and its text one stays; rows of one doc_id and different texts all stay.
     """
     verdict = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL")
     kept = settled(verdict.groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")))
@@ -272,4 +291,4 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
         return docs.join(broadcast_if(kept.where(condition), 24), docs["doc_id"] == F.col("__kept"), "left_semi")
 
     stay = those("__n = 1").unionByName(docs.where("doc_id IS NULL"))
-    return stay.unionByName(those("__n > 1").dropDuplicates(["doc_id"])) if kept.where("__n > 1").head(1) else stay
+    return stay.unionByName(those("__n > 1").dropDuplicates(["doc_id", "text"])) if kept.where("__n > 1").head(1) else stay

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from quayline.llm.common import within
 
@@ -22,11 +22,19 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "pem_key", "der_key", "hex_key", "ssh_key", "jwt")
 BASE = KINDS[:3]
 
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----([^-]+)-----END \1-----")
+# a brace, then a quote or white space
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))+)-----END \1-----")
+# line breaks of armour and wrapped base64, also as escapes in quoted strings
+_BREAK = re.compile(r"(?:\\r)?\\n|\s+")
+_HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*): *([^\r\n\\]*)((?:\\r)?\\n|\r?\n)")
+_CIPHER = re.compile(r"[A-Za-z0-9-]+,((?:[0-9A-Fa-f]{2}){8}|(?:[0-9A-Fa-f]{2}){16})\Z")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[Mb][A-Za-z0-9+/]{39,}(?:(?:(?:\\r)?\\n|\r?\n)[ \t]*[A-Za-z0-9+/]+)+={0,2}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _SSH_MAGIC = b"openssh-key-v1\0"
+#: The encodings of the object identifiers of password-based encryption (PKCS#5 and PKCS#12) begin with these.
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def _decode64(text: str) -> bytes | None:
@@ -57,13 +65,16 @@ def _der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]]
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key: PKCS#1 (nine integers), PKCS#8 (version, algorithm, octets) or SEC 1 (version 1, octets)."""
+    """A private key: PKCS#1 (nine integers), PKCS#8 (version, algorithm, octets; or a password-based algorithm and octets) or SEC 1 (version 1, octets)."""
     if len(data) < 16 or data[0] != 0x30:
         return False
     top = _der_items(data, 0, len(data))
     if not top or len(top) != 1:
         return False
     inner = _der_items(data, *top[0][1:])
+    if inner and [tag for tag, _, _ in inner] == [0x30, 0x04]:
+        algorithm = _der_items(data, *inner[0][1:])
+        return bool(algorithm) and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(_PASSWORD_BASED)
     if not inner or inner[0][0] != 0x02:
         return False
     tags = [tag for tag, _, _ in inner]
@@ -112,28 +123,83 @@ def is_signed_token(head: str, body: str, signature: str) -> bool:
     return bool(signature == "" and header["alg"].lower() == "none") or bool(sealed and len(sealed) >= 16)
 
 
+def is_armoured_key(body: str) -> bool:
+    """What stands between the armour lines: headers, then base64 of a key, or of whole cipher blocks where the headers say so."""
+    body, headers = body.lstrip(), {}
+    while body.startswith(("\\n", "\\r")):
+        body = body[2:]
+    while m := _HEADER.match(body):
+        headers[m[1]] = m[2].strip()
+        body = body[m.end() :]
+    data = _decode64(_BREAK.sub("", body))
+    if not data:
+        return False
+    if headers.get("Proc-Type", "").endswith("ENCRYPTED"):
+        cipher = _CIPHER.match(headers.get("DEK-Info", ""))
+        return bool(cipher) and len(data) >= 32 and len(data) % (len(cipher[1]) // 2) == 0
+    return is_der_key(data) or is_ssh_key(data)
+
+
+def _wrapped_key(text: str, m: re.Match) -> tuple[int, str] | None:
+    """End and kind of the key whose base64 starts at the match and goes on over its lines; a DER key ends where its length says."""
+    line = re.match(r"[A-Za-z0-9+/]*", m[0])[0]
+    head = base64.b64decode(line[:12])
+    if m[0][0] == "b":
+        data = _decode64(_BREAK.sub("", m[0]))
+        return (m.end(), "ssh_key") if data and is_ssh_key(data) else None
+    length, size = head[1], 2
+    if length >= 0x80:
+        n = length & 0x7F
+        if not 1 <= n <= 4:
+            return None
+        length, size = int.from_bytes(head[2 : 2 + n], "big"), 2 + n
+    chars = -(-(size + length) * 4 // 3)
+    if chars <= len(line):
+        return None  # within one line: found without this
+    at, got = m.start(), []
+    for part in re.finditer(r"((?:\\r)?\\n|\s+)|([A-Za-z0-9+/]+)", m[0]):
+        if part[2]:
+            take = part[2][: chars - sum(map(len, got))]
+            got.append(take)
+            at = m.start() + part.start(2) + len(take)
+            if sum(map(len, got)) == chars:
+                break
+    data = _decode64("".join(got))
+    if not data or not is_der_key(data[: size + length]) or len(data) < size + length:
+        return None
+    pad = re.compile("={0,2}").match(text, at)
+    return pad.end(), "der_key"
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed; code points, end exclusive; leftmost non-overlapping in each kind."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    if "eyJ" in text:
+    if "." in text:
         found += [(m.start(), m.end(), "jwt") for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = _decode64("".join(m[2].split()))
-            if data and (is_der_key(data) or is_ssh_key(data)):
-                found.append((m.start(), m.end(), "pem_key"))
+    armoured = [(m.start(), m.end(), "pem_key") for m in _PEM.finditer(text) if is_armoured_key(m[2])] if "-----BEGIN " in text else []
+    found += armoured
+    keys = []
     for m in _BASE64.finditer(text):
         # one octet of 0x30 leads with M in base64, the OpenSSH magic with b3BlbnNzaC1r
         if m[0][0] in "Mb" and (data := _decode64(m[0])):
             if is_der_key(data):
-                found.append((m.start(), m.end(), "der_key"))
+                keys.append((m.start(), m.end(), "der_key"))
             elif is_ssh_key(data):
-                found.append((m.start(), m.end(), "ssh_key"))
+                keys.append((m.start(), m.end(), "ssh_key"))
+    whole = {start for start, _, _ in keys}
+    for m in _WRAPPED.finditer(text):
+        if m.start() not in whole and (hit := _wrapped_key(text, m)):
+            keys.append((m.start(), *hit))
+    end = {"der_key": -1, "ssh_key": -1}
+    for key in sorted(keys):
+        if key[0] >= end[key[2]] and not any(a <= key[0] < b for a, b, _ in armoured):
+            end[key[2]] = key[1]
+            found.append(key)
     for m in _HEX_ANY.finditer(text):
-        if m[0].startswith("30") and is_der_key(bytes.fromhex(m[0])):
+        if (m[0].startswith("30") and is_der_key(bytes.fromhex(m[0]))) or (m[0][:8].lower() == "6f70656e" and is_ssh_key(bytes.fromhex(m[0]))):
             found.append((m.start(), m.end(), "hex_key"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -172,23 +238,17 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in within(batches):
-        found = batch.column("spans").to_pylist()
-        base = [[x for x in f if x["kind"] in BASE] for f in found]
-        said = lambda f: ",".join(f"{x['kind']}:{x['start']}:{x['end']}" for x in f)
-        count = lambda kind: pa.array([sum(x["kind"] == kind for x in f) for f in base], pa.int64())
-        shas = [hashlib.sha256(said(f).encode()).hexdigest() for f in base]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *map(count, BASE), pa.array(shas, pa.string()), pa.array([said(f) for f in found], pa.string())],
-            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-        )
-
-
 def digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and all spans as text, from ``find_secrets`` rows."""
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(_digest, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+
+    def some(*kinds: str) -> Column:
+        return F.filter("spans", lambda x: x["kind"].isin(*kinds))
+
+    def said(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    counts = [F.size(some(kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(said(some(*BASE)), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:

@@ -50,12 +50,12 @@ def test_recall_over_shards(spark):
     df = spark.read.parquet(path)
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     want = brute(rows, lambda i: i % 100 == 0, 10)
-    shards = hnsw.SHARD_ROWS
-    hnsw.SHARD_ROWS = 500
+    shards = hnsw.SHARD_BYTES, hnsw.QUERY_BYTES
+    hnsw.SHARD_BYTES, hnsw.QUERY_BYTES = 50_000, 3_000
     try:
         got = hnsw.nearest(df, df.where("vec_id % 100 = 0")).collect()
     finally:
-        hnsw.SHARD_ROWS = shards
+        hnsw.SHARD_BYTES, hnsw.QUERY_BYTES = shards
     hits = sum(r.vec_id in {i for _, i in want[r.query_id]} for r in got)
     assert len(got) == 10 * len(want) and hits / len(got) >= 0.9
 

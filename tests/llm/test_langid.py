@@ -56,3 +56,32 @@ def test_the_sample_is_bounded(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"))
     sizes = [int(np.exp(-langid.fit(df, bound)[2][:-1].min()) // 1) for bound in (500, 20_000)]
     assert sizes[0] < sizes[1] / 10
+
+
+def test_counts_match_brute_force(spark):
+    rows = [(1, "The cat", "en"), (2, "", "en"), (3, None, "fr"), (4, "le\tchat é", "fr"), (5, "x", None), (6, None, "xx"), (7, "", "xx")]
+    langs, priors, logs = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == ["en", "fr"] and np.allclose(np.exp(priors), [0.5, 0.5])
+    mask = (1 << 64) - 1
+    for column, lang in enumerate(langs):
+        want = np.ones(langid.BUCKETS)
+        for _, text, own in rows:
+            codes = [ord(c) for c in (text or "").lower()] if own == lang else []
+            for i in range(len(codes)):
+                key = 0
+                for order, code in enumerate(codes[i : i + max(langid.ORDERS)], 1):
+                    key = (key + code) * 0x9E3779B97F4A7C15 & mask
+                    key ^= key >> 29
+                    if order in langid.ORDERS:
+                        want[(key >> 17) % langid.BUCKETS] += 1
+        assert np.allclose(logs[:-1, column], np.log(want / want.sum()), atol=1e-5)
+    assert not logs[-1].any()
+
+
+def test_rare_languages_are_learned_in_full(spark):
+    rows = [(i, f"the house number {i} and the tree", "en") for i in range(3000)] + [(9000 + i, t, "ja") for i, t in enumerate(["これはペンです", "私は学生です"])] + [(9999, "das ist ein haus", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, bound=100)
+    assert model[0] == ["de", "en", "ja"] and np.allclose(np.exp(model[1]), np.array([1, 3000, 2]) / 3003)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).where("doc_id IN (9000, 9001) OR doc_id < 5").collect()}
+    assert got == {9000: "ja", 9001: "ja", **dict.fromkeys(range(5), "en")}

@@ -35,6 +35,55 @@ def test_confirmed_kinds():
     assert "pem_key" in kinds(pem) and secrets.redact(pem, secrets.spans(pem)) == "[SECRET]"
 
 
+SEALED = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01050d")) + tlv(0x30, b"")) + tlv(4, bytes(range(160))))
+BLOCKS = bytes(range(7, 7 + 96))
+
+
+def lines(data, size=64, by="\n"):
+    return by.join(re.findall(f".{{1,{size}}}", b64(data)))
+
+
+def armour(body, name="PRIVATE KEY", by="\n"):
+    return f"-----BEGIN {name}-----{by}{body}{by}-----END {name}-----"
+
+
+def test_armour_with_escapes_headers_and_ciphers():
+    escaped = json.dumps({"private_key": armour(lines(PKCS8)) + "\n"})
+    assert kinds(escaped) == ["pem_key"]
+    assert kinds(armour(lines(PKCS1, by="\\r\\n"), by="\\r\\n")) == ["pem_key"]
+    assert kinds(armour(lines(SEALED), "ENCRYPTED PRIVATE KEY")) == ["pem_key"]
+    assert kinds(f"x {b64(SEALED)} y") == ["der_key"]
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n"
+    assert "pem_key" in kinds(armour(head.format("0A" * 16) + lines(BLOCKS), "RSA PRIVATE KEY"))
+    assert kinds(armour("Comment: made-by me\n" + lines(PKCS1), "RSA PRIVATE KEY")) == ["pem_key"]
+    # near misses: no whole blocks, no cipher named, a digest and not a password-based algorithm
+    assert "pem_key" not in kinds(armour(head.format("0A" * 16) + lines(BLOCKS[:-1]), "RSA PRIVATE KEY"))
+    assert "pem_key" not in kinds(armour("Proc-Type: 4,ENCRYPTED\n\n" + lines(BLOCKS), "RSA PRIVATE KEY"))
+    digest = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("608648016503040201")) + tlv(5, b"")) + tlv(4, bytes(32)))
+    assert kinds(armour(lines(digest))) == [] and kinds(f"x {b64(digest)} y") == []
+
+
+def test_wrapped_keys_without_armour():
+    for by in ("\n", "\r\n", "\\n"):
+        text = f"see:\n{lines(PKCS8, by=by)}{by}unrelated words"
+        found = secrets.spans(text)
+        assert [k for _, _, k in found] == ["der_key"]
+        # an escaped break is taken for one only where it is written
+        assert secrets.redact(text, found) == f"see:\n[SECRET]{by}unrelated words"
+    assert kinds(f"{lines(SSH, 70)}\n\nend") == ["ssh_key"]
+    # near misses: a byte too few, a length that the lines do not reach, wrapped prose
+    assert kinds(lines(PKCS8[:-4])) == [] and kinds(lines(PKCS8[:150])) == []
+    assert kinds("\n".join(["M" + "ore" * 20] * 6)) == []
+
+
+def test_hex_keys_and_spaced_token_headers():
+    assert "hex_key" in kinds("k " + SSH.hex()) and "hex_key" not in kinds("k " + SSH[:-9].hex())
+    head = b64(json.dumps({"alg": "HS256"}, indent=1).encode(), True).rstrip("=")
+    rest = JWT.split(".", 1)[1]
+    for spaced in (head, b64(b'{ "alg": "HS256"}', True).rstrip("=")):
+        assert "jwt" in kinds(f"t {spaced}.{rest}") and "jwt" not in kinds(f"t {spaced[:-4]}.{rest}")
+
+
 def test_broken_structures_are_not_reported():
     for data in (PKCS8[:-1], PKCS8 + b"\0" * 3, b"\x30" + PKCS8[1:2] + b"\x40" * 40, SSH[:-5], b"M" * 60):
         assert kinds(f"x {b64(data)} y") == []
