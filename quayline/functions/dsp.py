@@ -152,12 +152,26 @@ def load_bank(items: DataFrame) -> list[tuple]:
     return [(r["category"], _array(r["samples"]), r["sample_rate"]) for r in rows]
 
 
+#: Estimated bytes of rows below which a table would fill fewer tasks than there are cores.
+SPREAD_BYTES_PER_CORE = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt evenly over some tasks for each core: kernels cost far more than the shuffle of their rows."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """``df``, dealt over the cores if it is so small that its own partitions would leave some idle.
+
+    Kernels cost far more than the shuffle of a small table; a large one has partitions enough and is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(4 * cores) if size <= SPREAD_BYTES_PER_CORE * cores else df
+
+
+#: Steps of the channel that can be run alone; each then draws from a stream of its own.
+_STEPS = ("augment", "with_noise", "with_residual", "with_dropouts", "with_tail")
 
 
 def _each(df: DataFrame, samples: str, rate: str, seed: str, bank: list[tuple] | None, step: str) -> DataFrame:
+    number = _STEPS.index(step)
     shared = df.sparkSession.sparkContext.broadcast(bank)
     fields = [f for f in FIELDS if f != "profile"]
 
@@ -166,7 +180,7 @@ def _each(df: DataFrame, samples: str, rate: str, seed: str, bank: list[tuple] |
         for batch in batches:
             out = []
             for row in batch[[samples, rate, seed, *fields]].to_dict("records"):
-                channel = Channel({f: list(row[f]) if f == "noise_categories" else row[f] for f in fields}, int(row[rate]), int(row[seed]), clips)
+                channel = Channel({f: list(row[f]) if f == "noise_categories" else row[f] for f in fields}, int(row[rate]), [int(row[seed]), number] if number else int(row[seed]), clips)
                 out.append(getattr(channel, step)(_array(row[samples])))
             yield batch.assign(**{samples: out})
 

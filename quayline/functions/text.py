@@ -55,14 +55,19 @@ def load_names(c: Column | str, is_json: bool = False) -> Column:
     return F.coalesce(F.filter(clean, lambda n: n != ""), F.array().cast("array<string>"))
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def family_raw(entities: Column | str) -> Column:
     """Distinct non-empty names as they are, sorted."""
     return F.array_sort(F.array_distinct(F.filter(_col(entities), lambda n: F.coalesce(n, F.lit("")) != "")))
 
 
 def family_normalized(entities: Column | str) -> Column:
-    """Distinct trimmed upper-case names, blanks dropped, sorted."""
-    return family_raw(F.transform(_col(entities), lambda n: F.upper(F.trim(n))))
+    """Distinct upper-case names without white space at their ends, blanks dropped, sorted."""
+    return family_raw(F.transform(_col(entities), lambda n: F.upper(strip(n))))
 
 
 def generation_shard(path: Column | str) -> Column:
@@ -125,7 +130,7 @@ def parse_bool(value: str | bool) -> bool:
 
 
 def parse_bool_column(c: Column | str) -> Column:
-    said = F.lower(F.trim(_col(c)))
+    said = F.lower(strip(c))
     return F.when(said.isin(*_TRUE), True).when(said.isin(*_FALSE), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), _col(c))).cast("boolean"))
 
 

@@ -11,12 +11,16 @@ from quayline.functions.text import normalize_text
 def roster_matches(docs: DataFrame, roster: DataFrame, ident: str, text: str = "text", name: str = "name") -> DataFrame:
     """(ident, name) of every name that stands in a document's normalized text.
 
-    The distinct words of a document meet the first words of the normalized names in an equi-join; only these candidates
-    are then looked for in the text. Rows with a null ``ident`` match nothing.
+    Words that some name begins with are cut out with the words that follow, once for each length that names with this
+    first word have, and these runs meet the whole names in an equi-join: a name meets only texts that hold it, however
+    many names share a first word. Rows with a null ``ident`` match nothing.
     """
-    names = roster.select(name, normalize_text(name).alias("__key")).where("__key != ''").withColumn("__first", F.split("__key", " ")[0])
-    plain = docs.select(ident, normalize_text(text).alias("__text"))
-    words = plain.select(ident, F.explode(F.array_distinct(F.split("__text", " "))).alias("__first"))
-    candidates = words.join(names, "__first").select(ident, name, "__key").distinct()
-    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return plain.join(candidates, ident).where(F.contains(padded("__text"), padded("__key"))).select(ident, name).distinct()
+    names = roster.select(name, normalize_text(name).alias("__key")).where("__key != ''").withColumn("__words", F.split("__key", " "))
+    longest = names.agg(F.max(F.size("__words")).alias("n")).first()["n"] or 1
+    starts = names.select(F.col("__words")[0].alias("__first"), F.size("__words").alias("__size")).distinct()
+    plain = docs.where(F.col(ident).isNotNull()).select(ident, F.split(normalize_text(text), " ").alias("__text"))
+    # no run is longer than the longest name, so exploded rows stay short
+    at = F.transform("__text", lambda w, i: F.struct(w.alias("__first"), F.slice("__text", i + 1, longest).alias("__run")))
+    runs = plain.select(ident, F.explode(at).alias("r")).select(ident, "r.*").join(starts, "__first").where(F.size("__run") >= F.col("__size"))
+    said = runs.select(ident, F.array_join(F.slice("__run", 1, F.col("__size")), " ").alias("__key")).distinct()
+    return said.join(names.select(name, "__key"), "__key").select(ident, name).distinct()

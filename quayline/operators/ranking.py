@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,15 @@ def _offsets(df: DataFrame, amount: Column) -> DataFrame:
     return sums.select("__bucket", (F.sum("__sum").over(Window.orderBy("__bucket")) - F.col("__sum")).alias("__before"))
 
 
+def _ranges(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``__bucket``, which rises with ``order``: the quantile range that it falls in."""
+    steps = [i / BUCKETS for i in range(1, BUCKETS)]
+    found = df.agg(F.percentile_approx(F.col(order).cast("double"), steps, 4 * BUCKETS).alias("q")).first()["q"] or []
+    edges = [float("-inf"), *sorted(set(found)), float("inf")]
+    bucketed = Bucketizer(splits=edges, inputCol="__order", outputCol="__bucket", handleInvalid="keep").transform(df.withColumn("__order", F.col(order).cast("double")))
+    return bucketed.drop("__order")
+
+
 def hash_rank(df: DataFrame, digest: Column, *ties: str) -> DataFrame:
     """``df`` with ``rank`` (from 0) in the order of a hex digest, then of the columns ``ties``.
 
@@ -29,12 +39,10 @@ def hash_rank(df: DataFrame, digest: Column, *ties: str) -> DataFrame:
 def running_total(df: DataFrame, order: str, amount: str, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``amount`` over all rows with a smaller integer ``order`` (unique).
 
-    Rows fall in at most 4096 equal ranges of ``order``; sums run inside a range and start from those before it.
+    Rows fall in at most 4096 ranges of ``order`` with about as many rows in each, whatever its gaps and outliers; sums
+    run inside a range and start from those before it.
     """
-    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo, hi = (ends["lo"] or 0), (ends["hi"] or 0)
-    width = max(1, -(-(hi - lo + 1) // BUCKETS))
-    rows = df.withColumn("__bucket", F.floor((F.col(order) - lo) / width))
+    rows = _ranges(df, order)
     inside = Window.partitionBy("__bucket").orderBy(order)
     summed = rows.withColumn("__in", F.sum(amount).over(inside) - F.col(amount))
     return summed.join(F.broadcast(_offsets(rows, F.col(amount))), "__bucket").withColumn(name, F.col("__before") + F.col("__in")).drop("__bucket", "__in", "__before")

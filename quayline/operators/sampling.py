@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quayline.functions.profiles import CONTEXT_MODES, CONTEXT_POLICY, NAMES, PAIR_TYPES
 from quayline.functions.text import digest, family_normalized, family_raw, generation_shard, sample_key
 from quayline.operators.ranking import hash_rank
+from quayline.operators.staging import staged
 
 SAMPLE_SEED = 20260830
 SPLIT_SEED = 20260701
@@ -88,15 +89,15 @@ def calibration_splits(
     """Discovery from shards 0 to 3, then confirmation from 4 to 7 that shares no dialogue, utterance or entity with it."""
     quota = quota_of(rows, profiles)
     family = family_raw(F.col(entities))
-    pool = df.where(F.col(profile).isin(*profiles) & (F.size(family) > 0)).withColumn("__shard", generation_shard(path))
+    # the checks, both selections and both exclusions read the pool, and most read the discovery rows
+    pool = staged(df.where(F.col(profile).isin(*profiles) & (F.size(family) > 0)).withColumn("__shard", generation_shard(path)))
 
     def pick(eligible: DataFrame) -> DataFrame:
         if validate:
             require_quota(eligible, profile, profiles, quota)
         return top_by_hash(eligible, quota, seed, ident, profile, profiles).drop("__shard")
 
-    # at most ``rows`` rows; both exclusions and the caller read it, so it is kept
-    discovery = pick(pool.where(F.col("__shard").isin(*DISCOVERY_SHARDS))).persist()
+    discovery = staged(pick(pool.where(F.col("__shard").isin(*DISCOVERY_SHARDS))))
     rest = pool.where(F.col("__shard").isin(*CONFIRMATION_SHARDS))
     rest = exclude_keys(exclude_keys(rest, discovery, dialogue), discovery, utterance)
     return discovery, pick(exclude_overlap(rest, discovery, ident, family))
@@ -133,9 +134,11 @@ def heldout_test(
     """A balanced test set that shares no dialogue, utterance or normalized entity with ``train``, with context fields."""
     quota = quota_of(total, profiles)
     family = family_normalized(F.col(entities))
-    eligible = candidates.where(F.size(family) > 0)
+    train = staged(train.select(dialogue, utterance, entities))
+    eligible = staged(candidates.where(F.size(family) > 0))
     eligible = exclude_overlap(exclude_keys(exclude_keys(eligible, train, dialogue), train, utterance), train, ident, family)
     if validate:
+        eligible = staged(eligible)
         require_unique(eligible, ident)
         require_quota(eligible, profile, profiles, quota)
     return counterfactual_fields(top_by_hash(eligible, quota, seed, ident, profile, profiles), ident=ident)
@@ -181,5 +184,5 @@ def split_groups(df: DataFrame, group: str, seed: int = SPLIT_SEED, max_groups:
 
 
 def apply_split(df: DataFrame, splits: DataFrame, group: str) -> DataFrame:
-    """``df`` with its group's split; rows of groups that have none vanish."""
-    return df.join(splits.withColumnRenamed("group", "__group"), F.col(group).cast("bigint") == F.col("__group")).drop("__group")
+    """``df`` with its group's split in place of any it had; rows of groups that have none vanish."""
+    return df.drop("split").join(splits.withColumnRenamed("group", "__group"), F.col(group).cast("bigint") == F.col("__group")).drop("__group")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayline.operators.sampling import SPLITS
+from quayline.operators.staging import staged
 
 
 def counter(df: DataFrame, key: str) -> DataFrame:
@@ -39,11 +40,12 @@ def split_summary(rows: DataFrame, splits: DataFrame, split_key: str = "dialogue
     and maps of profiles, bias types, their ratios and error types. Small counters are folded into maps after grouping."""
     either = [F.col("split"), F.lit("all")]
     filled = {"entity_positive_rows": "positive_entities", "entity_candidate_rows": "candidate_entities", "phoneme_negative_rows": "phoneme_negative_entities"}
-    slim = rows.select("split", "dialogue_id", "utterance_id", "profile", "bias_type", "context_error_type", *[(F.size(c) > 0).cast("bigint").alias(name) for name, c in filled.items()])
+    # labels are costly and read twice, so these few columns of them are staged
+    slim = staged(rows.select("split", "dialogue_id", "utterance_id", "profile", "bias_type", "context_error_type", *[(F.size(c) > 0).cast("bigint").alias(name) for name, c in filled.items()]))
     # rows fold at once to counts of (split, profile, bias type, error type); all else but the distinct ids follows from these
     counts = [F.count("*").alias("n"), *[F.sum(name).alias(name) for name in filled]]
-    # a row for each combination that occurs, read by five aggregates: few rows, so they are kept
-    combined = slim.groupBy("split", "profile", "bias_type", "context_error_type").agg(*counts).persist()
+    # a row for each combination that occurs, read by five aggregates
+    combined = staged(slim.groupBy("split", "profile", "bias_type", "context_error_type").agg(*counts))
     fine = combined.withColumn("split", F.explode(F.array(*either)))
     ids = slim.select("split", "dialogue_id", "utterance_id").distinct().withColumn("split", F.explode(F.array(*either)))
     base = ids.groupBy("split").agg(F.countDistinct("dialogue_id").alias("dialogues"), F.countDistinct("utterance_id").alias("utterances"))
@@ -69,13 +71,20 @@ def selection_summary(df: DataFrame, profile: str = "profile", entities: str = "
     return base.crossJoin(names).crossJoin(counter_map(df, profile, "profiles"))
 
 
-def content_digest(df: DataFrame, *columns: str, lanes: int = 4096) -> DataFrame:
+#: Row digests that one lane of a content digest may hold on average: 64 MB of them.
+LANE_ROWS = 1 << 20
+
+
+def content_digest(df: DataFrame, *columns: str) -> DataFrame:
     """One row: rows and a digest of them that does not depend on their order.
 
     Row digests are sorted inside lanes of equal leading digits, and the lanes' digests, in order, are digested again,
-    so no task holds all rows.
+    so no task holds all rows. There are 16^3 lanes, and 16 times as many for each 16-fold of rows beyond LANE_ROWS a lane.
     """
+    rows, digits = df.count(), 3
+    while rows > LANE_ROWS * 16**digits:
+        digits += 1
     row = F.sha2(F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"}), 256)
-    rows = df.select(row.alias("h")).withColumn("lane", F.substring("h", 1, max(1, (lanes - 1).bit_length() // 4)))
-    by_lane = rows.groupBy("lane").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("d"))
+    hashed = df.select(row.alias("h")).withColumn("lane", F.substring("h", 1, digits))
+    by_lane = hashed.groupBy("lane").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("d"))
     return by_lane.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lane", "d"))), lambda x: x["d"]), ","), 256).alias("digest"))

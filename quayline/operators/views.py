@@ -9,7 +9,7 @@ from quayline.functions.profiles import PAIR_TYPES
 from quayline.functions.text import prompt
 
 # The view's file suffix and bias type by mode.
-VIEW_NAMES = {0: "no_prompt", 1: "true_prompt", 2: "konger_prompt"}
+VIEW_NAMES = {0: "no_prompt", 1: "true_prompt", 2: "unsupported_prompt"}
 VIEW_BIAS = {0: "no_bias", 1: "noisy_bias", 2: "vhf_error"}
 
 

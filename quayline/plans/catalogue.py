@@ -7,6 +7,7 @@ the parts of an order its entities, a user's events a frame series, an embedding
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -183,8 +184,8 @@ def phoneme_key(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def phoneme_similarity(spark: SparkSession, d: str) -> DataFrame:
-    names = _t(spark, d, "part").select(F.col("p_name").alias("a")).distinct().withColumn("initial", F.upper(F.substring("a", 1, 1)))
-    pairs = names.join(names.withColumnRenamed("a", "b"), "initial").where("a < b")
+    # every order's first name against the others of its roster
+    pairs = _names(spark, d).select(F.col("roster")[0].alias("a"), F.explode(F.slice("roster", 2, 1 << 30)).alias("b")).distinct()
     return pairs.select("a", "b", text.phoneme_similarity("a", "b").cast("bigint").alias("similarity"))
 
 
@@ -341,7 +342,7 @@ def noise_class(spark: SparkSession, d: str) -> DataFrame:
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return _t(spark, d, "events").select(F.col("user_id").alias("series_id"), (F.row_number().over(order) - 1).cast("bigint").alias("frame_idx"), F.col("value").alias("rms_db"), "event_type", F.array("value").alias("samples"))
+    return _t(spark, d, "events").select(F.col("user_id").alias("series_id"), (F.row_number().over(order) - 1).cast("bigint").alias("frame_idx"), F.col("value").alias("rms_db"), (F.abs("value") / 100).alias("peak"), F.when(F.col("event_type").isin("purchase", "error"), 900.0).otherwise(600.0).alias("centroid_hz"), F.array("value").alias("samples"))
 
 
 @_query
@@ -356,8 +357,7 @@ def active_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    hit = (F.col("rms_db") > F.col("floor") + series.EVENT_RISE) & F.col("event_type").isin("purchase", "error")
-    return series.tail_events(_frames(spark, d), hit, least=3)
+    return series.tail_events(_frames(spark, d), series.event_hit(), least=3)
 
 
 @_query
@@ -422,14 +422,9 @@ def wave_frames(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def spectral_features(spark: SparkSession, d: str) -> DataFrame:
-    n, hz = 64, RATE / 64
-    rows = dsp.spread(_waves(spark, d)).withColumn("power", dsp.power_spectrum("samples", n))
-    total = F.aggregate("power", F.lit(0.0), lambda s, v: s + v)
-    rows = rows.withColumn("total", total + 1e-20)
-    part = lambda lo, hi: F.round(F.aggregate(F.filter("power", lambda _, k: (k * hz >= lo) & (k * hz < hi)), F.lit(0.0), lambda s, v: s + v) / F.col("total"), 6)
-    rising = F.aggregate("power", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("below")), lambda s, v: F.struct((s["sum"] + v).alias("sum"), (s["below"] + F.when(s["sum"] + v < F.lit(0.95) * F.col("total"), 1).otherwise(0)).alias("below")), lambda s: s["below"])
-    centroid = F.aggregate(F.transform("power", lambda v, k: v * k * hz), F.lit(0.0), lambda s, v: s + v) / F.col("total")
-    return rows.select("vec_id", part(0, 300).alias("energy_0_300"), part(300, 3400).alias("energy_300_3400"), part(3400, 8000).alias("energy_3400_8000"), part(8000, RATE / 2).alias("energy_8000_plus"), F.round(centroid, 3).alias("centroid_hz"), (F.least(rising, F.lit(n // 2)) * hz).alias("rolloff95_hz"))
+    rows = dsp.spread(_waves(spark, d)).withColumn("sample_rate", F.lit(RATE)).withColumn("f", dsp.feature_struct("samples", "sample_rate"))
+    digits = {"centroid_hz": 3, "rolloff95_hz": 3}
+    return rows.select("vec_id", *[F.round(F.col(f"f.{name}"), digits.get(name, 6)).alias(name) for name in dsp.FEATURES])
 
 
 @_query
@@ -454,27 +449,44 @@ def augment(spark: SparkSession, d: str) -> DataFrame:
     return _measured(dsp.augment(_scenes(spark, d)))
 
 
+def _rounded(*places: int) -> list[Column]:
+    """Samples at these places, to four digits; zero has no sign."""
+    return [(F.round(F.col("samples")[i].cast("double"), 4) + F.lit(0.0)).alias(f"sample_{i}") for i in places]
+
+
 @_query
 def add_tail(spark: SparkSession, d: str) -> DataFrame:
-    return dsp.add_tail(_scenes(spark, d)).select("vec_id", "profile", F.size("samples").cast("bigint").alias("n_samples"))
+    out = dsp.add_tail(_scenes(spark, d))
+    return out.select("vec_id", "profile", F.size("samples").cast("bigint").alias("n_samples"), *[F.round(F.col("samples")[i].cast("double"), 6).alias(f"sample_{i}") for i in (0, 2399)])
 
 
 @_query
 def add_noises(spark: SparkSession, d: str) -> DataFrame:
-    noisy = dsp.add_dropouts(dsp.add_residual_noise(dsp.add_noise(_scenes(spark, d))))
-    return noisy.select("vec_id", "profile", F.size("samples").cast("bigint").alias("n_samples"))
+    """Noise at the profile's ratio, measured from what it added; then the residual noise and the dropouts over it."""
+    scenes = _scenes(spark, d).withColumn("clean", F.col("samples"))
+    noisy = dsp.add_noise(scenes).withColumn("added", F.zip_with("samples", "clean", lambda a, b: a - b))
+    noisy = noisy.withColumn("snr", F.round(dsp.rms_db("clean") - dsp.rms_db("added"), 1)).drop("clean", "added")
+    done = dsp.add_dropouts(dsp.add_residual_noise(noisy))
+    return done.select("vec_id", "profile", F.size("samples").cast("bigint").alias("n_samples"), "snr")
 
 
 @_query
 def resample(spark: SparkSession, d: str) -> DataFrame:
     rows = _waves(spark, d).select("vec_id", dsp.tile(F.col("samples").cast("array<float>"), 1000).alias("samples")).withColumn("sample_rate", F.lit(44_100))
-    return rows.select("vec_id", F.size(dsp.resampled("samples", "sample_rate", RATE)).cast("bigint").alias("n_samples"))
+    out = rows.withColumn("samples", dsp.resampled("samples", "sample_rate", RATE))
+    return out.select("vec_id", F.size("samples").cast("bigint").alias("n_samples"), *_rounded(10, 272, 540))
 
 
 @_query
 def bandpass(spark: SparkSession, d: str) -> DataFrame:
-    rows = _scenes(spark, d).where("profile_index = 0")
-    return rows.select("vec_id", F.size(dsp.bandpassed("samples", "sample_rate", 300.0, 3400.0)).cast("bigint").alias("n_samples"))
+    """Every wave through every profile's band."""
+    tiled = _waves(spark, d).select("vec_id", dsp.tile(F.col("samples").cast("array<float>"), 240).alias("samples")).withColumn("sample_rate", F.lit(RATE))
+    parts = []
+    # the few profiles are constants of the engine
+    for p in profile_frame(spark).select("profile", "low_hz", "high_hz").collect():
+        own = tiled.withColumn("samples", dsp.bandpassed("samples", "sample_rate", float(p["low_hz"]), float(p["high_hz"])))
+        parts.append(own.select("vec_id", F.lit(p["profile"]).alias("profile"), F.size("samples").cast("bigint").alias("n_samples"), *_rounded(60, 120)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ---- digests ----

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import cmath
+import math
+
 from quayline.functions.profiles import CONTEXT_POLICY, PROFILES
 
 BIAS_TYPES = ("no_bias", "oracle_bias", "noisy_bias", "distractor_bias", "vhf_error")
@@ -124,7 +127,7 @@ _STATS = f"{_FRAMES}, stats AS (SELECT series_id, count(*) AS frames, quantile_c
 _RUNS = f"""{_STATS}, marked AS (SELECT f.series_id, i, floor, i - row_number() OVER (PARTITION BY f.series_id ORDER BY i) AS island FROM frames f JOIN stats USING (series_id) WHERE value > threshold),
 runs AS (SELECT series_id, min(i) AS start_idx, max(i) + 1 AS end_idx, any_value(floor) AS floor FROM marked GROUP BY series_id, island HAVING count(*) >= 3)"""
 _EVENTS = f"""{_RUNS}, hits AS (SELECT r.series_id, r.end_idx, min(f.i) AS event_idx FROM runs r JOIN frames f ON f.series_id = r.series_id AND f.i BETWEEN r.end_idx AND r.end_idx + 9
-  WHERE f.value > r.floor + 18 AND event_type IN ('purchase', 'error') GROUP BY 1, 2)"""
+  WHERE f.value > r.floor + 18 AND abs(f.value) / 100 > 0.08 AND CASE WHEN event_type IN ('purchase', 'error') THEN 900 ELSE 600 END > 700 GROUP BY 1, 2)"""
 _WAVE = "wave AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
 
 
@@ -146,6 +149,54 @@ def _band(lo: int, hi: int) -> str:
     return f"round(coalesce(sum(p) FILTER (WHERE hz >= {lo} AND hz < {hi}), 0) / max(total), 6)"
 
 
+# a polyphase low-pass as the plain sum over the input samples that a tap reaches, up 80 and down 147
+_RESAMPLE = """WITH bessel AS (SELECT i, (i - 1470) / 147.0 AS z,
+  list_sum(list_transform(range(0, 26), lambda j: power(2.5 * sqrt(greatest(1 - power((i - 1470) / 1470.0, 2), 0)), 2 * j) / power(gamma(j + 1), 2))) AS w FROM range(0, 2941) r(i)),
+raw AS (SELECT i, w * CASE WHEN i = 1470 THEN 1 ELSE sin(pi() * z) / (pi() * z) END AS h FROM bessel),
+taps AS (SELECT i, h * 80 / (SELECT sum(h) FROM raw) AS h FROM raw),
+y AS (SELECT vec_id, m, sum(h * embedding[(m * 147 + 1470 - i) // 80 % 64 + 1]::DOUBLE)::FLOAT::DOUBLE AS v FROM embeddings, (VALUES (10), (272), (540)) q(m), taps
+  WHERE (m * 147 + 1470 - i) % 80 = 0 AND (m * 147 + 1470 - i) // 80 BETWEEN 0 AND 999 AND m * 147 + 1470 >= i GROUP BY 1, 2)
+SELECT vec_id, ceil(1000 * 80 / 147.0)::BIGINT AS n_samples, list_sum([round(max(v) FILTER (m = 10), 4), 0.0]) AS sample_10, list_sum([round(max(v) FILTER (m = 272), 4), 0.0]) AS sample_272, list_sum([round(max(v) FILTER (m = 540), 4), 0.0]) AS sample_540 FROM y GROUP BY 1"""
+
+
+def _cascade(low: float, high: float, rate: float = 24_000.0) -> list[float]:
+    """Gain, then a1 and a2 of four sections with zeros at 1 and -1: the gain makes the centre of the band one."""
+    w1, w2 = (math.tan(math.pi * f / rate) for f in (low, high))
+    poles = []
+    for k in range(4):
+        b = cmath.exp(1j * math.pi * (2 * k + 5) / 8) * (w2 - w1) / 2
+        r = cmath.sqrt(b * b - w1 * w2)
+        poles += [(1 + s) / (1 - s) for s in (b + r, b - r)]
+    sections = [(-2 * p.real, abs(p) ** 2) for p in poles if p.imag > 0]
+    z = cmath.exp(2j * math.atan(math.sqrt(w1 * w2)))
+    answer = math.prod(abs((z * z - 1) / (z * z + a1 * z + a2)) for a1, a2 in sections)
+    return [1 / answer, *[a for s in sections for a in s]]
+
+
+def _bandpass_sql() -> str:
+    """The difference equations of the cascade, sample by sample, over the odd extension and back again."""
+    rows = ", ".join(f"({p[0]!r}, {', '.join(f'{c!r}::DOUBLE' for c in _cascade(p[1], p[2]))})" for p in PROFILES)
+    rest = ", ".join(f"0::DOUBLE AS s{k}{x}" for k in range(1, 5) for x in "ab")
+    parts, before = [], "n0"
+    for k in range(1, 5):
+        back = "r.ub" if k == 1 else f"r.s{k - 1}b"
+        parts.append(f"{before} - {back} - a{k} * r.s{k}a - b{k} * r.s{k}b AS n{k}")
+        before = f"n{k}"
+
+    def run(name: str, source: str, joined: str) -> str:
+        step = f"SELECT r.vec_id, r.profile, r.i + 1 AS nxt, r.ua, r.s1a, r.s2a, r.s3a, r.s4a, g * e.v AS n0, {', '.join(parts)} FROM {name} r JOIN band USING (profile) JOIN {source} e ON e.i = r.i + 1 AND {joined}"
+        moved = ", ".join(f"n{k}, s{k}a" for k in range(1, 5))
+        profile = "band.profile" if source == "ext" else "e.profile"
+        first = f"SELECT e.vec_id, {profile}, 0::BIGINT AS i, g * e.v AS ua, g * e.v AS ub, {rest} FROM {source} e JOIN band ON {'true' if source == 'ext' else 'band.profile = e.profile'} WHERE e.i = 0"
+        return f"{name} AS ({first} UNION ALL SELECT vec_id, profile, nxt, n0, ua, {moved} FROM ({step}))"
+
+    ext = """ext AS (SELECT vec_id, i, CASE WHEN i < 27 THEN 2 * x[1] - x[(27 - i) % 64 + 1] WHEN i < 267 THEN x[(i - 27) % 64 + 1] ELSE 2 * x[239 % 64 + 1] - x[(505 - i) % 64 + 1] END AS v FROM wave, range(0, 294) r(i))"""
+    back = "again AS (SELECT vec_id, profile, 293 - i AS i, s4a AS v FROM there)"
+    # adding zero to what rounds to -0.0 is what the query does
+    pick = ", ".join(f"list_sum([round((max(s4a) FILTER (i = {266 - at}))::FLOAT::DOUBLE, 4), 0.0]) AS sample_{at}" for at in (60, 120))
+    return f"WITH RECURSIVE {_WAVE}, band AS (SELECT * FROM (VALUES {rows}) AS p(profile, g, a1, b1, a2, b2, a3, b3, a4, b4)), {ext}, {run('there', 'ext', 'e.vec_id = r.vec_id')}, {back}, {run('home', 'again', 'e.vec_id = r.vec_id AND e.profile = r.profile')} SELECT vec_id, profile, 240::BIGINT AS n_samples, {pick} FROM home GROUP BY 1, 2"
+
+
 def all_sql() -> dict[str, str]:
     crop = "CASE WHEN trunc(crop / 1000.0::DOUBLE * 24000) BETWEEN 1 AND n - 1 THEN n - trunc(crop / 1000.0::DOUBLE * 24000) ELSE n END"
     length = f"({crop} + trunc(tail / 1000.0::DOUBLE * 24000))::BIGINT"
@@ -168,7 +219,7 @@ def all_sql() -> dict[str, str]:
         "split_ratios": f"WITH {_SPLIT_ROWS} SELECT split, o_orderpriority, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY split)::DOUBLE, 6) AS ratio FROM rows GROUP BY 1, 2",
         "normalize_text": f"SELECT doc_id, {_norm('text')} AS normalized FROM documents",
         "phoneme_key": f"SELECT name, {_key('name')} AS phonemes FROM (SELECT p_name AS name FROM part UNION SELECT array_to_string(string_split(text, ' ')[:2], ' ') FROM benchmark)",
-        "phoneme_similarity": f"WITH n AS (SELECT DISTINCT p_name AS nm, {_letters(_key('p_name'))} AS l FROM part) SELECT x.nm AS a, y.nm AS b, len(list_intersect(x.l, y.l))::BIGINT AS similarity FROM n x JOIN n y ON upper(left(x.nm, 1)) = upper(left(y.nm, 1)) AND x.nm < y.nm",
+        "phoneme_similarity": f"WITH {_NAMES}, n AS (SELECT DISTINCT p_name AS nm, {_letters(_key('p_name'))} AS l FROM part), q AS (SELECT DISTINCT roster[1] AS a, unnest(roster[2:]) AS b FROM names) SELECT a, b, len(list_intersect(x.l, y.l))::BIGINT AS similarity FROM q JOIN n x ON x.nm = a JOIN n y ON y.nm = b",
         "entity_match": f"WITH d AS (SELECT doc_id, ' ' || {_norm('text')} || ' ' AS t FROM documents), r AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[:2], ' ') AS name FROM benchmark) SELECT doc_id, name FROM d JOIN r ON contains(t, ' ' || {_norm('name')} || ' ')",
         "phoneme_map": f"WITH {_NAMES} SELECT id, {_bar(f'''list_transform(roster, lambda n: n || '=' || {_key('n')})''')} AS phonemes FROM names",
         "phoneme_negatives": f"""WITH {_NAMES}, keys AS (SELECT DISTINCT p_name AS nm, {_key('p_name')} AS k, {_letters(_key('p_name'))} AS l FROM part),
@@ -188,7 +239,7 @@ def all_sql() -> dict[str, str]:
   count(*) FILTER (len(pos) > 0) AS entity_positive_rows, count(*) FILTER (len(cand) > 0) AS entity_candidate_rows, count(*) FILTER (len(near) > 0) AS phoneme_negative_rows, 'vhf_clear=' || count(*) AS profiles,
   (SELECT coalesce(string_agg(v || '=' || n, '|' ORDER BY v), '') FROM b WHERE b.sp = w.sp) AS bias_types, (SELECT coalesce(string_agg(v || '=' || n, '|' ORDER BY v), '') FROM e WHERE e.sp = w.sp) AS context_error_types
   FROM wide w GROUP BY sp""",
-        "paired_views": f"WITH {_SPOKEN} " + " UNION ALL ".join((_view(0, "no_prompt", "no_bias", "no_context_control", "[]"), _view(1, "true_prompt", "noisy_bias", "supported_prompt_consistency", "list_concat(near, pos)"), _view(2, "konger_prompt", "vhf_error", "unsupported_prompt_invariance", "near"))),
+        "paired_views": f"WITH {_SPOKEN} " + " UNION ALL ".join((_view(0, "no_prompt", "no_bias", "no_context_control", "[]"), _view(1, "true_prompt", "noisy_bias", "supported_prompt_consistency", "list_concat(near, pos)"), _view(2, "unsupported_prompt", "vhf_error", "unsupported_prompt_invariance", "near"))),
         "asr_text": f"SELECT conv_id, turn, 'language English<asr_text>' || text AS target, {_prompt('[role, upper(role)]')} AS prompt FROM conversations",
         "roster_json": "SELECT p_partkey, to_json([p_name || ' x', p_name])::VARCHAR AS names FROM part",
         "parse_bool": "SELECT (quality = 1)::VARCHAR AS good, count(*) AS n FROM labels GROUP BY 1",
@@ -214,13 +265,13 @@ def all_sql() -> dict[str, str]:
         "crop_tile_window": f"WITH {_WAVE}, s AS (SELECT vec_id, x, (vec_id % 10 * 8)::BIGINT AS n FROM wave) SELECT vec_id, (CASE WHEN n BETWEEN 1 AND 63 THEN 64 - n ELSE 64 END)::BIGINT AS n_cropped, round(x[CASE WHEN n BETWEEN 1 AND 63 THEN n + 1 ELSE 1 END], 6) AS first_cropped, 150::BIGINT AS n_tiled, round(x[150 - 128], 6) AS last_tiled, 4::BIGINT AS n_window FROM s",
         "mono_mix": f"WITH {_WAVE} SELECT vec_id, round((x[1] + x[64]) / 2, 6) AS first_sample, 64::BIGINT AS n FROM wave",
         "wave_frames": f"WITH {_WAVE}, f AS (SELECT vec_id, i, x[i * 10 + 1 : least(i * 10 + 10, 64)] AS x FROM wave, range(0, 7) r(i)) SELECT vec_id, i::BIGINT AS frame_idx, len(x)::BIGINT AS n, round({_rms('x')}, 6) AS rms_db FROM f",
-        "spectral_features": f"WITH {_POWER} SELECT vec_id, {_band(0, 300)} AS energy_0_300, {_band(300, 3400)} AS energy_300_3400, {_band(3400, 8000)} AS energy_3400_8000, {_band(8000, 12000)} AS energy_8000_plus, round(sum(hz * p) / max(total), 3) AS centroid_hz, least(count(*) FILTER (WHERE upto < 0.95 * total), 32) * 375.0::DOUBLE AS rolloff95_hz FROM summed GROUP BY 1",
+        "spectral_features": f"WITH {_POWER}, loud AS (SELECT vec_id, 20 * log10(sqrt(sum(v * v) / 64 + 1e-12) + 1e-12) AS lv FROM centred GROUP BY 1) SELECT vec_id, (SELECT round(lv, 6) FROM loud WHERE loud.vec_id = summed.vec_id) AS rms_db, {_band(0, 300)} AS energy_0_300, {_band(300, 3400)} AS energy_300_3400, {_band(3400, 8000)} AS energy_3400_8000, {_band(8000, 12000)} AS energy_8000_plus, round(sum(hz * p) / max(total), 3) AS centroid_hz, least(count(*) FILTER (WHERE upto < 0.95 * total), 32) * 375.0::DOUBLE AS rolloff95_hz FROM summed GROUP BY 1",
         "noise_lookup": f"WITH r AS (SELECT vec_id, 'c' || label AS category, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings), q AS (SELECT *, ('0x' || substr({_h('20260701', repr('bank'), 'vec_id')}, 1, 13))::BIGINT % n AS pick FROM r) SELECT q.vec_id, q.category, r.vec_id::VARCHAR AS item_path FROM q JOIN r ON r.category = q.category AND r.i = q.pick",
         "augment": f"WITH {_SCENES}, s AS (SELECT vec_id, 2400 AS n, profile, crop, tail FROM embeddings, profiles) SELECT vec_id, profile, {length} AS n_samples, true AS within FROM s",
-        "add_tail": f"WITH {_SCENES} SELECT vec_id, profile, (2400 + trunc(tail / 1000.0::DOUBLE * 24000))::BIGINT AS n_samples FROM embeddings, profiles",
-        "add_noises": f"WITH {_SCENES} SELECT vec_id, profile, 2400::BIGINT AS n_samples FROM embeddings, profiles",
-        "resample": "SELECT vec_id, ceil(1000 * 80 / 147.0)::BIGINT AS n_samples FROM embeddings",
-        "bandpass": "SELECT vec_id, 2400::BIGINT AS n_samples FROM embeddings",
+        "add_tail": f"WITH {_SCENES} SELECT vec_id, profile, (2400 + trunc(tail / 1000.0::DOUBLE * 24000))::BIGINT AS n_samples, round(embedding[1]::DOUBLE, 6) AS sample_0, round(embedding[2399 % 64 + 1]::DOUBLE, 6) AS sample_2399 FROM embeddings, profiles",
+        "add_noises": f"SELECT vec_id, profile, 2400::BIGINT AS n_samples, snr FROM embeddings, (VALUES {', '.join(f'({p[0]!r}, {p[3]}::DOUBLE)' for p in PROFILES)}) AS p(profile, snr)",
+        "resample": _RESAMPLE,
+        "bandpass": _bandpass_sql(),
         "content_digest": """WITH r AS (SELECT sha256(to_json({'doc_id': doc_id, 'lang': lang, 'source': source})::VARCHAR) AS h FROM documents), l AS (SELECT left(h, 3) AS lane, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS d FROM r GROUP BY 1)
   SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(d, ',' ORDER BY lane)) AS digest FROM l""",
         "priority_counter": "SELECT string_agg(p || '=' || n, '|' ORDER BY p) AS counts FROM (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1)",

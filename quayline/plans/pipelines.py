@@ -68,8 +68,10 @@ def scenes(clean: DataFrame, clean_dir: str, output_dir: str, profiles: str = "a
     """Every clean row through every profile's channel, written to ``output_dir``; the written clean file is what is read."""
     spark = clean.sparkSession
     audio = wav.read(spark, clean_dir, "*.wav").select(F.element_at(F.split("path", "/"), -1).alias("__file"), "samples")
-    rows = reshape.profile_scenes(clean, profiles, seed, bank_name).drop("head_crop_ms", "tail_noise_ms", "profile_index", "record_index")
-    rows = rows.join(audio, F.col("clean_audio") == F.col("__file")).drop("__file")
+    numbered = clean if "record_index" in clean.columns else reshape.record_index(clean)
+    # a clip is joined once; its profiles multiply it inside the task that holds it
+    with_audio = numbered.join(audio, F.col("clean_audio") == F.col("__file")).drop("__file")
+    rows = reshape.profile_scenes(with_audio, profiles, seed, bank_name).drop("head_crop_ms", "tail_noise_ms", "profile_index", "record_index")
     rows = rows.join(F.broadcast(profile_frame(spark, profiles).drop("profile_index")), "profile")
     loud = dsp.augment(rows, bank=bank).drop(*[f for f in dsp.FIELDS if f != "profile"])
     return wav.write(loud, output_dir, "audio").drop("scene_seed")

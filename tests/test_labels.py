@@ -60,5 +60,5 @@ def test_three_views_of_each_row(spark):
     df = labels.labelled_rows(spark.createDataFrame(rows(9), SCHEMA), bias=False)
     out = views.paired_views(df).collect()
     assert len(out) == 27 and len({r.id for r in out}) == 27 and {r.paired_source_id for r in out} == {r.id for r in df.collect()}
-    empty = [r for r in out if r.view == "konger_prompt" and not r.phoneme_negative_entities]
+    empty = [r for r in out if r.view == "unsupported_prompt" and not r.phoneme_negative_entities]
     assert empty and all(r.prompt == "Candidate vessel names: . Use a candidate only if it is spoken." for r in empty)

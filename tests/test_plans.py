@@ -90,7 +90,7 @@ def test_dialogues_to_paired_views(spark, dialogues, tmp_path):
     assert len(got) == 12 and got["1_vhf_clear"].positive_entities == ["Aurora Star", "Knight Queen"] and got["1_vhf_clear"].phoneme_negative_entities == ["Arrow Star"]
     assert got["3_vhf_weak"].positive_entities == ["Pacific Vicky"] and got["3_vhf_weak"].reference_text == "PACIFIC-VICKY, channel 12."
     told = pipelines.write_paired_views(labelled, str(tmp_path / "views")).collect()
-    assert sorted((r.view, r.n_rows) for r in told) == [("konger_prompt", 12), ("no_prompt", 12), ("true_prompt", 12)]
+    assert sorted((r.view, r.n_rows) for r in told) == [("unsupported_prompt", 12), ("no_prompt", 12), ("true_prompt", 12)]
 
 
 def test_utterances_to_scenes_and_pace(spark, dialogues, tmp_path):
