@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -54,18 +55,18 @@ def tile(item: np.ndarray, text: np.ndarray, shortest: int = SHORTEST) -> list[t
                     n += 1
                 if n >= width:
                     matches.append((-n, i, t))
-        matches.sort()
+        heapq.heapify(matches)
         while matches:
-            n, i, t = matches.pop(0)
+            n, i, t = heapq.heappop(matches)
             ok = free_item[i : i - n] & free_text[t : t - n]
             if ok.all():
                 free_item[i : i - n] = free_text[t : t - n] = False
                 tiles.append((i, t, -n))
                 continue
             edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.astype(np.int8), [0]])))
-            left = [(int(a - b), i + int(a), t + int(a)) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= width]
-            if left:
-                matches = sorted(matches + left)
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if b - a >= width:
+                    heapq.heappush(matches, (a - b, i + a, t + a))
         if width == shortest:
             break
         width = max(shortest, width // 2)
@@ -122,8 +123,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     """doc_id, item_id, coverage and n_tiles of every document row and benchmark item whose tokens are covered.
 
     Coverage: tokens of the item in tiles over its tokens, so a reordered passage still counts. Whole texts are
-    read; no row is shuffled. Null or empty texts match nothing, nor do items of fewer than ``shortest`` tokens;
-    repeated rows give repeated results; an empty table on either side gives none. A benchmark over ``block_chars``
+    read; no row is shuffled. Null or empty texts match nothing, nor do items of fewer than ``shortest`` tokens, which
+    stand in too many clean texts to be evidence of a leak; repeated rows give repeated results; an empty table on either side gives none. A benchmark over ``block_chars``
     is matched in several passes over the documents.
     """
     doc_kind, item_kind = (f.schema[n].dataType.simpleString() for f, n in ((docs, "doc_id"), (benchmark, "item_id")))
