@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and one process does all."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -26,7 +26,7 @@ def _folder(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back, so that what made it runs once; removed when the interpreter ends."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/quayline/{spark.sparkContext.applicationId}/staged-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quayline/{spark.sparkContext.applicationId}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

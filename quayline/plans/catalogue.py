@@ -6,6 +6,7 @@ the parts of an order its entities, a user's events a frame series, an embedding
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from quayline.functions import dsp, text
 from quayline.functions.profiles import profile_frame
 from quayline.operators import labels, matching, reshape, sampling, series, summary, views
+from quayline.operators.staging import shared_folder
 from quayline.plans import oracles
+from quayline.sources import readers, sinks
 from quayline.sources.readers import lookup_items
 
 LANGS = ("en", "fr", "de", "es")
@@ -376,6 +379,44 @@ def capped_events(spark: SparkSession, d: str) -> DataFrame:
     return series.capped_events(_events(spark, d), "series_id", "end_idx", most=20)
 
 
+# ---- sources and sinks ----
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/quayline/{spark.sparkContext.applicationId}/out-{uuid.uuid4().hex}"
+
+
+@_query
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written as JSON lines, the odd ones appended, and read back."""
+    rows, path = _orders(spark, d).select("id", "profile", F.array_sort("positive_entities").alias("positive_entities")), _scratch(spark)
+    sinks.write_new_jsonl(rows.where("id % 2 = 0"), path)
+    sinks.append_jsonl(rows.where("id % 2 = 1"), path)
+    back = readers.read_jsonl(spark, path, "id bigint, profile string, positive_entities array<string>")
+    return back.select("id", "profile", _joined("positive_entities").alias("entities"))
+
+
+@_query
+def utterance_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as an utterance CSV and back, all text and line breaks kept."""
+    path = _scratch(spark)
+    turns = _t(spark, d, "conversations")
+    names = ("event", "intent", "provider", "model")
+    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("utterance_id"), F.col("conv_id").cast("string").alias("dialogue_id"), F.col("turn").cast("string").alias("turn_id"), *[F.lit(f'{n} "x", y').alias(n) for n in names], F.lit("[]").alias("ship_names"), F.concat(F.lit(' "a",\n'), F.col("text")).alias("text"))
+    sinks.write_utterances(rows, path)
+    return readers.load_utterances(spark, path, turns.count()).select("utterance_id", "turn_id", "event", "text")
+
+
+@_query
+def bank_document(spark: SparkSession, d: str) -> DataFrame:
+    """A bank's items as one JSON document and back, each with its place in its category."""
+    path = _scratch(spark)
+    # a small document, written in the order of one partition
+    items = _t(spark, d, "benchmark").repartition(1).sortWithinPartitions("item_id").select(F.col("item_id").cast("string").alias("path"), F.concat(F.lit("c"), F.col("item_id") % 3).alias("category"), (F.col("item_id") / 8).alias("start_sec"))
+    sinks.write_document(items, path, "items")
+    return readers.load_bank_items(spark, path).select("path", "category", "start_sec", (F.col("category_pos") + 1).cast("bigint").alias("place"))
+
+
 # ---- signals ----
 
 

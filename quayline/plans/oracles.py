@@ -259,6 +259,9 @@ def all_sql() -> dict[str, str]:
         "tail_events": f"WITH {_EVENTS} SELECT * FROM hits",
         "event_clips": f"WITH {_EVENTS} SELECT h.series_id, end_idx, event_idx, count(*) AS n_frames, round(arg_max(value, i), 6) AS last_value FROM hits h JOIN frames f ON f.series_id = h.series_id AND f.i BETWEEN event_idx AND event_idx + 4 GROUP BY 1, 2, 3",
         "capped_events": f"WITH {_EVENTS} SELECT * FROM hits ORDER BY series_id, end_idx LIMIT 20",
+        "jsonl_round_trip": "SELECT o_orderkey AS id, o_orderpriority AS profile, coalesce((SELECT string_agg(DISTINCT l_partkey::VARCHAR, '|' ORDER BY l_partkey::VARCHAR) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS entities FROM orders",
+        "utterance_csv": """SELECT (conv_id * 1000 + turn)::VARCHAR AS utterance_id, turn::VARCHAR AS turn_id, 'event "x", y' AS event, ' "a",' || chr(10) || text AS text FROM conversations""",
+        "bank_document": "SELECT item_id::VARCHAR AS path, 'c' || item_id % 3 AS category, item_id / 8.0::DOUBLE AS start_sec, row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) AS place FROM benchmark",
         "levels": f"WITH {_WAVE}, s AS (SELECT vec_id, list_transform(x, lambda v: v * (vec_id % 7 + 1)) AS x FROM wave) SELECT vec_id, round({_rms('x')}, 6) AS rms_db, round({_peak('x')}, 6) AS peak FROM s",
         "set_rms": f"WITH {_WAVE}, s AS (SELECT vec_id, list_transform(x, lambda v: v * power(10, (-36.0 - {_rms('x')}) / 20)) AS x FROM wave) SELECT vec_id, round(x[1], 6) AS first_sample, round({_peak('x')}, 6) AS peak FROM s",
         "saturate_clip": f"WITH {_WAVE}, s AS (SELECT vec_id, list_transform(x, lambda v: greatest(least(tanh(v * 8.0), 0.9), -0.9)) AS x FROM wave) SELECT vec_id, round(x[1], 6) AS first_sample, round({_peak('x')}, 6) AS peak FROM s",

@@ -1,8 +1,9 @@
-"""The four end-to-end programs as functions, with the same parameters and defaults as their command lines."""
+"""The end-to-end programs as functions, with the same parameters and defaults as their command lines (``quayline.cli``)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -142,7 +143,10 @@ def select_and_calibrate(rows: DataFrame, output: str, discovery: str, confirmat
     parts = {output: chosen, discovery: first, confirmation: second}
     for path, part in parts.items():
         sinks.write_new_jsonl(sampling.in_sample_order(part, seed, "id"), path)
-    told = summary.selection_summary(chosen).withColumns({f"{name}_digest": F.lit(sinks.digest_of(part)) for name, part in zip(("output", "discovery", "confirmation"), parts.values(), strict=True)})
+    files = [sinks.byte_digests(rows.sparkSession, path).agg(F.sort_array(F.collect_list(F.struct("path", "length", "sha256"))).alias(f"{name}_files")) for name, path in zip(("output", "discovery", "confirmation"), parts, strict=True)]
+    # each side is one row: the files of an output are few
+    told = reduce(DataFrame.crossJoin, [summary.selection_summary(chosen), *files])
+    told = told.withColumns({f"{name}_digest": F.lit(sinks.digest_of(part)) for name, part in zip(("output", "discovery", "confirmation"), parts.values(), strict=True)})
     sinks.write_document(told.withColumn("seed", F.lit(seed)), summary_path)
     return chosen
 

@@ -32,11 +32,18 @@ def load_manifest(spark: SparkSession, path: str, schema: str | StructType = SCE
     return spark.read.option("multiLine", "true").option("mode", "FAILFAST").schema(schema).json(path)
 
 
+def load_rows(spark: SparkSession, path: str, schema: str | StructType = SCENES) -> DataFrame:
+    """Scene rows from one JSON document (a file named .json) or from JSON lines."""
+    return load_manifest(spark, path, schema) if path.endswith(".json") else read_jsonl(spark, path, schema)
+
+
 def load_utterances(spark: SparkSession, path: str, limit: int = 256) -> DataFrame:
-    """A CSV with header, all text. ``limit`` rows by numeric id: 0 gives none, unlike elsewhere."""
+    """A CSV with header, all text. The first ``limit`` rows in the order of the file (of a folder: of its files by name): 0 gives none, unlike elsewhere."""
     options = {"header": "true", "multiLine": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "FAILFAST"}
     rows = spark.read.options(**options).schema(UTTERANCES).csv(path)
-    return rows.orderBy(F.col("utterance_id").cast("bigint")).limit(limit)
+    # quoted line breaks keep a file in one partition, where the id rises with the line
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__row"))
+    return placed.orderBy("__file", "__row").limit(limit).drop("__file", "__row")
 
 
 def load_bank_items(spark: SparkSession, path: str) -> DataFrame:

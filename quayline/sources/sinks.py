@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayline.operators.reshape import UTTERANCE_FIELDS
@@ -52,6 +52,12 @@ def write_document(df: DataFrame, path: str, name: str | None = None) -> None:
     document(df, name).coalesce(1).write.mode("overwrite").text(path)
 
 
+def byte_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and SHA-256 of the bytes of every file that an output consists of."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def digest_of(df: DataFrame) -> str:
     """The content digest that summaries record for an output; it does not depend on row order."""
     return content_digest(df).first()["digest"]

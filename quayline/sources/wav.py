@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,24 +42,29 @@ def parse_header(data: bytes, size: int | None = None) -> dict:
     return found
 
 
-def decode(data: bytes) -> tuple[np.ndarray, int]:
-    """Samples from -1 to 1 as float32, one column for each channel, and the rate."""
-    head = parse_header(data)
-    n = head["frames"] * head["channels"]
-    raw = data[head["start"] : head["start"] + n * head["width"]]
+def _values(raw: bytes, head: dict) -> np.ndarray:
+    """Whole frames as float32 from -1 to 1, one column for each channel."""
+    width = head["width"]
     if head["kind"] == 3:
-        values = np.frombuffer(raw, "<f4" if head["width"] == 4 else "<f8").astype(np.float32)
+        values = np.frombuffer(raw, "<f4" if width == 4 else "<f8").astype(np.float32)
     elif head["kind"] != 1:
         raise ValueError(f"WAV format {head['kind']} is not supported")
-    elif head["width"] == 1:
+    elif width == 1:
         values = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif head["width"] == 3:
-        wide = np.zeros((n, 4), np.uint8)
+    elif width == 3:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
         wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
         values = (wide.view("<i4").ravel() / float(1 << 31)).astype(np.float32)
     else:
-        values = (np.frombuffer(raw, f"<i{head['width']}") / float(1 << (8 * head["width"] - 1))).astype(np.float32)
-    return values.reshape(-1, head["channels"]), head["sample_rate"]
+        values = (np.frombuffer(raw, f"<i{width}") / float(1 << (8 * width - 1))).astype(np.float32)
+    return values.reshape(-1, head["channels"])
+
+
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples from -1 to 1 as float32, one column for each channel, and the rate."""
+    head = parse_header(data)
+    size = head["frames"] * head["channels"] * head["width"]
+    return _values(data[head["start"] : head["start"] + size], head), head["sample_rate"]
 
 
 def encode(samples: np.ndarray, rate: int) -> bytes:
@@ -72,16 +78,57 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
 
 
+def _open(path: str):
+    """A file for reading at places, by its URI: from a mounted folder or from any store that Arrow's file systems reach."""
+    if path.startswith("file:"):
+        return open(re.sub("^file:/+", "/", path), "rb")
+    from pyarrow import fs
+
+    store, inside = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inside)
+
+
+def _seekable(files: DataFrame) -> bool:
+    """Whether the store can be read at places; otherwise Spark's reader must bring whole files."""
+    first = files.select("path").first()
+    try:
+        if first is not None:
+            _open(first["path"]).close()
+        return True
+    except Exception:  # noqa: BLE001  no such file system here, for whatever reason
+        return False
+
+
+#: Bytes that hold the chunks before the samples.
+HEAD_BYTES = 1 << 16
+
+
 def probe(spark: SparkSession, path: str, glob: str = "*.WAV") -> DataFrame:
-    """path, sample_rate, channels, n_frames and duration_sec of every file below ``path``, from its first bytes."""
+    """path, sample_rate, channels, n_frames and duration_sec of every file below ``path``, from its first bytes.
 
-    @F.pandas_udf("sample_rate int, channels int, n_frames bigint")
-    def head(data: pd.Series, size: pd.Series) -> pd.DataFrame:
-        rows = [parse_header(d, int(n)) for d, n in zip(data, size, strict=True)]
+    Only HEAD_BYTES of a file are read where the store can be read at places; elsewhere Spark reads the file.
+    """
+    files = _files(spark, path, glob)
+
+    def told(heads: Iterator[bytes], sizes: pd.Series) -> pd.DataFrame:
+        rows = [parse_header(d, int(n)) for d, n in zip(heads, sizes, strict=True)]
         return pd.DataFrame({"sample_rate": [r["sample_rate"] for r in rows], "channels": [r["channels"] for r in rows], "n_frames": [r["frames"] for r in rows]}, columns=["sample_rate", "channels", "n_frames"])
 
-    # 64 KiB hold the chunks before the samples; only they reach Python
-    rows = _files(spark, path, glob).select("path", head(F.substring("content", 1, 1 << 16), "length").alias("h")).select("path", "h.*")
+    @F.pandas_udf("sample_rate int, channels int, n_frames bigint")
+    def brought(data: pd.Series, size: pd.Series) -> pd.DataFrame:
+        return told(iter(data), size)
+
+    @F.pandas_udf("sample_rate int, channels int, n_frames bigint")
+    def sought(names: pd.Series, size: pd.Series) -> pd.DataFrame:
+        def heads() -> Iterator[bytes]:
+            for name in names:
+                with _open(name) as f:
+                    yield f.read(HEAD_BYTES)
+
+        return told(heads(), size)
+
+    head = sought("path", "length") if _seekable(files) else brought(F.substring("content", 1, HEAD_BYTES), "length")
+    rows = files.select("path", head.alias("h")).select("path", "h.*")
     return rows.withColumn("duration_sec", F.col("n_frames") / F.col("sample_rate"))
 
 
@@ -105,20 +152,43 @@ def read(spark: SparkSession, path: str, glob: str = "*.[wW][aA][vV]") -> DataFr
 def windows(spark: SparkSession, files: DataFrame, glob_root: str, count: int = 24, seconds: float = 4.0, glob: str = "*.WAV") -> DataFrame:
     """path, start_sec, sample_rate and samples of ``count`` evenly spaced clips of every file in ``files``.
 
-    Starts run from 0 to the duration less ``seconds``; places in samples are truncated; each file is decoded once.
+    Starts run from 0 to the duration less ``seconds``; places in samples are truncated. Only the clips are read where the
+    store can be read at places.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def clips(name: str, head: dict, frames: Callable[[int, int], bytes]) -> Iterator[pd.DataFrame]:
+        rate, total = head["sample_rate"], head["frames"]
+        for start in np.linspace(0, max(total / rate - seconds, 0), count):
+            first = int(start * rate)
+            n = max(0, min(int(seconds * rate), total - first))
+            clip = _values(frames(first, n), head).mean(axis=1).astype(np.float32)
+            yield pd.DataFrame({"path": [name], "start_sec": [float(start)], "sample_rate": [rate], "samples": [clip]})
+
+    def brought(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
-                values, rate = decode(data)
-                x = values.mean(axis=1).astype(np.float32)
-                starts = np.linspace(0, max(len(x) / rate - seconds, 0), count)
-                clips = [x[int(s * rate) : int(s * rate) + int(seconds * rate)] for s in starts]
-                yield pd.DataFrame({"path": name, "start_sec": starts, "sample_rate": rate, "samples": clips})
+                head = parse_header(data)
+                step = head["channels"] * head["width"]
+                yield from clips(name, head, lambda first, n, d=data, h=head, w=step: d[h["start"] + first * w : h["start"] + (first + n) * w])
 
-    content = _files(spark, glob_root, glob).join(files.select("path"), "path", "left_semi").select("path", "content")
-    return content.mapInPandas(run, "path string, start_sec double, sample_rate int, samples array<float>")
+    def sought(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, size in zip(batch["path"], batch["length"], strict=True):
+                with _open(name) as f:
+                    head = parse_header(f.read(HEAD_BYTES), int(size))
+                    step = head["channels"] * head["width"]
+
+                    def frames(first: int, n: int, f=f, head=head, step=step) -> bytes:
+                        f.seek(head["start"] + first * step)
+                        return f.read(n * step)
+
+                    yield from clips(name, head, frames)
+
+    found = _files(spark, glob_root, glob).join(files.select("path"), "path", "left_semi")
+    schema = "path string, start_sec double, sample_rate int, samples array<float>"
+    if _seekable(files):
+        return found.select("path", "length").mapInPandas(sought, schema)
+    return found.select("path", "content").mapInPandas(brought, schema)
 
 
 def write(df: DataFrame, root: str, name: str = "audio", samples: str = "samples", rate: str = "sample_rate") -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayline.functions.kernels import features
+from quayline.functions.profiles import NAMES as PROFILE_NAMES
 from quayline.operators import reshape
 from quayline.plans import pipelines
 from quayline.sources import readers, sinks, wav
@@ -53,6 +54,56 @@ def test_utterance_csv_round_trip(spark, dialogues, tmp_path):
     assert readers.load_utterances(spark, str(tmp_path / "u.csv"), 0).count() == 0
 
 
+def test_utterances_come_in_the_order_of_the_file(spark, tmp_path):
+    head = "utterance_id,dialogue_id,turn_id,event,intent,provider,model,ship_names,text"
+    (tmp_path / "u.csv").write_text("\n".join([head, *[f"{i},1,1,e,i,p,m,[],t{i}" for i in (9, 2, 7, 1)]]) + "\n")
+    assert sorted(r.utterance_id for r in readers.load_utterances(spark, str(tmp_path / "u.csv"), 2).collect()) == ["2", "9"]
+
+
+def test_byte_digests(spark, tmp_path):
+    import hashlib
+
+    sinks.write_jsonl(spark.range(3).coalesce(1), str(tmp_path / "a"))
+    rows = sinks.byte_digests(spark, str(tmp_path / "a")).collect()
+    for r in rows:
+        data = open(r.path.removeprefix("file:"), "rb").read()
+        assert (r.length, r.sha256) == (len(data), hashlib.sha256(data).hexdigest())
+    assert any(r.length for r in rows)
+
+
+@pytest.mark.parametrize("seekable", [True, False])
+def test_clips_and_headers_with_and_without_seeking(spark, tmp_path, monkeypatch, seekable):
+    rate, x = 8000, (np.random.default_rng(3).normal(0, 0.1, 8000 * 61)).astype(np.float32)
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "x.WAV").write_bytes(wav.encode(x, rate))
+    if not seekable:
+        monkeypatch.setattr(wav, "_seekable", lambda files: False)
+    found = wav.long_files(spark, str(tmp_path))
+    assert [(r.sample_rate, r.n_frames, r.duration_sec) for r in found.collect()] == [(rate, len(x), 61.0)]
+    clips = wav.windows(spark, found, str(tmp_path), 5, 4.0).orderBy("start_sec").collect()
+    assert [r.start_sec for r in clips] == [0.0, 14.25, 28.5, 42.75, 57.0]
+    for r in clips:
+        at = int(r.start_sec * rate)
+        assert len(r.samples) == 4 * rate and np.abs(np.array(r.samples) - x[at : at + 4 * rate]).max() <= 1 / 32768
+
+
+def test_command_lines(spark, tmp_path):
+    from quayline import cli
+
+    rows = [{"id": f"{p}{i}", "profile": p, "dialogue_id": str(i), "utterance_id": str(i), "positive_entities": [f"n{p}{i}"], "audio": f"o/shard_{i % 8}/{p}{i}.wav", "bias_type": "no_bias", "phoneme_negative_entities": []} for i in range(16) for p in PROFILE_NAMES]
+    (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    out = {k: str(tmp_path / k) for k in ("output", "summary", "discovery", "confirmation")}
+    flags = [x for k, v in out.items() for x in (f"--{k}", v)]
+    assert cli.main(["select-and-calibrate", "--input", str(tmp_path / "in.jsonl"), "--total", "64", "--calibration-rows", "8", *flags], spark) == 64
+    told = spark.read.json(out["summary"]).first()
+    assert told.records == 64 and told.output_digest and all(len(f.sha256) == 64 for f in told.output_files)
+    assert cli.main(["paired-views", "--input", out["discovery"], "--output-prefix", str(tmp_path / "views")], spark) == 3
+    given = vars(cli.parser().parse_args(["label-and-split", "--bias", "yes"]))
+    assert given["bias"] is True and given["vhf_error_ratio"] == 0.22 and given["split_key"] == "dialogue_id"
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["select-test", "--train", "x"])
+
+
 def test_overwrite_policies(spark, tmp_path):
     df = spark.range(3)
     sinks.write_new_jsonl(df, str(tmp_path / "a"))
@@ -90,7 +141,7 @@ def test_dialogues_to_paired_views(spark, dialogues, tmp_path):
     assert len(got) == 12 and got["1_vhf_clear"].positive_entities == ["Aurora Star", "Knight Queen"] and got["1_vhf_clear"].phoneme_negative_entities == ["Arrow Star"]
     assert got["3_vhf_weak"].positive_entities == ["Pacific Vicky"] and got["3_vhf_weak"].reference_text == "PACIFIC-VICKY, channel 12."
     told = pipelines.write_paired_views(labelled, str(tmp_path / "views")).collect()
-    assert sorted((r.view, r.n_rows) for r in told) == [("unsupported_prompt", 12), ("no_prompt", 12), ("true_prompt", 12)]
+    assert sorted((r.view, r.n_rows) for r in told) == [("no_prompt", 12), ("true_prompt", 12), ("unsupported_prompt", 12)]
 
 
 def test_utterances_to_scenes_and_pace(spark, dialogues, tmp_path):
