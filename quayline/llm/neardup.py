@@ -213,9 +213,9 @@ def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: Da
     in a bucket are compared once, whatever the number of buckets, and never if they are of one component or if no two of
     their set sizes are near enough. No pair of documents becomes a row unless it is a link.
     """
-    known = labels.union(labels.select(F.col("root").alias("node"), "root").distinct())
+    known = settled(labels.union(labels.select(F.col("root").alias("node"), "root").distinct()))
     # part: the component of a document that is linked at all
-    marked = buckets.join(known, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "head", F.coalesce("root", "doc_id").alias("root"), F.col("root").alias("part"))
+    marked = buckets.join(broadcast_if(known, 24), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "head", F.coalesce("root", "doc_id").alias("root"), F.col("root").alias("part"))
     several = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     open_rows = settled(marked.join(several, "key", "left_semi"))
     own = open_rows.groupBy("doc_id").agg(F.min("root").alias("root"), F.min("head").alias("near"), F.min("part").alias("part")).join(signatures.select("doc_id", "n_shingles"), "doc_id")
@@ -233,7 +233,7 @@ def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: Da
     blocks = held(blocks, keep)
     both = pairs.join(blocks.withColumnRenamed("x", "xa"), "block").join(blocks.select(F.col("block").alias("other"), F.col("x").alias("xb")), "other")
     found = settled(both.select("xa", "xb").mapInArrow(_between(floor, percent), "a bigint, b bigint"))
-    forget(open_rows, placed)
+    forget(known, open_rows, placed)
     return found
 
 
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     forget(buckets, signatures, likely, links, more)
     release(keep)
     # checkpointed apart, so that the join below has two shuffles of which a hot set of copies can be split
-    roots = settled(classes.join(labels, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("root", "class_id").alias("root")))
+    roots = settled(classes.join(broadcast_if(labels, 24), F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("root", "class_id").alias("root")))
     told = table.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return told.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
