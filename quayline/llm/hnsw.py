@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ SHARD_BYTES, SHARD_ROWS = 64 << 20, 1024
 #: Bytes of query vectors in one broadcast block.
 QUERY_BYTES = 16 << 20
 #: Neighbours of a node on the upper layers (twice as many on the lowest), and beam widths of building and searching.
-DEGREE, BUILD_BEAM, SEARCH_BEAM = 16, 48, 128
+DEGREE, BUILD_BEAM, SEARCH_BEAM = 16, 48, 192
+#: Beam width on layers that are only passed through.
+ENTRY_BEAM = 8
 _EXPAND = 4
 _BATCH = 256
 
@@ -114,9 +117,10 @@ class Graph:
         entry = np.full((len(batch), 1), self.entry)
         for layer in range(len(self.layers) - 1, -1, -1):
             links = self.layers[layer]
-            ids, dist = _beam(self.vectors, links, self.vectors[batch], entry, BUILD_BEAM)
-            entry = ids
             here = levels[batch] >= layer
+            # a layer that no vector of the batch enters only shows the way down
+            ids, dist = _beam(self.vectors, links, self.vectors[batch], entry, BUILD_BEAM if here.any() else ENTRY_BEAM)
+            entry = ids
             if not here.any():
                 continue
             nodes, degree = batch[here], links.shape[1]
@@ -147,7 +151,7 @@ class Graph:
         """Node places and squared distances of the ``width`` nearest found for each query, nearest first."""
         entry = np.full((len(queries), 1), self.entry)
         for layer in range(len(self.layers) - 1, 0, -1):
-            entry, _ = _beam(self.vectors, self.layers[layer], queries, entry, 8)
+            entry, _ = _beam(self.vectors, self.layers[layer], queries, entry, ENTRY_BEAM)
         return _beam(self.vectors, self.layers[0], queries, entry, width)
 
 
@@ -221,7 +225,7 @@ def _searcher(shared, k: int, beam: int):
                 starts = np.concatenate([[0], np.cumsum(sizes)])
                 own = best[shard["dim"]]
                 for one in range(0, len(asked), 256):
-                    places, _ = graph.search(queries[one : one + 256], max(beam, k + 1))
+                    places, _ = graph.search(queries[one : one + 256], max(beam, k + 1, 2 * math.isqrt(len(graph.vectors))))
                     for q, row in enumerate(places, one):
                         row = row[row >= 0]
                         exact = np.sqrt(((graph.vectors[row] - queries[q]) ** 2).sum(axis=1))
@@ -252,7 +256,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH
 
     Queries are stored once and go in blocks of about QUERY_BYTES, one after the other: a block is broadcast, every task
     walks its shards with it and keeps the k nearest of them, these are merged by (distance, vec_id) and written, and the
-    broadcast is released. Distances are Euclidean in double precision on the stored vectors.
+    broadcast is released. Beams are ``beam`` wide at least, and twice the root of a larger shard's size, as recall falls with
+    the size otherwise. Distances are Euclidean in double precision on the stored vectors.
     """
     spark = queries.sparkSession
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
