@@ -21,17 +21,25 @@ import quayline
 # Python workers do not inherit the driver's sys.path, so functions of this package travel by value.
 cloudpickle.register_pickle_by_value(quayline)
 
-#: Rows of an Arrow batch that Python works on at a time.
-BATCH_ROWS = 400
+#: Rows and bytes of an Arrow batch sent to Python, whichever is reached first, and rows that Python works on at a time.
+BATCH_ROWS, BATCH_BYTES = 400, 32 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
 
-def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``BATCH_ROWS`` rows, so that few texts become Python objects at a time; no empty ones.
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session that has set no bounds of its own to BATCH_ROWS rows and BATCH_BYTES.
 
-    What Spark sends at once is bounded by its own default of 64 MB and one row.
+    Spark reads the bounds when a plan runs, which for a lazy result is after its function has returned, so they stay set;
+    at its defaults (10,000 rows, 64 MB) batches of long texts take several hundred MB of an executor.
     """
+    for key, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(bound))
+
+
+def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``BATCH_ROWS`` rows, whatever the session sends at once; no empty ones."""
     for batch in batches:
         for first in range(0, batch.num_rows, BATCH_ROWS):
             yield batch.slice(first, BATCH_ROWS)

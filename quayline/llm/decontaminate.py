@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import WordKeys, lane, rolling, within
+from quayline.llm.common import WordKeys, lane, rolling, small_batches, within
 
 #: Shortest tile in tokens, and the part of an item's tokens that tiles must cover.
 SHORTEST, COVERAGE = 5, 0.5
@@ -127,6 +127,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     stand in too many clean texts to be evidence of a leak; repeated rows give repeated results; an empty table on either side gives none. A benchmark over ``block_chars``
     is matched in several passes over the documents.
     """
+    small_batches(docs.sparkSession)
     doc_kind, item_kind = (f.schema[n].dataType.simpleString() for f, n in ((docs, "doc_id"), (benchmark, "item_id")))
     item_type = pa.string() if item_kind == "string" else pa.int64()
     found = None
@@ -153,6 +154,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that cover no benchmark item; cases as in ``find_contamination``."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     for rows in _blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(rows)

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm.common import lane, share, within
+from quayline.llm.common import lane, share, small_batches, within
 
 #: n-gram orders and hash buckets; the matrix has one row for each language and BUCKETS columns.
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
@@ -74,6 +74,7 @@ def fit(labelled: DataFrame, bound: int = TRAIN_ROWS) -> tuple[list[str], np.nda
     a language with fewer. Priors are the shares of all labelled rows. A language whose rows hold no n-gram (null or
     empty texts) is not learned. Counts are summed in Spark and at most languages x BUCKETS of them reach the driver.
     """
+    small_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     per_lang = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGS + 1).collect()
     if len(per_lang) > MOST_LANGS:
@@ -127,6 +128,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
     repeated ids and repeated rows come back as they are; an empty table gives none. Ties go to the first language.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast(model)
     schema = docs.select("*", F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import WordKeys, broadcast_if, durable, forget, held, mix64, release, rolling, settled, signed, within
+from quayline.llm.common import WordKeys, broadcast_if, durable, forget, held, mix64, release, rolling, settled, signed, small_batches, within
 from quayline.llm.components import components
 
 WIDTH = 5
@@ -251,6 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     component_id, are kept and link nothing; rows that share a doc_id are one node. An empty table gives no rows.
     Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     floor = percent / 100 - MARGIN
     table = durable(sketches(docs, percent), "sketches")
     known = table.where("digest IS NOT NULL AND doc_id IS NOT NULL")

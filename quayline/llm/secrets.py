@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import within
+from quayline.llm.common import small_batches, within
 
 #: Fixed patterns: the base kinds, in the order in which ties at one start are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -234,6 +234,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     (DER lengths, OpenSSH blocks, token header and claims) holds to its end. Null and empty texts have no spans;
     rows are independent, so null, repeated ids and repeated rows come back as they are. An empty table gives none.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
@@ -253,6 +254,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``[SECRET]`` and ``n_chars`` of the new text; all rows stay."""
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayline.llm.common import mix64, within
+from quayline.llm.common import mix64, small_batches, within
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: How many keys of occurrences tests try on one unit; it bounds nothing.
@@ -82,7 +82,7 @@ class Encoder:
     """
 
     #: Units and nodes remembered by one task, the most skips of a node, the longest unit worked through in arrays.
-    remembered, nodes, deepest, short, rows = 250_000, 1_000_000, 3, 32, 4096
+    remembered, nodes, deepest, short, rows = 150_000, 400_000, 3, 32, 4096
     #: Characters whose units are looked up together (one text at least).
     together_chars = 1 << 21
     _UNIT = re.compile(r" *[^ \n]+| +|\n")
@@ -381,6 +381,7 @@ def encode_documents(docs: DataFrame, dropout: float = 0.1, seed: int = 7, model
     names are replaced; an empty table gives none. The model is read on the driver, size-checked and broadcast.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("token_ids", "n_tokens", "lossless")
     names = docs.columns
     shared = spark.sparkContext.broadcast(load_model(model_path))

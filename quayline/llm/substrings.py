@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import WordKeys, broadcast_if, cut, forget, having, held, mix64, release, rolling, settled, signed, within
+from quayline.llm.common import WordKeys, broadcast_if, cut, forget, having, held, mix64, release, rolling, settled, signed, small_batches, within
 
 #: The k of the graph: an edge is a window of 50 consecutive words, its two nodes are the 49-word ends.
 WINDOW = 50
@@ -249,6 +249,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     doc_id, which count against no other row. Rows that share a doc_id do not count against each other. Repeated rows
     come out alike. An empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     keep: list[DataFrame] = []
     own = repeated_spans(docs, keep).select("doc_id", "name", F.explode("spans").alias("s")).select("doc_id", F.struct("name", "s.start", "s.end").alias("s"))
     found = settled(own.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("found")))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quayline.llm.common import within
+from quayline.llm.common import small_batches, within
 from quayline.llm.sptokens import MODEL, SPACE, load_model
 
 
@@ -91,6 +91,7 @@ def count_tokens(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     null and repeated ids and repeated rows are rows like any other; an empty table gives none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(log_probabilities(load_model(model_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
