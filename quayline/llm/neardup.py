@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayline.llm.common import WordKeys, broadcast_if, durable, forget, held, mix64, release, rolling, settled, signed, small_batches, within
@@ -20,6 +20,8 @@ LANES, MISSED = 140, 2e-5
 BITS, MARGIN = 4, 0.2
 #: Shingles in a block of documents of the last candidate pass, in which blocks are compared with blocks (a document at least).
 BLOCK_SHINGLES = 1 << 18
+#: Set sizes of one block of a larger group lie within this factor.
+CLASS_STEP = 1.1
 _CHUNK = 1 << 15
 
 _seeds = mix64(np.arange(1, 2 * LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -208,8 +210,8 @@ def _between(floor: float, percent: int):
 def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: DataFrame, floor: float, percent: int, keep: list[DataFrame]) -> DataFrame:
     """Links that the first pass left: between bucket mates in different components.
 
-    Only buckets of several components matter. Their documents are put in blocks of about BLOCK_SHINGLES, by component,
-    the smallest document they share a bucket with and set size, so that blocks meet in few buckets; two blocks that meet
+    Only buckets of several components matter. Their documents are put in blocks of about BLOCK_SHINGLES, by component
+    and the smallest document they share a bucket with, and by set size beyond one block, so that blocks meet in few buckets; two blocks that meet
     in a bucket are compared once, whatever the number of buckets, and never if they are of one component or if no two of
     their set sizes are near enough. No pair of documents becomes a row unless it is a link.
     """
@@ -219,8 +221,13 @@ def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: Da
     several = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     open_rows = settled(marked.join(several, "key", "left_semi"))
     own = open_rows.groupBy("doc_id").agg(F.min("root").alias("root"), F.min("head").alias("near"), F.min("part").alias("part")).join(signatures.select("doc_id", "n_shingles"), "doc_id")
-    order = Window.partitionBy("part", "near").orderBy("n_shingles", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = own.withColumn("block", F.xxhash64("part", "near", F.floor(F.coalesce(F.sum("n_shingles").over(order), F.lit(0)) / BLOCK_SHINGLES)))
+    own = settled(own.withColumn("group", F.xxhash64("part", "near")).withColumn("class", F.floor(F.log(CLASS_STEP, F.greatest("n_shingles", F.lit(1))))))
+    # groups over a block are dealt by set size and a hash of doc_id, from counts alone, so that no task holds a whole group
+    counts = own.groupBy("group", "class").agg(F.sum("n_shingles").alias("shingles"))
+    large = counts.groupBy("group").agg(F.sum("shingles").alias("all")).where(F.col("all") > BLOCK_SHINGLES).select("group")
+    slots = settled(counts.join(large, "group", "left_semi").select("group", "class", F.ceil(F.col("shingles") / BLOCK_SHINGLES).alias("slots")))
+    slot = F.xxhash64("group", "class", F.pmod(F.xxhash64("doc_id"), F.col("slots")))
+    placed = own.join(broadcast_if(slots, 24), ["group", "class"], "left").withColumn("block", F.when(F.col("slots").isNull(), F.col("group")).otherwise(slot))
     placed = settled(placed.select("doc_id", "root", "part", "block", "n_shingles"))
     sizes = placed.groupBy("block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     meets = open_rows.select("key", "doc_id").join(placed.select("doc_id", "block", "part"), "doc_id").select("key", "block", "part").distinct().join(sizes, "block")
@@ -233,7 +240,7 @@ def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: Da
     blocks = held(blocks, keep)
     both = pairs.join(blocks.withColumnRenamed("x", "xa"), "block").join(blocks.select(F.col("block").alias("other"), F.col("x").alias("xb")), "other")
     found = settled(both.select("xa", "xb").mapInArrow(_between(floor, percent), "a bigint, b bigint"))
-    forget(known, open_rows, placed)
+    forget(known, open_rows, own, slots, placed)
     return found
 
 

@@ -55,6 +55,21 @@ def test_chain_in_one_bucket_is_found_without_its_smallest_member(spark):
     assert got == brute(rows, 88)
 
 
+def test_groups_over_a_block_are_dealt_whole(spark, monkeypatch):
+    """Blocks far smaller than the groups: several slots and set sizes, and no link lost between them."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 600)
+    rng = random.Random(6)
+    hub = [f"w{i}" for i in range(400)]
+    rows = [(900, " ".join(hub), None, None, None)]
+    for i in range(80):
+        copy = list(hub) + [f"z{rng.random()}" for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(8)):
+            copy[rng.randrange(400)] = f"y{rng.random()}"
+        rows.append((i, " ".join(copy), None, None, None))
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 88).collect())
+    assert got == brute(rows, 88)
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(1)
     for both in (200, 600, 900):
