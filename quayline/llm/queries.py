@@ -1,4 +1,4 @@
-"""The registered queries of the corpus operators, op1 to op10, and their DuckDB SQL."""
+"""The registered queries of the corpus operators, op1 to op13, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm import chat, decontaminate, hnsw, langid, neardup, secrets, sharding, sptokens, substrings, tokencount
+from quayline.llm import chat, convtrie, decontaminate, hnsw, langid, neardup, secrets, sharding, sptokens, substrings, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,8 +83,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, rebuilt with the first turns of their hundred's first one."""
+    turns = convtrie.digested(_table(spark, sf_dir, "conversations"))
+    return convtrie.trie(convtrie.grafted(turns), convtrie.members(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw, op2_sentencepiece, op3_sharding, op4_language_id, op5_secret_scans, op6_token_counts, op7_minhash_neardup, op8_decontamination, op9_substring_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_hnsw, op2_sentencepiece, op3_sharding, op4_language_id, op5_secret_scans, op6_token_counts, op7_minhash_neardup, op8_decontamination, op9_substring_dedup, op10_chat_format, op11_conversation_trie)}
 
 
 OP10_SQL = """
@@ -106,5 +112,35 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS l
 """
 
 
+#: crc32 is worked out bit by bit: a byte is met with exclusive or, then -1 stands for each of eight shifts.
+OP11_SQL = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+members AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+      [4294967295::BIGINT] || flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN regexp_extract_all(conv_id::VARCHAR, '.')]),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS pos, role, text FROM (
+    SELECT m.conv_id, 0 AS part, t.pos, t.role, t.text FROM members m JOIN turns t ON t.conv_id = m.base AND t.pos <= m.h
+    UNION ALL SELECT t.conv_id, 1, t.pos, t.role, t.text FROM turns t JOIN members m USING (conv_id) WHERE t.pos > m.h)),
+paths AS (
+  SELECT conv_id, pos AS depth, length(text) AS chars,
+    string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY pos) AS node FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM members),
+sized AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS size, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM paths),
+nodes AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) = depth AS leaf, any_value(chars) AS chars, any_value(up) AS up,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends FROM sized GROUP BY depth, node),
+below AS (
+  SELECT p.depth, p.node, count(*) FILTER (n.depth = p.depth + 1) AS n_children, count(*) FILTER (n.leaf) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+  FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, b.n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN below b USING (depth, node) LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.node = n.up
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL}
+    return {"op10_chat_format": OP10_SQL, "op11_conversation_trie": OP11_SQL}
