@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm import chat, convtrie, decontaminate, hnsw, langid, neardup, secrets, sharding, sptokens, substrings, tokencount
+from quayline.llm import chat, collocations, convtrie, decontaminate, hnsw, langid, neardup, secrets, sharding, sptokens, substrings, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,8 +89,13 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.trie(convtrie.grafted(turns), convtrie.members(turns))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each language."""
+    return collocations.report(collocations.collocations(*collocations.phrase_counts(_table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw, op2_sentencepiece, op3_sharding, op4_language_id, op5_secret_scans, op6_token_counts, op7_minhash_neardup, op8_decontamination, op9_substring_dedup, op10_chat_format, op11_conversation_trie)}
+    return {f.__name__: f for f in (op1_hnsw, op2_sentencepiece, op3_sharding, op4_language_id, op5_secret_scans, op6_token_counts, op7_minhash_neardup, op8_decontamination, op9_substring_dedup, op10_chat_format, op11_conversation_trie, op12_collocations)}
 
 
 OP10_SQL = """
@@ -142,5 +147,28 @@ FROM nodes n JOIN below b USING (depth, node) LEFT JOIN nodes u ON u.depth = n.d
 """
 
 
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split(replace(p, chr(9), ' '), ' '), lambda w: w <> '') AS words FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+totals AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, size, array_to_string(words[i : i + size - 1], ' ') AS phrase FROM (
+    SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS size))),
+counts AS (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.size, c.f AS a, k, l.f AS l, r.f AS r, t.n, 1000 * c.f * t.n // (l.f * r.f) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM counts) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1 : k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[k + 1 : c.size], ' ') JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM counts o WHERE o.lang = b.lang AND o.size > b.size AND o.f >= b.a AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL, "op11_conversation_trie": OP11_SQL}
+    return {"op10_chat_format": OP10_SQL, "op11_conversation_trie": OP11_SQL, "op12_collocations": OP12_SQL}
