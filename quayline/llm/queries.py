@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayline.llm import chat, collocations, convtrie, decontaminate, hnsw, langid, neardup, secrets, sharding, sptokens, substrings, tokencount
+from quayline.llm import chat, collocations, convtrie, decontaminate, hnsw, langid, neardup, quality, secrets, sharding, sptokens, substrings, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,8 +94,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.report(collocations.collocations(*collocations.phrase_counts(_table(spark, sf_dir, "documents"))))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels of those whose crc32 of doc_id leaves 0 or 2 by 3."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = quality.fit(docs.where(~held), _table(spark, sf_dir, "labels").where(~held))
+    return quality.score(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hnsw, op2_sentencepiece, op3_sharding, op4_language_id, op5_secret_scans, op6_token_counts, op7_minhash_neardup, op8_decontamination, op9_substring_dedup, op10_chat_format, op11_conversation_trie, op12_collocations)}
+    return {f.__name__: f for f in (op1_hnsw, op2_sentencepiece, op3_sharding, op4_language_id, op5_secret_scans, op6_token_counts, op7_minhash_neardup, op8_decontamination, op9_substring_dedup, op10_chat_format, op11_conversation_trie, op12_collocations, op13_quality)}
 
 
 OP10_SQL = """
