@@ -22,11 +22,16 @@ from quayline.llm.common import broadcast_if, cut, durable, forget, settled, sma
 #: Words of a phrase, its least count and the rows of a language's report.
 MOST_WORDS, LEAST_COUNT, TOP = 5, 100, 2000
 #: Words of a shard, all languages of a task together, and bytes of text that are split into words at once.
-SHARD_WORDS, SLICE_BYTES = 1 << 21, 1 << 22
+SHARD_WORDS, SLICE_BYTES = 1 << 22, 1 << 22
+#: Bytes of text that a task reads at least where there are more than the cluster's cores can take at once: fuller shards repeat fewer n-grams.
+TASK_BYTES = 64 << 20
 _BREAK = b"\xff"  # stands in no UTF-8 text
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + _BREAK * 10 + b" ")
 SHARDS = "shard bigint, lang string, idx int, word string, n bigint, head int, ids binary"
-PAIRS = "shard bigint, lang string, g1 bigint, g2 bigint, n bigint, head int, ids binary, gids binary"
+PAIRS = "shard bigint, lang string, g1 bigint, g2 bigint, n bigint, head int, ids binary, gids binary, words array<string>"
+MERGED = "g1 bigint, g2 bigint, n bigint, shard bigint, pairs binary"
+#: Pairs that a merging task gathers before it hands them to their shards, and rows that it works on at a time.
+MERGE_PAIRS, MERGE_ROWS = 1 << 20, 1 << 16
 
 
 class _Ids(dict):
@@ -175,7 +180,8 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the pairs of frequent words of each shard; then one row with the ids of its frequent words, runs of others cut short."""
+    """Counts of the pairs of frequent words of each shard; then one row with its frequent words and their ids, runs of others cut short."""
+    names, types = ["shard", "lang", "g1", "g2", "n", "head", "ids", "gids", "words"], (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string()))
     for batch in batches:
         for row in _rows(batch):
             ids = np.frombuffer(row["ids"].as_buffer(), np.int32)
@@ -198,12 +204,72 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     some = places[first : first + (1 << 18)]
                     size = len(some)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["shard"]] * size, pa.int64()), pa.array([row["lang"]] * size), pa.array(gids[ids[some] - 1]), pa.array(gids[ids[some + 1] - 1]), pa.array(counts[first : first + size], pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())],
-                        names=["shard", "lang", "g1", "g2", "n", "head", "ids", "gids"],
+                        [pa.array([row["shard"]] * size, pa.int64()), pa.array([row["lang"]] * size), pa.array(gids[ids[some] - 1]), pa.array(gids[ids[some + 1] - 1]), pa.array(counts[first : first + size], pa.int64()), *(pa.nulls(size, t) for t in types[5:])],
+                        names=names,
                     )
+            words = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), row["frequent"].values.field("word"))
             body = [row["shard"], row["lang"], None, None, None, head, ids.astype(np.int32).tobytes(), gids.tobytes()]
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(body, types, strict=True)], names=["shard", "lang", "g1", "g2", "n", "head", "ids", "gids"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(body, types, strict=False)), words], names=names)
+
+
+def _merge(least: int):
+    """Of pairs in order (g1, g2, shard, n) those that occur ``least`` times: a row with their sum, and rows for their shards with
+    all frequent pairs that a task found there. Of a pair that ever so many shards hold, a few rows are kept at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: dict[int, list[np.ndarray]] = {}
+        names, types = ["g1", "g2", "n", "shard", "pairs"], (pa.int64(),) * 4 + (pa.binary(),)
+        held, pending = 0, []
+        rest = np.empty((0, 4), np.int64)
+
+        def hand_out() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            size = len(told)
+            if size:
+                pairs = [np.concatenate(x).tobytes() for x in told.values()]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(size, t) for t in types[:3]), pa.array(list(told), pa.int64()), pa.array(pairs, pa.binary())], names=names)
+            told.clear()
+            held = 0
+
+        def settle(rows: np.ndarray, last: bool) -> tuple[list[pa.RecordBatch], np.ndarray]:
+            nonlocal held
+            out = []
+            if not len(rows):
+                return out, rows
+            starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+            sums = np.add.reduceat(rows[:, 3], starts)
+            open_ = len(starts) if last else len(starts) - 1  # the last pair may go on
+            often = sums[:open_] >= least
+            if often.any():
+                keys = rows[starts[:open_][often]]
+                out.append(pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sums[:open_][often]), *(pa.nulls(len(keys), t) for t in types[3:])], names=names))
+            alive = np.repeat(np.r_[often, False] if not last else often, np.diff(np.r_[starts, len(rows)]))
+            rest = rows[:0]
+            if not last:
+                rest = rows[starts[-1] :]
+                if len(rest) > MERGE_ROWS // 4 and sums[-1] >= least:  # one row without a shard stands for those that are handed out
+                    alive[starts[-1] :] = True
+                    rest = np.array([[*rest[0, :2], -1, sums[-1]]], np.int64)
+            found = rows[alive & (rows[:, 2] >= 0)]
+            found = found[np.argsort(found[:, 2], kind="stable")]
+            for part in np.split(found, np.flatnonzero(np.diff(found[:, 2])) + 1) if len(found) else ():
+                told.setdefault(int(part[0, 2]), []).append(np.ascontiguousarray(part[:, :2]))
+                held += len(part)
+            return out, rest
+
+        for batch in batches:
+            pending.append(np.stack([batch.column(c).to_numpy() for c in ("g1", "g2", "shard", "n")], axis=1))
+            if sum(map(len, pending)) >= MERGE_ROWS or len(pending) >= MERGE_ROWS:
+                out, rest = settle(np.concatenate([rest, *pending]), False)
+                pending = []
+                yield from out
+                if held >= MERGE_PAIRS:
+                    yield from hand_out()
+        out, _ = settle(np.concatenate([rest, *pending]), True)
+        yield from out
+        yield from hand_out()
+
+    return run
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +277,10 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in _rows(batch):
             ids, gids = np.frombuffer(row["ids"].as_buffer(), np.int32).astype(np.int64), np.frombuffer(row["gids"].as_buffer(), np.int64)
-            lang, order, pairs = row["lang"].as_py(), np.argsort(gids), row["pairs"].values
-            first, second = (order[np.searchsorted(gids, pairs.field(key).to_numpy(), sorter=order)] + 1 for key in ("g1", "g2"))
-            wide, said = len(gids) + 1, np.full(len(gids) + 1, -1)
-            said[first], said[second] = np.arange(len(first)), len(first) + np.arange(len(first))
-            names = pa.concat_arrays([pairs.field("w1"), pairs.field("w2")]).take(pa.array(said, mask=said < 0))
+            lang, order, names = row["lang"].as_py(), np.argsort(gids), pa.concat_arrays([pa.array([""]), row["words"].values])
+            pairs = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in row["pairs"].values]).reshape(-1, 2)
+            first, second = (order[np.searchsorted(gids, pairs[:, i], sorter=order)] + 1 for i in (0, 1))
+            wide = len(gids) + 1
             linked = np.isin(ids[:-1] * wide + ids[1:], first * wide + second)
             for n, places, counts in ngram_counts(ids, _room(linked, ids), row["head"].as_py(), range(3, MOST_WORDS + 1)):
                 phrase = pc.binary_join_element_wise(*(names.take(pa.array(ids[places + step])) for step in range(n)), " ")
@@ -232,29 +297,32 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame,
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shards = durable(docs.select("lang", "text").mapInArrow(_tokenize, SHARDS), "shards")
+    texts = docs.select("lang", F.col("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    shards = durable(texts.coalesce(tasks).mapInArrow(_tokenize, SHARDS), "shards")
     totals = settled(shards.where("ids is not null").groupBy("lang").agg(F.sum("n").alias("total")))
     heard = shards.where("ids is null")
     frequent = settled(heard.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("gid", F.monotonically_increasing_id()))
 
     known = heard.select("shard", "lang", "idx", "word").join(broadcast_if(frequent.select("lang", "word", "gid"), 64), ["lang", "word"])
-    by_shard = known.groupBy("shard").agg(F.collect_list(F.struct("idx", "gid")).alias("frequent"))
+    by_shard = known.groupBy("shard").agg(F.collect_list(F.struct("idx", "gid", "word")).alias("frequent"))
     bodies = shards.where("ids is not null").select("shard", "lang", "head", "ids").join(by_shard, "shard")
     pairs = durable(bodies.mapInArrow(_pairs, PAIRS), "pairs")
     forget(shards)
 
-    seen = pairs.where("ids is null")
-    often = settled(seen.groupBy("g1", "g2").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    first, second = (frequent.select("lang", F.col("word").alias(w), F.col("gid").alias(g)) for w, g in (("w1", "g1"), ("w2", "g2")))
-    named = settled(often.join(broadcast_if(first, 64), "g1").join(broadcast_if(second.drop("lang"), 64), "g2"))
-    alive = seen.select("shard", "g1", "g2").join(broadcast_if(named.select("g1", "g2", "w1", "w2"), 96), ["g1", "g2"])
-    linked = alive.groupBy("shard").agg(F.collect_list(F.struct("g1", "g2", "w1", "w2")).alias("pairs"))
-    longer = pairs.where("ids is not null").select("shard", "lang", "head", "ids", "gids").join(linked, "shard").mapInArrow(_phrases, "lang string, phrase string, size int, n bigint")
+    # frequent pairs go back to their shards in lists, so a pair is no row for each of its shards
+    sorted_ = pairs.where("ids is null").select("g1", "g2", "shard", "n").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    merged = durable(sorted_.mapInArrow(_merge(least), MERGED), "merged")
+    linked = merged.where("shard is not null").groupBy("shard").agg(F.collect_list("pairs").alias("pairs"))
+    longer = pairs.where("ids is not null").select("shard", "lang", "head", "ids", "gids", "words").join(linked, "shard").mapInArrow(_phrases, "lang string, phrase string, size int, n bigint")
     longer = longer.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    first, second = (frequent.select("lang", F.col("word").alias(w), F.col("gid").alias(g)) for w, g in (("w1", "g1"), ("w2", "g2")))
+    named = merged.where("shard is null").select("g1", "g2", "n").join(broadcast_if(first, 64), "g1").join(broadcast_if(second.drop("lang"), 64), "g2")
     one = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
     two = named.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.lit(2).alias("size"), "n")
     counts = settled(one.unionByName(two).unionByName(longer))
-    forget(pairs, frequent, often, named)
+    forget(pairs, merged, frequent)
     return counts, totals
 
 

@@ -57,6 +57,8 @@ def test_small_shards_count_what_crosses_their_cuts(spark, monkeypatch):
     for words, size in ((3, 7), (64, 40), (7, 1 << 22)):
         monkeypatch.setattr(collocations, "SHARD_WORDS", words)
         monkeypatch.setattr(collocations, "SLICE_BYTES", size)
+        monkeypatch.setattr(collocations, "MERGE_ROWS", words)
+        monkeypatch.setattr(collocations, "MERGE_PAIRS", size)
         assert found(frame(spark, rows), 5) == whole == brute(rows, 5)
 
 
@@ -82,3 +84,27 @@ def test_suffix_arrays_match_brute_force():
             got |= {tuple(ids[p : p + n]): c for p, c in zip(places, counts, strict=True) if c}
         want = Counter(tuple(ids[i : i + n]) for n in range(2, 6) for i in range(len(ids) - n + 1) if ids[i : i + n].all() and i + n > head)
         assert got == want
+
+
+def test_pairs_merge_as_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = sorted((int(a), int(b), int(s), int(n)) for a, b, s, n in zip(rng.integers(0, 3, 300) ** 3, rng.integers(0, 3, 300), rng.permutation(300), rng.integers(0, 3, 300), strict=True))
+    total = Counter()
+    for a, b, _, n in rows:
+        total[a, b] += n
+    for size, pairs in ((4, 3), (16, 1 << 20), (1 << 16, 50)):
+        monkeypatch.setattr(collocations, "MERGE_ROWS", size)
+        monkeypatch.setattr(collocations, "MERGE_PAIRS", pairs)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 7], strict=True)], names=["g1", "g2", "shard", "n"]) for i in range(0, 300, 7)]
+        sums, lists = {}, []
+        for batch in collocations._merge(30)(iter(batches)):
+            for r in batch.to_pylist():
+                if r["shard"] is None:
+                    assert (r["g1"], r["g2"]) not in sums
+                    sums[r["g1"], r["g2"]] = r["n"]
+                else:
+                    lists += [(r["shard"], *p) for p in np.frombuffer(r["pairs"], np.int64).reshape(-1, 2).tolist()]
+        assert sums == {k: v for k, v in total.items() if v >= 30}
+        assert sorted(lists) == sorted((s, a, b) for a, b, s, _ in rows if total[a, b] >= 30)
