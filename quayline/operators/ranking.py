@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-#: Buckets of a two-phase rank; their counts are the only rows that meet in one task.
-BUCKETS = 4096
+from quayline.operators.staging import staged
+
+#: Ranges of a running sum at least; their sums are the only rows that meet in one task.
+LEAST_RANGES = 16
 
 
 def _offsets(df: DataFrame, amount: Column) -> DataFrame:
@@ -15,15 +17,6 @@ def _offsets(df: DataFrame, amount: Column) -> DataFrame:
     return sums.select("__bucket", (F.sum("__sum").over(Window.orderBy("__bucket")) - F.col("__sum")).alias("__before"))
 
 
-def _ranges(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``__bucket``, which rises with ``order``: the quantile range that it falls in."""
-    steps = [i / BUCKETS for i in range(1, BUCKETS)]
-    found = df.agg(F.percentile_approx(F.col(order).cast("double"), steps, 4 * BUCKETS).alias("q")).first()["q"] or []
-    edges = [float("-inf"), *sorted(set(found)), float("inf")]
-    bucketed = Bucketizer(splits=edges, inputCol="__order", outputCol="__bucket", handleInvalid="keep").transform(df.withColumn("__order", F.col(order).cast("double")))
-    return bucketed.drop("__order")
-
-
 def hash_rank(df: DataFrame, digest: Column, *ties: str) -> DataFrame:
     """``df`` with ``rank`` (from 0) in the order of a hex digest, then of the columns ``ties``.
 
@@ -36,13 +29,26 @@ def hash_rank(df: DataFrame, digest: Column, *ties: str) -> DataFrame:
     return ranked.join(F.broadcast(_offsets(rows, F.lit(1))), "__bucket").withColumn("rank", F.col("__before") + F.col("__in")).drop("__digest", "__bucket", "__in", "__before")
 
 
-def running_total(df: DataFrame, order: str, amount: str, name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``amount`` over all rows with a smaller integer ``order`` (unique).
+def running_total(df: DataFrame, order: str, amount: str, name: str, within: str | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of ``amount`` over all rows with a smaller integer ``order`` (unique), of the same ``within`` if one is named.
 
-    Rows fall in at most 4096 ranges of ``order`` with about as many rows in each, whatever its gaps and outliers; sums
-    run inside a range and start from those before it.
+    ``df`` is evaluated once: it is staged, and the job that writes it tells quantiles of ``order``. Rows fall in as many ranges
+    as the session has shuffle partitions (LEAST_RANGES at least) with about as many rows in each, whatever the gaps and outliers;
+    sums run inside a range and start from the sums of those before it, which are read from two columns of the staged table.
     """
-    rows = _ranges(df, order)
-    inside = Window.partitionBy("__bucket").orderBy(order)
-    summed = rows.withColumn("__in", F.sum(amount).over(inside) - F.col(amount))
-    return summed.join(F.broadcast(_offsets(rows, F.col(amount))), "__bucket").withColumn(name, F.col("__before") + F.col("__in")).drop("__bucket", "__in", "__before")
+    parts = max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    told = Observation()
+    steps = [i / parts for i in range(1, parts)]
+    table = staged(df.observe(told, F.percentile_approx(F.col(order).cast("double"), steps, 8 * parts).alias("q")))
+    edges = [float("-inf"), *sorted(set(told.get["q"] or [0.0])), float("inf")]
+    bucketed = Bucketizer(splits=edges, inputCol="__order", outputCol="__bucket", handleInvalid="keep").transform(table.withColumn("__order", F.col(order).cast("double"))).drop("__order")
+    groups = [within] if within else []
+    inside = Window.partitionBy(*groups, "__bucket").orderBy(order)
+    summed = bucketed.withColumn("__in", F.sum(amount).over(inside) - F.col(amount))
+    sums = bucketed.groupBy(*groups, "__bucket").agg(F.sum(amount).alias("__sum"))
+    # one row for each range of each group
+    starts = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__bucket")
+    offsets = sums.select(F.col("__bucket").alias("__range"), *[F.col(g).alias("__group") for g in groups], (F.sum("__sum").over(starts) - F.col("__sum")).alias("__before"))
+    met = F.col("__bucket") == F.col("__range")
+    both = summed.join(offsets, met & F.col(within).eqNullSafe(F.col("__group"))) if within else summed.join(F.broadcast(offsets), met)
+    return both.withColumn(name, F.col("__before") + F.col("__in")).select(*df.columns, name)

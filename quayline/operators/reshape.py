@@ -45,12 +45,7 @@ def batches(df: DataFrame, order: str, size: int, name: str = "batch") -> DataFr
 def record_index(df: DataFrame, ident: str = "utterance_id", shard: str | None = None) -> DataFrame:
     """``df`` with its place from 0 in the numeric order of ``ident``, within a shard column if one is named."""
     rows = df.withColumn("__id", F.col(ident).cast("bigint")).withColumn("__one", F.lit(1).cast("bigint"))
-    if shard is None:
-        return running_total(rows, "__id", "__one", "record_index").drop("__id", "__one")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(shard).orderBy("__id")
-    return rows.withColumn("record_index", (F.row_number().over(order) - 1).cast("bigint")).drop("__id", "__one")
+    return running_total(rows, "__id", "__one", "record_index", shard).drop("__id", "__one")
 
 
 def profile_scenes(clean: DataFrame, profiles: str = "all", seed: int = SPLIT_SEED, noise_bank: str = "", ident: str = "utterance_id") -> DataFrame:

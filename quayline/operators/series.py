@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayline.operators import segments
+from quayline.operators.selection import exact_percentiles
+from quayline.operators.staging import staged
+
 # The noise categories and the thresholds of level and speech-band part.
 BED_LEVEL, WEAK_LEVEL, BUSY_LEVEL, BAND_PART = -58.0, -45.0, -31.0, 0.45
 FLOOR_PERCENTILE, FLOOR_RISE, MEDIAN_RISE = 0.2, 12.0, 6.0
@@ -30,20 +34,23 @@ def capped(df: DataFrame, category: str, *order: Column | str, most: int = MOST_
 
 
 def frame_stats(frames: DataFrame, series: str = "series_id", level: str = "rms_db") -> DataFrame:
-    """(series, frames, floor, median_level, threshold): exact interpolated percentiles."""
-    stats = frames.groupBy(series).agg(F.count("*").alias("frames"), F.percentile(level, F.lit(FLOOR_PERCENTILE)).alias("floor"), F.median(level).alias("median_level"))
+    """(series, frames, floor, median_level, threshold): exact interpolated percentiles. Levels are selected, not gathered."""
+    counts = frames.groupBy(series).agg(F.count("*").alias("frames"))
+    found = exact_percentiles(frames, series, level, {"floor": FLOOR_PERCENTILE, "median_level": 0.5})
+    stats = counts.join(found, counts[series].eqNullSafe(found[series]), "left").drop(found[series])
     return stats.withColumn("threshold", F.greatest(F.col("floor") + FLOOR_RISE, F.col("median_level") + MEDIAN_RISE))
 
 
 def active_runs(frames: DataFrame, series: str = "series_id", index: str = "frame_idx", level: str = "rms_db", least: int = LEAST_RUN) -> DataFrame:
     """(series, start_idx, end_idx, floor): maximal runs of at least ``least`` frames above the threshold, end exclusive.
 
-    Islands: in a run, index minus row number is constant. Frames of a series are numbered without gaps.
+    Frames of a series are numbered without gaps. The few statistics are staged, so that a long series' frames can be dealt to
+    many tasks where they meet its threshold; runs are joined over blocks (``segments.runs``).
     """
-    marked = frames.join(frame_stats(frames, series, level), series).where(F.col(level) > F.col("threshold"))
-    island = F.col(index) - F.row_number().over(Window.partitionBy(series).orderBy(index))
-    runs = marked.withColumn("__island", island).groupBy(series, "__island").agg(F.min(index).alias("start_idx"), (F.max(index) + 1).alias("end_idx"), F.first("floor").alias("floor"))
-    return runs.where(F.col("end_idx") - F.col("start_idx") >= least).drop("__island")
+    stats = staged(frame_stats(frames, series, level))
+    marked = frames.join(stats.select(series, "threshold"), series).where(F.col(level) > F.col("threshold"))
+    found = segments.runs(marked, series, index).where(F.col("end_idx") - F.col("start_idx") >= least)
+    return found.join(stats.select(series, "floor"), series)
 
 
 def event_hit(level: str = "rms_db", peak: str = "peak", centroid: str = "centroid_hz") -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quayline.functions import dsp, text
 from quayline.functions.profiles import profile_frame
 from quayline.operators import labels, matching, reshape, sampling, series, summary, views
-from quayline.operators.staging import shared_folder
+from quayline.operators.staging import shared_folder, staged
 from quayline.plans import oracles
 from quayline.sources import readers, sinks
 from quayline.sources.readers import lookup_items
@@ -360,7 +360,13 @@ def active_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return series.tail_events(_frames(spark, d), series.event_hit(), least=3)
+    return _frames_and_events(spark, d)[1]
+
+
+def _frames_and_events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    # numbering the frames needs a shuffle, and they are read several times
+    frames = staged(_frames(spark, d))
+    return frames, series.tail_events(frames, series.event_hit(), least=3)
 
 
 @_query
@@ -370,7 +376,7 @@ def tail_events(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def event_clips(spark: SparkSession, d: str) -> DataFrame:
-    clips = series.event_clips(_frames(spark, d), _events(spark, d))
+    clips = series.event_clips(*_frames_and_events(spark, d))
     return clips.select("series_id", "end_idx", "event_idx", F.size("samples").cast("bigint").alias("n_frames"), F.round(F.element_at("samples", -1), 6).alias("last_value"))
 
 
