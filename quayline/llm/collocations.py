@@ -21,8 +21,8 @@ from quayline.llm.common import broadcast_if, cut, durable, forget, settled, sma
 
 #: Words of a phrase, its least count and the rows of a language's report.
 MOST_WORDS, LEAST_COUNT, TOP = 5, 100, 2000
-#: Words of a shard, all languages of a task together, and bytes of text that are split into words at once.
-SHARD_WORDS, SLICE_BYTES = 1 << 22, 1 << 22
+#: Words of a shard, of all open shards of a task (one for each language), and bytes of text that are split into words at once.
+SHARD_WORDS, TASK_WORDS, SLICE_BYTES = 1 << 21, 1 << 22, 1 << 22
 #: Bytes of text that a task reads at least where there are more than the cluster's cores can take at once: fuller shards repeat fewer n-grams.
 TASK_BYTES = 64 << 20
 _BREAK = b"\xff"  # stands in no UTF-8 text
@@ -125,7 +125,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         context = shards[lang].context()
                         yield from flush(lang)
                         shards[lang] = _Shard(context)
-            while sum(x.words for x in shards.values()) >= SHARD_WORDS:  # not in the middle of a document
+            while sum(x.words for x in shards.values()) >= TASK_WORDS:  # not in the middle of a document
                 yield from flush(max(shards, key=lambda x: shards[x].words))
     for lang in list(shards):
         yield from flush(lang)
@@ -153,10 +153,13 @@ def ngram_counts(ids: np.ndarray, room: np.ndarray, head: int, sizes: range) ->
     while known < width:
         key = ranks * (ranks.max() + 1)
         key[:-known] += ranks[known:]
+        del ranks
         ranks = np.unique(key, return_inverse=True)[1] + 1
+        del key
         known *= 2
     starts = np.flatnonzero(room >= sizes[0])
     array = starts[np.argsort(ranks[starts], kind="stable")]
+    del ranks, starts
     if not len(array):
         return
     # words that a suffix shares with the one before
@@ -187,7 +190,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.frombuffer(row["ids"].as_buffer(), np.int32)
             at, gids = (row["frequent"].values.field(key).to_numpy() for key in ("idx", "gid"))
             row |= {key: row[key].as_py() for key in ("shard", "lang", "head")}
-            local = np.zeros(max(int(ids.max(initial=0)), int(at.max(initial=0))) + 1, np.int64)
+            local = np.zeros(max(int(ids.max(initial=0)), int(at.max(initial=0))) + 1, np.int32)
             local[at] = np.arange(1, len(at) + 1)
             ids = local[ids]
             # a word without a frequent neighbour begins and ends no pair
@@ -195,7 +198,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             beside = np.zeros(len(ids), bool)
             beside[:-1] |= near[1:]
             beside[1:] |= near[:-1]
-            ids = np.where(beside, ids, 0)
+            ids = np.where(beside, ids, np.int32(0))
             kept = ids > 0
             kept[1:] |= ids[:-1] > 0
             head, ids = int(np.count_nonzero(kept[: row["head"]])), ids[kept]

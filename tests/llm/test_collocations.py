@@ -56,6 +56,7 @@ def test_small_shards_count_what_crosses_their_cuts(spark, monkeypatch):
     whole = found(frame(spark, rows), 5)
     for words, size in ((3, 7), (64, 40), (7, 1 << 22)):
         monkeypatch.setattr(collocations, "SHARD_WORDS", words)
+        monkeypatch.setattr(collocations, "TASK_WORDS", 2 * words)
         monkeypatch.setattr(collocations, "SLICE_BYTES", size)
         monkeypatch.setattr(collocations, "MERGE_ROWS", words)
         monkeypatch.setattr(collocations, "MERGE_PAIRS", size)
