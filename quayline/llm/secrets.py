@@ -27,6 +27,7 @@ _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[^-]|-(?!----))+)-----END \1-----")
 # line breaks of armour and wrapped base64, also as escapes in quoted strings
 _BREAK = re.compile(r"(?:\\r)?\\n|\s+")
+_LEAD = re.compile(r"\s*(?:\\[nr])*")
 _HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*): *([^\r\n\\]*)((?:\\r)?\\n|\r?\n)")
 _CIPHER = re.compile(r"[A-Za-z0-9-]+,((?:[0-9A-Fa-f]{2}){8}|(?:[0-9A-Fa-f]{2}){16})\Z")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
@@ -45,8 +46,17 @@ def _decode64(text: str) -> bytes | None:
         return None
 
 
-def _der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the values that fill data[start:end] exactly, or None."""
+def _may_be_key(tags: list[int]) -> bool:
+    """Whether the values of a key can begin with these: integers; version, algorithm, octets; version, octets, tagged; algorithm, octets."""
+    kind = tags[1] if len(tags) > 1 else None
+    if tags[0] == 0x30:
+        return kind in (None, 0x04) and len(tags) < 3
+    rest = {None: set(), 0x02: {0x02}, 0x30: {0x04}, 0x04: {0xA0, 0xA1}}.get(kind)
+    return tags[0] == 0x02 and rest is not None and set(tags[2 : 3 if kind == 0x30 else 9]) <= rest
+
+
+def _der_items(data: bytes, start: int, end: int, of_key: bool = False) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the values that fill data[start:end] exactly, or None; also as soon as they cannot be those ``of_key``."""
     items = []
     while start < end:
         if start + 2 > end:
@@ -60,6 +70,8 @@ def _der_items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]]
         if at + length > end:
             return None
         items.append((tag, at, at + length))
+        if of_key and len(items) <= 9 and not _may_be_key([x[0] for x in items]):
+            return None
         start = at + length
     return items
 
@@ -71,7 +83,7 @@ def is_der_key(data: bytes) -> bool:
     top = _der_items(data, 0, len(data))
     if not top or len(top) != 1:
         return False
-    inner = _der_items(data, *top[0][1:])
+    inner = _der_items(data, *top[0][1:], of_key=True)
     if inner and [tag for tag, _, _ in inner] == [0x30, 0x04]:
         algorithm = _der_items(data, *inner[0][1:])
         return bool(algorithm) and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(_PASSWORD_BASED)
@@ -125,13 +137,11 @@ def is_signed_token(head: str, body: str, signature: str) -> bool:
 
 def is_armoured_key(body: str) -> bool:
     """What stands between the armour lines: headers, then base64 of a key, or of whole cipher blocks where the headers say so."""
-    body, headers = body.lstrip(), {}
-    while body.startswith(("\\n", "\\r")):
-        body = body[2:]
-    while m := _HEADER.match(body):
+    at, headers = _LEAD.match(body).end(), {}
+    while m := _HEADER.match(body, at):
         headers[m[1]] = m[2].strip()
-        body = body[m.end() :]
-    data = _decode64(_BREAK.sub("", body))
+        at = m.end()
+    data = _decode64(_BREAK.sub("", body[at:]))
     if not data:
         return False
     if headers.get("Proc-Type", "").endswith("ENCRYPTED"):
@@ -156,18 +166,20 @@ def _wrapped_key(text: str, m: re.Match) -> tuple[int, str] | None:
     chars = -(-(size + length) * 4 // 3)
     if chars <= len(line):
         return None  # within one line: found without this
-    at, got = m.start(), []
-    for part in re.finditer(r"((?:\\r)?\\n|\s+)|([A-Za-z0-9+/]+)", m[0]):
-        if part[2]:
-            take = part[2][: chars - sum(map(len, got))]
-            got.append(take)
-            at = m.start() + part.start(2) + len(take)
-            if sum(map(len, got)) == chars:
-                break
-    data = _decode64("".join(got))
+    if chars > m.end() - m.start():
+        return None  # shorter than its length says
+    at, left, whole = 0, chars, m[0].rstrip("=")
+    for gap in _BREAK.finditer(whole):
+        if gap.start() - at >= left:
+            break
+        left -= gap.start() - at
+        at = gap.end()
+    if at + left > len(whole):
+        return None
+    data = _decode64(_BREAK.sub("", whole[: at + left]))
     if not data or not is_der_key(data[: size + length]) or len(data) < size + length:
         return None
-    pad = re.compile("={0,2}").match(text, at)
+    pad = re.compile("={0,2}").match(text, m.start() + at + left)
     return pad.end(), "der_key"
 
 

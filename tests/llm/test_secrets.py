@@ -121,3 +121,21 @@ def test_redacted_documents_keep_their_columns(spark):
     got = secrets.redact_documents(frame(spark, rows))
     assert got.columns == frame(spark, rows).columns
     assert sorted((r.doc_id, r.text, r.n_chars) for r in got.collect()) == [(1, "a [SECRET] b", 12), (2, None, None), (3, "clean", 5), (4, "[SECRET]", 8)]
+
+
+def test_long_wrapped_texts_take_linear_time():
+    import time
+
+    line = "A" * 76
+    for size in (len(line) * 200_000 * 3 // 4, 4_000_000_000):
+        # opens like a DER value: as long as the text, or longer than it
+        head = base64.b64encode(b"\x30\x84" + size.to_bytes(4, "big") + b"\x02\x01\x00").decode()
+        text = "\n".join([head + line[len(head) :], *[line] * 270_000])
+        assert len(text) > 20_000_000
+        start = time.perf_counter()
+        secrets.spans(text)
+        assert time.perf_counter() - start < 5
+    armoured = "-----BEGIN RSA PRIVATE KEY-----\n" + "A: b\n" * 500_000 + "x\n-----END RSA PRIVATE KEY-----"
+    start = time.perf_counter()
+    assert secrets.spans(armoured) == [] and secrets.spans("-----BEGIN PRIVATE KEY-----" + "\\n" * 500_000 + "x-----END PRIVATE KEY-----") == []
+    assert time.perf_counter() - start < 5
