@@ -74,12 +74,20 @@ def tile(item: np.ndarray, text: np.ndarray, shortest: int = SHORTEST) -> list[t
 
 
 class Items:
-    """Benchmark items with their seeds: every run of SHORTEST tokens, by hash, with the item and place it starts at."""
+    """Benchmark items with their seeds: every run of SHORTEST tokens, by hash, with the item and place it starts at.
+
+    A shorter item is one seed, its whole sequence; items without tokens match nothing.
+    """
 
     def __init__(self, rows: list[tuple], shortest: int = SHORTEST):
         keys = WordKeys()
         self.shortest = shortest
-        self.items = [(i, k) for i, k in ((i, token_keys(t or "", keys)) for i, t in rows) if len(k) >= shortest]
+        known = [(i, token_keys(t or "", keys)) for i, t in rows]
+        self.items = [(i, k) for i, k in known if len(k) >= shortest]
+        self.short: dict[int, dict[bytes, list]] = {}
+        for name, k in known:
+            if 0 < len(k) < shortest:
+                self.short.setdefault(len(k), {}).setdefault(k.tobytes(), []).append(name)
         seeds = [rolling(k, shortest) for _, k in self.items]
         flat = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -90,7 +98,7 @@ class Items:
         self.maybe[(self.seeds >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
     def matches(self, text: np.ndarray, coverage: float) -> list[tuple[int, float, int]]:
-        """(item, coverage, tiles) of the items that tiles of ``text`` cover to at least ``coverage``."""
+        """(item, coverage, tiles) of the items that tiles of ``text`` cover to at least ``coverage``, a short item as a whole."""
         grams = rolling(text, self.shortest)
         grams = np.unique(grams[self.maybe[(grams >> np.uint64(64 - _BITS)).astype(np.int64)]])
         lo, hi = np.searchsorted(self.seeds, grams, "left"), np.searchsorted(self.seeds, grams, "right")
@@ -107,6 +115,11 @@ class Items:
             part = sum(n for _, _, n in tiles) / len(item)
             if part >= coverage:
                 found.append((name, part, len(tiles)))
+        for size, whole in self.short.items():
+            runs = np.lib.stride_tricks.sliding_window_view(text, size) if len(text) >= size else text[:0].reshape(0, size)
+            first = np.fromiter((np.frombuffer(k, np.uint64)[0] for k in whole), np.uint64, len(whole))
+            for run in {r.tobytes() for r in runs[np.isin(runs[:, 0], first)]}:
+                found += [(name, 1.0, 1) for name in whole.get(run, ())]
         return found
 
 
@@ -123,9 +136,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     """doc_id, item_id, coverage and n_tiles of every document row and benchmark item whose tokens are covered.
 
     Coverage: tokens of the item in tiles over its tokens, so a reordered passage still counts. Whole texts are
-    read; no row is shuffled. Null or empty texts match nothing, nor do items of fewer than ``shortest`` tokens, which
-    stand in too many clean texts to be evidence of a leak; repeated rows give repeated results; an empty table on either side gives none. A benchmark over ``block_chars``
-    is matched in several passes over the documents.
+    read; no row is shuffled. Null or empty texts match nothing; an item of fewer than ``shortest`` tokens is matched as one tile
+    of its whole sequence; repeated rows give repeated results; an empty table on either side gives none. A benchmark over
+    ``block_chars`` is matched in several passes over the documents.
     """
     small_batches(docs.sparkSession)
     doc_kind, item_kind = (f.schema[n].dataType.simpleString() for f, n in ((docs, "doc_id"), (benchmark, "item_id")))

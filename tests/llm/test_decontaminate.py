@@ -62,3 +62,11 @@ def test_documents(spark):
     empty = spark.createDataFrame([], BENCH)
     assert dc.find_contamination(docs, empty).count() == 0 and dc.drop_contaminated(docs, empty).count() == len(rows)
     assert dc.find_contamination(spark.createDataFrame([], DOCS), bench).count() == 0
+
+
+def test_short_items_are_whole_tiles(spark):
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(["So Paris, France it is.", "France Paris", "paris", None, "", "x y z " * 40])])
+    bench = spark.createDataFrame([(0, "paris france"), (1, "Paris"), (2, "y z x y"), (3, " - "), (4, "Paris")], BENCH)
+    got = sorted((r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in dc.find_contamination(docs, bench).collect())
+    assert got == [(0, 0, 1.0, 1), (0, 1, 1.0, 1), (0, 4, 1.0, 1), (1, 1, 1.0, 1), (1, 4, 1.0, 1), (2, 1, 1.0, 1), (2, 4, 1.0, 1), (5, 2, 1.0, 1)]
+    assert sorted(r.doc_id for r in dc.drop_contaminated(docs, bench).collect()) == [3, 4]
