@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,18 +153,17 @@ def load_bank(items: DataFrame) -> list[tuple]:
     return [(r["category"], _array(r["samples"]), r["sample_rate"]) for r in rows]
 
 
-#: Estimated bytes of rows below which a table would fill fewer tasks than there are cores.
-SPREAD_BYTES_PER_CORE = 64 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt over the cores if it is so small that its own partitions would leave some idle.
+    """``df``, dealt over the cores if its rows lie in so few partitions that some would be idle.
 
-    Kernels cost far more than the shuffle of a small table; a large one has partitions enough and is never shuffled.
+    The partitions with rows are counted by a job that reads no samples, and rows that a kernel has made were dealt before it. A
+    table with partitions enough is never shuffled, and the shuffle of another costs far less than the kernels.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(4 * cores) if size <= SPREAD_BYTES_PER_CORE * cores else df
+    if re.search("InPandas|ArrowEvalPython", df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
+    filled = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(4 * cores) if filled < 2 * cores else df
 
 
 #: Steps of the channel that can be run alone; each then draws from a stream of its own.

@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for outputs that nothing needs after this run; removed when the interpreter ends."""
+    path = f"{shared_folder(spark)}/quayline/{spark.sparkContext.applicationId}/out-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back, so that what made it runs once; removed when the interpreter ends."""
     spark = df.sparkSession

@@ -29,10 +29,26 @@ def ratios(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def split_overlaps(df: DataFrame, group: str, split: str = "split") -> DataFrame:
-    """How many groups each pair of splits shares: one pass that collects the splits of a group."""
-    by_group = df.groupBy(group).agg(F.collect_set(split).alias("splits"))
-    pairs = {f"{a}_{b}": F.array_contains("splits", a) & F.array_contains("splits", b) for a, b in combinations(SPLITS, 2)}
-    return by_group.agg(*[F.count_if(both).alias(name) for name, both in pairs.items()])
+    """How many groups each pair of splits shares: the splits of a group are bits of one number, so partial results merge."""
+    bit = F.lit(0)
+    for i, name in enumerate(SPLITS):
+        bit = F.when(F.col(split) == name, 1 << i).otherwise(bit)
+    by_group = df.groupBy(group).agg(F.bit_or(bit).alias("splits"))
+    pairs = {f"{a}_{b}": 1 << SPLITS.index(a) | 1 << SPLITS.index(b) for a, b in combinations(SPLITS, 2)}
+    return by_group.agg(*[F.count_if(F.col("splits").bitwiseAND(both) == both).alias(name) for name, both in pairs.items()])
+
+
+def distinct_counts(df: DataFrame, columns: dict[str, str], *by: str) -> DataFrame:
+    """(by, then a count for each of ``columns``): different non-null values, as (name, column) pairs.
+
+    Each column's values are brought down to different ones on their own, so no row is written once for each column; the
+    counts are few rows.
+    """
+    counts = None
+    for name, column in columns.items():
+        one = df.select(*by, column).distinct().groupBy(*by).agg(F.count(column).alias(name))
+        counts = one if counts is None else counts.join(one, list(by)) if by else counts.crossJoin(one)
+    return counts
 
 
 def split_summary(rows: DataFrame, splits: DataFrame, split_key: str = "dialogue_id", has_bias: bool = True) -> DataFrame:
@@ -48,7 +64,7 @@ def split_summary(rows: DataFrame, splits: DataFrame, split_key: str = "dialogue
     combined = staged(slim.groupBy("split", "profile", "bias_type", "context_error_type").agg(*counts))
     fine = combined.withColumn("split", F.explode(F.array(*either)))
     ids = slim.select("split", "dialogue_id", "utterance_id").distinct().withColumn("split", F.explode(F.array(*either)))
-    base = ids.groupBy("split").agg(F.countDistinct("dialogue_id").alias("dialogues"), F.countDistinct("utterance_id").alias("utterances"))
+    base = distinct_counts(ids, {"dialogues": "dialogue_id", "utterances": "utterance_id"}, "split")
     base = base.join(fine.groupBy("split").agg(F.sum("n").alias("records"), *[F.sum(name).alias(name) for name in filled]), "split")
 
     def folded(key: str, name: str) -> DataFrame:
@@ -65,8 +81,8 @@ def split_summary(rows: DataFrame, splits: DataFrame, split_key: str = "dialogue
 
 def selection_summary(df: DataFrame, profile: str = "profile", entities: str = "positive_entities") -> DataFrame:
     """One row: records, distinct dialogues, utterances and entities, and counts by profile."""
-    base = df.agg(F.count("*").alias("records"), F.countDistinct("dialogue_id").alias("dialogues"), F.countDistinct("utterance_id").alias("utterances"))
-    names = df.select(F.explode(entities).alias("e")).agg(F.countDistinct("e").alias("entities"))
+    base = df.agg(F.count("*").alias("records")).crossJoin(distinct_counts(df, {"dialogues": "dialogue_id", "utterances": "utterance_id"}))
+    names = distinct_counts(df.select(F.explode(entities).alias("e")), {"entities": "e"})
     # each side is one row
     return base.crossJoin(names).crossJoin(counter_map(df, profile, "profiles"))
 

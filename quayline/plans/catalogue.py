@@ -6,7 +6,6 @@ the parts of an order its entities, a user's events a frame series, an embedding
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,9 +15,9 @@ from pyspark.sql import functions as F
 from quayline.functions import dsp, text
 from quayline.functions.profiles import profile_frame
 from quayline.operators import labels, matching, reshape, sampling, series, summary, views
-from quayline.operators.staging import shared_folder, staged
+from quayline.operators.staging import scratch, staged
 from quayline.plans import oracles
-from quayline.sources import readers, sinks
+from quayline.sources import readers, sinks, wav
 from quayline.sources.readers import lookup_items
 
 LANGS = ("en", "fr", "de", "es")
@@ -388,14 +387,10 @@ def capped_events(spark: SparkSession, d: str) -> DataFrame:
 # ---- sources and sinks ----
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/quayline/{spark.sparkContext.applicationId}/out-{uuid.uuid4().hex}"
-
-
 @_query
 def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Orders written as JSON lines, the odd ones appended, and read back."""
-    rows, path = _orders(spark, d).select("id", "profile", F.array_sort("positive_entities").alias("positive_entities")), _scratch(spark)
+    rows, path = _orders(spark, d).select("id", "profile", F.array_sort("positive_entities").alias("positive_entities")), scratch(spark)
     sinks.write_new_jsonl(rows.where("id % 2 = 0"), path)
     sinks.append_jsonl(rows.where("id % 2 = 1"), path)
     back = readers.read_jsonl(spark, path, "id bigint, profile string, positive_entities array<string>")
@@ -405,7 +400,7 @@ def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def utterance_csv(spark: SparkSession, d: str) -> DataFrame:
     """Turns as an utterance CSV and back, all text and line breaks kept."""
-    path = _scratch(spark)
+    path = scratch(spark)
     turns = _t(spark, d, "conversations")
     names = ("event", "intent", "provider", "model")
     rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("utterance_id"), F.col("conv_id").cast("string").alias("dialogue_id"), F.col("turn").cast("string").alias("turn_id"), *[F.lit(f'{n} "x", y').alias(n) for n in names], F.lit("[]").alias("ship_names"), F.concat(F.lit(' "a",\n'), F.col("text")).alias("text"))
@@ -416,7 +411,7 @@ def utterance_csv(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def bank_document(spark: SparkSession, d: str) -> DataFrame:
     """A bank's items as one JSON document and back, each with its place in its category."""
-    path = _scratch(spark)
+    path = scratch(spark)
     # a small document, written in the order of one partition
     items = _t(spark, d, "benchmark").repartition(1).sortWithinPartitions("item_id").select(F.col("item_id").cast("string").alias("path"), F.concat(F.lit("c"), F.col("item_id") % 3).alias("category"), (F.col("item_id") / 8).alias("start_sec"))
     sinks.write_document(items, path, "items")
@@ -536,6 +531,50 @@ def bandpass(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# ---- recordings ----
+
+
+def _recordings(spark: SparkSession, d: str) -> str:
+    """A folder with a WAV file for each hundred vectors, one after the other."""
+    hundreds = _t(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 100).alias("k")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
+    files = hundreds.select(F.format_string("part/%03d.WAV", "k").alias("audio"), F.lit(RATE).alias("sample_rate"), F.flatten(F.transform("x", lambda v: v["embedding"])).alias("samples"))
+    root = scratch(spark)
+    wav.write(files, root)
+    return root
+
+
+_FILE = F.element_at(F.split("path", "/"), -1).alias("file")
+
+
+@_query
+def wav_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of 250 samples of recordings, read in byte ranges."""
+    cut = wav.frames(spark, _recordings(spark, d), samples=250)
+    return cut.select(_FILE, "sample_rate", "frame_idx", F.size("samples").cast("bigint").alias("n"), F.round(F.col("samples")[0].cast("double"), 6).alias("first_sample"), F.round(F.element_at("samples", -1).cast("double"), 6).alias("last_sample"))
+
+
+@_query
+def wav_frames_of_two(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of the first two recordings that last a twentieth of a second; the others are not opened for samples."""
+    root = _recordings(spark, d)
+    wanted = [r["path"] for r in wav.long_files(spark, root, limit=2, least=0.05).collect()]
+    return wav.frames(spark, root, samples=1000, only=wanted).groupBy(_FILE).agg(F.count("*").alias("frames"), F.sum(F.size("samples")).alias("samples"))
+
+
+@_query
+def wav_probe(spark: SparkSession, d: str) -> DataFrame:
+    told = wav.probe(spark, _recordings(spark, d))
+    return told.select(_FILE, "sample_rate", F.col("channels").cast("bigint").alias("channels"), "n_frames", F.round("duration_sec", 9).alias("duration_sec"))
+
+
+@_query
+def wav_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Three clips of 10 ms of each of the first five recordings."""
+    root = _recordings(spark, d)
+    clips = wav.windows(spark, wav.long_files(spark, root, limit=5, least=0.0), root, 3, 0.01)
+    return clips.select(_FILE, F.round("start_sec", 6).alias("start_sec"), F.size("samples").cast("bigint").alias("n"), F.round(F.col("samples")[0].cast("double"), 6).alias("first_sample"))
+
+
 # ---- digests ----
 
 

@@ -197,6 +197,14 @@ def _bandpass_sql() -> str:
     return f"WITH RECURSIVE {_WAVE}, band AS (SELECT * FROM (VALUES {rows}) AS p(profile, g, a1, b1, a2, b2, a3, b3, a4, b4)), {ext}, {run('there', 'ext', 'e.vec_id = r.vec_id')}, {back}, {run('home', 'again', 'e.vec_id = r.vec_id AND e.profile = r.profile')} SELECT vec_id, profile, 240::BIGINT AS n_samples, {pick} FROM home GROUP BY 1, 2"
 
 
+#: Recordings: samples of a hundred vectors one after the other, as 16 bits would hold them.
+_RECORDING = """heard AS (
+  SELECT format('{:03d}.WAV', vec_id // 100) AS file, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id, i) - 1 AS place,
+    least(32767, greatest(-32768, round_even(x::DOUBLE * 32768, 0))) / 32768 AS v
+  FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+lasting AS (SELECT file, count(*) AS n FROM heard GROUP BY file)"""
+
+
 def all_sql() -> dict[str, str]:
     crop = "CASE WHEN trunc(crop / 1000.0::DOUBLE * 24000) BETWEEN 1 AND n - 1 THEN n - trunc(crop / 1000.0::DOUBLE * 24000) ELSE n END"
     length = f"({crop} + trunc(tail / 1000.0::DOUBLE * 24000))::BIGINT"
@@ -268,6 +276,12 @@ def all_sql() -> dict[str, str]:
         "crop_tile_window": f"WITH {_WAVE}, s AS (SELECT vec_id, x, (vec_id % 10 * 8)::BIGINT AS n FROM wave) SELECT vec_id, (CASE WHEN n BETWEEN 1 AND 63 THEN 64 - n ELSE 64 END)::BIGINT AS n_cropped, round(x[CASE WHEN n BETWEEN 1 AND 63 THEN n + 1 ELSE 1 END], 6) AS first_cropped, 150::BIGINT AS n_tiled, round(x[150 - 128], 6) AS last_tiled, 4::BIGINT AS n_window FROM s",
         "mono_mix": f"WITH {_WAVE} SELECT vec_id, round((x[1] + x[64]) / 2, 6) AS first_sample, 64::BIGINT AS n FROM wave",
         "wave_frames": f"WITH {_WAVE}, f AS (SELECT vec_id, i, x[i * 10 + 1 : least(i * 10 + 10, 64)] AS x FROM wave, range(0, 7) r(i)) SELECT vec_id, i::BIGINT AS frame_idx, len(x)::BIGINT AS n, round({_rms('x')}, 6) AS rms_db FROM f",
+        "wav_frames": f"WITH {_RECORDING} SELECT file, 24000 AS sample_rate, place // 250 AS frame_idx, count(*) AS n, round(arg_min(v, place), 6) AS first_sample, round(arg_max(v, place), 6) AS last_sample FROM heard GROUP BY file, place // 250",
+        "wav_frames_of_two": f"WITH {_RECORDING} SELECT file, ceil(n / 1000)::BIGINT AS frames, n AS samples FROM lasting WHERE n >= 1200 ORDER BY file LIMIT 2",
+        "wav_probe": f"WITH {_RECORDING} SELECT file, 24000 AS sample_rate, 1::BIGINT AS channels, n AS n_frames, round(n / 24000, 9) AS duration_sec FROM lasting",
+        "wav_windows": f"""WITH {_RECORDING}, s AS (SELECT file, n, (n / 24000 - 0.01) * k / 2 AS start FROM (SELECT * FROM lasting ORDER BY file LIMIT 5), range(3) r(k)),
+          p AS (SELECT *, trunc(start::DOUBLE * 24000)::BIGINT AS first FROM s)
+          SELECT p.file, round(start::DOUBLE, 6) AS start_sec, least(240, n - first) AS n, round(v, 6) AS first_sample FROM p JOIN heard h ON h.file = p.file AND h.place = p.first""",
         "spectral_features": f"WITH {_POWER}, loud AS (SELECT vec_id, 20 * log10(sqrt(sum(v * v) / 64 + 1e-12) + 1e-12) AS lv FROM centred GROUP BY 1) SELECT vec_id, (SELECT round(lv, 6) FROM loud WHERE loud.vec_id = summed.vec_id) AS rms_db, {_band(0, 300)} AS energy_0_300, {_band(300, 3400)} AS energy_300_3400, {_band(3400, 8000)} AS energy_3400_8000, {_band(8000, 12000)} AS energy_8000_plus, round(sum(hz * p) / max(total), 3) AS centroid_hz, least(count(*) FILTER (WHERE upto < 0.95 * total), 32) * 375.0::DOUBLE AS rolloff95_hz FROM summed GROUP BY 1",
         "noise_lookup": f"WITH r AS (SELECT vec_id, 'c' || label AS category, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings), q AS (SELECT *, ('0x' || substr({_h('20260701', repr('bank'), 'vec_id')}, 1, 13))::BIGINT % n AS pick FROM r) SELECT q.vec_id, q.category, r.vec_id::VARCHAR AS item_path FROM q JOIN r ON r.category = q.category AND r.i = q.pick",
         "augment": f"WITH {_SCENES}, s AS (SELECT vec_id, 2400 AS n, profile, crop, tail FROM embeddings, profiles) SELECT vec_id, profile, {length} AS n_samples, true AS within FROM s",

@@ -14,6 +14,7 @@ from quayline.functions import dsp
 from quayline.functions.kernels import features
 from quayline.functions.profiles import profile_frame
 from quayline.operators import labels, reshape, sampling, series, summary, views
+from quayline.operators.staging import staged
 from quayline.sources import readers, sinks, wav
 
 TTS_RATE = 24_000
@@ -125,24 +126,23 @@ def label_and_split(
     """Group split, labels, sorted manifest and splits, and a nested summary; returns the labelled rows."""
     if split_key not in ("utterance_id", "dialogue_id"):
         raise ValueError(f"unknown split key {split_key}")
-    splits = sampling.split_groups(manifest, split_key, seed, max_groups, holdout_min_group_id, generator).persist()
+    splits = staged(sampling.split_groups(manifest, split_key, seed, max_groups, holdout_min_group_id, generator))
     rows = labels.labelled_rows(sampling.apply_split(manifest, splits, split_key), bias=bias, count=bias_negative_count, error_ratio=vhf_error_ratio, seed=seed, generator=generator)
     in_order = rows.orderBy(F.col("utterance_id").cast("bigint"), "profile")
     sinks.write_jsonl(in_order, f"{output_dir}/manifest.jsonl")
     back = spark.read.schema(rows.schema).json(f"{output_dir}/manifest.jsonl")
     sinks.write_splits(back, f"{output_dir}/splits")
     sinks.write_document(summary.split_summary(back, splits), f"{output_dir}/split_summary.json", "splits")
-    splits.unpersist()
     return back
 
 
 def select_and_calibrate(rows: DataFrame, output: str, discovery: str, confirmation: str, summary_path: str, total: int = 8000, calibration_rows: int = 1024, seed: int = sampling.SAMPLE_SEED) -> DataFrame:
-    """A balanced selection and two calibration splits of it; nothing is written before all checks have passed."""
-    chosen = sampling.balanced_sample(rows, total, seed).persist()
+    """A balanced selection and two calibration splits of it, each one file; nothing is written before all checks have passed, and
+    the three appear together or not at all."""
+    chosen = staged(sampling.balanced_sample(rows, total, seed))
     first, second = sampling.calibration_splits(chosen, calibration_rows, seed)
     parts = {output: chosen, discovery: first, confirmation: second}
-    for path, part in parts.items():
-        sinks.write_new_jsonl(sampling.in_sample_order(part, seed, "id"), path)
+    sinks.write_together(rows.sparkSession, {path: sampling.in_sample_order(part, seed, "id") for path, part in parts.items()}, f"{output}.commit", single=True)
     files = [sinks.byte_digests(rows.sparkSession, path).agg(F.sort_array(F.collect_list(F.struct("path", "length", "sha256"))).alias(f"{name}_files")) for name, path in zip(("output", "discovery", "confirmation"), parts, strict=True)]
     # each side is one row: the files of an output are few
     told = reduce(DataFrame.crossJoin, [summary.selection_summary(chosen), *files])
@@ -153,8 +153,8 @@ def select_and_calibrate(rows: DataFrame, output: str, discovery: str, confirmat
 
 def select_test(train: DataFrame, candidates: DataFrame, output: str, summary_path: str, total: int = 2000, seed: int = sampling.SAMPLE_SEED) -> DataFrame:
     """A held-out test set and its summary."""
-    test = sampling.heldout_test(train, candidates, total, seed).persist()
-    sinks.write_new_jsonl(sampling.in_sample_order(test, seed, "id"), output)
+    test = staged(sampling.heldout_test(train, candidates, total, seed))
+    sinks.write_together(train.sparkSession, {output: sampling.in_sample_order(test, seed, "id")}, f"{output}.commit", single=True)
     told = summary.selection_summary(test).crossJoin(summary.counter_map(test, "context_mode", "context_modes"))
     sinks.write_document(told.withColumns({"digest": F.lit(sinks.digest_of(test)), "seed": F.lit(seed)}), summary_path)
     return test
@@ -184,9 +184,8 @@ def noise_windows(spark: SparkSession, source_dir: str, target_sr: int = 24_000,
     return series.capped(named, "category", series.path_order("path"), "start_sec", most=max_per_category)
 
 
-def audio_frames(audio: DataFrame, seconds: float = 0.1) -> DataFrame:
-    """Frames of every file (path, sample_rate, samples) with level, peak and centroid at its own rate."""
-    cut = dsp.frames(audio, "samples", F.floor(F.col("sample_rate") * seconds).cast("int"))
+def measured_frames(frames: DataFrame) -> DataFrame:
+    """Frames with level, peak and centroid at their file's rate."""
 
     @F.pandas_udf("rms_db double, peak double, centroid_hz double")
     def measure(clips: pd.Series, rates: pd.Series) -> pd.DataFrame:
@@ -197,14 +196,16 @@ def audio_frames(audio: DataFrame, seconds: float = 0.1) -> DataFrame:
             rows.append((f["rms_db"], float(np.max(np.abs(x))), f["centroid_hz"]))
         return pd.DataFrame(rows, columns=["rms_db", "peak", "centroid_hz"])
 
-    return cut.withColumn("m", measure("samples", "sample_rate")).select("path", "sample_rate", "frame_idx", "samples", "m.*")
+    return frames.withColumn("m", measure("samples", "sample_rate")).select("path", "sample_rate", "frame_idx", "samples", "m.*")
 
 
 def tail_clips(spark: SparkSession, source_dir: str, target_sr: int = 24_000, tail_files: int = 2, max_tail_events: int = series.MOST_EVENTS, files: int = 12) -> DataFrame:
-    """Tail events of the first long files, each a clip of five frames, in the order of path and place, up to a cap."""
+    """Tail events of the first long files, each a clip of five frames, in the order of path and place, up to a cap.
+
+    The first ``tail_files`` files alone are opened for their samples, in byte ranges.
+    """
     some = wav.long_files(spark, source_dir, files).orderBy(F.split("path", "/")).limit(tail_files)
-    audio = wav.read(spark, source_dir, "*.WAV").join(some.select("path"), "path", "left_semi")
-    cut = audio_frames(audio).persist()
+    cut = staged(measured_frames(wav.frames(spark, source_dir, 0.1, glob="*.WAV", only=[r["path"] for r in some.collect()])))
     events = series.tail_events(cut, series.event_hit(), "path")
     clips = series.event_clips(cut, series.capped_events(events, series.path_order("path"), "end_idx", most=max_tail_events), "path")
     rates = cut.groupBy("path").agg(F.first("sample_rate").alias("sample_rate"))
@@ -221,7 +222,7 @@ def build_noise_bank(
     both = noise_windows(spark, source_dir, target_sr, files, windows_per_file, window_sec, max_per_category).unionByName(tail_clips(spark, source_dir, target_sr, tail_files, max_tail_events, files), allowMissingColumns=True)
     named = both.withColumnRenamed("path", "source_file").withColumn("path", F.format_string("%s/%s_%05d.wav", "category", "category", "category_index"))
     rounded = {c: dsp.python_round(F.col(c), 3 if c == "start_sec" else 6) for c in ("start_sec", *dsp.FEATURES)}
-    items = wav.write(named.withColumns(rounded).drop("category_index"), output_dir, "path").persist()
+    items = wav.write(named.withColumns(rounded).drop("category_index"), output_dir, "path")
     told = items.groupBy().agg(F.lit(source_dir).alias("source_dir"), F.lit(target_sr).alias("target_sr"), F.collect_list(F.struct(*items.columns)).alias("items"))
     sinks.write_document(told, f"{output_dir}/manifest.json")
     return items

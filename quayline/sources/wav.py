@@ -1,45 +1,63 @@
-"""WAV bytes to rows and back. Files come through Spark's binary reader, so any store that Spark reads will do."""
+"""WAV files to rows and back: a data source of byte ranges and a writer that commits, and whole clips through Spark's binary reader."""
 
 from __future__ import annotations
 
-import re
+import io
+import json
 import struct
+import uuid
 from collections.abc import Callable, Iterator
+from typing import BinaryIO, NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 import quayline
 
+from quayline.functions import dsp
+from quayline.operators.staging import staged
+from quayline.sources.stores import open_at, seekable, store
+
 cloudpickle.register_pickle_by_value(quayline)
 
 #: Clips must last this long to be scanned for noise.
 LEAST_SECONDS = 60.0
 
 
-def parse_header(data: bytes, size: int | None = None) -> dict:
-    """Format, channels, rate, sample width and the place of the samples, from the chunks at the start of a file."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+def walk(file: BinaryIO, size: int) -> dict:
+    """Format, channels, rate, sample width, the place of the samples and the number of whole frames, from chunk to chunk.
+
+    Other chunks are stepped over, however long they are. A length that runs beyond the ``size`` of the file ends with it.
+    """
+    file.seek(0)
+    head = file.read(12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, size, found = 12, len(data) if size is None else size, {}
-    while at + 8 <= len(data):
-        name, length = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
+    at, found = 12, {}
+    while at + 8 <= size:
+        file.seek(at)
+        name, length = struct.unpack("<4sI", file.read(8))
         if name == b"fmt ":
-            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", data[at + 8 : at + 24])
+            body = file.read(min(length, 40))
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
             if kind == 0xFFFE:
-                kind = struct.unpack("<H", data[at + 32 : at + 34])[0]
+                kind = struct.unpack("<H", body[24:26])[0]
             found |= {"kind": kind, "channels": channels, "sample_rate": rate, "width": bits // 8}
-        elif name == b"data":
-            length = min(length, size - at - 8)
-            found |= {"start": at + 8, "frames": length // (found["channels"] * found["width"])}
-            break
+        elif name == b"data" and found:
+            step = found["channels"] * found["width"]
+            return found | {"start": at + 8, "step": step, "frames": min(length, size - at - 8) // step}
         at += 8 + length + length % 2
-    if "start" not in found:
-        raise ValueError("a WAV file without samples")
-    return found
+    raise ValueError("a WAV file without samples")
+
+
+def parse_header(data: bytes, size: int | None = None) -> dict:
+    """``walk`` over the bytes of a file of ``size`` bytes, or over its first ones if the samples begin there."""
+    return walk(io.BytesIO(data), len(data) if size is None else size)
 
 
 def _values(raw: bytes, head: dict) -> np.ndarray:
@@ -63,8 +81,7 @@ def _values(raw: bytes, head: dict) -> np.ndarray:
 def decode(data: bytes) -> tuple[np.ndarray, int]:
     """Samples from -1 to 1 as float32, one column for each channel, and the rate."""
     head = parse_header(data)
-    size = head["frames"] * head["channels"] * head["width"]
-    return _values(data[head["start"] : head["start"] + size], head), head["sample_rate"]
+    return _values(data[head["start"] : head["start"] + head["frames"] * head["step"]], head), head["sample_rate"]
 
 
 def encode(samples: np.ndarray, rate: int) -> bytes:
@@ -78,56 +95,31 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
 
 
-def _open(path: str):
-    """A file for reading at places, by its URI: from a mounted folder or from any store that Arrow's file systems reach."""
-    if path.startswith("file:"):
-        return open(re.sub("^file:/+", "/", path), "rb")
-    from pyarrow import fs
-
-    store, inside = fs.FileSystem.from_uri(path)
-    return store.open_input_file(inside)
-
-
-def _seekable(files: DataFrame) -> bool:
-    """Whether the store can be read at places; otherwise Spark's reader must bring whole files."""
-    first = files.select("path").first()
-    try:
-        if first is not None:
-            _open(first["path"]).close()
-        return True
-    except Exception:  # noqa: BLE001  no such file system here, for whatever reason
-        return False
-
-
-#: Bytes that hold the chunks before the samples.
-HEAD_BYTES = 1 << 16
-
-
 def probe(spark: SparkSession, path: str, glob: str = "*.WAV") -> DataFrame:
-    """path, sample_rate, channels, n_frames and duration_sec of every file below ``path``, from its first bytes.
+    """path, sample_rate, channels, n_frames and duration_sec of every file below ``path``.
 
-    Only HEAD_BYTES of a file are read where the store can be read at places; elsewhere Spark reads the file.
+    Headers are walked by seeks where the store can be read at places; elsewhere Spark reads the file.
     """
     files = _files(spark, path, glob)
 
-    def told(heads: Iterator[bytes], sizes: pd.Series) -> pd.DataFrame:
-        rows = [parse_header(d, int(n)) for d, n in zip(heads, sizes, strict=True)]
+    def told(heads: Iterator[dict]) -> pd.DataFrame:
+        rows = list(heads)
         return pd.DataFrame({"sample_rate": [r["sample_rate"] for r in rows], "channels": [r["channels"] for r in rows], "n_frames": [r["frames"] for r in rows]}, columns=["sample_rate", "channels", "n_frames"])
 
     @F.pandas_udf("sample_rate int, channels int, n_frames bigint")
-    def brought(data: pd.Series, size: pd.Series) -> pd.DataFrame:
-        return told(iter(data), size)
+    def brought(data: pd.Series) -> pd.DataFrame:
+        return told(map(parse_header, data))
 
     @F.pandas_udf("sample_rate int, channels int, n_frames bigint")
     def sought(names: pd.Series, size: pd.Series) -> pd.DataFrame:
-        def heads() -> Iterator[bytes]:
-            for name in names:
-                with _open(name) as f:
-                    yield f.read(HEAD_BYTES)
+        def heads() -> Iterator[dict]:
+            for name, n in zip(names, size, strict=True):
+                with open_at(name) as f:
+                    yield walk(f, int(n))
 
-        return told(heads(), size)
+        return told(heads())
 
-    head = sought("path", "length") if _seekable(files) else brought(F.substring("content", 1, HEAD_BYTES), "length")
+    head = sought("path", "length") if seekable(files) else brought("content")
     rows = files.select("path", head.alias("h")).select("path", "h.*")
     return rows.withColumn("duration_sec", F.col("n_frames") / F.col("sample_rate"))
 
@@ -168,49 +160,188 @@ def windows(spark: SparkSession, files: DataFrame, glob_root: str, count: int =
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
                 head = parse_header(data)
-                step = head["channels"] * head["width"]
-                yield from clips(name, head, lambda first, n, d=data, h=head, w=step: d[h["start"] + first * w : h["start"] + (first + n) * w])
+                yield from clips(name, head, lambda first, n, d=data, h=head: d[h["start"] + first * h["step"] : h["start"] + (first + n) * h["step"]])
 
     def sought(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, size in zip(batch["path"], batch["length"], strict=True):
-                with _open(name) as f:
-                    head = parse_header(f.read(HEAD_BYTES), int(size))
-                    step = head["channels"] * head["width"]
+                with open_at(name) as f:
+                    head = walk(f, int(size))
 
-                    def frames(first: int, n: int, f=f, head=head, step=step) -> bytes:
-                        f.seek(head["start"] + first * step)
-                        return f.read(n * step)
+                    def frames(first: int, n: int, f=f, head=head) -> bytes:
+                        f.seek(head["start"] + first * head["step"])
+                        return f.read(n * head["step"])
 
                     yield from clips(name, head, frames)
 
     found = _files(spark, glob_root, glob).join(files.select("path"), "path", "left_semi")
     schema = "path string, start_sec double, sample_rate int, samples array<float>"
-    if _seekable(files):
+    if seekable(files):
         return found.select("path", "length").mapInPandas(sought, schema)
     return found.select("path", "content").mapInPandas(brought, schema)
 
 
+#: Bytes of one or more files that a task reads, and bytes of samples that it decodes at a time.
+RANGE_BYTES, PIECE_BYTES = 64 << 20, 4 << 20
+FRAMES = "path string, sample_rate int, frame_idx bigint, samples array<float>"
+
+
+class Span(NamedTuple):
+    """A byte range of a file of ``size`` bytes."""
+
+    path: str
+    size: int
+    low: int
+    high: int
+
+
+class _Range(InputPartition):
+    def __init__(self, spans: list[Span]) -> None:
+        self.spans = spans
+
+
+class _Reader(DataSourceReader):
+    """Partitions are byte ranges, so a long file is many tasks and short ones share a task; a frame belongs to the range in
+    which its first byte lies, which a task finds from the file's own header."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.files = json.loads(options["files"])
+        self.seconds = float(options.get("seconds", "0"))
+        self.samples = int(options.get("samples", "0"))
+
+    def partitions(self) -> list[_Range]:
+        out, spans, held = [], [], 0
+        for path, size in self.files:
+            for low in range(0, size, RANGE_BYTES):
+                span = Span(path, size, low, min(size, low + RANGE_BYTES))
+                if spans and held + span.high - low > RANGE_BYTES:
+                    out.append(_Range(spans))
+                    spans, held = [], 0
+                spans.append(span)
+                held += span.high - low
+        return [*out, _Range(spans)] if spans else out or [_Range([])]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        for span in partition.spans:
+            with open_at(span.path) as file:
+                head = walk(file, span.size)
+                size = self.samples or int(head["sample_rate"] * self.seconds)
+                if size < 1:
+                    raise ValueError("a frame holds at least one sample")
+                wide = size * head["step"]
+                place = lambda at, head=head, wide=wide: max(0, -(-(at - head["start"]) // wide))
+                first, last = place(span.low), min(place(span.high), -(-head["frames"] // size))
+                many = max(1, PIECE_BYTES // wide)
+                for at in range(first, last, many):
+                    some = min(many, last - at)
+                    file.seek(head["start"] + at * wide)
+                    count = min(some * size, head["frames"] - at * size)
+                    values = _values(file.read(count * head["step"]), head).mean(axis=1).astype(np.float32)
+                    ends = np.minimum(np.arange(some + 1) * size, count)
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+                    yield pa.RecordBatch.from_arrays([pa.array([span.path] * some), pa.array([head["sample_rate"]] * some, pa.int32()), pa.array(np.arange(at, at + some)), lists], names=["path", "sample_rate", "frame_idx", "samples"])
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, folder: str, names: list[str]) -> None:
+        self.folder, self.names = folder, names
+
+
+class _Writer(DataSourceArrowWriter):
+    """Tasks write below a hidden folder of their own attempt; only the commit moves files to their names, and it or an abort
+    removes the folder, so that failed and repeated attempts leave nothing."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.root = options["path"].rstrip("/")
+        self.staging = f"{self.root}/.staging-{uuid.uuid4().hex}"
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        task = TaskContext.get()
+        folder = f"{self.staging}/{task.partitionId()}-{task.taskAttemptId()}"
+        held, inside = store(folder)
+        held.create_dir(inside)
+        names = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, rate = batch.column("name")[i].as_py(), batch.column("sample_rate")[i].as_py()
+                with held.open_output_stream(f"{inside}/{len(names)}") as out:
+                    out.write(encode(batch.column("samples")[i].values.to_numpy(), rate))
+                names.append(name)
+        return _Written(folder, names)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        made = set()
+        for message in filter(None, messages):
+            held, inside = store(message.folder)
+            _, root = store(self.root)
+            for i, name in enumerate(message.names):
+                target = f"{root}/{name}"
+                folder = target.rpartition("/")[0]
+                if folder not in made:
+                    held.create_dir(folder)
+                    made.add(folder)
+                held.move(f"{inside}/{i}", target)
+        self._clear()
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        from pyarrow import fs
+
+        held, inside = store(self.staging)
+        if held.get_file_info(inside).type != fs.FileType.NotFound:
+            held.delete_dir(inside)
+
+
+class WavFiles(DataSource):
+    """``quayline_wav``. Reads frames of ``files`` (a JSON list of path and size) that last ``seconds`` or hold ``samples``; writes
+    rows (name, sample_rate, samples) as mono files below ``path``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quayline_wav"
+
+    def schema(self) -> str:
+        return FRAMES
+
+    def reader(self, schema) -> _Reader:
+        return _Reader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> _Writer:
+        return _Writer(self.options)
+
+
+def frames(spark: SparkSession, path: str, seconds: float = 0.1, samples: int = 0, glob: str = "*.[wW][aA][vV]", only: list[str] | None = None) -> DataFrame:
+    """path, sample_rate, frame_idx and the samples, averaged over the channels, of the consecutive frames of every file below ``path``.
+
+    A frame lasts ``seconds`` at its file's rate, or holds ``samples`` of them; the last of a file may be short, and a file
+    without samples has none. Of the files only those named in ``only`` are opened, if it is given. A task reads a byte range,
+    so neither a file's length nor that of its header matters; where the store cannot be read at places, Spark brings whole files.
+    """
+    files = _files(spark, path, glob)
+    if only is not None:
+        files = files.where(F.col("path").isin(only))
+    if not seekable(files):
+        size = F.lit(samples) if samples else F.floor(F.col("sample_rate") * seconds).cast("int")
+        whole = read(spark, path, glob)
+        cut = dsp.frames(whole.where(F.col("path").isin(only)) if only is not None else whole, "samples", size)
+        return cut.select("path", "sample_rate", F.col("frame_idx").cast("bigint").alias("frame_idx"), "samples")
+    # names and sizes, as Spark's own listing holds them on the driver
+    listed = [(r["path"], r["length"]) for r in files.select("path", "length").orderBy("path").collect()]
+    spark.dataSource.register(WavFiles)
+    return spark.read.format("quayline_wav").options(files=json.dumps(listed), seconds=str(seconds), samples=str(samples)).load()
+
+
 def write(df: DataFrame, root: str, name: str = "audio", samples: str = "samples", rate: str = "sample_rate") -> DataFrame:
     """Write one file for each row to ``root``/``name`` and return the rows without samples, with duration_sec.
 
-    ``root`` must be a folder that all executors mount. The result is lazy: files appear as its rows are produced, and a
-    retried task writes the same bytes again.
+    ``root`` is a folder in any store that Arrow's file systems reach. The rows are staged, so they are made once; files appear
+    when all of them are written, and a row of a name that is there replaces its file.
     """
-    import os
-
-    kept = [c for c in df.columns if c != samples]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seconds = []
-            for row in batch[[name, samples, rate]].itertuples(index=False):
-                where = f"{root}/{row[0]}"
-                os.makedirs(os.path.dirname(where), exist_ok=True)
-                with open(f"{where}.part", "wb") as out:
-                    out.write(encode(row[1], int(row[2])))
-                os.replace(f"{where}.part", where)
-                seconds.append(round(len(row[1]) / row[2], 3))
-            yield batch[kept].assign(duration_sec=seconds)
-
-    return df.mapInPandas(run, df.select(*kept, F.lit(0.0).alias("duration_sec")).schema)
+    spark = df.sparkSession
+    rows = staged(df.withColumn(samples, F.col(samples).cast("array<float>")))
+    spark.dataSource.register(WavFiles)
+    named = rows.select(F.col(name).alias("name"), F.col(rate).cast("int").alias("sample_rate"), F.col(samples).alias("samples"))
+    named.write.format("quayline_wav").mode("append").option("path", root).save()
+    return rows.withColumn("duration_sec", dsp.python_round(F.size(samples) / F.col(rate), 3)).drop(samples)

@@ -77,7 +77,7 @@ def test_clips_and_headers_with_and_without_seeking(spark, tmp_path, monkeypatch
     (tmp_path / "a b").mkdir()
     (tmp_path / "a b" / "x.WAV").write_bytes(wav.encode(x, rate))
     if not seekable:
-        monkeypatch.setattr(wav, "_seekable", lambda files: False)
+        monkeypatch.setattr(wav, "seekable", lambda files: False)
     found = wav.long_files(spark, str(tmp_path))
     assert [(r.sample_rate, r.n_frames, r.duration_sec) for r in found.collect()] == [(rate, len(x), 61.0)]
     clips = wav.windows(spark, found, str(tmp_path), 5, 4.0).orderBy("start_sec").collect()
@@ -126,6 +126,82 @@ def test_wav_codec():
         wav.decode(b"nonsense" * 10)
 
 
+def chunked(x, rate, junk, width=2):
+    """A WAV file with a long chunk before its samples."""
+    plain = wav.encode(x, rate)
+    return plain[:36] + b"JUNK" + junk.to_bytes(4, "little") + b"j" * (junk + junk % 2) + plain[36:]
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    x = (np.arange(5000) % 100 / 128).astype(np.float32)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.WAV").write_bytes(chunked(x, 1000, 70_001))
+    (tmp_path / "in/b.WAV").write_bytes(wav.encode(x[:0], 1000))
+    told = {r.path[-5:]: (r.n_frames, r.duration_sec) for r in wav.probe(spark, str(tmp_path / "in")).collect()}
+    assert told == {"a.WAV": (5000, 5.0), "b.WAV": (0, 0.0)}
+    (tmp_path / "in/c.WAV").write_bytes(b"RIFF1234WAVEfmt ")
+    with pytest.raises(Exception, match="without samples|unpack|buffer"):
+        wav.probe(spark, str(tmp_path / "in")).collect()
+
+
+def test_frames_are_the_same_over_any_ranges(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = {"a.wav": rng.normal(0, 0.2, 4321), "b.wav": rng.normal(0, 0.2, 7), "c.WAV": rng.normal(0, 0.2, 0), "d.wav": rng.normal(0, 0.2, 1000)}
+    for i, (name, x) in enumerate(parts.items()):
+        (tmp_path / name).write_bytes(chunked(x, 1000, 777) if i % 2 == 0 else wav.encode(x, 1000))
+    want = {(name, k): np.clip(np.rint(x[k * 50 : k * 50 + 50] * 32768), -32768, 32767) / 32768 for name, x in parts.items() for k in range(-(-len(x) // 50))}
+    for size in (64 << 20, 1000, 90):
+        monkeypatch.setattr(wav, "RANGE_BYTES", size)
+        monkeypatch.setattr(wav, "PIECE_BYTES", 300)
+        df = wav.frames(spark, str(tmp_path), seconds=0.05)
+        got = {(r.path.rpartition("/")[2], r.frame_idx): r.samples for r in df.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], v, atol=1e-7) for k, v in want.items())
+    assert df.rdd.getNumPartitions() > 20
+    only = wav.frames(spark, str(tmp_path), seconds=0.05, only=[f"file:{tmp_path}/d.wav"])
+    assert {r.path.rpartition("/")[2] for r in only.collect()} == {"d.wav"}
+
+
+def test_files_beyond_two_gigabytes(spark, tmp_path):
+    # a sparse file of 2.4 GB: eight channels of 24 bits
+    head = bytearray(wav.encode(np.zeros(0), 50_000)[:36])
+    head[22:24], head[32:34], head[34:36] = (8).to_bytes(2, "little"), (24).to_bytes(2, "little"), (24).to_bytes(2, "little")
+    frames = 100_000_000
+    with open(tmp_path / "big.WAV", "wb") as f:
+        f.write(bytes(head) + b"data" + (frames * 24).to_bytes(4, "little"))
+        f.truncate(44 + frames * 24)
+        f.seek(44 + (frames - 1) * 24)
+        f.write(b"\0\0\x40" * 8)
+    told = wav.probe(spark, str(tmp_path)).first()
+    assert told.n_frames == frames and told.duration_sec == 2000.0
+    cut = wav.frames(spark, str(tmp_path), seconds=0.1)
+    assert cut.rdd.getNumPartitions() == -(-(44 + frames * 24) // wav.RANGE_BYTES)
+    last = wav._Reader({"files": json.dumps([[f"file:{tmp_path}/big.WAV", 44 + frames * 24]]), "seconds": "0.1"})
+    batch = list(last.read(last.partitions()[-1]))[-1]
+    assert batch.column("frame_idx")[-1].as_py() == frames // 5000 - 1 and batch.column("samples")[-1].as_py()[-1] == 0.5
+    assert wav.windows(spark, wav.long_files(spark, str(tmp_path)), str(tmp_path), 2, 0.1).count() == 2
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    @F.udf("array<float>")
+    def samples(i):
+        if i == 7:
+            raise RuntimeError("no clip")
+        return [0.25] * i
+
+    rows = spark.range(8).select(F.format_string("x/%d.wav", "id").alias("audio"), F.lit(8000).alias("sample_rate"), samples("id").alias("samples"))
+    with pytest.raises(Exception, match="no clip"):
+        wav.write(rows, str(tmp_path / "out"))
+    assert not os.path.exists(tmp_path / "out") or not os.listdir(tmp_path / "out")
+    spark.dataSource.register(wav.WavFiles)
+    bad = rows.select(F.col("audio").alias("name"), "sample_rate", "samples").repartition(4)
+    with pytest.raises(Exception, match="no clip"):
+        bad.write.format("quayline_wav").mode("append").option("path", str(tmp_path / "out")).save()
+    assert not os.path.exists(tmp_path / "out") or not os.listdir(tmp_path / "out")
+    done = wav.write(rows.where("audio != 'x/7.wav'"), str(tmp_path / "out")).collect()
+    assert sorted(os.listdir(tmp_path / "out/x")) == [f"{i}.wav" for i in range(7)] and os.listdir(tmp_path / "out") == ["x"]
+    assert {r.audio: r.duration_sec for r in done}["x/6.wav"] == round(6 / 8000, 3)
+
+
 def test_dialogues_to_paired_views(spark, dialogues, tmp_path):
     out = str(tmp_path / "step2")
     manifest = pipelines.dialogues_to_scenes(spark, dialogues, out)
