@@ -114,12 +114,14 @@ def feature_struct(samples: str, rate: str) -> Column:
     return run(F.col(samples), F.col(rate))
 
 
-def bandpassed(samples: str, rate: str, low: float, high: float) -> Column:
+def bandpassed(samples: str, rate: str, low: Column | str, high: Column | str) -> Column:
+    """The clip between the frequencies of two columns."""
+
     @F.pandas_udf("array<float>")
-    def run(clips: pd.Series, rates: pd.Series) -> pd.Series:
-        return pd.Series([bandpass(_array(x), int(r), low, high) for x, r in zip(clips, rates, strict=True)])
+    def run(clips: pd.Series, rates: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+        return pd.Series([bandpass(_array(x), int(r), float(a), float(b)) for x, r, a, b in zip(clips, rates, lows, highs, strict=True)])
 
-    return run(F.col(samples), F.col(rate))
+    return run(F.col(samples), F.col(rate), *(F.col(c) if isinstance(c, str) else c for c in (low, high)))
 
 
 def resampled(samples: str, rate: str, target: int) -> Column:

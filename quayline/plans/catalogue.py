@@ -7,7 +7,6 @@ the parts of an order its entities, a user's events a frame series, an embedding
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -472,7 +471,7 @@ def spectral_features(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def noise_lookup(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "embeddings").select("vec_id", F.concat(F.lit("c"), F.col("label")).alias("category"))
-    items = rows.select("category", (F.row_number().over(Window.partitionBy("category").orderBy("vec_id")) - 1).alias("category_pos"), F.col("vec_id").cast("string").alias("path"))
+    items = readers.category_places(rows, "category", "vec_id").select("category", "category_pos", F.col("vec_id").cast("string").alias("path"))
     return lookup_items(rows, items, "category", sampling.SPLIT_SEED, F.lit("bank"), "vec_id").select("vec_id", "category", "item_path")
 
 
@@ -523,12 +522,10 @@ def resample(spark: SparkSession, d: str) -> DataFrame:
 def bandpass(spark: SparkSession, d: str) -> DataFrame:
     """Every wave through every profile's band."""
     tiled = _waves(spark, d).select("vec_id", dsp.tile(F.col("samples").cast("array<float>"), 240).alias("samples")).withColumn("sample_rate", F.lit(RATE))
-    parts = []
-    # the few profiles are constants of the engine
-    for p in profile_frame(spark).select("profile", "low_hz", "high_hz").collect():
-        own = tiled.withColumn("samples", dsp.bandpassed("samples", "sample_rate", float(p["low_hz"]), float(p["high_hz"])))
-        parts.append(own.select("vec_id", F.lit(p["profile"]).alias("profile"), F.size("samples").cast("bigint").alias("n_samples"), *_rounded(60, 120)))
-    return reduce(DataFrame.unionByName, parts)
+    bands = profile_frame(spark).select("profile", "low_hz", "high_hz")
+    # four profile rows
+    out = tiled.crossJoin(F.broadcast(bands)).withColumn("samples", dsp.bandpassed("samples", "sample_rate", "low_hz", "high_hz"))
+    return out.select("vec_id", "profile", F.size("samples").cast("bigint").alias("n_samples"), *_rounded(60, 120))
 
 
 # ---- recordings ----

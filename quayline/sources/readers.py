@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quayline.operators.ranking import running_total
+from quayline.operators.staging import staged
+
 DIALOGUES = "seq bigint, dialogue_id string, event string, intent string, provider string, model string, ship_names array<string>, utterance array<string>"
 UTTERANCES = "utterance_id string, dialogue_id string, turn_id string, event string, intent string, provider string, model string, ship_names string, text string"
 SCENES = UTTERANCES + ", clean_audio string, clean_duration_sec double, sample_rate int, profile string, audio string, noise_bank string, duration_sec double"
@@ -49,17 +52,23 @@ def load_utterances(spark: SparkSession, path: str, limit: int = 256) -> DataFra
 def load_bank_items(spark: SparkSession, path: str) -> DataFrame:
     """The items of a bank document with their place in their category, from 0 in document order."""
     items = spark.read.option("multiLine", "true").schema(BANK).json(path).select(F.posexplode("items").alias("pos", "item")).select("pos", "item.*")
-    return items.withColumn("category_pos", F.row_number().over(Window.partitionBy("category").orderBy("pos")) - 1)
+    return category_places(items, "category", "pos")
+
+
+def category_places(items: DataFrame, category: str, order: str, name: str = "category_pos") -> DataFrame:
+    """``items`` with their place from 0 in their category, in the order of a unique integer; a large category is many tasks."""
+    return running_total(items.withColumn("__one", F.lit(1).cast("bigint")), order, "__one", name, category).drop("__one")
 
 
 def lookup_items(rows: DataFrame, items: DataFrame, category: str, *key: str | int) -> DataFrame:
     """Each row with one item of its category, chosen by a keyed hash modulo the category's size: an equi-join.
 
-    A category without items is an error.
+    A category without items is an error. The sizes are staged, so the planner knows whether they fit a broadcast, and can split
+    the rows of a common category if they do not; an item is met by category and place.
     """
     from quayline.functions.text import hash_number
 
-    sizes = items.groupBy(F.col("category").alias("__c")).agg(F.count("*").alias("__n"))
+    sizes = staged(items.groupBy(F.col("category").alias("__c")).agg(F.count("*").alias("__n")))
     sized = rows.join(sizes, F.col(category) == F.col("__c"), "left")
     known = F.coalesce("__n", F.raise_error(F.concat(F.lit("no items of "), F.col(category))).cast("bigint"))
     chosen = sized.withColumn("__pos", F.pmod(hash_number(*key), known)).drop("__c", "__n")
