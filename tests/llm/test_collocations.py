@@ -59,7 +59,7 @@ def test_small_shards_count_what_crosses_their_cuts(spark, monkeypatch):
         monkeypatch.setattr(collocations, "TASK_WORDS", 2 * words)
         monkeypatch.setattr(collocations, "SLICE_BYTES", size)
         monkeypatch.setattr(collocations, "MERGE_ROWS", words)
-        monkeypatch.setattr(collocations, "MERGE_PAIRS", size)
+        monkeypatch.setattr(collocations, "MERGE_GRAMS", size)
         assert found(frame(spark, rows), 5) == whole == brute(rows, 5)
 
 
@@ -81,7 +81,7 @@ def test_suffix_arrays_match_brute_force():
     for head in (0, 3):
         ids = rng.integers(0, 4, 400)
         got = {}
-        for n, places, counts in collocations.ngram_counts(ids, collocations._room(ids[1:] > 0, ids), head, range(2, 6)):
+        for n, places, counts in collocations.ngram_counts(ids, collocations._room(ids > 0, 1), head, range(2, 6)):
             got |= {tuple(ids[p : p + n]): c for p, c in zip(places, counts, strict=True) if c}
         want = Counter(tuple(ids[i : i + n]) for n in range(2, 6) for i in range(len(ids) - n + 1) if ids[i : i + n].all() and i + n > head)
         assert got == want
@@ -97,15 +97,15 @@ def test_pairs_merge_as_brute_force(monkeypatch):
         total[a, b] += n
     for size, pairs in ((4, 3), (16, 1 << 20), (1 << 16, 50)):
         monkeypatch.setattr(collocations, "MERGE_ROWS", size)
-        monkeypatch.setattr(collocations, "MERGE_PAIRS", pairs)
+        monkeypatch.setattr(collocations, "MERGE_GRAMS", pairs)
         batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 7], strict=True)], names=["g1", "g2", "shard", "n"]) for i in range(0, 300, 7)]
         sums, lists = {}, []
-        for batch in collocations._merge(30)(iter(batches)):
+        for batch in collocations._merge(2, 30)(iter(batches)):
             for r in batch.to_pylist():
                 if r["shard"] is None:
                     assert (r["g1"], r["g2"]) not in sums
                     sums[r["g1"], r["g2"]] = r["n"]
                 else:
-                    lists += [(r["shard"], *p) for p in np.frombuffer(r["pairs"], np.int64).reshape(-1, 2).tolist()]
+                    lists += [(r["shard"], *p) for p in np.frombuffer(r["grams"], np.int64).reshape(-1, 2).tolist()]
         assert sums == {k: v for k, v in total.items() if v >= 30}
         assert sorted(lists) == sorted((s, a, b) for a, b, s, _ in rows if total[a, b] >= 30)
