@@ -218,8 +218,9 @@ def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: Da
     known = settled(labels.union(labels.select(F.col("root").alias("node"), "root").distinct()))
     # part: the component of a document that is linked at all
     marked = buckets.join(broadcast_if(known, 24), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "head", F.coalesce("root", "doc_id").alias("root"), F.col("root").alias("part"))
-    several = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_rows = settled(marked.join(several, "key", "left_semi"))
+    # checkpointed apart, as an aggregate on the join's own key would be joined where it lies, and a hot key could not be split
+    several = settled(marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"))
+    open_rows = settled(marked.join(broadcast_if(several, 16), "key", "left_semi"))
     own = open_rows.groupBy("doc_id").agg(F.min("root").alias("root"), F.min("head").alias("near"), F.min("part").alias("part")).join(signatures.select("doc_id", "n_shingles"), "doc_id")
     own = settled(own.withColumn("group", F.xxhash64("part", "near")).withColumn("class", F.floor(F.log(CLASS_STEP, F.greatest("n_shingles", F.lit(1))))))
     # groups over a block are dealt by set size and a hash of doc_id, from counts alone, so that no task holds a whole group
@@ -240,7 +241,7 @@ def _rest(buckets: DataFrame, signatures: DataFrame, labels: DataFrame, docs: Da
     blocks = held(blocks, keep)
     both = pairs.join(blocks.withColumnRenamed("x", "xa"), "block").join(blocks.select(F.col("block").alias("other"), F.col("x").alias("xb")), "other")
     found = settled(both.select("xa", "xb").mapInArrow(_between(floor, percent), "a bigint, b bigint"))
-    forget(known, open_rows, own, slots, placed)
+    forget(known, several, open_rows, own, slots, placed)
     return found
 
 
@@ -267,8 +268,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     # rows that repeat a document are alike: one of them stands for it
     spread = heads.select("doc_id", F.explode("bands").alias("key"))
     least = spread.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("key", "head")
+    least = settled(least)
     keep: list[DataFrame] = []
-    buckets = settled(spread.join(least, "key").distinct())
+    buckets = settled(spread.join(broadcast_if(least, 24), "key").distinct())
+    forget(least)
     members = buckets.select("doc_id").distinct()
     signatures = settled(heads.select("doc_id", "signature", "n_shingles").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     firsts = buckets.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
