@@ -15,8 +15,8 @@ from quayline.llm.common import lane, share, small_batches, within
 
 #: n-gram orders and hash buckets; the matrix has one row for each language and BUCKETS columns.
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
-#: At most about this many labelled rows are learned from, as many of each language (all of a rarer one), drawn evenly by a
-#: hash of doc_id and text at any corpus size.
+#: At most about this many labelled rows are learned from, as many of each language (all of a rarer one, whose rest goes to the
+#: others), drawn evenly by a hash of doc_id and text at any corpus size.
 TRAIN_ROWS = 20_000
 #: More languages than this are refused, which bounds the broadcast matrix to 128 MB.
 MOST_LANGS = 1_000
@@ -67,31 +67,45 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int64()), pa.array(total[full], pa.int64())], names=["lang", "bucket", "n"])
 
 
+def _quota(sizes: list[int], bound: float) -> float:
+    """So many rows of each language that all together make ``bound``, given that a language has no more than its size."""
+    left = bound
+    for i, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - i) > left:
+            return left / (len(sizes) - i)
+        left -= size
+    return float(max(sizes, default=0))
+
+
 def fit(labelled: DataFrame, bound: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their log priors and the (BUCKETS + 1) x languages matrix of log probabilities (add-one; last row 0).
 
     Learns from the non-null ``lang`` and whole ``text`` of about ``bound`` rows: of each language the same number, all of
     a language with fewer. Priors are the shares of all labelled rows. A language whose rows hold no n-gram (null or
-    empty texts) is not learned. Counts are summed in Spark and at most languages x BUCKETS of them reach the driver.
+    empty texts) is not learned. Counts are summed in Spark and reach the driver language by language.
     """
     small_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     per_lang = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGS + 1).collect()
     if len(per_lang) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
-    quota = bound / max(1, len(per_lang))
+    quota = _quota([r["count"] for r in per_lang], bound)
     # a row for each language, MOST_LANGS at most
     limits = labelled.sparkSession.createDataFrame([(r["lang"], share(quota, r["count"])) for r in per_lang], "lang string, __keep int")
     drawn = known.join(F.broadcast(limits), "lang").where(lane("doc_id", "text", of=1 << 20) < F.col("__keep"))
-    counts = drawn.select("lang", "text").mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    learned = set(counts["lang"])
-    langs = [r["lang"] for r in per_lang if r["lang"] in learned]
-    sizes = np.array([r["count"] for r in per_lang if r["lang"] in learned], float)
-    table = np.ones((BUCKETS, len(langs)))
-    at = {lang: i for i, lang in enumerate(langs)}
-    table[counts["bucket"].to_numpy(int), counts["lang"].map(at).to_numpy(int)] += counts["n"].to_numpy(float)
+    counts = drawn.select("lang", "text").mapInArrow(_count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # a row for each language, of BUCKETS pairs at most, brought one after the other
+    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).select("lang", F.col("x.bucket").alias("buckets"), F.col("x.n").alias("counts"))
+    columns = {}
+    for row in rows.toLocalIterator():
+        column = np.ones(BUCKETS, np.float64)
+        column[np.array(row["buckets"])] += np.array(row["counts"], float)
+        columns[row["lang"]] = np.log(column / column.sum()).astype(np.float32)
+    known_langs = [r for r in per_lang if r["lang"] in columns]
+    langs, sizes = [r["lang"] for r in known_langs], np.array([r["count"] for r in known_langs], float)
     logs = np.zeros((BUCKETS + 1, len(langs)), np.float32)
-    logs[:BUCKETS] = np.log(table / table.sum(axis=0))
+    for i, lang in enumerate(langs):
+        logs[:BUCKETS, i] = columns.pop(lang)
     return langs, np.log(sizes / sizes.sum()), logs
 
 

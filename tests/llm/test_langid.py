@@ -85,3 +85,9 @@ def test_rare_languages_are_learned_in_full(spark):
     assert model[0] == ["de", "en", "ja"] and np.allclose(np.exp(model[1]), np.array([1, 3000, 2]) / 3003)
     got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).where("doc_id IN (9000, 9001) OR doc_id < 5").collect()}
     assert got == {9000: "ja", 9001: "ja", **dict.fromkeys(range(5), "en")}
+
+
+def test_what_rare_languages_leave_goes_to_the_others():
+    assert langid._quota([10, 10, 10], 15) == 5 and langid._quota([1, 100, 100], 101) == 50 and langid._quota([1, 2], 100) == 2 and langid._quota([], 5) == 0
+    sizes = [1_000_000] + [3] * 999
+    assert abs(sum(min(x, langid._quota(sizes, 20_000)) for x in sizes) - 20_000) < 1e-6
