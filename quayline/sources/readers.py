@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 from quayline.operators.ranking import running_total
 from quayline.operators.staging import staged
+from quayline.sources import splitting
+from quayline.sources.stores import seekable
 
 DIALOGUES = "seq bigint, dialogue_id string, event string, intent string, provider string, model string, ship_names array<string>, utterance array<string>"
 UTTERANCES = "utterance_id string, dialogue_id string, turn_id string, event string, intent string, provider string, model string, ship_names string, text string"
@@ -30,9 +32,20 @@ def load_dialogues(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     return rows.orderBy("seq").limit(limit) if limit else rows
 
 
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
 def load_manifest(spark: SparkSession, path: str, schema: str | StructType = SCENES) -> DataFrame:
-    """One JSON document that is an array of rows."""
-    return spark.read.option("multiLine", "true").option("mode", "FAILFAST").schema(schema).json(path)
+    """The rows of one JSON document that is an array; a malformed one is an error.
+
+    Many tasks read a long document (``splitting``); where the store cannot be read at places, one reads it whole.
+    """
+    files = _listed(spark, path)
+    if not seekable(files):
+        return spark.read.option("multiLine", "true").option("mode", "FAILFAST").schema(schema).json(path)
+    rows = splitting.records(files, "json")
+    return rows.select(F.from_json("record", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def load_rows(spark: SparkSession, path: str, schema: str | StructType = SCENES) -> DataFrame:
@@ -42,8 +55,13 @@ def load_rows(spark: SparkSession, path: str, schema: str | StructType = SCENES)
 
 def load_utterances(spark: SparkSession, path: str, limit: int = 256) -> DataFrame:
     """A CSV with header, all text. The first ``limit`` rows in the order of the file (of a folder: of its files by name): 0 gives none, unlike elsewhere."""
-    options = {"header": "true", "multiLine": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "FAILFAST"}
-    rows = spark.read.options(**options).schema(UTTERANCES).csv(path)
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "FAILFAST"}
+    files = _listed(spark, path)
+    if seekable(files):
+        rows = splitting.records(files, "csv").where("place > 0")  # a file begins with its header
+        parsed = rows.select("path", "place", F.from_csv("record", UTTERANCES, options).alias("r"))
+        return parsed.orderBy("path", "place").limit(limit).select("r.*")
+    rows = spark.read.options(header="true", multiLine="true", **options).schema(UTTERANCES).csv(path)
     # quoted line breaks keep a file in one partition, where the id rises with the line
     placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__row"))
     return placed.orderBy("__file", "__row").limit(limit).drop("__file", "__row")
