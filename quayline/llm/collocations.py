@@ -2,8 +2,8 @@
 
 A shard holds the word ids of at most ``SHARD_WORDS`` consecutive words of one language that a task read. Its suffix array is
 built by prefix doubling in numpy, and the intervals of its LCP array are its n-grams with their counts. Counts are merged over
-shards in four rounds, each of which only counts what can still be frequent: words, pairs of frequent words, triples of
-frequent pairs, and longer phrases all of whose triples are frequent. This loses nothing, as no phrase is more frequent than its parts.
+shards in three rounds, each of which only counts what can still be frequent: words, pairs of frequent words, and longer
+phrases all of whose pairs are frequent. This loses nothing, as no phrase is more frequent than its parts.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ TASK_BYTES = 128 << 20
 _BREAK = b"\xff"  # stands in no UTF-8 text
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + _BREAK * 10 + b" ")
 SHARDS = "shard bigint, lang string, idx int, word string, n bigint, head int, ids binary"
-GRAMS = "shard bigint, lang string, g1 bigint, g2 bigint, g3 bigint, n bigint, head int, ids binary, gids binary, words array<string>"
-MERGED = "g1 bigint, g2 bigint, g3 bigint, n bigint, shard bigint, grams binary"
+PAIRS = "g1 bigint, g2 bigint, shard bigint, n bigint"
 PHRASES = "lang string, phrase string, size int, n bigint"
-#: N-grams that a merging task gathers before it hands them to their shards, and rows that it works on at a time.
-MERGE_GRAMS, MERGE_ROWS = 1 << 20, 1 << 16
+MERGED = "g1 bigint, g2 bigint, n bigint, shard bigint, pairs binary"
+#: Pairs that a merging task gathers before it hands them to their shards, and rows that it works on at a time.
+MERGE_PAIRS, MERGE_ROWS = 1 << 20, 1 << 16
 
 
 class _Ids(dict):
@@ -132,14 +132,13 @@ def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(lang)
 
 
-def _room(alive: np.ndarray, size: int) -> np.ndarray:
-    """How many words, at most MOST_WORDS, follow from each place on without leaving n-grams of ``size`` words that are ``alive``
-    where they begin: 0 where none begins."""
-    room = np.where(alive, size, 0).astype(np.int8)
-    on = alive
-    for step in range(1, min(MOST_WORDS - size + 1, len(alive))):
-        on = on[:-1] & alive[step:]
-        room[: len(on)] += on
+def _room(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """How many words, at most MOST_WORDS, follow from each place on; ``linked`` tells whether a word goes with its next one."""
+    room = (ids > 0).astype(np.int8)
+    alive = ids > 0
+    for step in range(1, min(MOST_WORDS, len(ids))):
+        alive = alive[:-1] & linked[step - 1 : len(ids) - 1]
+        room[: len(alive)] += alive
     return room
 
 
@@ -184,94 +183,54 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
         yield {name: column[i] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
 
 
-def _alive(ids: np.ndarray, grams: np.ndarray, wide: int) -> np.ndarray:
-    """Whether one of ``grams`` (rows of word ids below ``wide``) begins at each place of ``ids``."""
-    width = grams.shape[1]
-    places, codes = np.flatnonzero(np.isin(ids[: len(ids) - width + 1], grams[:, 0])), grams[:, 0]
-    own = ids[places]
-    for step in range(1, width):
-        # codes stay below the number of grams times the words, however wide a gram is
-        kinds = np.unique(codes)
-        codes = np.searchsorted(kinds, codes) * wide + grams[:, step]
-        at = np.minimum(np.searchsorted(kinds, own), max(len(kinds) - 1, 0))
-        own = at * wide + ids[places + step]
-        met = np.isin(own, codes)
-        places, own = places[met], own[met]
-    alive = np.zeros(len(ids), bool)
-    alive[places] = True
-    return alive
-
-
-def _local(row: dict) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Ids of a shard's frequent words from 1, their global ids and words, and where frequent n-grams of the round before begin."""
-    if "frequent" in row:
-        ids, found = np.frombuffer(row["ids"].as_buffer(), np.int32), row["frequent"].values
-        at, gids = found.field("idx").to_numpy(), found.field("gid").to_numpy()
-        local = np.zeros(max(int(ids.max(initial=0)), int(at.max(initial=0))) + 1, np.int32)
-        local[at] = np.arange(1, len(at) + 1)
-        ids = local[ids]
-        return ids, gids, found.field("word"), ids > 0
-    ids, gids = np.frombuffer(row["ids"].as_buffer(), np.int32), np.frombuffer(row["gids"].as_buffer(), np.int64)
-    width, order = int(row["width"].as_py()), np.argsort(gids)
-    grams = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in row["grams"].values])
-    grams = (order[np.searchsorted(gids, grams, sorter=order)] + 1).reshape(-1, width)
-    return ids, gids, row["words"].values, _alive(ids, grams, len(gids) + 1)
-
-
-def _grams(size: int):
-    """Counts of n-grams of ``size`` words, 2 or 3, both of whose parts of a word less are frequent; then a row with the words that
-    stand in any, whose other places are cut to one break."""
-    names = [x.split()[0] for x in GRAMS.split(", ")]
-    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string()))
+def _local(row: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The ids of a shard's words, numbered anew from 1 for the frequent ones and 0 for others; and those words' global ids and texts."""
+    ids, found = np.frombuffer(row["ids"].as_buffer(), np.int32), row["frequent"].values
+    at = found.field("idx").to_numpy()
+    local = np.zeros(max(int(ids.max(initial=0)), int(at.max(initial=0))) + 1, np.int32)
+    local[at] = np.arange(1, len(at) + 1)
+    return local[ids], found.field("gid").to_numpy(), found.field("word")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                ids, gids, words, alive = _local(row)
-                shard, lang, head = (row[key].as_py() for key in ("shard", "lang", "head"))
-                # places of n-grams that are counted, and one break behind each run of them
-                begins = np.r_[alive[:-1] & alive[1:], False] if len(alive) else alive
-                inside = begins.copy()
-                for step in range(1, size):
-                    inside[step:] |= begins[:-step] if step < len(begins) else False
-                kept = inside.copy()
-                kept[1:] |= inside[:-1]
-                ids = np.where(inside, ids, np.int32(0))[kept]
-                alive, head = (alive & inside)[kept], int(np.count_nonzero(kept[:head]))
-                # a run's last words begin nothing, and what lies between two runs is a break
-                alive &= ids > 0
-                for step in range(1, size - 1):
-                    alive[: len(ids) - step] &= ids[step:] > 0
-                    alive[len(ids) - step :] = False
-                for _, places, counts in ngram_counts(ids, _room(alive, size - 1), head, range(size, size + 1)):
-                    for first in range(0, len(places), 1 << 18):
-                        some = places[first : first + (1 << 18)]
-                        n = len(some)
-                        found = [pa.array(gids[ids[some + step] - 1]) for step in range(size)] + [pa.nulls(n, pa.int64())] * (3 - size)
-                        yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array([lang] * n), *found, pa.array(counts[first : first + n], pa.int64()), *(pa.nulls(n, t) for t in types[6:])], names=names)
-                used = np.unique(ids[ids > 0])
-                body = [shard, lang, None, None, None, None, head, np.where(ids > 0, np.searchsorted(used, ids) + 1, 0).astype(np.int32).tobytes(), gids[used - 1].tobytes()]
-                said = pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), words.take(pa.array(used - 1)))
-                yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(body, types, strict=False)), said], names=names)
 
-    return run
+def _compact(ids: np.ndarray, linked: np.ndarray, inside: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Without the words that are not ``inside``, a stretch of which becomes one break. Of two places that are linked both are inside, or none."""
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]
+    linked = np.append(linked, False) & inside
+    return np.where(inside, ids, np.int32(0))[kept], linked[kept][:-1], int(np.count_nonzero(kept[:head]))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the pairs of frequent words of each shard."""
+    for batch in batches:
+        for row in _rows(batch):
+            ids, gids, _ = _local(row)
+            linked = (ids[:-1] > 0) & (ids[1:] > 0)
+            inside = np.append(linked, False)
+            inside[1:] |= linked
+            ids, linked, head = _compact(ids, linked, inside, row["head"].as_py())
+            for _, places, counts in ngram_counts(ids, _room(linked, ids), head, range(2, 3)):
+                for first in range(0, len(places), 1 << 18):
+                    some = places[first : first + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(gids[ids[some] - 1]), pa.array(gids[ids[some + 1] - 1]), pa.array([row["shard"].as_py()] * len(some), pa.int64()), pa.array(counts[first : first + len(some)], pa.int64())], names=["g1", "g2", "shard", "n"])
 
 
-def _merge(size: int, least: int):
-    """Of n-grams of ``size`` words in order (g1, ..., shard, n) those that occur ``least`` times: a row with their sum, and rows for
-    their shards with all frequent ones that a task found there. Of one that ever so many shards hold, a few rows are kept at a time."""
+def _merge(least: int):
+    """Of pairs in order (g1, g2, shard, n) those that occur ``least`` times: a row with their sum, and rows for their shards with
+    all frequent pairs that a task found there. Of a pair that ever so many shards hold, a few rows are kept at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: dict[int, list[np.ndarray]] = {}
-        names, types = [x.split()[0] for x in MERGED.split(", ")], (pa.int64(),) * 5 + (pa.binary(),)
+        names, types = ["g1", "g2", "n", "shard", "pairs"], (pa.int64(),) * 4 + (pa.binary(),)
         held, pending = 0, []
-        rest = np.empty((0, size + 2), np.int64)
+        rest = np.empty((0, 4), np.int64)
 
         def hand_out() -> Iterator[pa.RecordBatch]:
             nonlocal held
-            if told:
-                grams = [np.concatenate(x).tobytes() for x in told.values()]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(told), t) for t in types[:4]), pa.array(list(told), pa.int64()), pa.array(grams, pa.binary())], names=names)
+            size = len(told)
+            if size:
+                pairs = [np.concatenate(x).tobytes() for x in told.values()]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(size, t) for t in types[:3]), pa.array(list(told), pa.int64()), pa.array(pairs, pa.binary())], names=names)
             told.clear()
             held = 0
 
@@ -280,35 +239,34 @@ def _merge(size: int, least: int):
             out = []
             if not len(rows):
                 return out, rows
-            starts = np.flatnonzero(np.r_[True, (rows[1:, :size] != rows[:-1, :size]).any(axis=1)])
-            sums = np.add.reduceat(rows[:, -1], starts)
-            open_ = len(starts) if last else len(starts) - 1  # the last one may go on
+            starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+            sums = np.add.reduceat(rows[:, 3], starts)
+            open_ = len(starts) if last else len(starts) - 1  # the last pair may go on
             often = sums[:open_] >= least
             if often.any():
                 keys = rows[starts[:open_][often]]
-                third = [pa.array(keys[:, i]) for i in range(size)] + [pa.nulls(len(keys), pa.int64())] * (3 - size)
-                out.append(pa.RecordBatch.from_arrays([*third, pa.array(sums[:open_][often]), *(pa.nulls(len(keys), t) for t in types[4:])], names=names))
+                out.append(pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sums[:open_][often]), *(pa.nulls(len(keys), t) for t in types[3:])], names=names))
             alive = np.repeat(np.r_[often, False] if not last else often, np.diff(np.r_[starts, len(rows)]))
             rest = rows[:0]
             if not last:
                 rest = rows[starts[-1] :]
                 if len(rest) > MERGE_ROWS // 4 and sums[-1] >= least:  # one row without a shard stands for those that are handed out
                     alive[starts[-1] :] = True
-                    rest = np.array([[*rest[0, :size], -1, sums[-1]]], np.int64)
-            found = rows[alive & (rows[:, size] >= 0)]
-            found = found[np.argsort(found[:, size], kind="stable")]
-            for part in np.split(found, np.flatnonzero(np.diff(found[:, size])) + 1) if len(found) else ():
-                told.setdefault(int(part[0, size]), []).append(np.ascontiguousarray(part[:, :size]))
+                    rest = np.array([[*rest[0, :2], -1, sums[-1]]], np.int64)
+            found = rows[alive & (rows[:, 2] >= 0)]
+            found = found[np.argsort(found[:, 2], kind="stable")]
+            for part in np.split(found, np.flatnonzero(np.diff(found[:, 2])) + 1) if len(found) else ():
+                told.setdefault(int(part[0, 2]), []).append(np.ascontiguousarray(part[:, :2]))
                 held += len(part)
             return out, rest
 
         for batch in batches:
-            pending.append(np.stack([batch.column(c).to_numpy() for c in (*names[:size], "shard", "n")], axis=1))
+            pending.append(np.stack([batch.column(c).to_numpy() for c in ("g1", "g2", "shard", "n")], axis=1))
             if sum(map(len, pending)) >= MERGE_ROWS or len(pending) >= MERGE_ROWS:
                 out, rest = settle(np.concatenate([rest, *pending]), False)
                 pending = []
                 yield from out
-                if held >= MERGE_GRAMS:
+                if held >= MERGE_PAIRS:
                     yield from hand_out()
         out, _ = settle(np.concatenate([rest, *pending]), True)
         yield from out
@@ -318,41 +276,25 @@ def _merge(size: int, least: int):
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of four words and more, all of whose triples are frequent."""
+    """Counts of the phrases of three words and more, all of whose pairs are frequent."""
     for batch in batches:
         for row in _rows(batch):
-            ids, _, words, alive = _local(row)
-            names = pa.concat_arrays([pa.array([""]), words.cast(pa.string())])
-            for n, places, counts in ngram_counts(ids, _room(alive, 3), row["head"].as_py(), range(4, MOST_WORDS + 1)):
+            ids, gids, words = _local(row)
+            order, wide = np.argsort(gids), len(gids) + 1
+            pairs = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in row["pairs"].values]).reshape(-1, 2)
+            first, second = (order[np.searchsorted(gids, pairs[:, i], sorter=order)] + 1 for i in (0, 1))
+            linked = np.isin(ids[:-1].astype(np.int64) * wide + ids[1:], first * wide + second)
+            inside = np.zeros(len(ids), bool)
+            for step in range(3):  # three words that are linked
+                inside[step : len(ids) - 2 + step] |= linked[:-1] & linked[1:]
+            ids, linked, head = _compact(ids, linked, inside, row["head"].as_py())
+            names = pa.concat_arrays([pa.array([""]), words])
+            for n, places, counts in ngram_counts(ids, _room(linked, ids), head, range(3, MOST_WORDS + 1)):
                 phrase = pc.binary_join_element_wise(*(names.take(pa.array(ids[places + step])) for step in range(n)), " ")
                 size = len(places)
                 yield pa.RecordBatch.from_arrays([pa.array([row["lang"].as_py()] * size, pa.string()), phrase.cast(pa.string()), pa.array([n] * size, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "size", "n"])
 
 
-def _round(bodies: DataFrame, size: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """The n-grams and bodies of each shard, and those that occur ``least`` times with the lists that go back to the shards, both
-    stored. As the lists are made where an n-gram's rows meet, it is no row for each of its shards again."""
-    keys = [f"g{i + 1}" for i in range(size)]
-    grams = durable(bodies.mapInArrow(_grams(size), GRAMS), f"grams-{size}")
-    in_order = grams.where("ids is null").select(*keys, "shard", "n").repartition(*keys).sortWithinPartitions(*keys)
-    return grams, durable(in_order.mapInArrow(_merge(size, least), MERGED), f"often-{size}")
-
-
-def _linked(grams: DataFrame, often: DataFrame, width: int) -> DataFrame:
-    """The bodies that hold frequent n-grams of ``width`` words, with these."""
-    lists = often.where("shard is not null").groupBy("shard").agg(F.collect_list("grams").alias("grams"))
-    return grams.where("ids is not null").select("shard", "lang", "head", "ids", "gids", "words", F.lit(width).alias("width")).join(lists, "shard")
-
-
-def _named(often: DataFrame, frequent: DataFrame, size: int) -> DataFrame:
-    """Frequent n-grams as phrases."""
-    found = often.where("shard is null")
-    for i in range(size):
-        words = frequent.select(F.col("gid").alias(f"g{i + 1}"), F.col("word").alias(f"w{i + 1}"), *(["lang"] if i == 0 else []))
-        found = found.join(broadcast_if(words, 64), f"g{i + 1}")
-    return found.select("lang", F.concat_ws(" ", *[f"w{i + 1}" for i in range(size)]).alias("phrase"), F.lit(size).alias("size"), "n")
-
-
 def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, n) of every phrase of 1 to 5 words that occurs ``least`` times or more, and (lang, total) words, both stored.
 
@@ -371,17 +313,21 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame,
     frequent = settled(heard.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("gid", F.monotonically_increasing_id()))
 
     known = heard.select("shard", "lang", "idx", "word").join(broadcast_if(frequent.select("lang", "word", "gid"), 64), ["lang", "word"])
-    by_shard = known.groupBy("shard").agg(F.collect_list(F.struct("idx", "gid", "word")).alias("frequent"))
-    bodies = shards.where("ids is not null").select("shard", "lang", "head", "ids").join(by_shard, "shard")
-    pairs, often2 = _round(bodies, 2, least)
-    forget(shards)
-    triples, often3 = _round(_linked(pairs, often2, 2), 3, least)
-    longer = _linked(triples, often3, 3).mapInArrow(_phrases, PHRASES)
+    lists = durable(known.groupBy("shard").agg(F.collect_list(F.struct("idx", "gid", "word")).alias("frequent")), "frequent")
+    bodies = shards.where("ids is not null").select("shard", "lang", "head", "ids").join(lists, "shard")
+
+    # frequent pairs go back to their shards in lists, so a pair is no row for each of its shards
+    pairs = bodies.mapInArrow(_pairs, PAIRS).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    merged = durable(pairs.mapInArrow(_merge(least), MERGED), "merged")
+    linked = merged.where("shard is not null").groupBy("shard").agg(F.collect_list("pairs").alias("pairs"))
+    longer = bodies.join(linked, "shard").mapInArrow(_phrases, PHRASES)
     longer = longer.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    first, second = (frequent.select("lang", F.col("word").alias(w), F.col("gid").alias(g)) for w, g in (("w1", "g1"), ("w2", "g2")))
+    named = merged.where("shard is null").select("g1", "g2", "n").join(broadcast_if(first, 64), "g1").join(broadcast_if(second.drop("lang"), 64), "g2")
     one = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
-    two, three = _named(often2, frequent, 2), _named(often3, frequent, 3)
-    counts = settled(one.unionByName(two).unionByName(three).unionByName(longer))
-    forget(pairs, often2, triples, often3, frequent)
+    two = named.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.lit(2).alias("size"), "n")
+    counts = settled(one.unionByName(two).unionByName(longer))
+    forget(shards, lists, merged, frequent)
     return counts, totals
 
 
