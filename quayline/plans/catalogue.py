@@ -407,6 +407,45 @@ def utterance_csv(spark: SparkSession, d: str) -> DataFrame:
     return readers.load_utterances(spark, path, turns.count()).select("utterance_id", "turn_id", "event", "text")
 
 
+@_query
+def outputs_together(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in two files that appear together, by the digests of their bytes."""
+    rows, root = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), scratch(spark)
+    halves = {f"{root}/{name}.jsonl": rows.where(F.col("o_orderkey") % 2 == i).orderBy("o_orderkey") for i, name in enumerate(("even", "odd"))}
+    sinks.write_together(spark, halves, f"{root}/journal", single=True)
+    files = sinks.byte_digests(spark, f"{root}/*.jsonl")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
+
+
+@_query
+def views_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The three views of every order, a folder each, replaced once and read back."""
+    path, three = scratch(spark), views.paired_views(labels.labelled_rows(_spoken(spark, d), bias=False)).select("id", "view", "prompt")
+    sinks.write_views(three.limit(10), path)
+    sinks.write_views(three, path)
+    back = readers.read_jsonl(spark, path, "id string, prompt string, view string")
+    return back.groupBy("view").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(F.col("prompt").isNotNull()).alias("prompts"))
+
+
+@_query
+def splits_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by split, a folder each, read back."""
+    path = scratch(spark)
+    sinks.write_splits(_split_orders(spark, d), path)
+    back = readers.read_jsonl(spark, path, "o_orderkey bigint, o_custkey bigint, split string")
+    return back.select("o_orderkey", "o_custkey", "split")
+
+
+@_query
+def dialogue_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The first dialogues, written as JSON lines that replace others, and read in their order."""
+    path = scratch(spark)
+    sinks.write_jsonl(_dialogues(spark, d).limit(1), path)
+    sinks.write_jsonl(_dialogues(spark, d).withColumn("dialogue_id", F.col("dialogue_id").cast("string")), path)
+    first = readers.load_dialogues(spark, path, 25)
+    return first.select("seq", "dialogue_id", F.size("utterance").cast("bigint").alias("turns"), _joined("ship_names").alias("names"), F.sha2(_joined("utterance"), 256).alias("said"))
+
+
 @_query
 def bank_document(spark: SparkSession, d: str) -> DataFrame:
     """A bank's items as one JSON document and back, each with its place in its category."""
@@ -558,6 +597,14 @@ def wav_frames_of_two(spark: SparkSession, d: str) -> DataFrame:
     return wav.frames(spark, root, samples=1000, only=wanted).groupBy(_FILE).agg(F.count("*").alias("frames"), F.sum(F.size("samples")).alias("samples"))
 
 
+@_query
+def wav_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Whole recordings."""
+    held = wav.read(spark, _recordings(spark, d))
+    samples = F.transform("samples", lambda v: F.round(v * 32768).cast("bigint"))
+    return held.select(_FILE, "sample_rate", F.size("samples").cast("bigint").alias("n"), F.sha2(F.array_join(samples, ","), 256).alias("sha256"))
+
+
 @_query
 def wav_probe(spark: SparkSession, d: str) -> DataFrame:
     told = wav.probe(spark, _recordings(spark, d))

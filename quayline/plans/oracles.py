@@ -208,7 +208,7 @@ lasting AS (SELECT file, count(*) AS n FROM heard GROUP BY file)"""
 def all_sql() -> dict[str, str]:
     crop = "CASE WHEN trunc(crop / 1000.0::DOUBLE * 24000) BETWEEN 1 AND n - 1 THEN n - trunc(crop / 1000.0::DOUBLE * 24000) ELSE n END"
     length = f"({crop} + trunc(tail / 1000.0::DOUBLE * 24000))::BIGINT"
-    return {
+    sql = {
         "balanced_sample": f"WITH {_SAMPLE} SELECT doc_id, lang, row_number() OVER (ORDER BY k, doc_id::VARCHAR) AS sample_rank FROM sample",
         "balanced_sample_summary": f"WITH {_SAMPLE} SELECT lang, count(*) AS n_rows, count(DISTINCT source) AS n_sources FROM sample GROUP BY 1",
         "calibration_discovery": f"WITH {_DISCOVERY} SELECT id, profile FROM discovery",
@@ -269,6 +269,11 @@ def all_sql() -> dict[str, str]:
         "capped_events": f"WITH {_EVENTS} SELECT * FROM hits ORDER BY series_id, end_idx LIMIT 20",
         "jsonl_round_trip": "SELECT o_orderkey AS id, o_orderpriority AS profile, coalesce((SELECT string_agg(DISTINCT l_partkey::VARCHAR, '|' ORDER BY l_partkey::VARCHAR) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS entities FROM orders",
         "utterance_csv": """SELECT (conv_id * 1000 + turn)::VARCHAR AS utterance_id, turn::VARCHAR AS turn_id, 'event "x", y' AS event, ' "a",' || chr(10) || text AS text FROM conversations""",
+        "outputs_together": """WITH lines AS (SELECT o_orderkey % 2 AS half, o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}' || chr(10) AS line FROM orders),
+          texts AS (SELECT half, string_agg(line, '' ORDER BY o_orderkey) AS t FROM lines GROUP BY half)
+          SELECT CASE half WHEN 0 THEN 'even.jsonl' ELSE 'odd.jsonl' END AS file, length(t)::BIGINT AS length, sha256(t) AS sha256 FROM texts""",
+        "dialogue_lines": """WITH c AS (SELECT conv_id, count(*) AS turns, string_agg(text, '|' ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id ORDER BY conv_id LIMIT 25)
+          SELECT conv_id AS seq, conv_id::VARCHAR AS dialogue_id, turns, 'Aurora Star|Arrow' AS names, sha256(t) AS said FROM c""",
         "bank_document": "SELECT item_id::VARCHAR AS path, 'c' || item_id % 3 AS category, item_id / 8.0::DOUBLE AS start_sec, row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) AS place FROM benchmark",
         "levels": f"WITH {_WAVE}, s AS (SELECT vec_id, list_transform(x, lambda v: v * (vec_id % 7 + 1)) AS x FROM wave) SELECT vec_id, round({_rms('x')}, 6) AS rms_db, round({_peak('x')}, 6) AS peak FROM s",
         "set_rms": f"WITH {_WAVE}, s AS (SELECT vec_id, list_transform(x, lambda v: v * power(10, (-36.0 - {_rms('x')}) / 20)) AS x FROM wave) SELECT vec_id, round(x[1], 6) AS first_sample, round({_peak('x')}, 6) AS peak FROM s",
@@ -278,6 +283,7 @@ def all_sql() -> dict[str, str]:
         "wave_frames": f"WITH {_WAVE}, f AS (SELECT vec_id, i, x[i * 10 + 1 : least(i * 10 + 10, 64)] AS x FROM wave, range(0, 7) r(i)) SELECT vec_id, i::BIGINT AS frame_idx, len(x)::BIGINT AS n, round({_rms('x')}, 6) AS rms_db FROM f",
         "wav_frames": f"WITH {_RECORDING} SELECT file, 24000 AS sample_rate, place // 250 AS frame_idx, count(*) AS n, round(arg_min(v, place), 6) AS first_sample, round(arg_max(v, place), 6) AS last_sample FROM heard GROUP BY file, place // 250",
         "wav_frames_of_two": f"WITH {_RECORDING} SELECT file, ceil(n / 1000)::BIGINT AS frames, n AS samples FROM lasting WHERE n >= 1200 ORDER BY file LIMIT 2",
+        "wav_decode": f"WITH {_RECORDING} SELECT file, 24000 AS sample_rate, count(*) AS n, sha256(string_agg((v * 32768)::BIGINT::VARCHAR, ',' ORDER BY place)) AS sha256 FROM heard GROUP BY file",
         "wav_probe": f"WITH {_RECORDING} SELECT file, 24000 AS sample_rate, 1::BIGINT AS channels, n AS n_frames, round(n / 24000, 9) AS duration_sec FROM lasting",
         "wav_windows": f"""WITH {_RECORDING}, s AS (SELECT file, n, (n / 24000 - 0.01) * k / 2 AS start FROM (SELECT * FROM lasting ORDER BY file LIMIT 5), range(3) r(k)),
           p AS (SELECT *, trunc(start::DOUBLE * 24000)::BIGINT AS first FROM s)
@@ -294,3 +300,6 @@ def all_sql() -> dict[str, str]:
         "priority_counter": "SELECT string_agg(p || '=' || n, '|' ORDER BY p) AS counts FROM (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1)",
         "selection_summary": "SELECT (SELECT count(*) FROM orders) AS records, (SELECT count(DISTINCT o_custkey) FROM orders) AS dialogues, (SELECT count(DISTINCT o_orderkey) FROM orders) AS utterances, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) AS entities",
     }
+    sql["views_round_trip"] = f"SELECT view, count(*) AS n, count(DISTINCT id) AS ids, count(prompt) AS prompts FROM ({sql['paired_views']}) GROUP BY view"
+    sql["splits_round_trip"] = f"SELECT r.o_orderkey, o.o_custkey, r.split FROM ({sql['split_rows']}) r JOIN orders o USING (o_orderkey)"
+    return sql
