@@ -138,83 +138,108 @@ def compact(supers: DataFrame) -> DataFrame:
     return out
 
 
-def _places(table: DataFrame, keep: list[DataFrame]) -> DataFrame:
-    """doc_id, name and places (lo, hi, whole): path walks, and super-edges whose single edges need judging.
+def _ends() -> list[Column]:
+    return [f(c).alias(n) for c, (x, y) in (("prev", ("p0", "p1")), ("nxt", ("n0", "n1"))) for f, n in ((F.min, x), (F.max, y))]
 
-    Super-edges of one home but different words may share some of their edges: one document for each such super-edge
-    (the least, by whom all the others are judged as a whole) gives its single edges.
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, doc_id, name, start, prev, nxt): the single edges of the given places, each with the ones beside it there."""
+    cache = WordKeys()
+    for batch in within(batches):
+        for doc, text, name, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "name", "places")), strict=True):
+            keys = cache.of(_words(text))
+            if _identity(keys) != name:
+                continue  # another row of the same doc_id
+            inside = np.zeros(max(0, len(keys) - WINDOW + 1), bool)
+            for p in places:
+                inside[p["lo"] : p["hi"] - WINDOW + 1] = True
+            starts = np.flatnonzero(inside)
+            edges = signed(rolling(keys, WINDOW)[starts])
+            edges = np.where(edges == NONE, 1, edges)
+            beside = np.diff(starts) == 1
+            prev, nxt = np.full(len(edges), NONE), np.full(len(edges), NONE)
+            prev[1:][beside], nxt[:-1][beside] = edges[:-1][beside], edges[1:][beside]
+            n = len(edges)
+            yield pa.RecordBatch.from_arrays([pa.array(edges), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, name, np.int64)), pa.array(starts), pa.array(prev), pa.array(nxt)], names=["u", "doc_id", "name", "start", "prev", "nxt"])
+
+
+def _listed(spans: DataFrame) -> DataFrame:
+    """(doc_id, name, places) of rows (doc_id, name, lo, hi)."""
+    return settled(spans.groupBy("doc_id", "name").agg(F.collect_list(F.struct("lo", "hi")).alias("places")))
+
+
+def _places(table: DataFrame, docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
+    """doc_id, name and places (lo, hi) of the path walks of all documents, whole copies among them.
+
+    Paths are compacted twice. First over super-edges: equal ones in a row with equal neighbours are one path. Super-edges of one
+    home but different words may still share some of their edges; there the graph is opened into its single edges, once for each
+    such super-edge (in the document with the least id, by whom all others that hold it are judged by the paths of super-edges),
+    and these are compacted over the corpus in turn, so that what two of them share is one path of edges again.
     """
     each = table.select("doc_id", F.explode("h").alias("h"))
     homes = settled(each.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
     own = table.select("doc_id", "name", F.posexplode(_steps()).alias("idx", "e")).select("doc_id", "name", "idx", "e.*")
     walks = held(own.join(broadcast_if(homes, 16), "h", "left_semi"), keep)
-    ends = [f(c).alias(n) for c, (x, y) in (("prev", ("p0", "p1")), ("nxt", ("n0", "n1"))) for f, n in ((F.min, x), (F.max, y))]
-    supers = settled(walks.groupBy("u", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *ends))
+    supers = settled(walks.groupBy("u", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *_ends()))
     paths = compact(supers)
     # checkpointed apart, here and below, so that a join has two shuffles of which a hot home's or super-edge's can be split
     several = settled(supers.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("open")))
     told = supers.select("u", "h", "least").join(broadcast_if(several, 16), "h", "left").join(paths, "u", "left").where("path IS NOT NULL OR open")
     marks = settled(told.select("u", "least", "path", "place", F.coalesce("open", F.lit(False)).alias("open")))
     forget(homes, supers, several, paths)
-    on = walks.join(marks, "u")
-    walk = F.when(F.col("path").isNotNull(), F.struct(F.col("path").alias("key"), (F.col("idx") - F.col("place")).alias("first"), "lo", "hi", F.lit(True).alias("whole")))
-    opened = F.when(F.col("open") & (F.col("doc_id") == F.col("least")), F.struct(F.col("u").alias("key"), F.col("idx").cast("long").alias("first"), "lo", "hi", F.lit(False).alias("whole")))
-    places = on.select("doc_id", "name", F.explode(F.array_compact(F.array(walk, opened))).alias("p")).select("doc_id", "name", "p.*")
-    spans = places.groupBy("doc_id", "name", "whole", "key", "first").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    out = settled(spans.groupBy("doc_id", "name").agg(F.collect_list(F.struct("lo", "hi", "whole")).alias("places")))
-    forget(marks)
+    on = walks.join(broadcast_if(marks, 48), "u")
+    whole = on.where("path IS NOT NULL").groupBy("doc_id", "name", "path", (F.col("idx") - F.col("place")).alias("first")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    opened = _listed(on.where("open AND doc_id = least").select("doc_id", "name", "lo", "hi").distinct())
+    edges = held(having(docs, opened).join(opened, "doc_id").mapInArrow(_edges, "u bigint, doc_id bigint, name bigint, start bigint, prev bigint, nxt bigint"), keep)
+    small = settled(edges.groupBy("u").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *_ends()).where("least < most"))
+    inner = compact(small)
+    along = edges.join(broadcast_if(inner, 24), "u").groupBy("doc_id", "name", "path", (F.col("start") - F.col("place")).alias("first"))
+    parts = along.agg(F.min("start").cast("int").alias("lo"), (F.max("start") + WINDOW).cast("int").alias("hi"))
+    out = _listed(whole.select("doc_id", "name", "lo", "hi").unionByName(parts.select("doc_id", "name", "lo", "hi")))
+    forget(marks, opened, small, inner)
     release(keep)
     return out
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, doc_id, name, start, size): digests of the words at the given places; whole walks once, other places edge by edge."""
+    """(x, y, size, doc_id, name, start, words): the words at the given places and a 128-bit digest of them."""
     cache = WordKeys()
     for batch in within(batches):
         for doc, text, name, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "name", "places")), strict=True):
-            keys = cache.of(_words(text))
-            if _identity(keys) != name:
+            words = _words(text)
+            if _identity(cache.of(words)) != name:
                 continue  # another row of the same doc_id
-            inside = np.zeros(max(0, len(keys) - WINDOW + 1), bool)
-            whole = [(p["lo"], p["hi"]) for p in places if p["whole"]]
-            for p in places:
-                if not p["whole"]:
-                    inside[p["lo"] : p["hi"] - WINDOW + 1] = True
-            starts = np.flatnonzero(inside)
-            digests = np.fromiter((_identity(keys[lo:hi]) for lo, hi in whole), np.int64, len(whole))
-            values = np.concatenate([digests, signed(rolling(keys, WINDOW)[starts])])
-            begin = np.concatenate([np.fromiter((lo for lo, _ in whole), np.int64, len(whole)), starts]).astype(np.int32)
-            size = np.concatenate([np.fromiter((hi - lo for lo, hi in whole), np.int64, len(whole)), np.full(len(starts), WINDOW)]).astype(np.int32)
-            n = len(values)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, name, np.int64)), pa.array(begin), pa.array(size)], names=["x", "doc_id", "name", "start", "size"])
+            said = [b" ".join(words[p["lo"] : p["hi"]]) for p in places]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in said), np.int64).reshape(-1, 2)
+            n = len(said)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([p["hi"] - p["lo"] for p in places], pa.int32()), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, name, np.int64)), pa.array([p["lo"] for p in places], pa.int32()), pa.array(said, pa.binary())],
+                names=["x", "y", "size", "doc_id", "name", "start", "words"],
+            )
 
 
 def repeated_spans(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
     """doc_id, name and spans (start, end in words) of all words that a repeated window covers; cases as in ``dedup``.
 
-    Tables that the result still reads are added to ``keep``, for the caller to release.
+    Walks of one path are met by digest and size, and the words at a walk's place are compared with those at the place where
+    the least document holds them. Tables that the result still reads are added to ``keep``, for the caller to release.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     own: list[DataFrame] = []
     table = held(docs.where("doc_id IS NOT NULL").mapInArrow(_walks, "doc_id bigint, n_words bigint, name bigint, h array<bigint>, u array<bigint>, lo array<int>, hi array<int>").where(f"n_words >= {WINDOW}"), own)
-    slim = table.select("doc_id", "name", "n_words")
-    # checkpointed apart, so that the join below has two shuffles of which a hot text's can be split
-    least = settled(slim.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name", "least"))
-    again = slim.join(broadcast_if(least, 16), "name").where("doc_id > least")
-    copies = settled(again.select("doc_id", "name", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("spans")).distinct())
-    # a whole copy of a smaller document goes whole, and its windows are those of the smaller one
-    heads = table.join(broadcast_if(copies.select("doc_id", "name"), 24), ["doc_id", "name"], "left_anti").drop("n_words")
-    places = _places(heads, own)
+    places = _places(table.drop("n_words"), docs, own)
     read = having(docs, places).join(places, "doc_id")
-    found = held(read.mapInArrow(_sequences, "x bigint, doc_id bigint, name bigint, start int, size int"), keep)
-    # as above: a hot passage's rows can be split
-    first = settled(found.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("x", "a"))
-    hits = found.join(first, "x").where("doc_id > a").select("doc_id", "name", "start", (F.col("start") + F.col("size")).alias("end"))
+    found = held(read.mapInArrow(_sequences, "x bigint, y bigint, size int, doc_id bigint, name bigint, start int, words binary"), keep)
+    same = ["x", "y", "size"]
+    # as above: a hot passage's rows can be split from the one row that they are compared with
+    least = settled(found.groupBy(*same).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select(*same, "a"))
+    source = settled(found.join(broadcast_if(least, 32), same).where("doc_id = a").groupBy(*same, "a").agg(F.min_by("words", "start").alias("source")))
+    hits = found.join(source, same).where("doc_id > a AND words = source").select("doc_id", "name", "start", (F.col("start") + F.col("size")).alias("end"))
     along = Window.partitionBy("doc_id", "name").orderBy("start", "end")
     reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(along))
     spans = runs.groupBy("doc_id", "name", "run").agg(F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("span"))
-    return spans.groupBy("doc_id", "name").agg(F.sort_array(F.collect_list("span")).alias("spans")).union(copies)
+    return spans.groupBy("doc_id", "name").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
