@@ -1,9 +1,11 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 
 from quayline.llm import sptokens, tokencount
 from tests.llm.fixtures import DOCS, frame, near_copies
@@ -80,6 +82,53 @@ def test_remembered_outcomes_are_those_of_the_heap(model, dropout):
         assert ids.tolist() == [i for u, k in zip(units, encoder.keys(len(units), key).tolist(), strict=True) for i in encoder.unit(u, k)]
 
 
+def by_the_rule(text, doc_id, dropout, seed, model):
+    """Merge-dropout from its definition alone: a list of parts, all candidates looked at again for each step, plain integers.
+
+    The key of an occurrence is a mix of its place, the document's key (xxh64 of the text under the xxh64 of its id under the
+    seed) and the seed. From it come the numbers of steps between skips, geometric with the probability of dropout.
+    """
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    document = xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(str(doc_id), seed))
+    out = []
+    for place, unit in enumerate(re.findall(r" *[^ \n]+| +|\n", " " + text) if text else []):
+        key = mix(place + document * 0xD6E8FEB86659FD93 + seed * 0xA0761D6478BD642F & mask)
+        gap = lambda n, key=key: min(int(math.log(((mix(key + n * 0xE7037ED1A0B428DB & mask) >> 11) + 1) / 2**53) / math.log1p(-dropout)), 1 << 30)
+        parts = [("▁" if c == " " else "" if c == "▁" else c, (i,)) for i, c in enumerate(unit)]
+        passed, step, skips, skip = set(), 0, 0, gap(0)
+        while True:
+            open_ = [(model["pieces"][a + b][0], i) for i, ((a, at), (b, to)) in enumerate(zip(parts, parts[1:], strict=False)) if a and b and a + b in model["pieces"] and (at, to) not in passed]
+            if not open_:
+                break
+            _, i = min(open_)
+            (a, at), (b, to) = parts[i : i + 2]
+            if step == skip:
+                passed.add((at, to))
+                skips += 1
+                skip += 1 + gap(skips)
+            else:
+                parts[i : i + 2] = [(a + b, at + to)]
+            step += 1
+        for part, _ in parts:
+            out += [model["pieces"][part][1]] if part in model["pieces"] else [model["byte_ids"][b] for b in (part or "▁").encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5])
+def test_documents_follow_the_rule(spark, model, dropout):
+    texts = [t for t in HARD if len(t) < 200] + [prose(5), prose(6)[:900], prose(6)[:900]]
+    rows = [(i if i % 7 else None, t, None, None, None) for i, t in enumerate(texts)]
+    got = sptokens.encode_documents(frame(spark, rows), dropout, 7).collect()
+    want = {(i, t): by_the_rule(t, i, dropout, 7, model) for i, t, *_ in rows}
+    assert len(got) == len(rows) and all(r.token_ids == want[r.doc_id, r.text] for r in got)
+
+
 def test_about_a_tenth_is_dropped(model):
     """Without merges every character stands alone; with p = 0.1 the share of merges that are missed is small but there."""
     text = prose(4)
