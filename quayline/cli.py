@@ -53,10 +53,10 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _voice(given: dict) -> dict:
-    """The model named by --model as MODULE:FUNCTION, which takes device and max_new_tokens beside the texts; else the stand-in."""
+    """The model named by --model as MODULE:FUNCTION, which takes device and max_new_tokens beside the texts."""
     device, most, name = given.pop("device"), given.pop("max_new_tokens"), given.pop("model")
-    if not name:
-        return {}
+    if ":" not in name:
+        raise SystemExit("--model must name a speech model as MODULE:FUNCTION")
     module, function = name.split(":")
     return {"model": partial(getattr(importlib.import_module(module), function), device=device, max_new_tokens=most)}
 

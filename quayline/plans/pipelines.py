@@ -20,18 +20,16 @@ from quayline.sources import readers, sinks, wav
 TTS_RATE = 24_000
 
 
-def tone_batch(texts: list[str], rate: int = TTS_RATE) -> list[np.ndarray]:
-    """A stand-in for a speech model: a tone for each text whose pitch and length depend on the text alone."""
-    out = []
-    for text in texts:
-        n = int(rate * (0.3 + 0.06 * len(text)))
-        pitch = 180 + sum(map(ord, text)) % 400
-        out.append((0.3 * np.sin(2 * np.pi * pitch * np.arange(n) / rate)).astype(np.float32))
-    return out
+#: A speech model: waveforms at TTS_RATE, as float32 from -1 to 1, of a list of texts.
+Model = Callable[[list[str]], list[np.ndarray]]
+
 
+def synthesize(rows: DataFrame, model: Model, batch_size: int = 8, rate: int = TTS_RATE) -> DataFrame:
+    """``rows`` with samples and sample_rate of their ``text``, voiced by the caller's ``model`` inside the tasks.
 
-def synthesize(rows: DataFrame, model: Callable[[list[str]], list[np.ndarray]] = tone_batch, batch_size: int = 8, rate: int = TTS_RATE) -> DataFrame:
-    """``rows`` with samples and sample_rate of their ``text``; a batch that runs out of memory is halved and tried again."""
+    A batch that runs out of memory is halved and tried again, down to single texts. The model is sent to the tasks as it is, so
+    one that holds weights should load them when it is first called there.
+    """
 
     def voiced(texts: list[str]) -> list[np.ndarray]:
         try:
@@ -51,7 +49,7 @@ def synthesize(rows: DataFrame, model: Callable[[list[str]], list[np.ndarray]] =
     return rows.mapInPandas(run, rows.select("*", F.array().cast("array<float>").alias("samples"), F.lit(rate).alias("sample_rate")).schema)
 
 
-def clean_audio(rows: DataFrame, clean_dir: str, model: Callable[[list[str]], list[np.ndarray]] = tone_batch, batch_size: int = 8) -> DataFrame:
+def clean_audio(rows: DataFrame, clean_dir: str, model: Model, batch_size: int = 8) -> DataFrame:
     """Rows with clean_audio, clean_duration_sec and sample_rate; files that are there are kept, the others are made."""
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
@@ -80,8 +78,8 @@ def scenes(clean: DataFrame, clean_dir: str, output_dir: str, profiles: str = "a
 
 
 def dialogues_to_scenes(
-    spark: SparkSession, dialogues: str, output_dir: str, clean_dir: str = "", profiles: str = "all", max_dialogues: int = 0, max_utterances: int = 0, batch_size: int = 8,
-    seed: int = sampling.SPLIT_SEED, start_utterance_id: int = 1, shard_count: int = 1, shard_index: int = 0, bank: list[tuple] | None = None, noise_bank: str = "", model: Callable = tone_batch,
+    spark: SparkSession, dialogues: str, output_dir: str, *, model: Model, clean_dir: str = "", profiles: str = "all", max_dialogues: int = 0, max_utterances: int = 0, batch_size: int = 8,
+    seed: int = sampling.SPLIT_SEED, start_utterance_id: int = 1, shard_count: int = 1, shard_index: int = 0, bank: list[tuple] | None = None, noise_bank: str = "",
 ) -> DataFrame:
     """Dialogues to utterances.csv, clean and scene audio, the manifest and a run summary; returns the manifest."""
     reshape.require_shard(shard_index, shard_count)
@@ -101,8 +99,8 @@ def dialogues_to_scenes(
 
 
 def utterances_to_scenes(
-    spark: SparkSession, utterances: str = "outputs/vhf_scene/utterances_256.csv", output_dir: str = "outputs/vhf_scene", clean_dir: str = "", max_utterances: int = 256, batch_size: int = 8,
-    profiles: str = "all", seed: int = sampling.SPLIT_SEED, bank: list[tuple] | None = None, noise_bank: str = "", model: Callable = tone_batch,
+    spark: SparkSession, utterances: str = "outputs/vhf_scene/utterances_256.csv", output_dir: str = "outputs/vhf_scene", *, model: Model, clean_dir: str = "", max_utterances: int = 256, batch_size: int = 8,
+    profiles: str = "all", seed: int = sampling.SPLIT_SEED, bank: list[tuple] | None = None, noise_bank: str = "",
 ) -> DataFrame:
     """The same from an utterance CSV: clean and scene audio and the manifest; returns the manifest."""
     clean_dir = clean_dir or f"{output_dir}/clean"

@@ -21,6 +21,11 @@ DIALOGUES = [
 ]
 
 
+def tones(texts, rate=24_000):
+    """A tone for each text whose pitch and length depend on the text alone."""
+    return [(0.3 * np.sin(2 * np.pi * (180 + sum(map(ord, t)) % 400) * np.arange(int(rate * (0.3 + 0.06 * len(t)))) / rate)).astype(np.float32) for t in texts]
+
+
 @pytest.fixture()
 def dialogues(tmp_path):
     path = tmp_path / "dialogues.jsonl"
@@ -204,13 +209,13 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
 
 def test_dialogues_to_paired_views(spark, dialogues, tmp_path):
     out = str(tmp_path / "step2")
-    manifest = pipelines.dialogues_to_scenes(spark, dialogues, out)
+    manifest = pipelines.dialogues_to_scenes(spark, dialogues, out, model=tones)
     rows = manifest.collect()
     assert len(rows) == 12 and {r.profile for r in rows} == {"vhf_clear", "vhf_busy", "vhf_weak", "vhf_tail_beep"}
     for r in rows:
         x, rate = wav.decode(open(f"{out}/{r.audio}", "rb").read())
         assert round(len(x) / rate, 3) == r.duration_sec and r.noise_bank is None
-    again = pipelines.dialogues_to_scenes(spark, dialogues, out)
+    again = pipelines.dialogues_to_scenes(spark, dialogues, out, model=tones)
     assert sorted((r.audio, r.duration_sec) for r in again.collect()) == sorted((r.audio, r.duration_sec) for r in rows)
     labelled = pipelines.label_and_split(spark, again, str(tmp_path / "step3"), bias=True)
     got = {r.id: r for r in labelled.collect()}
@@ -223,11 +228,27 @@ def test_dialogues_to_paired_views(spark, dialogues, tmp_path):
 def test_utterances_to_scenes_and_pace(spark, dialogues, tmp_path):
     rows = reshape.flatten_dialogues(readers.load_dialogues(spark, dialogues))
     sinks.write_utterances(rows, str(tmp_path / "u.csv"))
-    made = pipelines.utterances_to_scenes(spark, str(tmp_path / "u.csv"), str(tmp_path / "out"), max_utterances=2, profiles="vhf_weak,vhf_clear")
+    made = pipelines.utterances_to_scenes(spark, str(tmp_path / "u.csv"), str(tmp_path / "out"), max_utterances=2, profiles="vhf_weak,vhf_clear", model=tones)
     assert sorted((r.utterance_id, r.profile) for r in made.collect()) == [("1", "vhf_clear"), ("1", "vhf_weak"), ("2", "vhf_clear"), ("2", "vhf_weak")]
     assert pipelines.eta_seconds(0, 10, 5.0) is None and pipelines.eta_seconds(2, 10, 5.0) == 20.0
 
 
+def test_a_model_that_runs_out_of_memory_gets_half_as_much(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def small(texts):
+        calls.add(1)
+        if len(texts) > 2 or texts == ["never"]:
+            raise MemoryError
+        return tones(texts)
+
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(8)], "id long, text string").coalesce(1)
+    got = pipelines.synthesize(rows, small).orderBy("id").collect()
+    assert calls.value == 7 and all(np.array_equal(np.float32(r.samples), tones([r.text])[0]) and r.sample_rate == 24_000 for r in got)
+    with pytest.raises(Exception, match="MemoryError"):
+        pipelines.synthesize(spark.createDataFrame([(1, "never")], "id long, text string"), small).collect()
+
+
 def test_noise_bank(spark, tmp_path):
     rng = np.random.default_rng(1)
     rate, root = 8000, tmp_path / "src"
