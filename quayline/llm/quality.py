@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from quayline.llm.common import lane, share, small_batches, within
 
-#: UTF-8 bytes of a passage, and its features: as many single bytes as there are, then hash buckets of three bytes.
+#: UTF-8 bytes of a passage, and its features: as many single bytes as there are, then hash buckets of three bytes, then how the
+#: buckets are filled.
 PASSAGE, BUCKETS = 512, 256
-FEATURES = 256 + BUCKETS
+FEATURES = 256 + BUCKETS + 3
 #: Width of an encoding and of the attention.
 HIDDEN, GATE = 32, 16
 #: At most about this many labelled rows are learned from, half of each label, drawn evenly by a hash of doc_id at any corpus size,
@@ -45,7 +46,9 @@ class Model(NamedTuple):
 def passages(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(document, features) of the passages of all whole texts, in order and in chunks; an empty text is one empty passage.
 
-    A feature is log(1 + n) of the bytes or buckets of three bytes that begin in the passage; the last ones of a text take in its end.
+    A feature is log(1 + n) of the bytes or buckets of three bytes that begin in the passage; the last ones of a text take in its
+    end. The last features tell repetition: four times the filled buckets for each byte, and the logs of one more than the fullest
+    one and than the sum of squares.
     """
     counts = np.fromiter((max(1, -(-len(t) // PASSAGE)) for t in texts), np.int64, len(texts))
     owner = np.repeat(np.arange(len(texts)), counts)
@@ -65,10 +68,13 @@ def passages(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         wide = cut.astype(np.uint32)
         three = (wide[:, :-2] << np.uint32(16) | wide[:, 1:-1] << np.uint32(8) | wide[:, 2:]) * np.uint32(0x9E3779B1)
         bucket = 256 + (three >> np.uint32(16)) % np.uint32(BUCKETS)
-        base = (np.arange(len(docs)) * FEATURES)[:, None]
+        base = (np.arange(len(docs)) * (256 + BUCKETS))[:, None]
         real = cut[:, :PASSAGE] > 0
-        found = np.bincount((base + cut[:, :PASSAGE])[real], minlength=len(docs) * FEATURES) + np.bincount((base + bucket)[real], minlength=len(docs) * FEATURES)
-        yield docs, np.log1p(found.reshape(-1, FEATURES).astype(np.float32))
+        found = sum(np.bincount((base + x)[real], minlength=len(docs) * (256 + BUCKETS)) for x in (cut[:, :PASSAGE], bucket))
+        found = found.reshape(len(docs), -1).astype(np.float32)
+        three = found[:, 256:]
+        fill = [4 * np.count_nonzero(three, axis=1) / np.maximum(real.sum(axis=1), 1), np.log1p(three.max(axis=1)), np.log1p(np.einsum("ij,ij->i", three, three))]
+        yield docs, np.concatenate([np.log1p(found), np.stack(fill, axis=1).astype(np.float32)], axis=1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -178,9 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int =
 
 def _scorer(model: Broadcast, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(*model.value)
         for batch in within(batches):
             columns = dict(zip(names, batch.columns, strict=True))
-            score = score_texts([t or b"" for t in columns["text"].cast(pa.binary()).to_pylist()], model.value)
+            score = score_texts([t or b"" for t in columns["text"].cast(pa.binary()).to_pylist()], known)
             columns |= {"score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -195,6 +202,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays: broadcasts, unlike functions, do not carry this package's classes to workers that lack it
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     schema = docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
     return docs.mapInArrow(_scorer(shared, docs.columns), schema)

@@ -27,13 +27,15 @@ def brute(text, m):
     """One passage after the other, from the definition."""
     scores, codes = [], []
     for at in range(0, max(1, len(text)), quality.PASSAGE):
-        n = [0] * quality.FEATURES
+        n = [0] * (256 + quality.BUCKETS)
         for i in range(at, min(len(text), at + quality.PASSAGE)):
             if text[i]:
                 a, b, c = (*text[i : i + 3], 0, 0)[:3]
                 n[text[i]] += 1
                 n[256 + ((((a << 16 | b << 8 | c) * 0x9E3779B1) & 0xFFFFFFFF) >> 16) % quality.BUCKETS] += 1
-        h = np.tanh(np.array([math.log(1 + v) for v in n]) @ m.W.astype(float) + m.b)
+        three = n[256:]
+        fill = [4 * sum(v > 0 for v in three) / max(1, sum(n[:256])), math.log(1 + max(three)), math.log(1 + sum(v * v for v in three))]
+        h = np.tanh(np.array([*(math.log(1 + v) for v in n), *fill]) @ m.W.astype(float) + m.b)
         codes.append(h)
         scores.append(float(np.dot(m.g, np.tanh(h @ m.V) / (1 + np.exp(-(h @ m.U))))))
     weight = np.exp(np.array(scores) - max(scores))
