@@ -579,14 +579,15 @@ def _recordings(spark: SparkSession, d: str) -> str:
     return root
 
 
-_FILE = F.element_at(F.split("path", "/"), -1).alias("file")
+def _file() -> Column:
+    return F.element_at(F.split("path", "/"), -1).alias("file")
 
 
 @_query
 def wav_frames(spark: SparkSession, d: str) -> DataFrame:
     """Frames of 250 samples of recordings, read in byte ranges."""
     cut = wav.frames(spark, _recordings(spark, d), samples=250)
-    return cut.select(_FILE, "sample_rate", "frame_idx", F.size("samples").cast("bigint").alias("n"), F.round(F.col("samples")[0].cast("double"), 6).alias("first_sample"), F.round(F.element_at("samples", -1).cast("double"), 6).alias("last_sample"))
+    return cut.select(_file(), "sample_rate", "frame_idx", F.size("samples").cast("bigint").alias("n"), F.round(F.col("samples")[0].cast("double"), 6).alias("first_sample"), F.round(F.element_at("samples", -1).cast("double"), 6).alias("last_sample"))
 
 
 @_query
@@ -594,7 +595,7 @@ def wav_frames_of_two(spark: SparkSession, d: str) -> DataFrame:
     """Frames of the first two recordings that last a twentieth of a second; the others are not opened for samples."""
     root = _recordings(spark, d)
     wanted = [r["path"] for r in wav.long_files(spark, root, limit=2, least=0.05).collect()]
-    return wav.frames(spark, root, samples=1000, only=wanted).groupBy(_FILE).agg(F.count("*").alias("frames"), F.sum(F.size("samples")).alias("samples"))
+    return wav.frames(spark, root, samples=1000, only=wanted).groupBy(_file()).agg(F.count("*").alias("frames"), F.sum(F.size("samples")).alias("samples"))
 
 
 @_query
@@ -602,13 +603,13 @@ def wav_decode(spark: SparkSession, d: str) -> DataFrame:
     """Whole recordings."""
     held = wav.read(spark, _recordings(spark, d))
     samples = F.transform("samples", lambda v: F.round(v * 32768).cast("bigint"))
-    return held.select(_FILE, "sample_rate", F.size("samples").cast("bigint").alias("n"), F.sha2(F.array_join(samples, ","), 256).alias("sha256"))
+    return held.select(_file(), "sample_rate", F.size("samples").cast("bigint").alias("n"), F.sha2(F.array_join(samples, ","), 256).alias("sha256"))
 
 
 @_query
 def wav_probe(spark: SparkSession, d: str) -> DataFrame:
     told = wav.probe(spark, _recordings(spark, d))
-    return told.select(_FILE, "sample_rate", F.col("channels").cast("bigint").alias("channels"), "n_frames", F.round("duration_sec", 9).alias("duration_sec"))
+    return told.select(_file(), "sample_rate", F.col("channels").cast("bigint").alias("channels"), "n_frames", F.round("duration_sec", 9).alias("duration_sec"))
 
 
 @_query
@@ -616,7 +617,7 @@ def wav_windows(spark: SparkSession, d: str) -> DataFrame:
     """Three clips of 10 ms of each of the first five recordings."""
     root = _recordings(spark, d)
     clips = wav.windows(spark, wav.long_files(spark, root, limit=5, least=0.0), root, 3, 0.01)
-    return clips.select(_FILE, F.round("start_sec", 6).alias("start_sec"), F.size("samples").cast("bigint").alias("n"), F.round(F.col("samples")[0].cast("double"), 6).alias("first_sample"))
+    return clips.select(_file(), F.round("start_sec", 6).alias("start_sec"), F.size("samples").cast("bigint").alias("n"), F.round(F.col("samples")[0].cast("double"), 6).alias("first_sample"))
 
 
 # ---- digests ----
