@@ -307,13 +307,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame,
     texts = docs.select("lang", F.col("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-    shards = durable(texts.coalesce(tasks).mapInArrow(_tokenize, SHARDS), "shards")
+    shards = durable(texts.coalesce(tasks).mapInArrow(_tokenize, SHARDS), "shards", "zstd")
     totals = settled(shards.where("ids is not null").groupBy("lang").agg(F.sum("n").alias("total")))
     heard = shards.where("ids is null")
     frequent = settled(heard.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("gid", F.monotonically_increasing_id()))
 
     known = heard.select("shard", "lang", "idx", "word").join(broadcast_if(frequent.select("lang", "word", "gid"), 64), ["lang", "word"])
-    lists = durable(known.groupBy("shard").agg(F.collect_list(F.struct("idx", "gid", "word")).alias("frequent")), "frequent")
+    lists = durable(known.groupBy("shard").agg(F.collect_list(F.struct("idx", "gid", "word")).alias("frequent")), "frequent", "zstd")
     bodies = shards.where("ids is not null").select("shard", "lang", "head", "ids").join(lists, "shard")
 
     # frequent pairs go back to their shards in lists, so a pair is no row for each of its shards

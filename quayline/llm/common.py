@@ -77,14 +77,14 @@ atexit.register(_clean)
 TASK_ROWS = 200_000
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors.
 
-    It is written by the tasks that make it. The table is removed when the interpreter ends, or earlier by ``forget``.
+    It is written by the tasks that make it, under Parquet's ``compression``. The table is removed when the interpreter ends, or earlier by ``forget``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quayline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _made.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._quayline_path = path
