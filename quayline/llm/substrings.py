@@ -187,13 +187,13 @@ def _places(table: DataFrame, docs: DataFrame, keep: list[DataFrame]) -> DataFra
     told = supers.select("u", "h", "least").join(broadcast_if(several, 16), "h", "left").join(paths, "u", "left").where("path IS NOT NULL OR open")
     marks = settled(told.select("u", "least", "path", "place", F.coalesce("open", F.lit(False)).alias("open")))
     forget(homes, supers, several, paths)
-    on = walks.join(broadcast_if(marks, 48), "u")
+    on = walks.join(marks, "u")
     whole = on.where("path IS NOT NULL").groupBy("doc_id", "name", "path", (F.col("idx") - F.col("place")).alias("first")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     opened = _listed(on.where("open AND doc_id = least").select("doc_id", "name", "lo", "hi").distinct())
     edges = held(having(docs, opened).join(opened, "doc_id").mapInArrow(_edges, "u bigint, doc_id bigint, name bigint, start bigint, prev bigint, nxt bigint"), keep)
     small = settled(edges.groupBy("u").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *_ends()).where("least < most"))
     inner = compact(small)
-    along = edges.join(broadcast_if(inner, 24), "u").groupBy("doc_id", "name", "path", (F.col("start") - F.col("place")).alias("first"))
+    along = edges.join(broadcast_if(inner, 96), "u").groupBy("doc_id", "name", "path", (F.col("start") - F.col("place")).alias("first"))
     parts = along.agg(F.min("start").cast("int").alias("lo"), (F.max("start") + WINDOW).cast("int").alias("hi"))
     out = _listed(whole.select("doc_id", "name", "lo", "hi").unionByName(parts.select("doc_id", "name", "lo", "hi")))
     forget(marks, opened, small, inner)
@@ -233,7 +233,7 @@ def repeated_spans(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
     same = ["x", "y", "size"]
     # as above: a hot passage's rows can be split from the one row that they are compared with
     least = settled(found.groupBy(*same).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select(*same, "a"))
-    source = settled(found.join(broadcast_if(least, 32), same).where("doc_id = a").groupBy(*same, "a").agg(F.min_by("words", "start").alias("source")))
+    source = settled(found.join(broadcast_if(least, 96), same).where("doc_id = a").groupBy(*same, "a").agg(F.min_by("words", "start").alias("source")))
     hits = found.join(source, same).where("doc_id > a AND words = source").select("doc_id", "name", "start", (F.col("start") + F.col("size")).alias("end"))
     along = Window.partitionBy("doc_id", "name").orderBy("start", "end")
     reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
