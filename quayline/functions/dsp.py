@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import quayline
@@ -168,6 +168,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * cores) if filled < 2 * cores else df
 
 
+#: Rows and bytes of an Arrow batch of clips, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 400, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session that has set no bounds of its own; read when a plan runs, so they stay set."""
+    for key, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(bound))
+
+
 #: Steps of the channel that can be run alone; each then draws from a stream of its own.
 _STEPS = ("augment", "with_noise", "with_residual", "with_dropouts", "with_tail")
 
@@ -186,6 +197,7 @@ def _each(df: DataFrame, samples: str, rate: str, seed: str, bank: list[tuple] |
                 out.append(getattr(channel, step)(_array(row[samples])))
             yield batch.assign(**{samples: out})
 
+    small_batches(df.sparkSession)
     rows = spread(df.withColumn(samples, F.col(samples).cast("array<float>")))
     return rows.mapInPandas(run, rows.schema)
 

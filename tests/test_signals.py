@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayline.functions import dsp, kernels
-from quayline.functions.profiles import FIELDS, PROFILES
+from quayline.functions.profiles import FIELDS, PROFILES, SCHEMA
 
 RATE = 24_000
 
@@ -86,3 +86,23 @@ def test_python_rounding(spark):
     values = [0.5005, 3.0625, 0.0005, 2.5]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(dsp.python_round(F.col("v"), 3)).collect()]
     assert got == [round(v, 3) for v in values]
+
+
+def _scenes(spark, n):
+    return spark.createDataFrame([(i, (tone(500 + i, 240) * 0.3).tolist(), RATE, i, *PROFILES[i % 4]) for i in range(n)], "id int, samples array<float>, sample_rate int, scene_seed int, " + SCHEMA).coalesce(1)
+
+
+def test_noises_get_bounded_batches(spark):
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        dsp.add_noise(_scenes(spark, 1))
+        assert [int(spark.conf.get(k)) for k in keys] == [dsp.BATCH_ROWS, dsp.BATCH_BYTES]
+        spark.conf.set(keys[0], "7")
+        dsp.add_dropouts(_scenes(spark, 1))
+        assert spark.conf.get(keys[0]) == "7"
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
