@@ -168,7 +168,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * cores) if filled < 2 * cores else df
 
 
-#: Rows and bytes of an Arrow batch of clips, whichever is reached first.
+#: Rows and bytes of an Arrow batch of clips, whichever is reached first. A tail makes a short clip many times as long, so what
+#: kernels make is handed on in batches of at most as many bytes as well (a longer clip is one batch).
 BATCH_ROWS, BATCH_BYTES = 400, 8 << 20
 
 
@@ -179,6 +180,19 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(bound))
 
 
+def in_parts(batch: pd.DataFrame, samples: str, made: Iterator[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """``batch`` with the clips that are ``made`` for its rows, in parts of at most BATCH_BYTES of them or of one row."""
+    first, held, clips = 0, 0, []
+    for clip in made:
+        if clips and held + clip.nbytes > BATCH_BYTES:
+            yield batch.iloc[first : first + len(clips)].assign(**{samples: clips})
+            first, held, clips = first + len(clips), 0, []
+        clips.append(clip)
+        held += clip.nbytes
+    if clips:
+        yield batch.iloc[first:].assign(**{samples: clips})
+
+
 #: Steps of the channel that can be run alone; each then draws from a stream of its own.
 _STEPS = ("augment", "with_noise", "with_residual", "with_dropouts", "with_tail")
 
@@ -190,12 +204,12 @@ def _each(df: DataFrame, samples: str, rate: str, seed: str, bank: list[tuple] |
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clips = None if shared.value is None else Bank(shared.value)
+        def heard(row: dict) -> np.ndarray:
+            channel = Channel({f: list(row[f]) if f == "noise_categories" else row[f] for f in fields}, int(row[rate]), [int(row[seed]), number] if number else int(row[seed]), clips)
+            return _array(getattr(channel, step)(_array(row[samples])))
+
         for batch in batches:
-            out = []
-            for row in batch[[samples, rate, seed, *fields]].to_dict("records"):
-                channel = Channel({f: list(row[f]) if f == "noise_categories" else row[f] for f in fields}, int(row[rate]), [int(row[seed]), number] if number else int(row[seed]), clips)
-                out.append(getattr(channel, step)(_array(row[samples])))
-            yield batch.assign(**{samples: out})
+            yield from in_parts(batch, samples, map(heard, batch[[samples, rate, seed, *fields]].to_dict("records")))
 
     small_batches(df.sparkSession)
     rows = spread(df.withColumn(samples, F.col(samples).cast("array<float>")))

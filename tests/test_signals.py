@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,25 @@ def test_noises_get_bounded_batches(spark):
     finally:
         for k, v in zip(keys, before, strict=True):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_what_kernels_make_is_handed_on_in_parts():
+    batch = pd.DataFrame({"id": range(9), "samples": [np.ones(4, np.float32)] * 9})
+    made = [np.full(n, n, np.float32) for n in (1 << 20, 1 << 20, 1, 2, 5 << 20, 3, 1 << 20, 1 << 20, 1 << 20)]
+    parts = list(dsp.in_parts(batch, "samples", iter(made)))
+    assert all(len(p) == 1 or sum(x.nbytes for x in p.samples) <= dsp.BATCH_BYTES for p in parts)
+    assert [i for p in parts for i in p.id] == list(range(9)) and all(x is y for x, y in zip((x for p in parts for x in p.samples), made, strict=True))
+    assert list(dsp.in_parts(batch[:0], "samples", iter([]))) == []
+
+
+@pytest.mark.parametrize(("run", "step"), [(dsp.add_tail, "with_tail")])
+def test_parts_keep_every_clip(spark, monkeypatch, run, step):
+    monkeypatch.setattr(dsp, "BATCH_BYTES", 50_000)  # tails of 3,600 to 14,400 samples: a part holds one to three clips
+    df = _scenes(spark, 12)
+    got = {r.id: r for r in run(df).collect()}
+    assert len(got) == 12
+    for i, r in got.items():
+        profile = dict(zip(FIELDS, PROFILES[i % 4], strict=True))
+        own = i if step == "augment" else [i, dsp._STEPS.index(step)]
+        want = getattr(kernels.Channel(profile, RATE, own), step)((tone(500 + i, 240) * 0.3).astype(np.float32))
+        assert np.array_equal(np.array(r.samples, np.float32), want.astype(np.float32)) and r.profile == profile["profile"]
