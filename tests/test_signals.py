@@ -118,7 +118,7 @@ def test_what_kernels_make_is_handed_on_in_parts():
     assert list(dsp.in_parts(batch[:0], "samples", iter([]))) == []
 
 
-@pytest.mark.parametrize(("run", "step"), [(dsp.add_tail, "with_tail")])
+@pytest.mark.parametrize(("run", "step"), [(dsp.add_tail, "with_tail"), (dsp.augment, "augment")])
 def test_parts_keep_every_clip(spark, monkeypatch, run, step):
     monkeypatch.setattr(dsp, "BATCH_BYTES", 50_000)  # tails of 3,600 to 14,400 samples: a part holds one to three clips
     df = _scenes(spark, 12)
