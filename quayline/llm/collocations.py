@@ -3,7 +3,8 @@
 A shard holds the word ids of at most ``SHARD_WORDS`` consecutive words of one language that a task read. Its suffix array is
 built by prefix doubling in numpy, and the intervals of its LCP array are its n-grams with their counts. Counts are merged over
 shards in three rounds, each of which only counts what can still be frequent: words, pairs of frequent words, and longer
-phrases all of whose pairs are frequent. This loses nothing, as no phrase is more frequent than its parts.
+phrases all of whose pairs are frequent. The last are first counted by hash cells (Park, Chen and Yu), and only those of full
+cells by name. This loses nothing, as no phrase is more frequent than its parts or its cell.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import broadcast_if, cut, durable, forget, settled, small_batches, within
+from quayline.llm.common import broadcast_if, cut, durable, forget, mix64, settled, small_batches, within
 
 #: Words of a phrase, its least count and the rows of a language's report.
 MOST_WORDS, LEAST_COUNT, TOP = 5, 100, 2000
@@ -31,6 +32,12 @@ SHARDS = "shard bigint, lang string, idx int, word string, n bigint, head int, i
 PAIRS = "g1 bigint, g2 bigint, shard bigint, n bigint"
 PHRASES = "lang string, phrase string, size int, n bigint"
 MERGED = "g1 bigint, g2 bigint, n bigint, shard bigint, pairs binary"
+#: What is stored of a shard's longer phrases: their number by size, and the shard's own words and ids that they are made of.
+_BODY = {"lang": pa.string(), "sizes": pa.list_(pa.int32()), "places": pa.binary(), "counts": pa.binary(), "ids": pa.binary(), "gids": pa.binary(), "words": pa.list_(pa.string())}
+COUNTED = "shard bigint, block bigint, cells binary, sums binary, lang string, sizes array<int>, places binary, counts binary, ids binary, gids binary, words array<string>"
+#: Cells whose counts are added up by one group.
+BLOCK_CELLS = 1 << 19
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Pairs that a merging task gathers before it hands them to their shards, and rows that it works on at a time.
 MERGE_PAIRS, MERGE_ROWS = 1 << 20, 1 << 16
 
@@ -275,24 +282,84 @@ def _merge(least: int):
     return run
 
 
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of three words and more, all of whose pairs are frequent."""
-    for batch in batches:
-        for row in _rows(batch):
-            ids, gids, words = _local(row)
-            order, wide = np.argsort(gids), len(gids) + 1
-            pairs = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in row["pairs"].values]).reshape(-1, 2)
-            first, second = (order[np.searchsorted(gids, pairs[:, i], sorter=order)] + 1 for i in (0, 1))
-            linked = np.isin(ids[:-1].astype(np.int64) * wide + ids[1:], first * wide + second)
-            inside = np.zeros(len(ids), bool)
-            for step in range(3):  # three words that are linked
-                inside[step : len(ids) - 2 + step] |= linked[:-1] & linked[1:]
-            ids, linked, head = _compact(ids, linked, inside, row["head"].as_py())
-            names = pa.concat_arrays([pa.array([""]), words])
-            for n, places, counts in ngram_counts(ids, _room(linked, ids), head, range(3, MOST_WORDS + 1)):
-                phrase = pc.binary_join_element_wise(*(names.take(pa.array(ids[places + step])) for step in range(n)), " ")
-                size = len(places)
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"].as_py()] * size, pa.string()), phrase.cast(pa.string()), pa.array([n] * size, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "size", "n"])
+def _cell(ids: np.ndarray, gids: np.ndarray, places: np.ndarray, n: int, cells: int) -> np.ndarray:
+    """The cell, one of ``cells`` (a power of two), of each n-gram at ``places``: the same in every shard."""
+    h = np.full(len(places), n, np.uint64)
+    for step in range(n):
+        h = mix64(h * _MIX + gids[ids[places + step] - 1].astype(np.uint64))
+    return (h & np.uint64(cells - 1)).astype(np.int64)
+
+
+def _counted(cells: int):
+    """Of each shard the phrases of three words and more all of whose pairs are frequent: a row with their places, counts and
+    words, and a row for each block of BLOCK_CELLS cells with the counts of the cells that they fall into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                ids, gids, words = _local(row)
+                order, wide = np.argsort(gids), len(gids) + 1
+                pairs = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in row["pairs"].values]).reshape(-1, 2)
+                first, second = (order[np.searchsorted(gids, pairs[:, i], sorter=order)] + 1 for i in (0, 1))
+                linked = np.isin(ids[:-1].astype(np.int64) * wide + ids[1:], first * wide + second)
+                inside = np.zeros(len(ids), bool)
+                for step in range(3):  # three words that are linked
+                    inside[step : len(ids) - 2 + step] |= linked[:-1] & linked[1:]
+                ids, linked, head = _compact(ids, linked, inside, row["head"].as_py())
+                used = np.unique(ids[ids > 0])
+                renumbered = np.zeros(len(gids) + 1, np.int32)
+                renumbered[used] = np.arange(1, len(used) + 1)
+                ids, gids, words = renumbered[ids], gids[used - 1], words.take(pa.array(used - 1))
+                held = []
+                for n, places, counts in ngram_counts(ids, _room(linked, ids), head, range(3, MOST_WORDS + 1)):
+                    held.append((n, places[counts > 0].astype(np.int32), counts[counts > 0]))
+                if not any(len(places) for _, places, _ in held):
+                    continue
+                at, inverse = np.unique(np.concatenate([_cell(ids, gids, places, n, cells) for n, places, _ in held]), return_inverse=True)
+                sums = np.bincount(inverse, np.concatenate([counts for *_, counts in held])).astype(np.int32)
+                starts = np.flatnonzero(np.diff(at // BLOCK_CELLS, prepend=-1))
+                shard, size = row["shard"].as_py(), len(starts)
+                parts = [[x.tobytes() for x in np.split(y.astype(np.int32), starts[1:])] for y in (at % BLOCK_CELLS, sums)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * size, pa.int64()), pa.array(at[starts] // BLOCK_CELLS, pa.int64()), *(pa.array(x, pa.binary()) for x in parts), *(pa.nulls(size, t) for t in _BODY.values())], names=["shard", "block", "cells", "sums", *_BODY])
+                body = [row["lang"].as_py(), [len(places) for _, places, _ in held], np.concatenate([places for _, places, _ in held]).tobytes(), np.concatenate([counts for *_, counts in held]).astype(np.int32).tobytes(), ids.tobytes(), gids.tobytes(), words.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x], t) for x, t in zip(body, _BODY.values(), strict=True))], names=["shard", "block", "cells", "sums", *_BODY])
+
+    return run
+
+
+def _alive(least: int):
+    """Of one block's rows: for each shard the cells that are filled ``least`` times over all shards, if it has any."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cells, sums = ([np.frombuffer(x, np.int32) for x in table.column(c).to_pylist()] for c in ("cells", "sums"))
+        often = np.bincount(np.concatenate(cells), np.concatenate(sums), BLOCK_CELLS) >= least
+        base = table.column("block")[0].as_py() * BLOCK_CELLS
+        found = [(shard, base + own[often[own]]) for shard, own in zip(table.column("shard").to_pylist(), cells, strict=True) if often[own].any()]
+        return pa.table({"shard": pa.array([s for s, _ in found], pa.int64()), "cells": pa.array([c.astype(np.int64).tobytes() for _, c in found], pa.binary())})
+
+    return run
+
+
+def _phrases(cells: int):
+    """Counts of the phrases whose cells are filled often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                every, counted, ids, gids = (np.frombuffer(row[c].as_buffer(), t) for c, t in (("places", np.int32), ("counts", np.int32), ("ids", np.int32), ("gids", np.int64)))
+                alive = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in row["alive"].values])
+                names = pa.concat_arrays([pa.array([""]), row["words"].values])
+                first = 0
+                for n, size in enumerate(row["sizes"].as_py(), 3):
+                    places, counts = every[first : first + size], counted[first : first + size]
+                    first += size
+                    kept = np.isin(_cell(ids, gids, places, n, cells), alive)
+                    places, counts = places[kept], counts[kept]
+                    phrase = pc.binary_join_element_wise(*(names.take(pa.array(ids[places + step])) for step in range(n)), " ")
+                    left = len(places)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"].as_py()] * left, pa.string()), phrase.cast(pa.string()), pa.array([n] * left, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "size", "n"])
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
@@ -320,14 +387,20 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame,
     pairs = bodies.mapInArrow(_pairs, PAIRS).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
     merged = durable(pairs.mapInArrow(_merge(least), MERGED), "merged")
     linked = merged.where("shard is not null").groupBy("shard").agg(F.collect_list("pairs").alias("pairs"))
-    longer = bodies.join(linked, "shard").mapInArrow(_phrases, PHRASES)
+    # phrases fall into cells, more of them as words grow; only those of cells that are filled ``least`` times become rows
+    words = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
+    cells = max(BLOCK_CELLS, 1 << (words // 2).bit_length())
+    counted = durable(bodies.join(linked, "shard").mapInArrow(_counted(cells), COUNTED), "counted", "zstd")
+    alive = counted.where("block is not null").select("shard", "block", "cells", "sums").groupBy("block").applyInArrow(_alive(least), "shard bigint, cells binary")
+    alive = alive.groupBy("shard").agg(F.collect_list("cells").alias("alive"))
+    longer = counted.where("block is null").select("shard", *_BODY).join(alive, "shard").mapInArrow(_phrases(cells), PHRASES)
     longer = longer.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     first, second = (frequent.select("lang", F.col("word").alias(w), F.col("gid").alias(g)) for w, g in (("w1", "g1"), ("w2", "g2")))
     named = merged.where("shard is null").select("g1", "g2", "n").join(broadcast_if(first, 64), "g1").join(broadcast_if(second.drop("lang"), 64), "g2")
     one = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
     two = named.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.lit(2).alias("size"), "n")
     counts = settled(one.unionByName(two).unionByName(longer))
-    forget(shards, lists, merged, frequent)
+    forget(shards, lists, merged, frequent, counted)
     return counts, totals
 
 

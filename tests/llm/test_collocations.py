@@ -109,3 +109,36 @@ def test_pairs_merge_as_brute_force(monkeypatch):
                     lists += [(r["shard"], *p) for p in np.frombuffer(r["pairs"], np.int64).reshape(-1, 2).tolist()]
         assert sums == {k: v for k, v in total.items() if v >= 30}
         assert sorted(lists) == sorted((s, a, b) for a, b, s, _ in rows if total[a, b] >= 30)
+
+
+def test_only_phrases_of_full_cells_become_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "BLOCK_CELLS", 64)
+    rng, cells, least, words = np.random.default_rng(3), 1 << 12, 12, [f"w{i}" for i in range(6)]
+    said = [rng.choice(6, 400, p=[0.5, 0.3, 0.1, 0.05, 0.03, 0.02]) + 1 for _ in range(3)]
+    every, total = np.array([(a, b) for a in range(100, 106) for b in range(100, 106)], np.int64), Counter()
+    shards = []
+    for shard, ids in enumerate(said):
+        total.update(tuple(ids[i : i + n]) for n in (3, 4, 5) for i in range(len(ids) - n + 1))
+        frequent = [{"idx": i + 1, "gid": 100 + i, "word": w} for i, w in enumerate(words)]
+        shards.append({"shard": shard, "lang": "en", "head": 0, "ids": ids.astype(np.int32).tobytes(), "frequent": frequent, "pairs": [every.tobytes()]})
+    kind = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("head", pa.int32()), ("ids", pa.binary()), ("frequent", pa.list_(pa.struct([("idx", pa.int32()), ("gid", pa.int64()), ("word", pa.string())]))), ("pairs", pa.list_(pa.binary()))])
+    counted = pa.Table.from_batches(collocations._counted(cells)(iter(pa.Table.from_pylist(shards, kind).to_batches())))
+    blocks = {b for b in counted.column("block").to_pylist() if b is not None}
+    assert len(blocks) > 10 and max(blocks) < cells // 64
+    rows, alive = counted.to_pylist(), {}
+    for block in blocks:
+        own = counted.filter(pa.array([r["block"] == block for r in rows]))
+        for r in collocations._alive(least)(own).to_pylist():
+            alive.setdefault(r["shard"], []).append(r["cells"])
+    bodies = [r | {"alive": alive.get(r["shard"], [])} for r in rows if r["block"] is None]
+    schema = pa.schema([f for f in counted.schema] + [pa.field("alive", pa.list_(pa.binary()))])
+    made = [r for b in collocations._phrases(cells)(iter(pa.Table.from_pylist(bodies, schema).to_batches())) for r in b.to_pylist()]
+    got = Counter()
+    for r in made:
+        assert r["size"] == len(r["phrase"].split(" "))
+        got[tuple(words.index(w) + 1 for w in r["phrase"].split(" "))] += r["n"]
+    want = {k: v for k, v in total.items() if v >= least}
+    assert want and {k: v for k, v in got.items() if v >= least} == want
+    assert len(got) < len(total) / 3
