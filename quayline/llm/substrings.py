@@ -121,12 +121,14 @@ def compact(supers: DataFrame) -> DataFrame:
     repeated = supers.where("least < most")
     after = repeated.where(f"n0 = n1 AND n0 != {NONE}").select("u", F.col("n0").alias("nxt"))
     before = repeated.where(f"p0 = p1 AND p0 != {NONE}").select(F.col("p0").alias("u"), F.col("u").alias("nxt"))
-    at = settled(after.join(before, ["u", "nxt"]).select(F.col("nxt").alias("u"), F.col("u").alias("path"), F.lit(1).cast("long").alias("place")))
+    at = settled(after.join(before, ["u", "nxt"]).select(F.col("nxt").alias("u"), F.col("u").alias("path"), F.lit(1).cast("long").alias("place"), F.lit(True).alias("moved")))
     rows = at.count()
     for _ in range(rows.bit_length() + 1):
         ahead = at.select(F.col("u").alias("path"), F.col("path").alias("__path"), F.col("place").alias("__place"))
-        joined = at.join(broadcast_if(ahead, 24, known=rows), "path", "left")
-        grown = cut(joined.select("u", F.coalesce("__path", "path").alias("path"), (F.col("place") + F.coalesce("__place", F.lit(0))).alias("place"), F.col("__path").isNotNull().alias("moved")), rows)
+        # no broadcast: one for each doubling, of a table that grows with the corpus, fills the driver
+        joined = at.where("moved").drop("moved").join(ahead, "path", "left")
+        joined = joined.select("u", F.coalesce("__path", "path").alias("path"), (F.col("place") + F.coalesce("__place", F.lit(0))).alias("place"), F.col("__path").isNotNull().alias("moved"))
+        grown = cut(joined.unionByName(at.where("NOT moved")), rows)
         forget(at)
         at = grown
         if not at.where("moved").head(1):

@@ -140,3 +140,15 @@ def test_a_ring_is_refused(spark):
     ring = [(1, 1, 1, 9, 3, 3, 2, 2), (2, 2, 1, 9, 1, 1, 3, 3), (3, 3, 1, 9, 2, 2, 1, 1)]
     with pytest.raises(RuntimeError):
         substrings.compact(spark.createDataFrame(ring, names))
+
+
+def test_pointers_along_paths_are_not_broadcast(spark, monkeypatch):
+    def refuse(*_args, **_kinds):
+        raise AssertionError("a table of pointers grows with the corpus and would be broadcast at every doubling")
+
+    monkeypatch.setattr(substrings, "broadcast_if", refuse)
+    none = substrings.NONE
+    # two paths, of 21 and of 3
+    supers = [(u, 1, 2, p, p, n, n) for first, last in ((1, 21), (31, 33)) for u in range(first, last + 1) for p, n in [(u - 1 if u > first else none, u + 1 if u < last else none)]]
+    got = {(r.u, r.path, r.place) for r in substrings.compact(spark.createDataFrame(supers, "u long, least long, most long, p0 long, p1 long, n0 long, n1 long")).collect()}
+    assert got == {(u, 1, u - 1) for u in range(1, 22)} | {(u, 31, u - 31) for u in range(31, 34)}
