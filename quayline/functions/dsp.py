@@ -197,16 +197,20 @@ def in_parts(batch: pd.DataFrame, samples: str, made: Iterator[np.ndarray]) -> I
 _STEPS = ("augment", "with_noise", "with_residual", "with_dropouts", "with_tail")
 
 
-def _each(df: DataFrame, samples: str, rate: str, seed: str, bank: list[tuple] | None, step: str) -> DataFrame:
-    number = _STEPS.index(step)
+def _each(df: DataFrame, samples: str, rate: str, seed: str, bank: list[tuple] | None, *steps: str) -> DataFrame:
+    """``df`` with its samples after ``steps`` in turn, all in one Python worker a task."""
     shared = df.sparkSession.sparkContext.broadcast(bank)
     fields = [f for f in FIELDS if f != "profile"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clips = None if shared.value is None else Bank(shared.value)
         def heard(row: dict) -> np.ndarray:
-            channel = Channel({f: list(row[f]) if f == "noise_categories" else row[f] for f in fields}, int(row[rate]), [int(row[seed]), number] if number else int(row[seed]), clips)
-            return _array(getattr(channel, step)(_array(row[samples])))
+            profile, clip = {f: list(row[f]) if f == "noise_categories" else row[f] for f in fields}, _array(row[samples])
+            for step in steps:
+                number = _STEPS.index(step)
+                channel = Channel(profile, int(row[rate]), [int(row[seed]), number] if number else int(row[seed]), clips)
+                clip = _array(getattr(channel, step)(clip))
+            return clip
 
         for batch in batches:
             yield from in_parts(batch, samples, map(heard, batch[[samples, rate, seed, *fields]].to_dict("records")))
@@ -233,5 +237,10 @@ def add_dropouts(df: DataFrame, samples: str = "samples", rate: str = "sample_ra
     return _each(df, samples, rate, seed, None, "with_dropouts")
 
 
+def add_residual_noise_and_dropouts(df: DataFrame, samples: str = "samples", rate: str = "sample_rate", seed: str = "scene_seed") -> DataFrame:
+    """As ``add_dropouts`` over ``add_residual_noise``, in one stage."""
+    return _each(df, samples, rate, seed, None, "with_residual", "with_dropouts")
+
+
 def add_tail(df: DataFrame, samples: str = "samples", rate: str = "sample_rate", seed: str = "scene_seed", bank: list[tuple] | None = None) -> DataFrame:
     return _each(df, samples, rate, seed, bank, "with_tail")

@@ -546,7 +546,7 @@ def add_noises(spark: SparkSession, d: str) -> DataFrame:
     scenes = _scenes(spark, d).withColumn("clean", F.col("samples"))
     noisy = dsp.add_noise(scenes).withColumn("added", F.zip_with("samples", "clean", lambda a, b: a - b))
     noisy = noisy.withColumn("snr", F.round(dsp.rms_db("clean") - dsp.rms_db("added"), 1)).drop("clean", "added")
-    done = dsp.add_dropouts(dsp.add_residual_noise(noisy))
+    done = dsp.add_residual_noise_and_dropouts(noisy)
     return done.select("vec_id", "profile", F.size("samples").cast("bigint").alias("n_samples"), "snr")
 
 

@@ -129,3 +129,11 @@ def test_parts_keep_every_clip(spark, monkeypatch, run, step):
         own = i if step == "augment" else [i, dsp._STEPS.index(step)]
         want = getattr(kernels.Channel(profile, RATE, own), step)((tone(500 + i, 240) * 0.3).astype(np.float32))
         assert np.array_equal(np.array(r.samples, np.float32), want.astype(np.float32)) and r.profile == profile["profile"]
+
+
+def test_two_steps_in_one_stage(spark):
+    df = _scenes(spark, 8)
+    one = dsp.add_residual_noise_and_dropouts(df)
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    want = dsp.add_dropouts(dsp.add_residual_noise(df))
+    assert sorted(map(tuple, one.select("id", F.to_json("samples")).collect())) == sorted(map(tuple, want.select("id", F.to_json("samples")).collect()))
