@@ -515,7 +515,8 @@ def noise_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scenes(spark: SparkSession, d: str) -> DataFrame:
-    tiled = _waves(spark, d).select("vec_id", dsp.tile(F.col("samples").cast("array<float>"), 2400).alias("samples")).withColumn("sample_rate", F.lit(RATE))
+    # dealt while they are short: tiled, times the profiles, they are 150 times as large, and a shuffle would sort that in the heap
+    tiled = dsp.spread(_waves(spark, d)).select("vec_id", dsp.tile(F.col("samples").cast("array<float>"), 2400).alias("samples")).withColumn("sample_rate", F.lit(RATE))
     # four profile rows
     return tiled.crossJoin(F.broadcast(profile_frame(spark))).withColumn("scene_seed", F.col("vec_id") * 100 + F.col("profile_index"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quayline.functions import dsp, kernels
 from quayline.functions.profiles import FIELDS, PROFILES, SCHEMA
+from quayline.plans import catalogue
 
 RATE = 24_000
 
@@ -137,3 +138,10 @@ def test_two_steps_in_one_stage(spark):
     assert one._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
     want = dsp.add_dropouts(dsp.add_residual_noise(df))
     assert sorted(map(tuple, one.select("id", F.to_json("samples")).collect())) == sorted(map(tuple, want.select("id", F.to_json("samples")).collect()))
+
+
+@pytest.mark.parametrize("name", ["augment", "add_tail", "add_noises"])
+def test_clips_are_dealt_before_profiles_multiply_them(spark, name):
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # a tree is written from its top: the one shuffle lies below the cross join
+    assert plan.count("Repartition") == 1 and plan.index("Repartition") > plan.index("Join Cross")
