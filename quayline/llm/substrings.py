@@ -6,17 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayline.llm.common import WordKeys, broadcast_if, cut, forget, having, held, mix64, release, rolling, settled, signed, small_batches, within
+from quayline.llm.common import broadcast_if, cut, forget, having, held, mix64, release, rolling, settled, signed, small_batches, within
 
 #: The k of the graph: an edge is a window of 50 consecutive words, its two nodes are the 49-word ends.
 WINDOW = 50
 #: Anchors are KMER-word grams with the least hash of some SPREAD consecutive ones. With 2 * SPREAD + KMER <= WINDOW + 1
 #: the two anchors about the middle of a window depend on the words of the window alone.
 KMER, SPREAD = 10, 20
+#: Texts are worked through together until they have so many bytes, and words go on in parts of about so many: arrays of single
+#: short texts cost more to set up than to fill.
+GROUP_BYTES, PART_BYTES = 1 << 19, 4 << 20
+#: Longer words are hashed one by one: modulo 2^64, sums of powers do not tell all long words of a few letters apart.
+LONG_WORD = 64
 #: Stands for "no edge before" and "no edge after" in a walk.
 NONE = 0
 
@@ -34,12 +40,14 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - (width - span)], out[width - span :]) if width > span else out
 
 
-def anchors(keys: np.ndarray, kmer: int = KMER, spread: int = SPREAD) -> np.ndarray:
-    """Places of the anchor grams: those least in some run of ``spread``."""
+def anchors(keys: np.ndarray, ends: np.ndarray, kmer: int = KMER, spread: int = SPREAD) -> np.ndarray:
+    """Places of the anchor grams: those least in some run of ``spread`` of one text; texts end at ``ends``."""
     grams = rolling(keys, kmer)
     if len(grams) < spread:
         return np.empty(0, np.int64)
     least = _slide(grams, spread, np.minimum)
+    for end in ends[:-1].tolist():
+        least[max(0, end - (spread + kmer - 2)) : end] = 0  # these runs go on in the next text
     edge = np.zeros(spread - 1, np.uint64)
     return np.flatnonzero(_slide(np.concatenate([edge, least, edge]), spread, np.maximum) == grams)
 
@@ -60,47 +68,75 @@ def range_hashes(keys: np.ndarray, *ranges: tuple[np.ndarray, np.ndarray]) -> li
     return [mix64((sums[end] - sums[start]) * back[start]) for start, end in ranges]
 
 
-def _identity(keys: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(keys.tobytes(), len(keys)) - (1 << 63)
+_letters = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_Q))
+_is_space = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").split()
+def word_keys(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of each word of ``text``, which depends on the word alone, and the byte at which it starts."""
+    letters = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], ~_is_space[letters], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    keys = np.empty(len(starts), np.uint64)
+    for first in range(0, len(letters), GROUP_BYTES):
+        lo, hi = np.searchsorted(starts, [first, first + GROUP_BYTES])
+        part = _letters[letters[first : first + GROUP_BYTES + LONG_WORD]]
+        keys[lo:hi] = range_hashes(part, (starts[lo:hi] - first, np.minimum(ends[lo:hi] - first, len(part))))[0]
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        keys[i] = xxhash.xxh64_intdigest(text[starts[i] : ends[i]])
+    return keys, starts
 
 
-def super_edges(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(home, name, lo, hi) of the super-edges of a text: runs of consecutive edges with one home.
+def _identity(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    """UTF-8 as it came; null as empty. ``split`` cuts bytes at ASCII white space."""
+    return [text or b"" for text in column.cast(pa.binary()).to_pylist()]
+
+
+def super_edges(keys: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(home, name, lo, hi) of the super-edges of the texts that end at ``ends`` (None: of one text), in order: runs of consecutive edges with one home.
 
     The home of the edge that starts at word s is the segment between the anchors on either side of gram s + SPREAD - 1;
     equal edges have equal homes at equal offsets. words[lo:hi] holds the edges of a super-edge and no others, and
     ``name`` hashes these words and the place of the home in them. Every edge of the text lies in one super-edge.
     """
-    at = anchors(keys) if len(keys) >= WINDOW else np.empty(0, np.int64)
+    ends = np.array([len(keys)]) if ends is None else ends
+    at = anchors(keys, ends)
     if len(at) < 2:
         none = np.empty(0, np.int64)
         return none.view(np.uint64), none.view(np.uint64), none, none
-    a, b = at[:-1], at[1:]
-    lo, hi = np.maximum(a - (SPREAD - 1), 0), np.minimum(b + (WINDOW - SPREAD), len(keys))
-    real = hi - lo >= WINDOW
+    a, b, text = at[:-1], at[1:], np.searchsorted(ends, at, side="right")
+    first, last = np.concatenate([[0], ends])[text[:-1]], ends[text[:-1]]
+    lo, hi = np.maximum(a - (SPREAD - 1), first), np.minimum(b + (WINDOW - SPREAD), last)
+    real = (hi - lo >= WINDOW) & (text[:-1] == text[1:])
     a, b, lo, hi = a[real], b[real], lo[real], hi[real]
     home, whole = range_hashes(keys, (a, b + KMER), (lo, hi))
     return home, mix64(whole + mix64((((a - lo) << 20) + (hi - lo)).astype(np.uint64)) * np.uint64(_Q)), lo, hi
 
 
 def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row: word count, identity of its word sequence, and its super-edges in order."""
-    cache = WordKeys()
+    """For each row: word count, identity of its text, and its super-edges in order."""
     for batch in within(batches):
-        counts, names, walks = [], [], []
-        for text in batch.column("text").to_pylist():
-            keys = cache.of(_words(text))
-            counts.append(len(keys))
-            names.append(_identity(keys))
-            walks.append(super_edges(keys))
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(w[0]) for w in walks])]).astype(np.int32))
-        home, name, lo, hi = (np.concatenate(x) for x in zip(*walks, strict=True))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (signed(home), signed(name), lo.astype(np.int32), hi.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(names, pa.int64()), *lists], names=["doc_id", "n_words", "name", "h", "u", "lo", "hi"])
+        texts, first, held = _texts(batch.column("text")), 0, 0
+        for row, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= GROUP_BYTES or row == len(texts):
+                group = texts[first:row]
+                keys, at = word_keys(b" ".join(group))
+                ends = np.searchsorted(at, np.cumsum([len(t) + 1 for t in group]))
+                counts = np.diff(ends, prepend=0)
+                home, name, lo, hi = super_edges(keys, ends)
+                inside = np.searchsorted(ends, lo, side="right")
+                start = (ends - counts)[inside]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(inside, minlength=len(group)))]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (signed(home), signed(name), (lo - start).astype(np.int32), (hi - start).astype(np.int32))]
+                own = [batch.column("doc_id").slice(first, len(group)), pa.array(counts, pa.int64()), pa.array([_identity(t) for t in group], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*own, *lists], names=["doc_id", "n_words", "name", "h", "u", "lo", "hi"])
+                first, held = row, 0
 
 
 def _steps() -> Column:
@@ -144,25 +180,48 @@ def _ends() -> list[Column]:
     return [f(c).alias(n) for c, (x, y) in (("prev", ("p0", "p1")), ("nxt", ("n0", "n1"))) for f, n in ((F.min, x), (F.max, y))]
 
 
+def _placed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes], list[tuple[int, int]]]]:
+    """(doc_id, name, words, places) of the rows whose text the name tells."""
+    lists = batch.column("places")
+    flat, cuts = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).tolist()
+    spans = list(zip(flat.field("lo").to_pylist(), flat.field("hi").to_pylist(), strict=True))
+    for row, (doc, text, name) in enumerate(zip(batch.column("doc_id").to_pylist(), _texts(batch.column("text")), batch.column("name").to_pylist(), strict=True)):
+        if _identity(text) == name:  # else another row of the same doc_id
+            yield doc, name, text.split(), spans[cuts[row] : cuts[row + 1]]
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, doc_id, name, start, prev, nxt): the single edges of the given places, each with the ones beside it there."""
-    cache = WordKeys()
     for batch in within(batches):
-        for doc, text, name, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "name", "places")), strict=True):
-            keys = cache.of(_words(text))
-            if _identity(keys) != name:
-                continue  # another row of the same doc_id
-            inside = np.zeros(max(0, len(keys) - WINDOW + 1), bool)
-            for p in places:
-                inside[p["lo"] : p["hi"] - WINDOW + 1] = True
-            starts = np.flatnonzero(inside)
-            edges = signed(rolling(keys, WINDOW)[starts])
-            edges = np.where(edges == NONE, 1, edges)
-            beside = np.diff(starts) == 1
-            prev, nxt = np.full(len(edges), NONE), np.full(len(edges), NONE)
-            prev[1:][beside], nxt[:-1][beside] = edges[:-1][beside], edges[1:][beside]
-            n = len(edges)
-            yield pa.RecordBatch.from_arrays([pa.array(edges), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, name, np.int64)), pa.array(starts), pa.array(prev), pa.array(nxt)], names=["u", "doc_id", "name", "start", "prev", "nxt"])
+        said, stretches, held = [], [], 0
+        for doc, name, words, places in _placed(batch):
+            ranges: list[list[int]] = []  # edges in a row, over all places that touch
+            for lo, hi in sorted((lo, hi - WINDOW + 1) for lo, hi in places):
+                if ranges and lo <= ranges[-1][1]:
+                    ranges[-1][1] = max(hi, ranges[-1][1])
+                else:
+                    ranges.append([lo, hi])
+            for lo, hi in ranges:
+                said.append(b" ".join(words[lo : hi + WINDOW - 1]))
+                stretches.append((doc, name, lo, hi - lo))
+                held += len(said[-1])
+            if held >= GROUP_BYTES:
+                yield _edge_rows(said, stretches)
+                said, stretches, held = [], [], 0
+        if said:
+            yield _edge_rows(said, stretches)
+
+
+def _edge_rows(said: list[bytes], stretches: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    """Rows of ``_edges`` for stretches (doc_id, name, first edge, edges) of the given words."""
+    doc, name, start, size = np.array(stretches, np.int64).T
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    # a stretch has WINDOW - 1 words more than edges
+    edges = signed(rolling(word_keys(b" ".join(said))[0], WINDOW))[np.repeat(np.cumsum(size + WINDOW - 1) - (size + WINDOW - 1), size) + place]
+    edges = np.where(edges == NONE, 1, edges)
+    prev, nxt = np.concatenate([[NONE], edges[:-1]]), np.concatenate([edges[1:], [NONE]])
+    prev[place == 0] = nxt[place == np.repeat(size, size) - 1] = NONE
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (edges, np.repeat(doc, size), np.repeat(name, size), np.repeat(start, size) + place, prev, nxt)], names=["u", "doc_id", "name", "start", "prev", "nxt"])
 
 
 def _listed(spans: DataFrame) -> DataFrame:
@@ -205,19 +264,25 @@ def _places(table: DataFrame, docs: DataFrame, keep: list[DataFrame]) -> DataFra
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(x, y, size, doc_id, name, start, words): the words at the given places and a 128-bit digest of them."""
-    cache = WordKeys()
+
+    def part(said: list[bytes], at: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, said)), np.int64).reshape(-1, 2)
+        doc, name, lo, hi = np.array(at, np.int64).T
+        columns = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array((hi - lo).astype(np.int32)), pa.array(doc), pa.array(name), pa.array(lo.astype(np.int32)), pa.array(said, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["x", "y", "size", "doc_id", "name", "start", "words"])
+
     for batch in within(batches):
-        for doc, text, name, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "name", "places")), strict=True):
-            words = _words(text)
-            if _identity(cache.of(words)) != name:
-                continue  # another row of the same doc_id
-            said = [b" ".join(words[p["lo"] : p["hi"]]) for p in places]
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in said), np.int64).reshape(-1, 2)
-            n = len(said)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([p["hi"] - p["lo"] for p in places], pa.int32()), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, name, np.int64)), pa.array([p["lo"] for p in places], pa.int32()), pa.array(said, pa.binary())],
-                names=["x", "y", "size", "doc_id", "name", "start", "words"],
-            )
+        said, at, held = [], [], 0
+        for doc, name, words, places in _placed(batch):
+            for lo, hi in places:
+                said.append(b" ".join(words[lo:hi]))
+                at.append((doc, name, lo, hi))
+                held += len(said[-1])
+                if held >= PART_BYTES:
+                    yield part(said, at)
+                    said, at, held = [], [], 0
+        if said:
+            yield part(said, at)
 
 
 def repeated_spans(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
@@ -245,23 +310,24 @@ def repeated_spans(docs: DataFrame, keep: list[DataFrame]) -> DataFrame:
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordKeys()
     for batch in within(batches):
         texts, counts, gone, spans = [], [], [], []
-        for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-            words = _words(text)
-            counts.append(len(words))
+        for text, found in zip(_texts(batch.column("text")), batch.column("found").to_pylist(), strict=True):
+            words = text.split()
             own = []
             if found:
-                name = _identity(cache.of(words))
+                name = _identity(text)
                 own = [{"start": f["start"], "end": f["end"]} for f in found if f["name"] == name]
-            spans.append(own)
-            kept, at = [], 0
-            for s in own:
-                kept += words[at : s["start"]]
-                at = s["end"]
-            kept += words[at:]
+            kept = words
+            if own:
+                kept, at = [], 0
+                for s in own:
+                    kept += words[at : s["start"]]
+                    at = s["end"]
+                kept += words[at:]
+            counts.append(len(words))
             gone.append(len(words) - len(kept))
+            spans.append(own)
             texts.append(b" ".join(kept).decode("utf-8", "replace"))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quayline.llm import substrings
@@ -152,3 +153,52 @@ def test_pointers_along_paths_are_not_broadcast(spark, monkeypatch):
     supers = [(u, 1, 2, p, p, n, n) for first, last in ((1, 21), (31, 33)) for u in range(first, last + 1) for p, n in [(u - 1 if u > first else none, u + 1 if u < last else none)]]
     got = {(r.u, r.path, r.place) for r in substrings.compact(spark.createDataFrame(supers, "u long, least long, most long, p0 long, p1 long, n0 long, n1 long")).collect()}
     assert got == {(u, 1, u - 1) for u in range(1, 22)} | {(u, 31, u - 31) for u in range(31, 34)}
+
+
+def test_texts_worked_through_together_are_alike(monkeypatch):
+    texts = [r[1] for r in edited(4)] + [None, "", " \t\n ", "a " * 60, "caf\u00e9\x1c\u00a0z \x0bq\x00 " * 40, "x" * 70, "ab" * 35 + " " + "y " * 55]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+
+    def walks():
+        return [r for b in substrings._walks(iter([batch])) for r in b.to_pylist()]
+
+    together = walks()
+    assert [r["n_words"] for r in together] == [len((t or "").encode().split()) for t in texts] and sum(len(r["h"]) for r in together) > 1000
+    for bound in (1, 100, 5000):
+        monkeypatch.setattr(substrings, "GROUP_BYTES", bound)
+        assert walks() == together
+    for row, text in zip(together, texts, strict=True):
+        keys, _ = substrings.word_keys((text or "").encode())
+        _, _, lo, hi = substrings.super_edges(keys)
+        assert (row["lo"], row["hi"]) == (lo.tolist(), hi.tolist())
+
+
+def test_keys_of_words_depend_on_the_words_alone(monkeypatch):
+    rng = random.Random(6)
+    words = [bytes(rng.choice(b"ab\x00\xc3") for _ in range(rng.choice((1, 2, 9, 63, 64, 65, 200)))) for _ in range(3000)]
+    keys, at = substrings.word_keys(b" ".join(words))
+    assert len(dict(zip(words, keys.tolist(), strict=True))) == len(set(words)) == len(set(keys.tolist()))
+    assert [substrings.word_keys(w)[0][0] for w in words[:200]] == keys[:200].tolist()
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 100)
+    other, places = substrings.word_keys(b"\n" + b"\r \x0c".join(words))
+    assert (other == keys).all() and len(places) == len(at) == len(words)
+
+
+def test_many_texts_go_on_in_few_batches():
+    rows = edited(5)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(rows))), "text": [r[1] for r in rows]})
+    walked = pa.Table.from_batches(substrings._walks(iter([batch])))
+    places = [[{"lo": lo, "hi": hi} for lo, hi in zip(r["lo"], r["hi"], strict=True)] for r in walked.to_pylist()]
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    placed = pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], walked["name"].combine_chunks(), pa.array(places, kind)], names=["doc_id", "text", "name", "places"])
+    edges, said = list(substrings._edges(iter([placed]))), list(substrings._sequences(iter([placed])))
+    # one for each text before
+    assert len(edges) == len(said) == 1
+    words = [r[1].encode().split() for r in rows]
+    got = {(r["doc_id"], r["start"]): r for r in edges[0].to_pylist()}
+    assert sorted(got) == [(i, j) for i, w in enumerate(words) for j in range(len(w) - 49)]
+    windows = {(i, j): tuple(words[i][j : j + 50]) for i, j in got}
+    assert len({(windows[k], r["u"]) for k, r in got.items()}) == len(set(windows.values())) == len({r["u"] for r in got.values()})
+    for (i, j), r in got.items():
+        assert r["prev"] == (got[i, j - 1]["u"] if j else substrings.NONE) and r["nxt"] == (got[i, j + 1]["u"] if (i, j + 1) in got else substrings.NONE)
+    assert [(r["doc_id"], r["start"], r["words"]) for r in said[0].to_pylist()] == [(i, p["lo"], b" ".join(words[i][p["lo"] : p["hi"]])) for i, own in enumerate(places) for p in own]
